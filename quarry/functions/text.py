@@ -41,15 +41,22 @@ def strip_ws(text) -> Column:
     return F.regexp_replace(_col(text), f"^{WS_RUN}|{WS_RUN}$", "")
 
 
+def _bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` (a lambda binding), so a
+    costly expression is not re-evaluated inside array lambdas."""
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def char_ngrams(text, n: int = 3) -> Column:
     """Distinct character n-grams of ``text`` (empty array when shorter than n)."""
-    t = _col(text)
-    return F.when(
-        F.length(t) >= n,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    def grams(t):
+        return F.when(
+            F.length(t) >= n,
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+    return _bind(_col(text), grams)
 
 
 def trigram_jaccard(a, b) -> Column:
@@ -59,9 +66,13 @@ def trigram_jaccard(a, b) -> Column:
     """
     ga = char_ngrams(F.lower(strip_ws(_col(a))))
     gb = char_ngrams(F.lower(strip_ws(_col(b))))
-    inter = F.size(F.array_intersect(ga, gb))
-    union = F.size(F.array_union(ga, gb))
-    return F.when((F.size(ga) > 0) & (F.size(gb) > 0), inter / union).otherwise(F.lit(0.0))
+
+    def jac(g):
+        x, y = g["a"], g["b"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0),
+                      F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(F.lit(0.0))
+    # both gram sets are computed once and bound to the lambda
+    return _bind(F.struct(ga.alias("a"), gb.alias("b")), jac)
 
 
 def doc_id_from_chunk(chunk_id) -> Column:

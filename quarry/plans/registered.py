@@ -68,3 +68,236 @@ def q_metrics(spark, sf_dir):
     m = metrics.retrieval_metrics(run, st.qrels_a(spark, sf_dir), (10, 50, 100),
                                   queries=st.queries_a(spark, sf_dir))
     return m.select("metric", "k", r6("value"))
+
+
+# ------------------------------------------------------------ text
+
+from quarry.functions import text as tx  # noqa: E402
+from quarry.operators import checks, prepare, relational  # noqa: E402
+from quarry.plans.sqlparts import toks, WS_RUN  # noqa: E402
+
+
+@register("T1_tokenize", f"""SELECT doc_id, len({toks('text')})::BIGINT AS n_tokens,
+  sha256(array_to_string({toks('text')}, ' ')) AS token_hash FROM documents""")
+def q_tokenize(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents")
+    t = tx.tokenize("text")
+    return d.select("doc_id", F.size(t).cast("bigint").alias("n_tokens"),
+                    F.sha2(F.concat_ws(" ", t), 256).alias("token_hash"))
+
+
+def _duck_trigrams(expr: str) -> str:
+    s = f"lower(regexp_replace({expr}, '^{WS_RUN}|{WS_RUN}$', '', 'g'))"
+    return (f"(CASE WHEN length({s}) >= 3 THEN list_distinct(list_transform(range(1, length({s}) - 1), "
+            f"lambda i: substring({s}, i, 3))) ELSE []::VARCHAR[] END)")
+
+
+@register("T2_trigram_overlap", f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+p AS (SELECT u.conv_id, u.turn, {_duck_trigrams('u.text')} AS g1, {_duck_trigrams('a.text')} AS g2
+      FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(g1) > 0 AND len(g2) > 0
+  THEN len(list_intersect(g1, g2)) / len(list_distinct(list_concat(g1, g2))) ELSE 0.0 END, 6) AS overlap FROM p""")
+def q_trigram(spark, sf_dir):
+    p = st.conversation_pairs(spark, sf_dir)
+    return p.select("conv_id", "turn", F.round(tx.trigram_jaccard("query", "answer"), 6).alias("overlap"))
+
+
+@register("T4_query_hash", "SELECT item_id, substring(sha256(text), 1, 12) AS qhash FROM benchmark")
+def q_query_hash(spark, sf_dir):
+    b = st.table(spark, sf_dir, "benchmark")
+    return b.select("item_id", tx.query_hash("text").alias("qhash"))
+
+
+@register("T7_cache_key", f"""SELECT item_id, sha256(lower(regexp_replace(text, '^{WS_RUN}|{WS_RUN}$', '', 'g')) || chr(1) || '10') AS cache_key,
+  'query: ' || text AS prefixed FROM benchmark""")
+def q_cache_key(spark, sf_dir):
+    b = st.table(spark, sf_dir, "benchmark")
+    return b.select("item_id", tx.cache_key(F.col("text"), F.lit(10)).alias("cache_key"),
+                    tx.with_prefix("text", "query").alias("prefixed"))
+
+
+# ---------------------------------------------------------- checks (C*)
+
+@register("C3_check_duplicates", """WITH h AS (SELECT doc_id, sha256(text) AS th FROM documents WHERE text IS NOT NULL AND text <> ''),
+per AS (SELECT th, count(*) AS c, min(doc_id) AS first_pos FROM h GROUP BY th),
+rep AS (SELECT h.th, h.doc_id FROM h JOIN per USING (th) WHERE per.c > 1 AND h.doc_id > per.first_pos
+        ORDER BY h.doc_id, h.th LIMIT 10)
+SELECT (SELECT count(*) FROM per) AS total_ids, (SELECT coalesce(sum(c - 1), 0) FROM per)::BIGINT AS num_duplicates,
+       (SELECT coalesce(sum(c - 1), 0) FROM per) > 0 AS has_duplicates,
+       (SELECT coalesce(string_agg(th, ',' ORDER BY doc_id, th), '') FROM rep) AS duplicate_ids""")
+def q_dups(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents").withColumn("th", F.sha2("text", 256))
+    return checks.check_duplicates(d, "th", "doc_id")
+
+
+@register("C4_check_required", """WITH t AS (SELECT count(*) AS total_records, count(*) FILTER (WHERE doc_id IS NULL) AS m_doc_id,
+  count(*) FILTER (WHERE text IS NULL) AS m_text, count(*) FILTER (WHERE lang IS NULL) AS m_lang, count(*) AS m_title FROM documents),
+l AS (SELECT total_records, unnest(['doc_id', 'text', 'lang', 'title']) AS field, unnest([m_doc_id, m_text, m_lang, m_title]) AS missing FROM t)
+SELECT total_records, field, missing, max(missing) OVER () = 0 AS schema_valid FROM l""")
+def q_required(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents")
+    return checks.check_required(d, ["doc_id", "text", "lang", "title"])
+
+
+@register("C8_queries_with_positives", f"""SELECT item_id AS query_id, text AS query FROM benchmark
+  WHERE item_id IN (SELECT query_id FROM ({QRELS_A}))""")
+def q_with_pos(spark, sf_dir):
+    return checks.queries_with_positives(st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir))
+
+
+@register("C9_validate_requests", """WITH r AS (SELECT conv_id, turn, text AS query, turn * 20 AS k,
+   len(string_split(text, ' ')) AS rerank_top_k FROM conversations)
+SELECT conv_id, turn, CASE WHEN query IS NULL OR length(query) < 1 THEN 'query too short'
+  WHEN length(query) > 1000 THEN 'query too long'
+  WHEN k IS NULL OR k < 1 OR k > 100 THEN 'k out of range'
+  WHEN rerank_top_k IS NOT NULL AND (rerank_top_k < 1 OR rerank_top_k > 200) THEN 'rerank_top_k out of range' END AS reason
+FROM r""")
+def q_validate(spark, sf_dir):
+    c = st.table(spark, sf_dir, "conversations")
+    r = c.select("conv_id", "turn", F.col("text").alias("query"), (F.col("turn") * 20).alias("k"),
+                 F.size(F.split("text", " ")).alias("rerank_top_k"))
+    return checks.validate_requests(r).select("conv_id", "turn", "reason")
+
+
+@register("C10_binarize", """SELECT doc_id, (quality * 2 + toxic >= 2)::INT AS rel FROM labels""")
+def q_binarize(spark, sf_dir):
+    lab = st.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("rel"))
+    return checks.binarize(lab, 2)
+
+
+# ------------------------------------------------------- preparation (P*)
+
+QA_PASSAGES_SQL = """WITH u AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+p AS (
+  SELECT u.conv_id::VARCHAR || '_' || u.turn AS query_id, u.query, 0 AS passage_idx, n.text, 1 AS is_relevant
+    FROM u JOIN a n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
+  UNION ALL
+  SELECT u.conv_id::VARCHAR || '_' || u.turn, u.query, CASE WHEN n.conv_id IS NULL THEN 0 ELSE 1 END, pv.text, 0
+    FROM u JOIN a pv ON pv.conv_id = u.conv_id AND pv.turn = u.turn - 1
+    LEFT JOIN a n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1),
+ne AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY passage_idx) AS ord FROM p
+       WHERE text IS NOT NULL AND length(text) > 0)
+SELECT query_id, query, passage_idx::BIGINT AS passage_idx, 'q' || query_id || '_p' || ord AS doc_id, text,
+       is_relevant::INT AS is_relevant FROM ne"""
+
+
+def qa_passages(spark, sf_dir):
+    qa = prepare.qa_from_conversations(st.table(spark, sf_dir, "conversations"))
+    return prepare.explode_passages(qa)
+
+
+@register("P1_explode_passages", QA_PASSAGES_SQL)
+def q_explode(spark, sf_dir):
+    return qa_passages(spark, sf_dir)
+
+
+@register("P2_explode_passage_list", QA_PASSAGES_SQL)
+def q_explode_list(spark, sf_dir):
+    qa = prepare.qa_from_conversations(st.table(spark, sf_dir, "conversations"))
+    # the older layout: an array of {passage_text, is_selected} structs
+    lst = qa.select("query_id", "query", F.arrays_zip(
+        F.col("passages.passage_text").alias("passage_text"),
+        F.col("passages.is_selected").alias("is_selected")).alias("passages"))
+    return prepare.explode_passages(lst)
+
+
+def _chunk_sql(max_tokens: int = 512, stride: int = 80) -> str:
+    step = max_tokens - stride
+    tk = "list_filter(regexp_split_to_array(coalesce(text, ''), '" + WS_RUN + "'), lambda x: x <> '')"
+    return f"""WITH d AS (SELECT doc_id, text, {tk} AS tok FROM documents),
+w AS (SELECT *, len(tok) AS n, CASE WHEN len(tok) <= {max_tokens} THEN 1
+        ELSE CAST(ceil((len(tok) - {max_tokens}) / {float(step)}) AS INTEGER) + 1 END AS nwin FROM d),
+c AS (SELECT doc_id, text, tok, n, unnest(range(0, nwin)) AS ci FROM w)
+SELECT doc_id::VARCHAR || '_' || ci AS chunk_id, doc_id, ci::BIGINT AS chunk_index,
+  CASE WHEN n <= {max_tokens} THEN coalesce(text, '')
+       ELSE array_to_string(tok[ci * {step} + 1 : least(ci * {step} + {max_tokens}, n)], ' ') END AS text,
+  (least(ci * {step} + {max_tokens}, n) - ci * {step})::BIGINT AS tokens,
+  (ci * {step})::BIGINT AS start_token, least(ci * {step} + {max_tokens}, n)::BIGINT AS end_token
+FROM c"""
+
+
+@register("P5_chunk_documents", _chunk_sql())
+def q_chunks(spark, sf_dir):
+    return prepare.chunk_documents(st.corpus(spark, sf_dir), 512, 80)
+
+
+@register("P7_prep_summary", f"""WITH c AS ({_chunk_sql()})
+SELECT count(*) AS num_chunks, count(DISTINCT doc_id) AS num_docs FROM c""")
+def q_prep_summary(spark, sf_dir):
+    return prepare.prep_summary(prepare.chunk_documents(st.corpus(spark, sf_dir), 512, 80))
+
+
+@register("P9_unique_corpus", """SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text""")
+def q_unique(spark, sf_dir):
+    u = prepare.unique_corpus(st.corpus(spark, sf_dir), order_cols=("doc_id",))
+    cnt = st.corpus(spark, sf_dir).groupBy("text").agg(F.count("*").alias("copies"))
+    return u.join(cnt, "text").select(F.col("first_pos.doc_id").alias("doc_id"), "copies")
+
+
+@register("P10_build_qrels", f"""WITH p AS ({QA_PASSAGES_SQL})
+SELECT query_id, sha256(text) AS th, arg_max(is_relevant, passage_idx) AS rel FROM p GROUP BY query_id, text""")
+def q_build_qrels(spark, sf_dir):
+    p = qa_passages(spark, sf_dir)
+    q = prepare.build_qrels(p, order_cols=("passage_idx",))
+    return q.select("query_id", F.sha2("text", 256).alias("th"), "rel")
+
+
+@register("P11_training_tables", f"""WITH p AS ({QA_PASSAGES_SQL}),
+pos AS (SELECT DISTINCT query_id FROM p WHERE is_relevant = 1)
+SELECT doc_id, sha256(arg_min(text, CASE WHEN is_relevant = 1 THEN 0 ELSE 1 END)) AS th,
+       max(query_id IN (SELECT query_id FROM pos))::INT AS has_positive FROM p GROUP BY doc_id""")
+def q_training_tables(spark, sf_dir):
+    p = qa_passages(spark, sf_dir)
+    queries, positives, texts = prepare.extract_training_tables(p)
+    flag = p.select("doc_id", "query_id").join(queries.select("query_id").withColumn("hp", F.lit(1)), "query_id", "left")
+    flag = flag.groupBy("doc_id").agg(F.max(F.coalesce("hp", F.lit(0))).cast("int").alias("has_positive"))
+    return texts.select("doc_id", F.sha2("text", 256).alias("th")).join(flag, "doc_id")
+
+
+# ----------------------------------------------- sources, aggregates, order
+
+@register("S3_read_corpus", "SELECT doc_id AS id, text FROM documents")
+def q_read_corpus(spark, sf_dir):
+    from quarry.sources import readers
+    return readers.read_corpus(spark, f"{sf_dir}/documents.parquet", id_col="doc_id", text_col="text")
+
+
+@register("S6_take_first", """SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100""")
+def q_take_first(spark, sf_dir):
+    c = st.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return relational.take_first(c, 100, ["conv_id", "turn"])
+
+
+@register("A4_distinct_counts", """SELECT count(*) AS n_docs, count(DISTINCT lang) AS n_lang,
+  count(DISTINCT source) AS n_source, count(DISTINCT text) AS n_texts FROM documents""")
+def q_distinct(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents")
+    return d.agg(F.count("*").alias("n_docs"), F.count_distinct("lang").alias("n_lang"),
+                 F.count_distinct("source").alias("n_source"), F.count_distinct("text").alias("n_texts"))
+
+
+@register("A6_latency_summary", """SELECT event_type, round(avg(value), 6) AS mean_latency,
+  round(quantile_cont(value, 0.95), 6) AS p95_latency, count(*) AS n FROM events GROUP BY event_type""")
+def q_latency(spark, sf_dir):
+    e = st.table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean_latency"),
+                                       F.round(F.percentile("value", 0.95), 6).alias("p95_latency"),
+                                       F.count("*").alias("n"))
+
+
+@register("O2_global_top", """SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10""")
+def q_global_top(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return d.orderBy(F.desc("n_chars"), "doc_id").limit(10)
+
+
+@register("S11_load_eval_set", f"""WITH p AS ({QA_PASSAGES_SQL})
+SELECT query_id, arg_min(query, passage_idx) AS query, string_agg(doc_id, ',' ORDER BY passage_idx) AS doc_ids,
+       string_agg(is_relevant::VARCHAR, ',' ORDER BY passage_idx) AS labels FROM p GROUP BY query_id""")
+def q_eval_set(spark, sf_dir):
+    from quarry.sources import readers
+    e = readers.load_eval_set(qa_passages(spark, sf_dir))
+    return e.select("query_id", "query", F.concat_ws(",", "doc_ids").alias("doc_ids"),
+                    F.concat_ws(",", F.transform("labels", lambda x: x.cast("string"))).alias("labels"))
