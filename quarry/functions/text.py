@@ -48,13 +48,16 @@ def _bind(expr: Column, fn) -> Column:
 
 
 def char_ngrams(text, n: int = 3) -> Column:
-    """Distinct character n-grams of ``text`` (empty array when shorter than n)."""
+    """Distinct character n-grams of ``text`` (empty array when shorter than n).
+
+    One regex pass with an overlapping look-ahead: linear in the text and
+    code-point based (``substring`` by position would rescan UTF-8 from the
+    start for every gram).
+    """
     def grams(t):
         return F.when(
             F.length(t) >= n,
-            F.array_distinct(
-                F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))
-            ),
+            F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))),
         ).otherwise(F.array().cast("array<string>"))
     return _bind(_col(text), grams)
 

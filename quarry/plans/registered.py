@@ -74,7 +74,7 @@ def q_metrics(spark, sf_dir):
 
 from quarry.functions import text as tx  # noqa: E402
 from quarry.operators import checks, prepare, relational  # noqa: E402
-from quarry.plans.sqlparts import toks, WS_RUN  # noqa: E402
+from quarry.plans.sqlparts import toks, WS_RUN, norm_text, grams_of, jaccard_of  # noqa: E402
 
 
 @register("T1_tokenize", f"""SELECT doc_id, len({toks('text')})::BIGINT AS n_tokens,
@@ -86,18 +86,12 @@ def q_tokenize(spark, sf_dir):
                     F.sha2(F.concat_ws(" ", t), 256).alias("token_hash"))
 
 
-def _duck_trigrams(expr: str) -> str:
-    s = f"lower(regexp_replace({expr}, '^{WS_RUN}|{WS_RUN}$', '', 'g'))"
-    return (f"(CASE WHEN length({s}) >= 3 THEN list_distinct(list_transform(range(1, length({s}) - 1), "
-            f"lambda i: substring({s}, i, 3))) ELSE []::VARCHAR[] END)")
-
-
-@register("T2_trigram_overlap", f"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
-p AS (SELECT u.conv_id, u.turn, {_duck_trigrams('u.text')} AS g1, {_duck_trigrams('a.text')} AS g2
-      FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)
-SELECT conv_id, turn, round(CASE WHEN len(g1) > 0 AND len(g2) > 0
-  THEN len(list_intersect(g1, g2)) / len(list_distinct(list_concat(g1, g2))) ELSE 0.0 END, 6) AS overlap FROM p""")
+@register("T2_trigram_overlap", f"""WITH u AS (SELECT conv_id, turn, {norm_text('text')} AS t FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, {norm_text('text')} AS t FROM conversations WHERE role = 'assistant'),
+ug AS (SELECT conv_id, turn, {grams_of('t')} AS g FROM u),
+ag AS (SELECT conv_id, turn, {grams_of('t')} AS g FROM a)
+SELECT ug.conv_id, ug.turn, round({jaccard_of('ug.g', 'ag.g')}, 6) AS overlap
+FROM ug JOIN ag ON ag.conv_id = ug.conv_id AND ag.turn = ug.turn + 1""")
 def q_trigram(spark, sf_dir):
     p = st.conversation_pairs(spark, sf_dir)
     return p.select("conv_id", "turn", F.round(tx.trigram_jaccard("query", "answer"), 6).alias("overlap"))
@@ -301,3 +295,373 @@ def q_eval_set(spark, sf_dir):
     e = readers.load_eval_set(qa_passages(spark, sf_dir))
     return e.select("query_id", "query", F.concat_ws(",", "doc_ids").alias("doc_ids"),
                     F.concat_ws(",", F.transform("labels", lambda x: x.cast("string"))).alias("labels"))
+
+
+# ------------------------------------------------------------- dense (D*)
+
+from quarry.operators import dense, mining  # noqa: E402
+
+EMB_SQL = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+def _vecs(spark, sf_dir):
+    return st.vectors(spark, sf_dir)
+
+
+@register("D2_pair_similarity", f"""WITH e AS ({EMB_SQL}),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.label = b.label
+      WHERE a.vec_id <> b.vec_id)
+SELECT query_id, doc_id, round(list_inner_product(x, y), 6) AS ip,
+  round(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 6) AS cosine,
+  round(-list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))), 6) AS l2
+FROM p""")
+def q_pair_sim(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    pairs = st.vector_qrels(spark, sf_dir).select("query_id", "doc_id")
+    j = (pairs.join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("x")), "query_id")
+              .join(v.select(F.col("id").alias("doc_id"), F.col("embedding").alias("y")), "doc_id"))
+    return j.select("query_id", "doc_id",
+                    F.round(dense.pair_similarity("x", "y", "ip"), 6).alias("ip"),
+                    F.round(dense.pair_similarity("x", "y", "cosine"), 6).alias("cosine"),
+                    F.round(dense.pair_similarity("x", "y", "l2"), 6).alias("l2"))
+
+
+FLAT_SQL = f"""WITH e AS ({EMB_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+{topk_cte('top', 's', 10)}"""
+
+
+@register("D3_flat_search", FLAT_SQL + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM top")
+def q_flat(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    r = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=10, exclude_self=True)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("D3_flat_search_blocks", FLAT_SQL + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM top")
+def q_flat_blocks(spark, sf_dir):
+    """Same result through the distributed block path (forced)."""
+    v = _vecs(spark, sf_dir)
+    r = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=10, exclude_self=True,
+                          max_query_rows=0, block_rows=128)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("D13_l2_normalize", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS nv FROM e),
+u AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN nv > 0 THEN (x / nv)::FLOAT ELSE 0.0::FLOAT END) AS w FROM n)
+SELECT vec_id, round(list_sum(list_transform(w, lambda x: x::DOUBLE)), 6) AS s,
+       round(sqrt(list_sum(list_transform(w, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM u""")
+def q_normalize(spark, sf_dir):
+    e = st.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    u = e.select("vec_id", dense.l2_normalize("v").alias("w"))
+    return u.select("vec_id",
+                    F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("s"),
+                    F.round(dense.norm("w"), 6).alias("norm"))
+
+
+SAME_LABEL_RESCORE_SQL = f"""WITH e AS ({EMB_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+{topk_cte('top', 's', 10)}"""
+
+
+def _rescored(spark, sf_dir, k):
+    v = _vecs(spark, sf_dir)
+    cands = st.vector_qrels(spark, sf_dir).select("query_id", "doc_id")
+    return dense.rescore(cands, v, v, k)
+
+
+@register("D6_rescore", SAME_LABEL_RESCORE_SQL + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
+def q_rescore(spark, sf_dir):
+    return _rescored(spark, sf_dir, 5).select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("D7_validate_recall", f"""WITH e AS ({EMB_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+{topk_cte('ex', 's', 10)},
+s2 AS (SELECT * FROM s WHERE (query_id, doc_id) IN (SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label)),
+{topk_cte('ap', 's2', 10)},
+per AS (SELECT ex.query_id, count(ap.doc_id) / count(*) AS r FROM ex LEFT JOIN ap ON ex.query_id = ap.query_id AND ex.doc_id = ap.doc_id
+        GROUP BY ex.query_id)
+SELECT round(avg(r), 6) AS recall, count(*) AS queries, avg(r) >= 0.97 AS passed FROM per""")
+def q_recall(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    exact = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=10, exclude_self=True)
+    res = dense.validate_recall(_rescored(spark, sf_dir, 10), exact, 10, 0.97)
+    return res.select(r6("recall"), "queries", "passed")
+
+
+@register("D8_search", f"""WITH e AS ({EMB_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score, 5 + a.label AS k
+      FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT r.query_id, r.doc_id, round(r.score, 6) AS score, r.rank, length(coalesce(d.text, '')) AS text_len
+FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= r.k""")
+def q_search(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    req = v.select(F.col("id").alias("query_id"), "embedding", (F.col("label") + 5).alias("k"))
+    docs = st.corpus(spark, sf_dir)
+    r = dense.search(req, v, corpus=docs)
+    return r.select("query_id", "doc_id", r6("score"), "rank", F.length("text").alias("text_len"))
+
+
+def _bm25_ctes_a(prefix="", k1=1.5, b=0.75):
+    return bm25_ctes(CORPUS_SQL, QUERIES_A_SQL, prefix=prefix, k1=k1, b=b)
+
+
+GRAMS_CTES = f"""dn AS (SELECT doc_id, {norm_text('text')} AS t FROM documents),
+dg AS (SELECT doc_id, {grams_of('t')} AS g FROM dn),
+qn AS (SELECT item_id AS query_id, {norm_text('text')} AS t FROM benchmark),
+qg AS (SELECT query_id, {grams_of('t')} AS g FROM qn)"""
+
+
+@register("D9_rerank", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 20)}, {GRAMS_CTES},
+rs AS (SELECT run.query_id, run.doc_id, {jaccard_of('qg.g', 'dg.g')} AS score
+       FROM run JOIN qg ON qg.query_id = run.query_id JOIN dg ON dg.doc_id = run.doc_id),
+{topk_cte('top', 'rs', 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""")
+def q_rerank(spark, sf_dir):
+    run = bm25_run_a(spark, sf_dir, 20)
+    r = dense.rerank(run, st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir), k=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("D10_gated_rerank", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 20)}, {GRAMS_CTES},
+best AS (SELECT query_id, max(score) AS best FROM run GROUP BY 1),
+rs AS (SELECT run.query_id, run.doc_id, {jaccard_of('qg.g', 'dg.g')} AS score
+       FROM run JOIN best USING (query_id) JOIN qg ON qg.query_id = run.query_id JOIN dg ON dg.doc_id = run.doc_id
+       WHERE best.best < 30.0),
+{topk_cte('top', 'rs', 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank, 'low_confidence' AS reason FROM top
+UNION ALL
+SELECT run.query_id, doc_id, round(score, 6), rank, 'confident' FROM run JOIN best USING (query_id)
+WHERE best.best >= 30.0 AND rank <= 10""")
+def q_gated(spark, sf_dir):
+    run = bm25_run_a(spark, sf_dir, 20)
+    r = dense.gated_rerank(run, st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir), threshold=30.0, k=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank", "reason")
+
+
+@register("D11_fuse_rrf", f"""WITH {_bm25_ctes_a('a_')}, {_bm25_ctes_a('b_', 0.9, 0.4)},
+{topk_cte('ra', 'a_scored', 50)}, {topk_cte('rb', 'b_scored', 50)},
+u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM ra UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM rb),
+f AS (SELECT query_id, doc_id, sum(s) AS score FROM u GROUP BY 1, 2),
+{topk_cte('top', 'f', 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""")
+def q_rrf(spark, sf_dir):
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    from quarry.operators import lexical as lx
+    ra = lx.bm25_search(lx.build_lexical_index(c, "doc_id", "text"), q, k=50)
+    rb = lx.bm25_search(lx.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=50)
+    r = dense.fuse_rrf({"a": ra, "b": rb}, k0=60, k=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("D11_fuse_linear", f"""WITH {_bm25_ctes_a('a_')}, {_bm25_ctes_a('b_', 0.9, 0.4)},
+{topk_cte('ra', 'a_scored', 50)}, {topk_cte('rb', 'b_scored', 50)},
+na AS (SELECT query_id, doc_id, 0.3 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) AS s
+       FROM ra WINDOW w AS (PARTITION BY query_id)),
+nb AS (SELECT query_id, doc_id, 0.7 * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) AS s
+       FROM rb WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT * FROM na UNION ALL SELECT * FROM nb) GROUP BY 1, 2),
+{topk_cte('top', 'f', 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""")
+def q_linear(spark, sf_dir):
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    from quarry.operators import lexical as lx
+    ra = lx.bm25_search(lx.build_lexical_index(c, "doc_id", "text"), q, k=50)
+    rb = lx.bm25_search(lx.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=50)
+    r = dense.fuse_linear({"a": ra, "b": rb}, {"a": 0.3, "b": 0.7}, k=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+def _letters_sql(expr: str) -> str:
+    t = f"lower(coalesce({expr}, ''))"
+    raw = f"list_transform(range(97, 123), lambda c: (length({t}) - length(replace({t}, chr(c::INTEGER), '')))::FLOAT)"
+    return raw
+
+
+LETTER_DOCS = f"""lraw AS (SELECT doc_id, {_letters_sql('text')} AS v FROM documents),
+ldoc AS (SELECT doc_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+         FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM lraw))"""
+
+
+@register("D12_search_distinct", f"""WITH {LETTER_DOCS},
+qraw AS (SELECT conv_id, turn, {_letters_sql('text')} AS v FROM conversations WHERE role = 'user'),
+lq AS (SELECT conv_id, turn, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+       FROM (SELECT conv_id, turn, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM qraw)),
+s AS (SELECT conv_id, turn, doc_id, list_inner_product(lq.v::DOUBLE[], ldoc.v::DOUBLE[]) AS score FROM lq, ldoc),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT conv_id, turn, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def q_search_distinct(spark, sf_dir):
+    c = st.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    req = c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "conv_id", "turn",
+                   F.col("text").alias("query"), F.lit(5).alias("k"))
+    enc = dense.LetterEncoder()
+    docs = enc.encode(st.corpus(spark, sf_dir), id_col="doc_id", text_col="text")
+
+    def run(uniq):
+        return dense.search(uniq.select("query_id", "query", "k"), docs, encoder=enc)
+
+    from quarry.functions.text import cache_key
+    res = dense.search_distinct(req, run, cache_key(F.col("query"), F.col("k")))
+    back = res.join(req.select("query_id", "conv_id", "turn"), "query_id")
+    return back.select("conv_id", "turn", "doc_id", r6("score"), "rank")
+
+
+# ----------------------------------------------------------- mining (N*)
+
+N1_SQL = f"""{_bm25_ctes_a()}, {topk_cte('run', 'scored', 100)},
+qa AS ({QRELS_A}),
+n1 AS (SELECT query_id, doc_id, score AS bm25_score, rank AS bm25_rank FROM run
+       WHERE NOT EXISTS (SELECT 1 FROM qa WHERE qa.query_id = run.query_id AND qa.doc_id = run.doc_id))"""
+
+TEACHER_THRESHOLD = 0.25  # stand-in scorer scale (trigram Jaccard), see FIXTURES
+
+
+def _n2_sql(k: int, thr: float = TEACHER_THRESHOLD) -> str:
+    return f"""{N1_SQL}, {GRAMS_CTES},
+ts AS (SELECT n1.*, {jaccard_of('qg.g', 'dg.g')} AS teacher_score
+       FROM n1 JOIN qg ON qg.query_id = n1.query_id JOIN dg ON dg.doc_id = n1.doc_id),
+tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(teacher_score, 9) DESC, bm25_rank, doc_id)
+       AS teacher_rank FROM ts),
+n2 AS (SELECT * FROM tr WHERE teacher_rank <= {k} AND teacher_score >= {thr})"""
+
+
+def _n1(spark, sf_dir):
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
+    return mining.mine_bm25(idx, st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir), k=100)
+
+
+def _n2(spark, sf_dir, k):
+    return mining.mine_teacher(_n1(spark, sf_dir), st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir),
+                               k=k, threshold=TEACHER_THRESHOLD)
+
+
+@register("N1_mine_bm25", f"""WITH {N1_SQL}
+SELECT query_id, doc_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM n1""")
+def q_n1(spark, sf_dir):
+    return _n1(spark, sf_dir).select("query_id", "doc_id", r6("bm25_score"), "bm25_rank")
+
+
+@register("N2_mine_teacher", f"""WITH {_n2_sql(10)}
+SELECT query_id, doc_id, round(teacher_score, 6) AS teacher_score, teacher_rank FROM n2""")
+def q_n2(spark, sf_dir):
+    return _n2(spark, sf_dir, 10).select("query_id", "doc_id", r6("teacher_score"), "teacher_rank")
+
+
+@register("N9_mine_teacher_band", f"""WITH {_n2_sql(10, -1.0)}
+SELECT query_id, doc_id, round(teacher_score, 6) AS teacher_score, teacher_rank FROM n2
+WHERE teacher_score >= 0.15 AND teacher_score <= 0.2""")
+def q_n9(spark, sf_dir):
+    t = mining.mine_teacher(_n1(spark, sf_dir), st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir),
+                            k=10, band=(0.15, 0.2))
+    return t.select("query_id", "doc_id", r6("teacher_score"), "teacher_rank")
+
+
+VEC_POS_SQL = f"""e AS ({EMB_SQL}),
+allp AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score,
+                a.label = b.label AS pos FROM e a, e b WHERE a.vec_id <> b.vec_id),
+maxpos AS (SELECT query_id, coalesce(max(score) FILTER (WHERE pos), 0.0) AS max_pos FROM allp GROUP BY 1)"""
+
+
+@register("N3_mine_ance", f"""WITH {VEC_POS_SQL},
+knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM allp),
+c AS (SELECT knn.query_id, knn.doc_id, knn.score FROM knn WHERE r <= 50 AND NOT pos),
+f AS (SELECT c.* FROM c JOIN maxpos USING (query_id) WHERE c.score >= maxpos.max_pos - 0.1),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS ance_rank FROM f)
+SELECT query_id, doc_id, round(score, 6) AS student_score, ance_rank FROM a WHERE ance_rank <= 5""")
+def q_n3(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    qrels = st.vector_qrels(spark, sf_dir)
+    knn = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=50, exclude_self=True)
+    cands = knn.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    a = mining.mine_ance(cands.select("query_id", "doc_id"), qrels, v, v, margin=0.1, k=5)
+    return a.select("query_id", "doc_id", r6("student_score"), "ance_rank")
+
+
+@register("N4_curriculum_stage1", f"""WITH {N1_SQL} SELECT query_id, doc_id, 0.0 AS teacher_score FROM n1""")
+def q_n4_1(spark, sf_dir):
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
+    return mining.mine_curriculum(1, idx, st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir),
+                                  st.corpus(spark, sf_dir))
+
+
+@register("N4_curriculum_stage2", f"""WITH {_n2_sql(10)}
+SELECT query_id, doc_id, round(teacher_score, 6) AS teacher_score FROM n2""")
+def q_n4_2(spark, sf_dir):
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
+    r = mining.mine_curriculum(2, idx, st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir),
+                               st.corpus(spark, sf_dir), threshold=TEACHER_THRESHOLD)
+    return r.select("query_id", "doc_id", r6("teacher_score"))
+
+
+@register("N4_curriculum_stage3", f"""WITH {_n2_sql(20)}, {LETTER_DOCS},
+qraw AS (SELECT item_id AS query_id, {_letters_sql("'query: ' || text")} AS v FROM benchmark),
+lq AS (SELECT query_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+       FROM (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM qraw)),
+draw AS (SELECT doc_id, {_letters_sql("'passage: ' || text")} AS v FROM documents),
+ld AS (SELECT doc_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+       FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM draw)),
+ps AS (SELECT qa.query_id, max(list_inner_product(lq.v::DOUBLE[], ld.v::DOUBLE[])) AS max_pos
+       FROM qa JOIN lq ON lq.query_id = qa.query_id JOIN ld ON ld.doc_id = qa.doc_id GROUP BY 1),
+cs AS (SELECT n2.query_id, n2.doc_id, n2.teacher_rank, list_inner_product(lq.v::DOUBLE[], ld.v::DOUBLE[]) AS s
+       FROM n2 JOIN lq ON lq.query_id = n2.query_id JOIN ld ON ld.doc_id = n2.doc_id),
+af AS (SELECT cs.* FROM cs LEFT JOIN ps USING (query_id) WHERE cs.s >= coalesce(ps.max_pos, 0.0) - 0.1),
+ar AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, teacher_rank, doc_id) AS ance_rank FROM af),
+u AS (SELECT query_id, doc_id, teacher_score AS ts FROM n2 WHERE teacher_rank <= 5
+      UNION ALL SELECT query_id, doc_id, NULL FROM ar WHERE ance_rank <= 5)
+SELECT query_id, doc_id, round(coalesce(max(ts), 0.0), 6) AS teacher_score FROM u GROUP BY 1, 2""")
+def q_n4_3(spark, sf_dir):
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
+    r = mining.mine_curriculum(3, idx, st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir),
+                               st.corpus(spark, sf_dir), encoder=dense.LetterEncoder(),
+                               threshold=TEACHER_THRESHOLD)
+    return r.select("query_id", "doc_id", r6("teacher_score"))
+
+
+@register("N5_denoise", f"""WITH {_n2_sql(10)},
+pg AS (SELECT qa.query_id, dg.g FROM qa JOIN dg ON dg.doc_id = qa.doc_id),
+ov AS (SELECT n2.query_id, n2.doc_id, max({jaccard_of('cg.g', 'pg.g')}) AS mo
+       FROM n2 JOIN dg cg ON cg.doc_id = n2.doc_id JOIN pg ON pg.query_id = n2.query_id GROUP BY 1, 2)
+SELECT n2.query_id, n2.doc_id, round(n2.teacher_score, 6) AS teacher_score, round(coalesce(ov.mo, 0.0), 6) AS max_overlap
+FROM n2 LEFT JOIN ov ON ov.query_id = n2.query_id AND ov.doc_id = n2.doc_id
+WHERE coalesce(ov.mo, 0.0) <= 0.3 AND n2.teacher_score < 0.3""")
+def q_n5(spark, sf_dir):
+    d = mining.denoise(_n2(spark, sf_dir, 10), st.qrels_a(spark, sf_dir), st.corpus(spark, sf_dir),
+                       teacher_max=0.3, overlap_max=0.3)
+    return d.select("query_id", "doc_id", r6("teacher_score"), r6("max_overlap"))
+
+
+@register("N6_cap_negatives", f"""WITH {_n2_sql(10)},
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(teacher_score, 9) DESC, doc_id) AS neg_rank FROM n2)
+SELECT query_id, doc_id, round(teacher_score, 6) AS teacher_score, neg_rank FROM c WHERE neg_rank <= 7""")
+def q_n6(spark, sf_dir):
+    c = mining.cap_negatives(_n2(spark, sf_dir, 10), 7)
+    return c.select("query_id", "doc_id", r6("teacher_score"), "neg_rank")
+
+
+@register("N8_mine_ance_corpus", f"""WITH {VEC_POS_SQL},
+c AS (SELECT * FROM allp WHERE NOT pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def q_n8(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    r = mining.mine_ance_corpus(v, v, st.vector_qrels(spark, sf_dir), top=50, select=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+@register("N11_mining_stats", f"""WITH {N1_SQL},
+per AS (SELECT b.item_id AS query_id, count(n1.doc_id) AS n FROM benchmark b LEFT JOIN n1 ON n1.query_id = b.item_id GROUP BY 1)
+SELECT count(*) AS queries, sum(n)::BIGINT AS negatives, round(avg(n), 6) AS avg_negatives FROM per""")
+def q_n11(spark, sf_dir):
+    s = mining.mining_stats(_n1(spark, sf_dir), st.queries_a(spark, sf_dir))
+    return s.select("queries", F.col("negatives").cast("bigint"), r6("avg_negatives"))
+
+
+@register("N7_in_batch_negatives")
+def q_n7(spark, sf_dir):
+    return mining.in_batch_negatives(st.queries_b(spark, sf_dir), st.qrels_b(spark, sf_dir), batch_size=32, n=4)

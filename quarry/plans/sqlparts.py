@@ -76,3 +76,19 @@ mq_out AS (SELECT k, avg(ndcg) AS ndcg, avg(mrr) AS mrr, avg(recall) AS recall,
 
 METRICS_SELECT = """SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
   UNPIVOT mq_out ON ndcg, mrr, recall, precision INTO NAME metric VALUE value)"""
+
+
+def norm_text(expr: str) -> str:
+    """T2 normalisation in DuckDB: strip Python whitespace, lower-case."""
+    return f"lower(regexp_replace({expr}, '^{WS_RUN}|{WS_RUN}$', '', 'g'))"
+
+
+def grams_of(col: str) -> str:
+    """Distinct character trigrams of an already normalised text column."""
+    return (f"(CASE WHEN length({col}) >= 3 THEN list_distinct(list_transform(range(1, length({col}) - 1), "
+            f"lambda i: substring({col}, i, 3))) ELSE []::VARCHAR[] END)")
+
+
+def jaccard_of(g1: str, g2: str) -> str:
+    return (f"(CASE WHEN len({g1}) > 0 AND len({g2}) > 0 THEN len(list_intersect({g1}, {g2})) "
+            f"/ len(list_distinct(list_concat({g1}, {g2}))) ELSE 0.0 END)")
