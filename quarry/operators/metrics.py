@@ -273,3 +273,28 @@ def compare_models(runs: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5,
     pairs = ", ".join(f"'{m}', {k}, `{m}_{k}`" for m in ("ndcg", "mrr") for k in ks)
     return wide.selectExpr(model_col, f"stack({2 * len(ks)}, {pairs}) as (metric, k, value)").select(
         model_col, "metric", F.col("k").cast("bigint"), F.col("value").cast("double"))
+
+
+def ranking_agreement(scores: DataFrame, student: str = "student", teacher: str = "teacher",
+                      n_bins: int = 10) -> DataFrame:
+    """Mean Kendall tau between the student's and the teacher's ranking
+    of each query's documents, and ECE of the globally min-max normalised
+    student score where accuracy = (student_norm > 0.5) == (teacher_norm > 0.5)."""
+    from quarry.operators.relational import minmax_scale, rank_within
+    ra = scores.select("query_id", "doc_id", rank_within(["query_id"], [F.desc(F.round(student, 9)), F.asc("doc_id")]).alias("rank"))
+    rb = scores.select("query_id", "doc_id", rank_within(["query_id"], [F.desc(F.round(teacher, 9)), F.asc("doc_id")]).alias("rank"))
+    tau = kendall_tau(ra, rb).agg(F.avg("tau").alias("kendall_tau"))
+    n = minmax_scale(minmax_scale(scores, student, "__sn"), teacher, "__tn")
+    acc = n.select(F.col("__sn").alias("c"), ((F.col("__sn") > 0.5) == (F.col("__tn") > 0.5)).cast("double").alias("a"))
+    e = ece(acc, "c", "a", n_bins)
+    return tau.withColumn("__k", F.lit(1)).join(e.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+def evaluate_lists(lists: DataFrame, ks: Sequence[int] = (1, 5, 10), score_col: str = "score") -> DataFrame:
+    """Metrics over per-query candidate lists ``(query_id, doc_id,
+    score, rel)``: rank by score (W1), then nDCG/MRR at each k."""
+    from quarry.operators.relational import rank_within
+    run = lists.withColumn("rank", rank_within(["query_id"], [F.desc(F.round(score_col, 9)), F.asc("doc_id")]))
+    qrels = lists.select("query_id", "doc_id", "rel")
+    return retrieval_metrics(run.select("query_id", "doc_id", F.col(score_col).alias("score"), "rank"),
+                             qrels, ks, queries=lists.select("query_id").distinct(), metrics=("ndcg", "mrr"))

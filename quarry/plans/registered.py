@@ -665,3 +665,324 @@ def q_n11(spark, sf_dir):
 @register("N7_in_batch_negatives")
 def q_n7(spark, sf_dir):
     return mining.in_batch_negatives(st.queries_b(spark, sf_dir), st.qrels_b(spark, sf_dir), batch_size=32, n=4)
+
+
+# ------------------------------------------------------ training data (K*)
+
+from quarry.operators import training  # noqa: E402
+
+SCORES_SQL = f"""e AS ({EMB_SQL}),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS student,
+                 a.label = b.label AS same FROM e a, e b WHERE a.vec_id <> b.vec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(student, 9) DESC, doc_id) AS r FROM pairs),
+sc AS (SELECT query_id, doc_id, (r - 1)::BIGINT AS pos, student,
+              CASE WHEN same THEN 4.0 ELSE -2.0 END + student AS teacher FROM rk WHERE r <= 10)"""
+
+
+def _scores(spark, sf_dir):
+    """Loss inputs from the vectors: each vector's 10 nearest neighbours;
+    student = inner product, teacher = a logit that rewards same-label docs."""
+    v = _vecs(spark, sf_dir)
+    knn = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=10, exclude_self=True)
+    lab = v.select("id", "label")
+    j = (knn.join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
+            .join(lab.select(F.col("id").alias("doc_id"), F.col("label").alias("dl")), "doc_id"))
+    return j.select("query_id", "doc_id", (F.col("rank") - 1).cast("bigint").alias("pos"),
+                    F.col("score").alias("student"),
+                    (F.when(F.col("ql") == F.col("dl"), 4.0).otherwise(-2.0) + F.col("score")).alias("teacher"))
+
+
+def _loss_sql(T: float, select_prefix: str = "") -> str:
+    return f"""x_{int(T*1000)} AS (SELECT *, max(student) OVER w AS smax, max(teacher) OVER w AS tmax FROM sc
+       WINDOW w AS (PARTITION BY query_id)),
+y_{int(T*1000)} AS (SELECT *, ln(sum(exp(student / {T} - smax / {T})) OVER w) + smax / {T} AS lse_s,
+              ln(sum(exp(teacher / {T} - tmax / {T})) OVER w) + tmax / {T} AS lse_t,
+              ln(sum(exp(student / 0.05 - smax / 0.05)) OVER w) + smax / 0.05 AS lse_c
+       FROM x_{int(T*1000)} WINDOW w AS (PARTITION BY query_id)),
+pq_{int(T*1000)} AS (SELECT query_id, avg(((student - smax) - (teacher / {T} - tmax / {T})) ^ 2) AS mm,
+        {T * T} * sum(exp(teacher / {T} - lse_t) * ((teacher / {T} - lse_t) - (student / {T} - lse_s))) AS kl,
+        max(CASE WHEN pos = 0 THEN lse_c - student / 0.05 END) AS ct FROM y_{int(T*1000)} GROUP BY query_id)"""
+
+
+def _loss_select(T: float, extra: str = "") -> str:
+    t = int(T * 1000)
+    return (f"SELECT {extra}round(avg(mm), 6) AS margin_mse, round(avg(kl), 6) AS listwise_kd, "
+            f"round(avg(ct), 6) AS contrastive, count(*) AS queries, "
+            f"round(0.6 * avg(mm) + 0.2 * avg(kl) + 0.2 * avg(ct), 6) AS loss FROM pq_{t}")
+
+
+def _loss_cols(df):
+    return df.select(r6("margin_mse"), r6("listwise_kd"), r6("contrastive"), "queries", r6("loss"))
+
+
+@register("K6_kd_loss", f"WITH {SCORES_SQL}, {_loss_sql(3.0)}\n{_loss_select(3.0)}")
+def q_kd_loss(spark, sf_dir):
+    return _loss_cols(training.kd_loss(_scores(spark, sf_dir), temperature=3.0))
+
+
+@register("K3_margin_mse", f"WITH {SCORES_SQL}, {_loss_sql(2.0)}\nSELECT round(avg(mm), 6) AS margin_mse FROM pq_2000")
+def q_mmse(spark, sf_dir):
+    return training.margin_mse(_scores(spark, sf_dir), 2.0).select(r6("margin_mse"))
+
+
+@register("K4_listwise_kl", f"WITH {SCORES_SQL}, {_loss_sql(2.0)}\nSELECT round(avg(kl), 6) AS listwise_kd FROM pq_2000")
+def q_listwise(spark, sf_dir):
+    return training.listwise_kl(_scores(spark, sf_dir), 2.0).select(r6("listwise_kd"))
+
+
+@register("K5_contrastive", f"WITH {SCORES_SQL}, {_loss_sql(1.0)}\nSELECT round(avg(ct), 6) AS contrastive FROM pq_1000")
+def q_contrastive(spark, sf_dir):
+    return training.contrastive(_scores(spark, sf_dir), 0.05).select(r6("contrastive"))
+
+
+_EPOCH_TS = [training.epoch_temperature(4.0, 2.0, e, 3) for e in (1, 2, 3)]
+
+
+@register("K7_epoch_losses", "WITH " + SCORES_SQL + ", " + ", ".join(_loss_sql(T) for T in _EPOCH_TS) + "\n" +
+          "\nUNION ALL\n".join(_loss_select(T, f"{e} AS epoch, round({T}::DOUBLE, 6) AS temperature, ")
+                               for e, T in zip((1, 2, 3), _EPOCH_TS)))
+def q_epoch_losses(spark, sf_dir):
+    sc = _scores(spark, sf_dir)
+    out = None
+    for e, T in zip((1, 2, 3), _EPOCH_TS):
+        part = _loss_cols(training.kd_loss(sc, temperature=T)).select(
+            F.lit(e).alias("epoch"), F.round(F.lit(T), 6).alias("temperature"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("K8_early_stop", "WITH " + SCORES_SQL + ", " + ", ".join(_loss_sql(T) for T in _EPOCH_TS) + ",\n" +
+          "m AS (" + "\nUNION ALL\n".join(
+              f"SELECT {e} AS epoch, 0.6 * avg(mm) + 0.2 * avg(kl) + 0.2 * avg(ct) AS v FROM pq_{int(T*1000)}"
+              for e, T in zip((1, 2, 3), _EPOCH_TS)) + """),
+b AS (SELECT *, min(v) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bp FROM m),
+i AS (SELECT *, bp IS NULL OR v < bp AS improved FROM b),
+g AS (SELECT *, sum(improved::INT) OVER (ORDER BY epoch) AS grp FROM i),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY epoch) - 1 AS stale FROM g)
+SELECT 'kd' AS run, arg_min(epoch, v) AS best_epoch, round(min(v), 6) AS best_value,
+       min(CASE WHEN stale >= 1 THEN epoch END) AS stop_epoch, max(epoch) AS last_epoch,
+       min(CASE WHEN stale >= 1 THEN epoch END) IS NOT NULL AS stopped_early FROM s""")
+def q_early_stop(spark, sf_dir):
+    ep = q_epoch_losses(spark, sf_dir).select(F.lit("kd").alias("run"), "epoch", F.col("loss").alias("value"))
+    # values were rounded for display; stop on the unrounded losses
+    sc = _scores(spark, sf_dir)
+    parts = [training.kd_loss(sc, temperature=T).select(F.lit("kd").alias("run"), F.lit(e).alias("epoch"),
+                                                          F.col("loss").alias("value"))
+             for e, T in zip((1, 2, 3), _EPOCH_TS)]
+    ep = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    r = training.early_stop(ep, patience=1, mode="min")
+    return r.select("run", "best_epoch", r6("best_value"), "stop_epoch", "last_epoch", "stopped_early")
+
+
+K1_SQL = f"""{_n2_sql(10)},
+u AS (SELECT query_id, doc_id, 1.0 AS teacher_score, 0 AS grp FROM qa
+      UNION ALL SELECT query_id, doc_id, teacher_score, 1 FROM n2),
+ex AS (SELECT u.*, (row_number() OVER (PARTITION BY query_id ORDER BY grp, round(teacher_score, 9) DESC, doc_id) - 1)::BIGINT AS pos
+       FROM u)"""
+
+
+def _examples(spark, sf_dir):
+    return training.build_examples(st.qrels_a(spark, sf_dir).select("query_id", "doc_id"),
+                                   _n2(spark, sf_dir, 10), st.corpus(spark, sf_dir))
+
+
+@register("K1_build_examples", f"""WITH {K1_SQL}
+SELECT ex.query_id, ex.pos, ex.doc_id, round(ex.teacher_score, 6) AS teacher_score, (grp = 0)::INT AS is_positive,
+       length(coalesce(d.text, '')) AS text_len FROM ex LEFT JOIN documents d ON d.doc_id = ex.doc_id""")
+def q_examples(spark, sf_dir):
+    e = _examples(spark, sf_dir)
+    return e.select("query_id", "pos", "doc_id", r6("teacher_score"), "is_positive", F.length("text").alias("text_len"))
+
+
+@register("K10_confident_queries", f"""WITH {K1_SQL},
+best AS (SELECT query_id FROM ex WHERE grp = 1 GROUP BY 1 HAVING max(teacher_score) >= 0.3)
+SELECT query_id, pos, doc_id FROM ex WHERE query_id IN (SELECT query_id FROM best)""")
+def q_confident(spark, sf_dir):
+    return training.confident_queries(_examples(spark, sf_dir), 0.3).select("query_id", "pos", "doc_id")
+
+
+@register("K2_assign_batches")
+def q_batches(spark, sf_dir):
+    from quarry.operators.relational import assign_batches
+    return assign_batches(st.queries_b(spark, sf_dir), "query_id", batch_size=32, seed=42)
+
+
+# ------------------------------------------------------------ metrics (M*)
+
+VEC_RUN_SQL = f"""e AS ({EMB_SQL}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+{topk_cte('vrun', 's', 20)}"""
+VEC_QRELS_SQL = """SELECT a.vec_id AS query_id, b.vec_id AS doc_id, 1 AS rel FROM embeddings a
+  JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"""
+
+
+@register("M9_evaluate_retrieval", f"""WITH {VEC_RUN_SQL},
+{metrics_sql('vrun', VEC_QRELS_SQL, 'SELECT vec_id AS query_id FROM embeddings', (1, 5, 10, 20))}
+SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT k, ndcg, mrr FROM mq_out) ON ndcg, mrr INTO NAME metric VALUE value)""")
+def q_eval_retrieval(spark, sf_dir):
+    v = _vecs(spark, sf_dir)
+    run = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=20, exclude_self=True)
+    m = metrics.retrieval_metrics(run, st.vector_qrels(spark, sf_dir), (1, 5, 10, 20),
+                                  queries=v.select(F.col("id").alias("query_id")), metrics=("ndcg", "mrr"))
+    return m.select("metric", "k", r6("value"))
+
+
+for _m, _name in (("ndcg", "M1_ndcg"), ("mrr", "M2_mrr"), ("recall", "M3_recall"), ("precision", "M4_precision")):
+    def _mk(metric_name):
+        def fn(spark, sf_dir):
+            run = bm25_run_a(spark, sf_dir, 100)
+            m = metrics.retrieval_metrics(run, st.qrels_a(spark, sf_dir), (10, 100),
+                                          queries=st.queries_a(spark, sf_dir), metrics=(metric_name,))
+            return m.select("metric", "k", r6("value"))
+        return fn
+    register(_name, f"""WITH {bm25_ctes(CORPUS_SQL, QUERIES_A_SQL)},
+{topk_cte('run', 'scored', 100)},
+{metrics_sql('run', QRELS_A, 'SELECT item_id AS query_id FROM benchmark', (10, 100))}
+SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT k, {_m} FROM mq_out) ON {_m} INTO NAME metric VALUE value)""")(_mk(_m))
+
+
+LABELS_CONF_SQL = """lc AS (SELECT l.doc_id, l.quality, d.n_chars::DOUBLE AS x FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+lm AS (SELECT min(x) AS mn, max(x) AS mx FROM lc),
+conf AS (SELECT doc_id, quality, (x - mn) / (mx - mn + 1e-8) AS c FROM lc, lm)"""
+
+
+def _labels_conf(spark, sf_dir):
+    lab = st.table(spark, sf_dir, "labels")
+    d = st.table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"))
+    j = lab.join(d, "doc_id")
+    from quarry.operators.relational import minmax_scale
+    return minmax_scale(j, "x", "c")
+
+
+@register("M5_ece", f"""WITH {LABELS_CONF_SQL},
+b AS (SELECT *, CASE WHEN c > 0 AND c <= 1 THEN
+        (SELECT min(i) FROM range(1, 11) t(i) WHERE c <= i / 10.0) END AS bin FROM conf),
+tot AS (SELECT count(*) AS n FROM b),
+bins AS (SELECT bin, count(*) AS nb, avg(c) AS ac, avg(quality::DOUBLE) AS aq FROM b WHERE bin IS NOT NULL GROUP BY bin)
+SELECT round(coalesce(sum(abs(ac - aq) * nb / (SELECT n FROM tot)), 0.0), 6) AS ece FROM bins""")
+def q_ece(spark, sf_dir):
+    c = _labels_conf(spark, sf_dir)
+    return metrics.ece(c, "c", "quality", 10).select(r6("ece"))
+
+
+@register("A5_minmax_normalize", f"""WITH {LABELS_CONF_SQL} SELECT doc_id, round(c, 6) AS c FROM conf""")
+def q_minmax(spark, sf_dir):
+    return _labels_conf(spark, sf_dir).select("doc_id", r6("c"))
+
+
+@register("M6_kendall_tau", f"""WITH {_bm25_ctes_a('a_')}, {_bm25_ctes_a('b_', 0.9, 0.4)},
+{topk_cte('ra', 'a_scored', 10)}, {topk_cte('rb', 'b_scored', 10)},
+c AS (SELECT ra.query_id, ra.doc_id, ra.rank AS x, rb.rank AS y FROM ra JOIN rb ON ra.query_id = rb.query_id AND ra.doc_id = rb.doc_id),
+p AS (SELECT c1.query_id, sum(sign(c1.x - c2.x) * sign(c1.y - c2.y)) AS s, count(*) AS n
+      FROM c c1 JOIN c c2 ON c1.query_id = c2.query_id AND c1.doc_id < c2.doc_id GROUP BY 1),
+q AS (SELECT DISTINCT query_id FROM (SELECT query_id FROM ra UNION ALL SELECT query_id FROM rb))
+SELECT q.query_id, round(coalesce(p.s / p.n, 0.0), 6) AS tau FROM q LEFT JOIN p ON p.query_id = q.query_id""")
+def q_kendall(spark, sf_dir):
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=10)
+    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=10)
+    return metrics.kendall_tau(ra, rb).select("query_id", r6("tau"))
+
+
+@register("M7_risk_coverage", f"""WITH {LABELS_CONF_SQL},
+o AS (SELECT quality, row_number() OVER (ORDER BY c DESC, doc_id) AS i FROM conf),
+cum AS (SELECT i, sum(quality) OVER (ORDER BY i) AS cy, count(*) OVER () AS n FROM o),
+pts AS (SELECT p AS point, floor(p * (n - 1) / 99.0)::BIGINT + 1 AS i FROM range(0, 100) t(p), (SELECT max(n) AS n FROM cum))
+SELECT point::BIGINT AS point, round(cum.i / cum.n, 6) AS coverage, round(cum.cy / cum.i, 6) AS accuracy
+FROM pts JOIN cum ON cum.i = pts.i""")
+def q_risk(spark, sf_dir):
+    c = _labels_conf(spark, sf_dir)
+    r = metrics.risk_coverage(c, "c", "quality", 100, id_col="doc_id")
+    return r.select("point", r6("coverage"), r6("accuracy"))
+
+
+def _two_models(spark, sf_dir):
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=20)
+    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=20)
+    return ra.withColumn("model", F.lit("teacher")).unionByName(rb.withColumn("model", F.lit("student")))
+
+
+TWO_MODELS_SQL = f"""{_bm25_ctes_a('a_')}, {_bm25_ctes_a('b_', 0.9, 0.4)},
+{topk_cte('ra', 'a_scored', 20)}, {topk_cte('rb', 'b_scored', 20)},
+runs AS (SELECT 'teacher' AS model, * FROM ra UNION ALL SELECT 'student', * FROM rb),
+qa AS ({QRELS_A}),
+j AS (SELECT r.*, CASE WHEN qa.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM runs r
+      LEFT JOIN qa ON qa.query_id = r.query_id AND qa.doc_id = r.doc_id),
+ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
+jk AS (SELECT j.*, k, row_number() OVER (PARTITION BY model, query_id, k ORDER BY rel DESC, rank) AS ipos
+       FROM j JOIN ks ON j.rank <= ks.k),
+pq AS (SELECT model, query_id, k, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(ipos + 1)) AS idcg,
+              min(CASE WHEN rel > 0 THEN rank END) AS fr FROM jk GROUP BY ALL),
+mm AS (SELECT model, k, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END) AS ndcg,
+              avg(CASE WHEN fr IS NOT NULL THEN 1.0 / fr ELSE 0.0 END) AS mrr FROM pq GROUP BY ALL),
+long AS (SELECT model, metric, k::BIGINT AS k, value FROM (UNPIVOT mm ON ndcg, mrr INTO NAME metric VALUE value))"""
+
+
+@register("M12_compare_models", f"WITH {TWO_MODELS_SQL} SELECT model, metric, k, round(value, 6) AS value FROM long")
+def q_compare_models(spark, sf_dir):
+    m = metrics.compare_models(_two_models(spark, sf_dir), st.qrels_a(spark, sf_dir), (1, 5, 10, 20))
+    return m.select("model", "metric", "k", r6("value"))
+
+
+@register("M13_improvement", f"""WITH {TWO_MODELS_SQL},
+b AS (SELECT metric, k, value AS base FROM long WHERE model = 'teacher'),
+c AS (SELECT metric, k, value AS cand FROM long WHERE model = 'student')
+SELECT metric, k, round(base, 6) AS base, round(cand, 6) AS cand,
+       round(CASE WHEN base <> 0 THEN (cand - base) / base * 100.0 ELSE 0.0 END, 6) AS improvement_pct
+FROM b JOIN c USING (metric, k)""")
+def q_improvement(spark, sf_dir):
+    m = metrics.compare_models(_two_models(spark, sf_dir), st.qrels_a(spark, sf_dir), (1, 5, 10, 20))
+    r = metrics.improvement(m, "teacher", "student")
+    return r.select("metric", "k", r6("base"), r6("cand"), r6("improvement_pct"))
+
+
+@register("M14_acceptance_gate", f"""WITH {TWO_MODELS_SQL}
+SELECT round(s.value, 6) AS student, round(t.value, 6) AS teacher, s.value >= 0.95 * t.value AS passed
+FROM long s, long t WHERE s.model = 'student' AND t.model = 'teacher' AND s.metric = 'ndcg' AND t.metric = 'ndcg'
+  AND s.k = 10 AND t.k = 10""")
+def q_gate(spark, sf_dir):
+    m = metrics.compare_models(_two_models(spark, sf_dir), st.qrels_a(spark, sf_dir), (1, 5, 10, 20))
+    r = metrics.acceptance_gate(m, "student", "teacher")
+    return r.select(r6("student"), r6("teacher"), "passed")
+
+
+@register("M15_compare_runs", f"""WITH {TWO_MODELS_SQL},
+r AS (SELECT model AS run, metric || '@' || k AS metric, value FROM long),
+a AS (SELECT metric, value AS v1 FROM r WHERE run = 'teacher'), b AS (SELECT metric, value AS v2 FROM r WHERE run = 'student')
+SELECT metric, round(v1, 6) AS v1, round(v2, 6) AS v2, round(v2 - v1, 6) AS diff,
+       round(CASE WHEN v1 <> 0 THEN (v2 - v1) / abs(v1) * 100.0 END, 6) AS pct_change FROM a JOIN b USING (metric)""")
+def q_compare_runs(spark, sf_dir):
+    m = metrics.compare_models(_two_models(spark, sf_dir), st.qrels_a(spark, sf_dir), (1, 5, 10, 20))
+    runs = m.select(F.col("model").alias("run"), F.concat("metric", F.lit("@"), F.col("k").cast("string")).alias("metric"), "value")
+    r = metrics.compare_runs(runs, "teacher", "student")
+    return r.select("metric", r6("v1"), r6("v2"), r6("diff"), r6("pct_change"))
+
+
+@register("M16_latest_runs", """SELECT event_type AS model_name, 'production' AS stage,
+  arg_max(event_id, ts) AS latest_version, max(ts) AS latest_at FROM events GROUP BY event_type""")
+def q_latest(spark, sf_dir):
+    e = st.table(spark, sf_dir, "events")
+    hist = e.select(F.col("event_type").alias("model_name"), F.lit("production").alias("stage"),
+                    F.col("event_id").alias("version"), F.col("ts").alias("registered_at"))
+    return metrics.latest_runs(hist)
+
+
+@register("M11_ranking_agreement", f"""WITH {SCORES_SQL},
+sr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(student, 9) DESC, doc_id) AS x,
+              row_number() OVER (PARTITION BY query_id ORDER BY round(teacher, 9) DESC, doc_id) AS y FROM sc),
+p AS (SELECT a.query_id, sum(sign(a.x - b.x) * sign(a.y - b.y)) / count(*) AS tau
+      FROM sr a JOIN sr b ON a.query_id = b.query_id AND a.doc_id < b.doc_id GROUP BY 1),
+mm AS (SELECT min(student) AS smn, max(student) AS smx, min(teacher) AS tmn, max(teacher) AS tmx FROM sc),
+nz AS (SELECT (student - smn) / (smx - smn + 1e-8) AS c, (teacher - tmn) / (tmx - tmn + 1e-8) AS t FROM sc, mm),
+acc AS (SELECT c, ((c > 0.5) = (t > 0.5))::DOUBLE AS a FROM nz),
+b AS (SELECT *, CASE WHEN c > 0 AND c <= 1 THEN (SELECT min(i) FROM range(1, 11) r(i) WHERE c <= i / 10.0) END AS bin FROM acc),
+bins AS (SELECT bin, count(*) AS nb, avg(c) AS ac, avg(a) AS aa FROM b WHERE bin IS NOT NULL GROUP BY bin)
+SELECT round((SELECT avg(tau) FROM p), 6) AS kendall_tau,
+       round((SELECT sum(abs(ac - aa) * nb) FROM bins) / (SELECT count(*) FROM acc), 6) AS ece""")
+def q_agreement(spark, sf_dir):
+    r = metrics.ranking_agreement(_scores(spark, sf_dir))
+    return r.select(r6("kendall_tau"), r6("ece"))
