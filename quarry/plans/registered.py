@@ -986,3 +986,121 @@ SELECT round((SELECT avg(tau) FROM p), 6) AS kendall_tau,
 def q_agreement(spark, sf_dir):
     r = metrics.ranking_agreement(_scores(spark, sf_dir))
     return r.select(r6("kendall_tau"), r6("ece"))
+
+
+# ------------------------------------------------------------ streams (R*)
+
+from quarry.streaming import requests as rq  # noqa: E402
+
+R1_RPM, R1_BURST, R1_IDLE = 60.0 / 21600.0, 2, 28800.0  # refill 1 token per 6 h, burst 2, idle TTL 8 h
+_RATE = R1_RPM / 60.0
+
+R1_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS s,
+   row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+tb AS (
+  SELECT client, rn, event_id, s, ({R1_BURST} - 1)::DOUBLE AS tokens, true AS allowed, NULL::DOUBLE AS retry_after
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.client, e.rn, e.event_id, e.s,
+    CASE WHEN y >= 1.0 THEN y - 1.0 ELSE y END, y >= 1.0, CASE WHEN y < 1.0 THEN (1.0 - y) / {_RATE!r} END
+  FROM (SELECT e.*, CASE WHEN e.s - tb.s > {R1_IDLE} THEN {R1_BURST}::DOUBLE
+                    ELSE least({R1_BURST}::DOUBLE, tb.tokens + (e.s - tb.s) * {_RATE!r}) END AS y
+        FROM tb JOIN ev e ON e.client = tb.client AND e.rn = tb.rn + 1) e)"""
+
+
+def _decisions(spark, sf_dir):
+    return rq.token_bucket(st.requests(spark, sf_dir), rpm=R1_RPM, burst=R1_BURST, idle_seconds=R1_IDLE)
+
+
+@register("R1_token_bucket", R1_SQL + """
+SELECT client, event_id, allowed, round(tokens, 6) AS tokens, round(retry_after, 6) AS retry_after FROM tb""")
+def q_token_bucket(spark, sf_dir):
+    d = _decisions(spark, sf_dir)
+    return d.select("client", "event_id", "allowed", r6("tokens"), r6("retry_after"))
+
+
+@register("R7_limit_hits", R1_SQL + """,
+ts AS (SELECT event_id, ts FROM events)
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts.ts), '%Y-%m-%d %H:%M:%S') AS window_start, client, count(*) AS hits
+FROM tb JOIN ts USING (event_id) WHERE NOT allowed GROUP BY ALL""")
+def q_limit_hits(spark, sf_dir):
+    h = rq.limit_hits(_decisions(spark, sf_dir), "1 day")
+    return h.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "client", "hits")
+
+
+def _fmt(c="window_start"):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@register("R3_error_rate", """WITH e AS (SELECT epoch_us(ts) AS us, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status FROM events),
+w AS (SELECT (us // 900000000) * 900000000 - k * 900000000 AS ws, status FROM e, range(0, 4) t(k))
+SELECT strftime(make_timestamp(ws), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests,
+  round(count(*) FILTER (WHERE status >= 400) / count(*), 6) AS error_ratio,
+  round(count(*) FILTER (WHERE status >= 500) / count(*), 6) AS server_error_ratio FROM w GROUP BY ws""")
+def q_error_rate(spark, sf_dir):
+    r = rq.error_rate(st.requests(spark, sf_dir), "1 hour", "15 minutes")
+    return r.select(_fmt(), "requests", r6("error_ratio"), r6("server_error_ratio"))
+
+
+@register("R4_latency_quantiles", """SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+  round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+  round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS requests FROM events GROUP BY ALL""")
+def q_quantiles(spark, sf_dir):
+    r = rq.latency_quantiles(st.requests(spark, sf_dir), "1 day", by=["event_type"])
+    return r.select(_fmt(), "event_type", r6("p50"), r6("p95"), r6("p99"), "requests")
+
+
+_BOUNDS_SQL = ", ".join(repr(float(b)) for b in rq.LATENCY_BOUNDS)
+HIST_SQL = f"""h AS (SELECT event_type, le, count(*) FILTER (WHERE value / 1000.0 <= le) AS count
+  FROM events, (SELECT unnest([{_BOUNDS_SQL}, 'Infinity'::DOUBLE]) AS le) b GROUP BY ALL)"""
+
+
+@register("R5_latency_histogram", f"WITH {HIST_SQL} SELECT event_type, le, count FROM h")
+def q_hist(spark, sf_dir):
+    return rq.latency_histogram(st.requests(spark, sf_dir), by=["event_type"])
+
+
+@register("R6_histogram_quantile", f"""WITH {HIST_SQL},
+x AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS ple, coalesce(lag(count) OVER w, 0) AS pc,
+        max(count) OVER (PARTITION BY event_type) * 0.95 AS rk FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)),
+f AS (SELECT event_type, arg_min(struct_pack(le, ple, pc, count, rk), le) AS b FROM x WHERE count >= rk GROUP BY 1)
+SELECT event_type, round(CASE WHEN b.le = 'Infinity'::DOUBLE THEN b.ple WHEN b.count - b.pc = 0 THEN b.le
+  ELSE b.ple + (b.le - b.ple) * (b.rk - b.pc) / (b.count - b.pc) END, 6) AS value FROM f""")
+def q_hq(spark, sf_dir):
+    h = rq.latency_histogram(st.requests(spark, sf_dir), by=["event_type"])
+    return rq.histogram_quantile(h, 0.95, by=["event_type"]).select("event_type", r6("value"))
+
+
+@register("R8_alerts", """WITH m AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+    count(*) FILTER (WHERE event_type = 'error') / count(*) AS value FROM events GROUP BY 1),
+i AS (SELECT *, (value > 0.3)::INT AS c, sum(1 - (value > 0.3)::INT) OVER (ORDER BY window_start) AS isl FROM m),
+r AS (SELECT isl, min(window_start) AS s, max(window_start) AS e, count(*) AS n, list(window_start ORDER BY window_start) AS l
+      FROM i WHERE c = 1 GROUP BY isl)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(l[2], '%Y-%m-%d %H:%M:%S') AS fired_at,
+       strftime(e, '%Y-%m-%d %H:%M:%S') AS "end", n AS length FROM r WHERE n >= 2""")
+def q_alerts(spark, sf_dir):
+    e = st.requests(spark, sf_dir)
+    m = (e.groupBy(F.window("ts", "1 hour").alias("w"))
+          .agg((F.count_if(F.col("status") >= 500) / F.count("*")).alias("value"))
+          .select(F.col("w.start").alias("window_start"), "value"))
+    a = rq.alerts(m, 0.3, 2)
+    return a.select(_fmt("start"), _fmt("fired_at"), _fmt("end"), "length")
+
+
+@register("R9_enrich_log", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity,
+  substring(sha256(props), 1, 12) AS query_hash, value AS latency_ms FROM events""")
+def q_enrich(spark, sf_dir):
+    e = st.table(spark, sf_dir, "events")
+    log = e.select("event_id", F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+                   F.col("props").alias("query"), F.col("value").alias("latency_ms"))
+    return rq.enrich_log(log).select("event_id", "severity", "query_hash", "latency_ms")
+
+
+@register("R11_rerank_triggers", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 20)},
+best AS (SELECT query_id, max(score) AS best FROM run GROUP BY 1)
+SELECT CASE WHEN best < 30.0 THEN 'low_confidence' ELSE 'confident' END AS reason, count(*) AS queries
+FROM best GROUP BY 1""")
+def q_triggers(spark, sf_dir):
+    run = bm25_run_a(spark, sf_dir, 20)
+    g = dense.gated_rerank(run, st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir), threshold=30.0, k=10)
+    return rq.rerank_triggers(g)
