@@ -52,12 +52,14 @@ def char_ngrams(text, n: int = 3) -> Column:
 
     One regex pass with an overlapping look-ahead: linear in the text and
     code-point based (``substring`` by position would rescan UTF-8 from the
-    start for every gram).
+    start for every gram). A gram may not start on a lone surrogate: after a
+    zero-length match Java advances one UTF-16 unit, which can land inside a
+    character outside the Basic Multilingual Plane.
     """
     def grams(t):
         return F.when(
             F.length(t) >= n,
-            F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))),
+            F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?s)(?=(\P{Cs}.{%d}))" % (n - 1)), F.lit(1))),
         ).otherwise(F.array().cast("array<string>"))
     return _bind(_col(text), grams)
 
