@@ -28,7 +28,7 @@ def _col(c) -> Column:
 
 def split_ws(text) -> Column:
     """Whitespace tokens, case kept, no empty tokens."""
-    return F.filter(F.split(_col(text), WS_RUN), lambda x: x != "")
+    return F.array_remove(F.split(_col(text), WS_RUN), "")
 
 
 def tokenize(text) -> Column:

@@ -25,6 +25,7 @@ import math
 import os
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,19 +64,26 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
     keeps file order); it defaults to the id column.
     """
     tok = _tokenized(corpus, id_col, text_col, pos_col)
-    docs = tok.select("doc_id", "pos", F.size("tokens").cast("bigint").alias("dl"))
-    dstats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
-    n_docs = int(dstats["n"])
+    # N is a plain row count (Parquet metadata, no tokenising); every other
+    # statistic comes from the postings, which are tokenised and aggregated
+    # once and kept (memory, spilling to disk) for the three uses below.
+    n_docs = corpus.count()
     if n_docs == 0:
         raise ValueError("cannot build a lexical index over an empty corpus")
-    avgdl = float(dstats["total"] or 0) / n_docs
-
     # (term, doc) counts: partial aggregation collapses repeats inside each
     # map task, so the shuffle carries postings, not raw tokens.
     postings = (tok.select("doc_id", "pos", F.size("tokens").cast("bigint").alias("dl"),
                            F.explode("tokens").alias("term"))
                    .groupBy("term", "doc_id", "pos", "dl")
-                   .agg(F.count("*").alias("tf")))
+                   .agg(F.count("*").alias("tf"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
+    total = postings.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    # document lengths from the postings (no second tokenising pass); empty
+    # documents have no postings and keep length 0
+    dls = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(pos_col or id_col).alias("pos"))
+                  .join(dls, "doc_id", "left").select("doc_id", "pos", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
+    avgdl = float(total) / n_docs
     raw_idf = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms_raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw_idf", raw_idf)
     avg_row = terms_raw.agg(F.avg("raw_idf").alias("a"), F.count("*").alias("v")).first()
