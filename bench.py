@@ -37,7 +37,9 @@ def main():
 
     from quarry.operators import dense, lexical, metrics, mining, prepare
     from quarry.plans import standins as st
-    from quarry.session import checkpoint_dir
+    from quarry.session import checkpoint_dir, ship_package
+
+    ship_package(spark)
     from quarry.streaming import requests as rq
 
     scratch = os.path.join(checkpoint_dir(spark), f"bench-{os.getpid()}")

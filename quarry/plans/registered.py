@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import lexical, metrics
 from quarry.plans import standins as st
+from quarry.session import ship_package
 from quarry.plans.sqlparts import METRICS_SELECT, QRELS_A, bm25_ctes, metrics_sql, topk_cte
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,11 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -1104,3 +1109,48 @@ def q_triggers(spark, sf_dir):
     run = bm25_run_a(spark, sf_dir, 20)
     g = dense.gated_rerank(run, st.queries_a(spark, sf_dir), st.corpus(spark, sf_dir), threshold=30.0, k=10)
     return rq.rerank_triggers(g)
+
+
+# ------------------------------------------------- approximate search
+
+from quarry.operators import ann  # noqa: E402
+
+
+def _exact_knn(spark, sf_dir, k=10):
+    v = _vecs(spark, sf_dir)
+    return dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=k, exclude_self=True)
+
+
+@register("D4_ivf_search")
+def q_ivf(spark, sf_dir):
+    """IVF top-10 of every vector (KMeans cells; no SQL oracle: see D4_ivf_recall)."""
+    v = _vecs(spark, sf_dir)
+    ivf = ann.build_ivf(v, nlist=8, seed=7)
+    return ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=6, exclude_self=True)
+
+
+@register("D4_ivf_recall")
+def q_ivf_recall(spark, sf_dir):
+    """D7 gate for IVF: recall@10 against the exact search (threshold 0.97)."""
+    v = _vecs(spark, sf_dir)
+    ivf = ann.build_ivf(v, nlist=8, seed=7)
+    approx = ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=6, exclude_self=True)
+    return dense.validate_recall(approx, _exact_knn(spark, sf_dir), 10, 0.97)
+
+
+@register("D5_pq_search")
+def q_pq(spark, sf_dir):
+    """PQ (m = 16 sub-spaces, 6 bits) top-10 of every vector."""
+    v = _vecs(spark, sf_dir)
+    pq = ann.build_pq(v, m=16, nbits=6, seed=7)
+    return ann.pq_search(v.withColumnRenamed("id", "query_id"), pq, k=10, exclude_self=True)
+
+
+@register("D5_pq_recall")
+def q_pq_recall(spark, sf_dir):
+    """D7 gate for PQ with exact re-scoring of the top-50 PQ candidates."""
+    v = _vecs(spark, sf_dir)
+    pq = ann.build_pq(v, m=16, nbits=6, seed=7)
+    cand = ann.pq_search(v.withColumnRenamed("id", "query_id"), pq, k=50, exclude_self=True)
+    approx = dense.rescore(cand, v, v, 10)
+    return dense.validate_recall(approx, _exact_knn(spark, sf_dir), 10, 0.97)

@@ -17,6 +17,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = (
         SparkSession.builder.master(master or os.environ.get("QUARRY_MASTER", "local[8]"))
@@ -33,6 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -55,3 +57,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor loss, unlike a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (``--py-files`` style).
+
+    Python stages (``mapInPandas``, ``applyInPandas``) pickle references to
+    functions of this package; executors must be able to import it. The
+    package is zipped once per process and added with ``addPyFile``, which
+    distributes it through Spark's file server to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, zpath = tempfile.mkstemp(prefix="quarry-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
