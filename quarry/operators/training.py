@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,3 +165,90 @@ def confident_queries(examples: DataFrame, threshold: float = 0.6, conf_col: str
     best = (examples.filter(F.col(fixed_col) == 0).groupBy("query_id")
                     .agg(F.max(conf_col).alias("__best")).filter(F.col("__best") >= threshold))
     return examples.join(best.select("query_id"), "query_id", "left_semi")
+
+
+# --------------------------------------------------------------- K9 (re-aimed)
+
+def _loss_and_grad(ex: DataFrame, features: list[str], w: list[float], T: float, tau: float,
+                   weights=(0.6, 0.2, 0.2)) -> tuple[float, list[float]]:
+    """Combined loss of the linear student ``s = w.x`` and its gradient,
+    averaged over queries, in two aggregations (maxima, then sums).
+
+    Per query (n documents, d* = argmax s, position 0 = the positive):
+      margin-MSE  (2/n) [sum r_d x_d - (sum r_d) x_{d*}],  r_d = (s_d - s_{d*}) - (t_d - t_max)/T
+      listwise    T [sum p_s(d) x_d - sum p_t(d) x_d]      (softmax at T)
+      contrastive (1/tau) [sum p_tau(d) x_d - x_0]
+    """
+    s = sum((F.lit(float(wi)) * F.col(f) for wi, f in zip(w, features)), F.lit(0.0))
+    e = ex.withColumn("__s", s)
+    m = e.groupBy("query_id").agg(
+        F.max("__s").alias("smax"), F.max("teacher").alias("tmax"), F.count("*").alias("n"),
+        F.max_by(F.struct(*[F.col(f).alias(f) for f in features]), F.col("__s")).alias("xstar"),
+        F.min_by(F.struct(*[F.col(f).alias(f) for f in features]), F.col("pos")).alias("x0"),
+        F.min_by("__s", F.col("pos")).alias("s0"))
+    j = e.join(m, "query_id")
+    es = F.exp(F.col("__s") / T - F.col("smax") / T)
+    et = F.exp(F.col("teacher") / T - F.col("tmax") / T)
+    ec = F.exp(F.col("__s") / tau - F.col("smax") / tau)
+    r = (F.col("__s") - F.col("smax")) - (F.col("teacher") - F.col("tmax")) / T
+    zs, zt = F.col("__s") / T, F.col("teacher") / T
+    aggs = [F.first("n").alias("n"), F.first("smax").alias("smax"), F.first("tmax").alias("tmax"),
+            F.first("s0").alias("s0"), F.first("xstar").alias("xstar"), F.first("x0").alias("x0"),
+            F.sum(es).alias("Ss"), F.sum(et).alias("St"), F.sum(ec).alias("Sc"),
+            F.sum(et * (zt - zs)).alias("A"), F.sum(r * r).alias("sq"), F.sum(r).alias("sr")]
+    for i, f in enumerate(features):
+        aggs += [F.sum(r * F.col(f)).alias(f"rx{i}"), F.sum(es * F.col(f)).alias(f"sx{i}"),
+                 F.sum(et * F.col(f)).alias(f"tx{i}"), F.sum(ec * F.col(f)).alias(f"cx{i}")]
+    pq = j.groupBy("query_id").agg(*aggs)
+    lse_s = F.log("Ss") + F.col("smax") / T
+    lse_t = F.log("St") + F.col("tmax") / T
+    lse_c = F.log("Sc") + F.col("smax") / tau
+    wm, wl, wc = weights
+    loss = (wm * F.col("sq") / F.col("n") + wl * (T * T) * (F.col("A") / F.col("St") - lse_t + lse_s)
+            + wc * (lse_c - F.col("s0") / tau))
+    outs = [F.avg(loss).alias("loss")]
+    for i, f in enumerate(features):
+        g_mm = 2.0 / F.col("n") * (F.col(f"rx{i}") - F.col("sr") * F.col("xstar")[f])
+        g_kl = T * (F.col(f"sx{i}") / F.col("Ss") - F.col(f"tx{i}") / F.col("St"))
+        g_c = (F.col(f"cx{i}") / F.col("Sc") - F.col("x0")[f]) / tau
+        outs.append(F.avg(wm * g_mm + wl * g_kl + wc * g_c).alias(f"g{i}"))
+    row = pq.agg(*outs).first()  # one row of len(features) + 1 numbers
+    return float(row["loss"]), [float(row[f"g{i}"]) for i in range(len(features))]
+
+
+def fit_linear_student(examples: DataFrame, features: list[str], epochs: int = 3, steps: int = 10,
+                       lr: float = 0.05, t_start: float = 4.0, t_end: float = 2.0,
+                       tau: float = 0.05, weights=(0.6, 0.2, 0.2), patience: int = 2,
+                       w0: list[float] | None = None) -> tuple[list[float], list[dict]]:
+    """K9: fit ``s = w.x`` over pair features against the teacher with the
+    combined loss (K6), the epoch temperature schedule (K7) and early
+    stopping on the epoch loss (K8).
+
+    Full-batch gradient descent: every step is one Spark job whose result is
+    the loss and a gradient of ``len(features)`` numbers; the driver holds
+    only ``w``. The example table is persisted (spilling to disk) because
+    every step reads it; nothing else grows across iterations.
+    """
+    if abs(sum(weights) - 1.0) > 0.01:
+        raise ValueError("loss weights must sum to 1")
+    ex = examples.select("query_id", "pos", F.col("teacher").cast("double"),
+                         *[F.col(f).cast("double") for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    w = list(w0) if w0 is not None else [0.0] * len(features)
+    history, best, stale = [], None, 0
+    try:
+        for epoch in range(1, epochs + 1):
+            T = epoch_temperature(t_start, t_end, epoch, epochs)
+            for _ in range(steps):
+                loss, g = _loss_and_grad(ex, features, w, T, tau, weights)
+                w = [wi - lr * gi for wi, gi in zip(w, g)]
+            loss, _ = _loss_and_grad(ex, features, w, T, tau, weights)
+            history.append({"epoch": epoch, "temperature": T, "loss": loss, "w": list(w)})
+            if best is None or loss < best:
+                best, stale = loss, 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+    finally:
+        ex.unpersist()
+    return w, history

@@ -1154,3 +1154,76 @@ def q_pq_recall(spark, sf_dir):
     cand = ann.pq_search(v.withColumnRenamed("id", "query_id"), pq, k=50, exclude_self=True)
     approx = dense.rescore(cand, v, v, 10)
     return dense.validate_recall(approx, _exact_knn(spark, sf_dir), 10, 0.97)
+
+
+# ------------------------------------------------ remaining relational forms
+
+from quarry.functions.text import doc_id_from_chunk  # noqa: E402
+
+def _chunks_corpus_sql() -> str:
+    return f"SELECT chunk_id AS doc_id, text FROM ({_chunk_sql()})"
+
+
+@register("A2_maxsim", f"""WITH {bm25_ctes(_chunks_corpus_sql(), QUERIES_A_SQL)},
+{topk_cte('run', 'scored', 100)}
+SELECT query_id, regexp_replace(doc_id, '_[^_]*$', '') AS doc_id, round(max(score), 6) AS score
+FROM run GROUP BY 1, 2""")
+def q_maxsim(spark, sf_dir):
+    chunks = prepare.chunk_documents(st.corpus(spark, sf_dir), 512, 80)
+    idx = lexical.build_lexical_index(chunks, "chunk_id", "text")
+    run = lexical.bm25_search(idx, st.queries_a(spark, sf_dir), k=100)
+    ms = run.groupBy("query_id", doc_id_from_chunk("doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
+    return ms.select("query_id", "doc_id", r6("score"))
+
+
+@register("J10_intersection", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 100)}
+SELECT query_id, doc_id FROM run INTERSECT SELECT query_id, doc_id FROM ({QRELS_A})""")
+def q_intersect(spark, sf_dir):
+    run = bm25_run_a(spark, sf_dir, 100).select("query_id", "doc_id")
+    return run.intersect(st.qrels_a(spark, sf_dir).select("query_id", "doc_id"))
+
+
+@register("J12_difference", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 100)}
+SELECT query_id, doc_id FROM run EXCEPT ALL SELECT query_id, doc_id FROM ({QRELS_A})""")
+def q_except(spark, sf_dir):
+    run = bm25_run_a(spark, sf_dir, 100).select("query_id", "doc_id")
+    return run.exceptAll(st.qrels_a(spark, sf_dir).select("query_id", "doc_id"))
+
+
+@register("J8_full_outer", f"""WITH {_bm25_ctes_a('a_')}, {_bm25_ctes_a('b_', 0.9, 0.4)},
+{topk_cte('ra', 'a_scored', 10)}, {topk_cte('rb', 'b_scored', 10)}
+SELECT coalesce(ra.query_id, rb.query_id) AS query_id, coalesce(ra.doc_id, rb.doc_id) AS doc_id,
+       ra.rank AS rank_a, rb.rank AS rank_b
+FROM ra FULL OUTER JOIN rb ON ra.query_id = rb.query_id AND ra.doc_id = rb.doc_id""")
+def q_full_outer(spark, sf_dir):
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=10)
+    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=10)
+    j = ra.select("query_id", "doc_id", F.col("rank").alias("rank_a")).join(
+        rb.select("query_id", "doc_id", F.col("rank").alias("rank_b")), ["query_id", "doc_id"], "full")
+    return j.select("query_id", "doc_id", "rank_a", "rank_b")
+
+
+@register("S13_calibration_sample")
+def q_calib(spark, sf_dir):
+    """Deterministic seeded sample of 100 labelled documents (the limit is the feature)."""
+    from quarry.sources import readers
+    return readers.calibration_sample(st.table(spark, sf_dir, "labels"), 100, "doc_id", seed=42)
+
+
+@register("K9_fit_linear_student")
+def q_fit(spark, sf_dir):
+    """Re-aimed trainer: linear student over (score, score^2, 1/(pos+1)) fitted to
+    the teacher with the combined loss; one row per epoch."""
+    sc = _scores(spark, sf_dir).withColumn("f_sq", F.col("student") ** 2).withColumn(
+        "f_pos", 1.0 / (F.col("pos") + 1))
+    w, hist = training.fit_linear_student(sc, ["student", "f_sq", "f_pos"], epochs=3, steps=5, lr=0.05)
+    rows = [(h["epoch"], float(h["temperature"]), float(h["loss"]), [float(x) for x in h["w"]]) for h in hist]
+    return spark.createDataFrame(rows, "epoch int, temperature double, loss double, w array<double>")
+
+
+@register("S9_build_embedding_table")
+def q_embed(spark, sf_dir):
+    """Hashing-encoder embeddings of the whole corpus (identical texts encoded once)."""
+    from quarry.sources import writers
+    return writers.build_embedding_table(st.corpus(spark, sf_dir), dense.HashingEncoder(64))
