@@ -20,14 +20,18 @@ def file_integrity(spark, paths: Sequence[str] | str, expected: dict | None = No
     from the text source, counted in parallel and grouped by file name.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+
+    def norm(c):  # "file:/x", "file:///x" and "/x" name the same file
+        return F.regexp_replace(c, "^file:/+", "/")
     files = (spark.read.format("binaryFile").load(paths)
-                  .select(F.col("path"), F.col("length").alias("size_bytes"),
+                  .select(norm(F.col("path")).alias("path"), F.col("length").alias("size_bytes"),
                           F.sha2(F.col("content"), 256).alias("sha256")))
-    lines = (spark.read.text(paths).select(F.input_file_name().alias("path"))
+    lines = (spark.read.text(paths).select(norm(F.input_file_name()).alias("path"))
                   .groupBy("path").agg(F.count("*").alias("num_lines")))
     out = files.join(lines, "path", "left").fillna(0, ["num_lines"])
     if expected:
-        exp = spark.createDataFrame(list(expected.items()), "path string, expected string")
+        exp = spark.createDataFrame(list(expected.items()), "path string, expected string") \
+                   .withColumn("path", norm(F.col("path")))
         out = out.join(exp, "path", "left").withColumn(
             "hash_match", F.when(F.col("expected").isNull(), F.lit(None)).otherwise(F.col("expected") == F.col("sha256")))
     return out

@@ -81,3 +81,38 @@ def test_unequal_lists_mean_over_queries(spark):
     pq = {r["query_id"]: r["margin_mse"] for r in training.per_query_losses(df, 1.0).collect()}
     got = training.margin_mse(df, 1.0).first()["margin_mse"]
     assert got == pytest.approx((pq["a"] + pq["b"]) / 2)
+
+
+def test_linear_student_gradient_matches_finite_differences(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for q in range(5):
+        for d in range(4):
+            x = rng.normal(size=2)
+            rows.append((f"q{q}", d, float(x[0]), float(x[1]), float(rng.normal() * 2)))
+    ex = spark.createDataFrame(rows, "query_id string, pos long, f0 double, f1 double, teacher double")
+    w = [0.3, -0.2]
+    loss, g = training._loss_and_grad(ex, ["f0", "f1"], w, 2.0, 0.5)
+    eps = 1e-5
+    for i in range(2):
+        wp = list(w); wp[i] += eps
+        wm = list(w); wm[i] -= eps
+        lp, _ = training._loss_and_grad(ex, ["f0", "f1"], wp, 2.0, 0.5)
+        lm, _ = training._loss_and_grad(ex, ["f0", "f1"], wm, 2.0, 0.5)
+        assert g[i] == pytest.approx((lp - lm) / (2 * eps), rel=1e-4, abs=1e-6)
+    # the loss equals the K6 loss of the induced student scores
+    sc = ex.selectExpr("query_id", "pos", "0.3 * f0 - 0.2 * f1 AS student", "teacher")
+    assert loss == pytest.approx(training.kd_loss(sc, 2.0, contrastive_temperature=0.5).first()["loss"])
+
+
+def test_linear_student_loss_decreases(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for q in range(8):
+        for d in range(5):
+            x = rng.normal(size=2)
+            rows.append((f"q{q}", d, float(x[0]), float(x[1]), float(3 * x[0] - x[1])))
+    ex = spark.createDataFrame(rows, "query_id string, pos long, f0 double, f1 double, teacher double")
+    w, hist = training.fit_linear_student(ex, ["f0", "f1"], epochs=2, steps=4, lr=0.02, tau=1.0)
+    l0, _ = training._loss_and_grad(ex, ["f0", "f1"], [0.0, 0.0], hist[-1]["temperature"], 1.0)
+    assert hist[-1]["loss"] < l0
