@@ -1227,3 +1227,29 @@ def q_embed(spark, sf_dir):
     """Hashing-encoder embeddings of the whole corpus (identical texts encoded once)."""
     from quarry.sources import writers
     return writers.build_embedding_table(st.corpus(spark, sf_dir), dense.HashingEncoder(64))
+
+
+def _letter_unit_sql(expr: str) -> str:
+    raw = _letters_sql(expr)
+    return (f"(SELECT list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) FROM "
+            f"(SELECT v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM (SELECT {raw} AS v)))")
+
+
+@register("M10_evaluate_lists", f"""WITH p AS ({QA_PASSAGES_SQL}),
+pv AS (SELECT query_id, doc_id, is_relevant AS rel, {_letter_unit_sql('query')} AS qv, {_letter_unit_sql('text')} AS dv FROM p),
+sc AS (SELECT query_id, doc_id, rel, list_inner_product(qv::DOUBLE[], dv::DOUBLE[]) AS score FROM pv),
+run AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc),
+{metrics_sql('run', 'SELECT query_id, doc_id, rel FROM sc', 'SELECT DISTINCT query_id FROM sc', (1, 5, 10))}
+SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT k, ndcg, mrr FROM mq_out) ON ndcg, mrr INTO NAME metric VALUE value)""")
+def q_eval_lists(spark, sf_dir):
+    p = qa_passages(spark, sf_dir)
+    enc = dense.LetterEncoder()
+    qv = enc.encode(p.select("query_id", "query").distinct(), id_col="query_id", text_col="query") \
+            .withColumnRenamed("id", "query_id").withColumnRenamed("embedding", "qv")
+    dv = enc.encode(p.select("doc_id", "text"), id_col="doc_id", text_col="text") \
+            .withColumnRenamed("id", "doc_id").withColumnRenamed("embedding", "dv")
+    lists = (p.select("query_id", "doc_id", F.col("is_relevant").alias("rel")).join(qv, "query_id").join(dv, "doc_id")
+              .select("query_id", "doc_id", "rel", dense.pair_similarity("qv", "dv", "ip").alias("score")))
+    m = metrics.evaluate_lists(lists, (1, 5, 10))
+    return m.select("metric", "k", r6("value"))

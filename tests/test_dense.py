@@ -67,3 +67,21 @@ def test_fusion_rrf(spark):
     b = spark.createDataFrame([("q", "y", 1.0, 1), ("q", "z", 0.5, 2)], "query_id string, doc_id string, score double, rank int")
     r = {x["doc_id"]: x["score"] for x in dense.fuse_rrf({"a": a, "b": b}, 60, 10).collect()}
     assert r["y"] == pytest.approx(1 / 62 + 1 / 61) and r["x"] == pytest.approx(1 / 61)
+
+
+def test_ivf_full_probe_equals_exact_and_pq_paths_agree(spark):
+    from quarry.operators import ann
+    rng = np.random.default_rng(3)
+    V = rng.normal(size=(200, 8)).astype(np.float32)
+    df = vecs(spark, V)
+    q = df.withColumnRenamed("id", "query_id")
+    ivf = ann.build_ivf(df, nlist=4, seed=1)
+    exact = {(r["query_id"], r["doc_id"]) for r in dense.flat_search(q, df, k=5, exclude_self=True).collect()}
+    full = {(r["query_id"], r["doc_id"]) for r in
+            ann.ivf_search(q, ivf, k=5, nprobe=4, exclude_self=True, shard_rows=20).collect()}
+    assert full == exact
+    pq = ann.build_pq(df, m=4, nbits=3, seed=1)
+    a = {(r["query_id"], r["doc_id"]) for r in ann.pq_search(q, pq, k=5, exclude_self=True).collect()}
+    b = {(r["query_id"], r["doc_id"]) for r in
+         ann.pq_search(q, pq, k=5, exclude_self=True, max_table_bytes=1, block_rows=64).collect()}
+    assert a == b
