@@ -198,6 +198,7 @@ def error_rate(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute
     Streaming: pass ``watermark`` (R10: rows later than it are dropped;
     windows are emitted in append mode once the watermark passes them).
     """
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
     src = log.withWatermark("ts", watermark) if watermark else log
     g = src.groupBy(F.window("ts", window, slide).alias("w")).agg(
         F.count("*").alias("requests"),
@@ -214,6 +215,7 @@ def latency_quantiles(log: DataFrame, window: str = "5 minutes", by: Sequence[st
     """p50/p95/p99 latency per window: exact ``percentile`` (linear
     interpolation) in batch, ``percentile_approx`` when ``exact=False``
     (streams, where exact percentiles keep every value in state)."""
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
     src = log.withWatermark("ts", watermark) if watermark else log
     agg = []
     for q in qs:
