@@ -88,8 +88,8 @@ def _check_chunk_args(max_tokens: int, stride: int):
 
 
 def chunk_documents(df: DataFrame, max_tokens: int = 512, stride: int = 80,
-                    id_col: str = "doc_id", text_col: str = "text",
-                    keep: tuple = ()) -> DataFrame:
+                    id_col: str | None = "doc_id", text_col: str = "text",
+                    keep: tuple = (), order_col: str | None = None) -> DataFrame:
     """Token-window chunking in pure Spark SQL (no Python per row).
 
     One verbatim chunk when the text has at most ``max_tokens`` whitespace
@@ -101,6 +101,12 @@ def chunk_documents(df: DataFrame, max_tokens: int = 512, stride: int = 80,
     """
     _check_chunk_args(max_tokens, stride)
     step = max_tokens - stride
+    if id_col is None:
+        # P6 default ids "0", "1", ... in the order of ``order_col``
+        from quarry.operators.relational import global_row_number
+        df = global_row_number(df, [order_col or text_col], "__rn").withColumn(
+            "__did", (F.col("__rn") - 1).cast("string")).drop("__rn")
+        id_col = "__did"
     toks = split_ws(F.coalesce(F.col(text_col), F.lit("")))
     base = df.select(*keep, F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"),
                      toks.alias("__tok"))

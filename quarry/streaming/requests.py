@@ -277,11 +277,13 @@ def alerts(metric: DataFrame, threshold: float, hold: int, time_col: str = "wind
     w = Window.partitionBy(*by).orderBy(time_col)
     m = metric.withColumn("__c", cond.cast("int"))
     m = m.withColumn("__island", F.sum(1 - F.col("__c")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = (m.filter(F.col("__c") == 1).groupBy(*by, "__island")
-             .agg(F.min(time_col).alias("start"), F.max(time_col).alias("end"), F.count("*").alias("length"),
-                  F.sort_array(F.collect_list(time_col)).alias("__ts")))
-    fired = runs.filter(F.col("length") >= hold)
-    return fired.select(*by, "start", F.element_at("__ts", hold).alias("fired_at"), "end", "length")
+    hits = m.filter(F.col("__c") == 1)
+    # position inside the run: no per-run list is gathered, however long the incident
+    hits = hits.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__island").orderBy(time_col)))
+    runs = (hits.groupBy(*by, "__island")
+                .agg(F.min(time_col).alias("start"), F.max(time_col).alias("end"), F.count("*").alias("length"),
+                     F.min(F.when(F.col("__n") == hold, F.col(time_col))).alias("fired_at")))
+    return runs.filter(F.col("length") >= hold).select(*by, "start", "fired_at", "end", "length")
 
 
 def enrich_log(log: DataFrame, query_col: str | None = "query") -> DataFrame:

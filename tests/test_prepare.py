@@ -107,3 +107,14 @@ def test_take_first_and_catalog(spark, sf):
     assert cat.read(spark, "docs", "all").count() > 0
     with pytest.raises(KeyError):
         cat.path("unknown", "all")
+
+
+def test_chunk_default_ids(spark):
+    df = spark.createDataFrame([(2, "c d"), (1, "a b")], "o int, text string")
+    got = sorted((r["chunk_id"], r["text"]) for r in prepare.chunk_documents(df, 5, 1, id_col=None, order_col="o").collect())
+    assert got == [("0_0", "a b"), ("1_0", "c d")]
+
+
+def test_combine_title(spark):
+    df = spark.createDataFrame([("T", "body"), ("", "body"), (None, "body")], "title string, text string")
+    assert [r["text"] for r in prepare.combine_title(df).collect()] == ["T\nbody", "body", "body"]
