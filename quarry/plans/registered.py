@@ -1000,7 +1000,7 @@ from quarry.streaming import requests as rq  # noqa: E402
 R1_RPM, R1_BURST, R1_IDLE = 60.0 / 21600.0, 2, 28800.0  # refill 1 token per 6 h, burst 2, idle TTL 8 h
 _RATE = R1_RPM / 60.0
 
-R1_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS s,
+R1_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id AS client, event_id, epoch_us(ts) AS s,
    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
 tb AS (
   SELECT client, rn, event_id, s, ({R1_BURST} - 1)::DOUBLE AS tokens, true AS allowed, NULL::DOUBLE AS retry_after
@@ -1008,8 +1008,8 @@ tb AS (
   UNION ALL
   SELECT e.client, e.rn, e.event_id, e.s,
     CASE WHEN y >= 1.0 THEN y - 1.0 ELSE y END, y >= 1.0, CASE WHEN y < 1.0 THEN (1.0 - y) / {_RATE!r} END
-  FROM (SELECT e.*, CASE WHEN e.s - tb.s > {R1_IDLE} THEN {R1_BURST}::DOUBLE
-                    ELSE least({R1_BURST}::DOUBLE, tb.tokens + (e.s - tb.s) * {_RATE!r}) END AS y
+  FROM (SELECT e.*, CASE WHEN (e.s - tb.s) / 1e6 > {R1_IDLE} THEN {R1_BURST}::DOUBLE
+                    ELSE least({R1_BURST}::DOUBLE, tb.tokens + (e.s - tb.s) / 1e6 * {_RATE!r}) END AS y
         FROM tb JOIN ev e ON e.client = tb.client AND e.rn = tb.rn + 1) e)"""
 
 

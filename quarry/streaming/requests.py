@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,10 @@ from quarry.functions.text import query_hash
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
-def _secs(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+def _micros(ts: Column) -> Column:
+    """Event time as integer microseconds: gaps are exact integers and only
+    the gap is converted to seconds (epoch seconds in a double lose ~1e-7 s)."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 # ------------------------------------------------------------ R1 / R2 / R7
@@ -34,18 +37,19 @@ TOKEN_SCHEMA = ("client bigint, event_id bigint, ts timestamp, allowed boolean,
 
 def _fold_buckets(pdf: pd.DataFrame, capacity: float, rate: float, idle: float | None) -> pd.DataFrame:
     """Sequential token-bucket fold over one client's (sorted) session."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    t = pdf["__s"].to_numpy(dtype=np.float64)
+    pdf = pdf.sort_values(["__us", "event_id"], kind="stable")
+    t = pdf["__us"].to_numpy(dtype=np.int64)
     n = len(t)
     allowed = np.zeros(n, dtype=bool)
     tokens = np.zeros(n)
     retry = np.full(n, np.nan)
     x, last = float(capacity), None
     for i in range(n):
-        if last is None or (idle is not None and t[i] - last > idle):
+        gap = None if last is None else (int(t[i]) - int(last)) / 1e6
+        if gap is None or (idle is not None and gap > idle):
             y = float(capacity)
         else:
-            y = min(capacity, x + (t[i] - last) * rate)
+            y = min(capacity, x + gap * rate)
         last = t[i]
         if y >= 1.0:
             x = y - 1.0
@@ -59,6 +63,68 @@ def _fold_buckets(pdf: pd.DataFrame, capacity: float, rate: float, idle: float |
                          "retry_after": retry})
 
 
+def _mark_sessions(e: DataFrame, refill: float, idle: float | None) -> DataFrame:
+    """Session ids for the token-bucket fold without a per-client window.
+
+    Rows are range-partitioned and sorted on (client, time, id), so a busy
+    client spreads over many tasks. Each partition marks resets (first
+    event of a client, a gap >= the full-refill time, or a gap > the idle
+    TTL) in one pass; a session id is the time of its resetting event. Only
+    the leading run of each partition can continue a session of the previous
+    partition: it is resolved from one summary row per partition (a driver
+    loop over partitions, not over data) and attached by a broadcast join.
+    """
+    spark = e.sparkSession
+    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = (e.repartitionByRange(nparts, "client", "__us", "event_id")
+                .sortWithinPartitions("client", "__us", "event_id"))
+
+    def reset(gap):
+        return gap >= refill or (idle is not None and gap > idle)
+
+    def mark(batches):
+        import pyspark
+        pid = pyspark.TaskContext.get().partitionId()
+        prev_c, prev_s, cur = None, None, None
+        for pdf in batches:
+            cl = pdf["client"].to_numpy()
+            t = pdf["__us"].to_numpy(dtype=np.int64)
+            sess = np.full(len(t), np.nan)
+            for i in range(len(t)):
+                if prev_c is None:
+                    cur = None  # first row of the partition: resolved later
+                elif cl[i] != prev_c or reset((int(t[i]) - int(prev_s)) / 1e6):
+                    cur = float(t[i])
+                sess[i] = np.nan if cur is None else cur
+                prev_c, prev_s = cl[i], t[i]
+            yield pdf.assign(session=sess, __pid=pid)
+
+    schema = T.StructType(ordered.schema.fields + [T.StructField("session", T.DoubleType()),
+                                                   T.StructField("__pid", T.IntegerType())])
+    marked = ordered.mapInPandas(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    summ = (marked.groupBy("__pid").agg(
+        F.min_by(F.struct("client", "__us"), F.struct("client", "__us", "event_id")).alias("first"),
+        F.max_by(F.struct("client", "__us", "session"), F.struct("client", "__us", "event_id")).alias("last"))
+        .orderBy("__pid").collect())  # one row per partition
+    open_session, prev = {}, None
+    for r in summ:
+        fc, fs = r["first"]["client"], r["first"]["__us"]
+        if prev is not None and prev[0] == fc and not reset((fs - prev[1]) / 1e6):
+            start = prev[2]
+        else:
+            start = float(fs)
+        open_session[r["__pid"]] = start
+        last_sess = r["last"]["session"]
+        if last_sess is None or (isinstance(last_sess, float) and np.isnan(last_sess)):
+            last_sess = start
+        prev = (r["last"]["client"], r["last"]["__us"], last_sess)
+    fix = spark.createDataFrame([(k, float(v)) for k, v in open_session.items()], "__pid int, __open double")
+    return (marked.join(F.broadcast(fix), "__pid", "left")
+                  .withColumn("session", F.when(F.isnan("session") | F.col("session").isNull(), F.col("__open"))
+                                          .otherwise(F.col("session")))
+                  .drop("__pid", "__open"))
+
+
 def token_bucket(events: DataFrame, rpm: float = 100.0, burst: int = 20,
                  idle_seconds: float | None = 600.0, client_col: str = "client",
                  ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
@@ -81,14 +147,8 @@ def token_bucket(events: DataFrame, rpm: float = 100.0, burst: int = 20,
     refill = burst / rate
     e = events.select(F.col(client_col).cast("bigint").alias("client"), F.col(id_col).cast("bigint").alias("event_id"),
                       F.col(ts_col).cast("timestamp").alias("ts"))
-    e = e.withColumn("__s", _secs(F.col("ts")))
-    w = Window.partitionBy("client").orderBy("__s", "event_id")
-    e = e.withColumn("__gap", F.col("__s") - F.lag("__s").over(w))
-    reset = F.col("__gap").isNull() | (F.col("__gap") >= refill)
-    if idle_seconds is not None:
-        reset = reset | (F.col("__gap") > idle_seconds)
-    e = e.withColumn("__new", reset.cast("int"))
-    e = e.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("__us", _micros(F.col("ts")))
+    e = _mark_sessions(e, refill, idle_seconds)
     cap, idle = float(burst), idle_seconds
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,17 +158,18 @@ def token_bucket(events: DataFrame, rpm: float = 100.0, burst: int = 20,
         for pdf in batches:
             cl = pdf["client"].to_numpy()
             se = pdf["session"].to_numpy()
-            t = pdf["__s"].to_numpy(dtype=np.float64)
+            t = pdf["__us"].to_numpy(dtype=np.int64)
             n = len(t)
             allowed = np.zeros(n, dtype=bool)
             tokens = np.zeros(n)
             retry = np.full(n, np.nan)
             for i in range(n):
                 k = (cl[i], se[i])
-                if k != key or last is None or (idle is not None and t[i] - last > idle):
+                gap = None if last is None else (int(t[i]) - int(last)) / 1e6
+                if k != key or gap is None or (idle is not None and gap > idle):
                     y = cap
                 else:
-                    y = min(cap, x + (t[i] - last) * rate)
+                    y = min(cap, x + gap * rate)
                 key, last = k, t[i]
                 if y >= 1.0:
                     x = y - 1.0
@@ -120,9 +181,9 @@ def token_bucket(events: DataFrame, rpm: float = 100.0, burst: int = 20,
             yield pd.DataFrame({"client": cl, "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"],
                                 "allowed": allowed, "tokens": tokens, "retry_after": retry})
 
-    return (e.select("client", "event_id", "ts", "__s", "session")
+    return (e.select("client", "event_id", "ts", "__us", "session")
              .repartition("client", "session")
-             .sortWithinPartitions("client", "session", "__s", "event_id")
+             .sortWithinPartitions("client", "session", "__us", "event_id")
              .mapInPandas(fold, TOKEN_SCHEMA))
 
 
@@ -141,9 +202,9 @@ def token_bucket_stream(events: DataFrame, rpm: float = 100.0, burst: int = 20,
     cap = float(burst)
     e = events.select(F.col(client_col).cast("bigint").alias("client"), F.col(id_col).cast("bigint").alias("event_id"),
                       F.col(ts_col).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    e = e.withColumn("__s", _secs(F.col("ts")))
+    e = e.withColumn("__us", _micros(F.col("ts")))
     out_schema = T.StructType.fromDDL(TOKEN_SCHEMA)
-    state_schema = T.StructType.fromDDL("tokens double, last double")
+    state_schema = T.StructType.fromDDL("tokens double, last bigint")
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
@@ -152,16 +213,18 @@ def token_bucket_stream(events: DataFrame, rpm: float = 100.0, burst: int = 20,
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        pdf = pd.concat(frames).sort_values(["__s", "event_id"], kind="stable")
+        pdf = pd.concat(frames).sort_values(["__us", "event_id"], kind="stable")
         x, last = (state.get if state.exists else (cap, None))
-        t = pdf["__s"].to_numpy(dtype=np.float64)
+        last = None if last is None else int(last)
+        t = pdf["__us"].to_numpy(dtype=np.int64)
         allowed, tokens, retry = [], [], []
         for ti in t:
-            if last is None or ti - last > idle_seconds:
+            gap = None if last is None else (int(ti) - last) / 1e6
+            if gap is None or gap > idle_seconds:
                 y = cap
             else:
-                y = min(cap, x + (ti - last) * rate)
-            last = ti
+                y = min(cap, x + gap * rate)
+            last = int(ti)
             if y >= 1.0:
                 x = y - 1.0
                 allowed.append(True)
@@ -172,7 +235,7 @@ def token_bucket_stream(events: DataFrame, rpm: float = 100.0, burst: int = 20,
                 retry.append((1.0 - y) / rate)
             tokens.append(x)
         state.update((x, last))
-        state.setTimeoutTimestamp(int((last + idle_seconds) * 1000))
+        state.setTimeoutTimestamp(int(last // 1000 + idle_seconds * 1000))
         yield pd.DataFrame({"client": pdf["client"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
                             "ts": pdf["ts"].to_numpy(), "allowed": allowed, "tokens": tokens,
                             "retry_after": retry})

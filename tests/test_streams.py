@@ -76,3 +76,30 @@ def test_streaming_token_bucket_equals_batch(spark, sf):
     batch = rq.token_bucket(st.requests(spark, sf), rpm=60 / 21600, burst=2, idle_seconds=28800.0)
     b = {(r["event_id"], r["allowed"], round(r["tokens"], 9)) for r in batch.collect()}
     assert got == b
+
+
+def test_hot_client_spanning_partitions_matches_sequential_fold(spark):
+    import random
+    rnd = random.Random(4)
+    t, rows = 0.0, []
+    for i in range(3000):
+        t += rnd.choice([0.2, 0.5, 1.0, 3.0, 40.0, 200.0])
+        rows.append((i, t, 7 if i % 10 else 1 + i % 3))  # client 7 holds 90% of the rows
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, base + dt.timedelta(seconds=s), c) for i, s, c in rows],
+                               "event_id long, ts timestamp, client long")
+    rpm, burst, idle = 60.0, 5, 100.0
+    rate = rpm / 60.0
+    want, state = {}, {}
+    for i, s, c in rows:
+        s = round(s, 6)
+        if c not in state or s - state[c][1] > idle:
+            y = float(burst)
+        else:
+            y = min(burst, state[c][0] + (s - state[c][1]) * rate)
+        x = y - 1.0 if y >= 1.0 else y
+        want[i] = (y >= 1.0, round(x, 9))
+        state[c] = (x, s)
+    got = {r["event_id"]: (r["allowed"], round(r["tokens"], 9))
+           for r in rq.token_bucket(df, rpm=rpm, burst=burst, idle_seconds=idle).collect()}
+    assert got == want
