@@ -109,16 +109,23 @@ def query_terms(queries: DataFrame, query_id_col: str = "query_id", query_col: s
 
 
 def bm25_match(index: LexicalIndex, queries: DataFrame, query_id_col: str = "query_id",
-               query_col: str = "query", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+               query_col: str = "query", max_broadcast_rows: int = 2_000_000,
+               max_pushdown_terms: int = 5_000) -> DataFrame:
     """All (query, doc) pairs that share a term of non-zero idf, with scores.
 
     The query-term side is broadcast only behind a row-count check; a stop
     word then streams through the join without a shuffle of the postings.
+    When the batch has few distinct terms (checked), they are also pushed
+    into the postings scan as ``term IN (...)``: saved postings are sorted by
+    term, so Parquet row-group statistics skip everything else.
     """
     qt = query_terms(queries, query_id_col, query_col)
+    postings = index.postings.filter(F.col("w") != 0)
+    terms = qt.select("term").distinct().limit(max_pushdown_terms + 1).collect()
+    if len(terms) <= max_pushdown_terms:
+        postings = postings.filter(F.col("term").isin([r["term"] for r in terms]))
     qt = broadcast_if_small(qt, max_broadcast_rows)
-    hits = (index.postings.filter(F.col("w") != 0)
-            .join(qt, "term")
+    hits = (postings.join(qt, "term")
             .select("query_id", "doc_id", "pos", (F.col("qtf") * F.col("w")).alias("s")))
     return hits.groupBy("query_id", "doc_id", "pos").agg(F.sum("s").alias("score"))
 
