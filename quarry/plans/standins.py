@@ -67,11 +67,12 @@ def containment_pairs(items: DataFrame, docs: DataFrame, item_id: str = "query_i
     dtok = dk.select("__did", split_ws("__dtext").alias("__tok"))
     doc_sh = None
     for w in ws:
-        part = dtok.select("__did", F.lit(w).alias("__w"), F.explode(_shingles("__tok", w)).alias("__sh"))
+        # distinct shingles per document inside the row: no global distinct shuffle
+        part = dtok.select("__did", F.lit(w).alias("__w"),
+                           F.explode(F.array_distinct(_shingles("__tok", w))).alias("__sh"))
         doc_sh = part if doc_sh is None else doc_sh.unionByName(part)
     pairs = None
     if doc_sh is not None:
-        doc_sh = doc_sh.distinct()
         sh_df = doc_sh.groupBy("__w", "__sh").agg(F.count("*").alias("__df"))
         interior = long_items.select(
             "__iid", "__w",
