@@ -179,40 +179,57 @@ def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
                 exclude_self: bool = False, query_id_col: str = "query_id",
                 id_col: str = "id", vec_col: str = "embedding",
                 max_query_rows: int = 200_000, max_query_bytes: int = 64 << 20,
-                block_rows: int = 20_000) -> DataFrame:
+                block_rows: int = 20_000, group_col: str | None = None,
+                group_mode: str = "same") -> DataFrame:
     """D3: exact top-k per query -> ``(query_id, doc_id, score, rank)``.
 
     Ties: score desc (rounded to 9 decimals), then doc id asc.
+    ``group_col`` (present on both sides) restricts candidates to vectors of
+    the ``same`` group or to ``other`` groups; the mask is applied inside the
+    block product, so relevance-by-group never materialises group pairs.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).alias("qv"))
-    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v"))
+    if group_mode not in ("same", "other"):
+        raise ValueError("group_mode must be 'same' or 'other'")
+    gq = [F.col(group_col).alias("g")] if group_col else [F.lit(0).alias("g")]
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).alias("qv"), *gq)
+    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v"), *gq)
+    mask = group_mode if group_col else None
     qrows = q.limit(max_query_rows + 1).count()
     dim_row = v.select(F.size("v").alias("d")).filter(F.col("d") > 0).limit(1).collect()
     dim = dim_row[0]["d"] if dim_row else 0
     if qrows <= max_query_rows and qrows * max(dim, 1) * 8 <= max_query_bytes:
-        cand = _flat_broadcast(q, v, k, metric, exclude_self, dim)
+        cand = _flat_broadcast(q, v, k, metric, exclude_self, dim, mask)
     else:
-        cand = _flat_blocks(q, v, k, metric, exclude_self, dim, block_rows)
+        cand = _flat_blocks(q, v, k, metric, exclude_self, dim, block_rows, mask)
     order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
     return top_k_per_group(cand, ["query_id"], order, k).select("query_id", "doc_id", "score", "rank")
 
 
-def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int):
+def _apply_mask(S: np.ndarray, qg: np.ndarray, vg: np.ndarray, mask: str | None):
+    if mask is None:
+        return
+    same = np.equal.outer(qg, vg)
+    S[~same if mask == "same" else same] = -np.inf
+
+
+def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
+                    mask: str | None = None):
     spark = q.sparkSession
     rows = q.collect()  # bounded by the caller's row and byte checks
     qids = np.array([r["query_id"] for r in rows], dtype=object)
+    qgroups = np.array([r["g"] for r in rows], dtype=object)
     Q = np.array([np.asarray(r["qv"], dtype=np.float64) for r in rows]).reshape(len(rows), -1) \
         if rows else np.zeros((0, dim))
     if len(rows):
         _check_dims(Q, dim, "query vectors")
-    bq = spark.sparkContext.broadcast((qids, Q))
+    bq = spark.sparkContext.broadcast((qids, Q, qgroups))
     id_type = v.schema["doc_id"].dataType.simpleString()
     qtype = q.schema["query_id"].dataType.simpleString()
 
     def run(batches):
-        qids_l, Qm = bq.value
+        qids_l, Qm, qg = bq.value
         for pdf in batches:
             if len(pdf) == 0 or len(qids_l) == 0:
                 continue
@@ -222,6 +239,7 @@ def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_sel
             ids = pdf["doc_id"].to_numpy()
             if exclude_self:
                 S[np.equal.outer(qids_l, ids)] = -np.inf
+            _apply_mask(S, qg, pdf["g"].to_numpy(), mask)
             out = _topk_rows(S, qids_l, ids, k)
             if out is not None and len(out):
                 yield out
@@ -230,7 +248,7 @@ def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_sel
 
 
 def _flat_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
-                 block_rows: int):
+                 block_rows: int, mask: str | None = None):
     """Block nested-loop product for large query sets, fully distributed.
 
     Queries are hashed into ``nb`` blocks and vectors into ``ns`` shards of
@@ -263,6 +281,7 @@ def _flat_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self:
         ids = vpdf["doc_id"].to_numpy()
         if exclude_self:
             S[np.equal.outer(qids, ids)] = -np.inf
+        _apply_mask(S, qpdf["g"].to_numpy(), vpdf["g"].to_numpy(), mask)
         out = _topk_rows(S, qids, ids, k)
         return empty if out is None else out
 

@@ -39,13 +39,17 @@ def judged_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(rel, ["query_id", "doc_id"], "left").fillna(0, ["rel"])
 
 
-def per_query_metrics(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (10, 50, 100),
-                      queries: DataFrame | None = None, ideal: str = "truncated") -> DataFrame:
+def per_query_metrics(run: DataFrame, qrels: DataFrame | None, ks: Sequence[int] = (10, 50, 100),
+                      queries: DataFrame | None = None, ideal: str = "truncated",
+                      n_rel: DataFrame | None = None) -> DataFrame:
     """Per-query nDCG/MRR/recall/precision at every k, one aggregation pass.
 
     Output: ``(query_id, ndcg_<k>, mrr_<k>, recall_<k>, precision_<k>, ...)``.
+    With ``qrels=None`` the run must already carry a 0/1 ``rel`` column and
+    ``n_rel(query_id, n_rel)`` gives the relevant count per query (relevance
+    defined by a rule such as "same label", without a pair table).
     """
-    j = judged_run(run, qrels)
+    j = judged_run(run, qrels) if qrels is not None else run
     aggs = [F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first_rel")]
     for k in ks:
         in_k = F.col("rank") <= k
@@ -55,8 +59,9 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (10,
             F.count_distinct(F.when(in_k & (F.col("rel") > 0), F.col("doc_id"))).alias(f"hits_{k}"),
         ]
     per_q = j.groupBy("query_id").agg(*aggs)
-    n_rel = (qrels.filter(F.col("rel") > 0).groupBy("query_id")
-                  .agg(F.count_distinct("doc_id").alias("n_rel")))
+    if n_rel is None:
+        n_rel = (qrels.filter(F.col("rel") > 0).groupBy("query_id")
+                      .agg(F.count_distinct("doc_id").alias("n_rel")))
     qs = queries.select("query_id").distinct() if queries is not None else run.select("query_id").distinct()
     base = qs.join(per_q, "query_id", "left").join(n_rel, "query_id", "left").fillna(0, ["n_rel"])
     out = [F.col("query_id")]
@@ -76,11 +81,12 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (10,
     return base.select(*out)
 
 
-def retrieval_metrics(run: DataFrame, qrels: DataFrame, ks: Sequence[int] = (10, 50, 100),
+def retrieval_metrics(run: DataFrame, qrels: DataFrame | None, ks: Sequence[int] = (10, 50, 100),
                       queries: DataFrame | None = None, ideal: str = "truncated",
-                      metrics: Sequence[str] = ("ndcg", "mrr", "recall", "precision")) -> DataFrame:
+                      metrics: Sequence[str] = ("ndcg", "mrr", "recall", "precision"),
+                      n_rel: DataFrame | None = None) -> DataFrame:
     """M1-M4, M8: mean over queries -> long ``(metric, k, value)``."""
-    pq = per_query_metrics(run, qrels, ks, queries, ideal)
+    pq = per_query_metrics(run, qrels, ks, queries, ideal, n_rel)
     aggs = [F.avg(f"{m}_{k}").alias(f"{m}_{k}") for m in metrics for k in ks]
     wide = pq.agg(*aggs)
     pairs = ", ".join(f"'{m}', {k}, `{m}_{k}`" for m in metrics for k in ks)

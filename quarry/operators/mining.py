@@ -82,20 +82,26 @@ def encode_for_mining(encoder, queries: DataFrame, corpus: DataFrame, doc_ids: D
     return encoder.encode(q), encoder.encode(d)
 
 
-def mine_ance(cands: DataFrame, qrels: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame,
+def mine_ance(cands: DataFrame, qrels: DataFrame | None, query_vectors: DataFrame, doc_vectors: DataFrame,
               margin: float = 0.1, k: int = 5, metric: str = "ip",
-              order_col: str | None = "teacher_rank", version: int | None = None) -> DataFrame:
+              order_col: str | None = "teacher_rank", version: int | None = None,
+              max_pos: DataFrame | None = None) -> DataFrame:
     """N3 (+N10): candidates whose student score is within ``margin`` of the
     query's best positive, top-k by student score.
 
     Vectors are ``(id, embedding[, version])`` tables; ``version`` picks a
     snapshot, so re-mining against a newer student is the same call.
+    ``max_pos`` may be given directly when relevance is defined by a group
+    (then no (query, positive) pair table is needed).
     """
     if version is not None:
         query_vectors = query_vectors.filter(F.col("version") == version)
         doc_vectors = doc_vectors.filter(F.col("version") == version)
-    pos = _student_scores(_positives(qrels), query_vectors, doc_vectors, metric)
-    max_pos = pos.groupBy("query_id").agg(F.max("student_score").alias("max_pos"))
+    if max_pos is None:
+        pos = _student_scores(_positives(qrels), query_vectors, doc_vectors, metric)
+        max_pos = pos.groupBy("query_id").agg(F.max("student_score").alias("max_pos"))
+    else:  # precomputed (query_id, max_pos), e.g. a group-restricted top-1 search
+        max_pos = max_pos.select("query_id", "max_pos")
     c = _student_scores(cands, query_vectors, doc_vectors, metric)
     c = c.join(max_pos, "query_id", "left").withColumn("max_pos", F.coalesce("max_pos", F.lit(0.0)))
     c = c.filter(F.col("student_score") >= F.col("max_pos") - margin)
@@ -187,20 +193,26 @@ def in_batch_negatives(queries: DataFrame, qrels: DataFrame, batch_size: int = 3
                            rank_col="neg_rank").drop("__h")
 
 
-def mine_ance_corpus(query_vectors: DataFrame, doc_vectors: DataFrame, qrels: DataFrame,
+def mine_ance_corpus(query_vectors: DataFrame, doc_vectors: DataFrame, qrels: DataFrame | None,
                      top: int = 50, select: int = 10, metric: str = "ip",
                      exclude_self: bool = True, teacher: DataFrame | None = None,
-                     teacher_max: float | None = None) -> DataFrame:
+                     teacher_max: float | None = None, group_col: str | None = None) -> DataFrame:
     """The student's nearest non-relevant neighbours over the whole
     corpus: exact top-(top + m) where m is the largest positive count of a
     query (a scalar), remove positives, keep ``top``, then ``select`` the
     best; optionally only those the teacher rates low."""
-    pos = _positives(qrels)
-    m = pos.groupBy("query_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    q = query_vectors.select(F.col("id").alias("query_id"), "embedding")
-    run = dense.flat_search(q, doc_vectors, k=top + int(m) + (1 if exclude_self else 0), metric=metric,
-                            exclude_self=exclude_self)
-    run = run.join(pos, ["query_id", "doc_id"], "left_anti")
+    if group_col is not None:
+        # relevance = same group: search the other groups directly
+        q = query_vectors.select(F.col("id").alias("query_id"), "embedding", group_col)
+        run = dense.flat_search(q, doc_vectors, k=top, metric=metric, exclude_self=exclude_self,
+                                group_col=group_col, group_mode="other")
+    else:
+        pos = _positives(qrels)
+        m = pos.groupBy("query_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+        q = query_vectors.select(F.col("id").alias("query_id"), "embedding")
+        run = dense.flat_search(q, doc_vectors, k=top + int(m) + (1 if exclude_self else 0), metric=metric,
+                                exclude_self=exclude_self)
+        run = run.join(pos, ["query_id", "doc_id"], "left_anti")
     run = top_k_per_group(run.drop("rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")],
                           top, rank_col="rank")
     if teacher is not None and teacher_max is not None:

@@ -314,16 +314,20 @@ def _vecs(spark, sf_dir):
 
 
 @register("D2_pair_similarity", f"""WITH e AS ({EMB_SQL}),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.label = b.label
-      WHERE a.vec_id <> b.vec_id)
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, a.v AS x, b.v AS y, list_inner_product(a.v, b.v) AS score
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r
+      FROM s) WHERE r <= 10)
 SELECT query_id, doc_id, round(list_inner_product(x, y), 6) AS ip,
   round(list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))), 6) AS cosine,
   round(-list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))), 6) AS l2
 FROM p""")
 def q_pair_sim(spark, sf_dir):
+    """Similarities of each vector with its 10 nearest neighbours (pairs from D3)."""
     v = _vecs(spark, sf_dir)
-    pairs = st.vector_qrels(spark, sf_dir).select("query_id", "doc_id")
-    j = (pairs.join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("x")), "query_id")
+    pairs = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=10, exclude_self=True)
+    j = (pairs.select("query_id", "doc_id")
+              .join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("x")), "query_id")
               .join(v.select(F.col("id").alias("doc_id"), F.col("embedding").alias("y")), "doc_id"))
     return j.select("query_id", "doc_id",
                     F.round(dense.pair_similarity("x", "y", "ip"), 6).alias("ip"),
@@ -366,31 +370,34 @@ def q_normalize(spark, sf_dir):
                     F.round(dense.norm("w"), 6).alias("norm"))
 
 
-SAME_LABEL_RESCORE_SQL = f"""WITH e AS ({EMB_SQL}),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
-      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+L2_CAND_SQL = f"""WITH e AS ({EMB_SQL}),
+l2 AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
+              -list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS score,
+              list_inner_product(a.v, b.v) AS ip
+       FROM e a, e b WHERE a.vec_id <> b.vec_id),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r
+         FROM l2) WHERE r <= 50),
+s AS (SELECT query_id, doc_id, ip AS score FROM cand),
 {topk_cte('top', 's', 10)}"""
 
 
 def _rescored(spark, sf_dir, k):
+    """candidates = 50 nearest by L2, exact re-scoring by inner product."""
     v = _vecs(spark, sf_dir)
-    cands = st.vector_qrels(spark, sf_dir).select("query_id", "doc_id")
+    cands = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=50, metric="l2", exclude_self=True)
     return dense.rescore(cands, v, v, k)
 
 
-@register("D6_rescore", SAME_LABEL_RESCORE_SQL + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
+@register("D6_rescore", L2_CAND_SQL + "\nSELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
 def q_rescore(spark, sf_dir):
     return _rescored(spark, sf_dir, 5).select("query_id", "doc_id", r6("score"), "rank")
 
 
-@register("D7_validate_recall", f"""WITH e AS ({EMB_SQL}),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
-      FROM e a, e b WHERE a.vec_id <> b.vec_id),
-{topk_cte('ex', 's', 10)},
-s2 AS (SELECT * FROM s WHERE (query_id, doc_id) IN (SELECT a.vec_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label)),
-{topk_cte('ap', 's2', 10)},
-per AS (SELECT ex.query_id, count(ap.doc_id) / count(*) AS r FROM ex LEFT JOIN ap ON ex.query_id = ap.query_id AND ex.doc_id = ap.doc_id
-        GROUP BY ex.query_id)
+@register("D7_validate_recall", L2_CAND_SQL + f""",
+s_all AS (SELECT query_id, doc_id, ip AS score FROM l2),
+{topk_cte('ex', 's_all', 10)},
+per AS (SELECT ex.query_id, count(top.doc_id) / count(*) AS r FROM ex LEFT JOIN top ON ex.query_id = top.query_id
+        AND ex.doc_id = top.doc_id GROUP BY ex.query_id)
 SELECT round(avg(r), 6) AS recall, count(*) AS queries, avg(r) >= 0.97 AS passed FROM per""")
 def q_recall(spark, sf_dir):
     v = _vecs(spark, sf_dir)
@@ -581,10 +588,16 @@ a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, doc_id, round(score, 6) AS student_score, ance_rank FROM a WHERE ance_rank <= 5""")
 def q_n3(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    qrels = st.vector_qrels(spark, sf_dir)
-    knn = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=50, exclude_self=True)
-    cands = knn.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    a = mining.mine_ance(cands.select("query_id", "doc_id"), qrels, v, v, margin=0.1, k=5)
+    q = v.withColumnRenamed("id", "query_id")
+    lab = v.select("id", "label")
+    knn = dense.flat_search(q, v, k=50, exclude_self=True)
+    # positives = same label: drop them from the 50 candidates by comparing labels (no pair table)
+    cands = (knn.join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
+                .join(lab.select(F.col("id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
+                .filter(F.col("ql") != F.col("dl")).select("query_id", "doc_id"))
+    # best positive = top-1 inside the query's own label (group-masked exact search)
+    best = dense.flat_search(q, v, k=1, exclude_self=True, group_col="label", group_mode="same")
+    a = mining.mine_ance(cands, None, v, v, margin=0.1, k=5, max_pos=best.select("query_id", F.col("score").alias("max_pos")))
     return a.select("query_id", "doc_id", r6("student_score"), "ance_rank")
 
 
@@ -655,7 +668,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def q_n8(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    r = mining.mine_ance_corpus(v, v, st.vector_qrels(spark, sf_dir), top=50, select=10)
+    r = mining.mine_ance_corpus(v, v, None, top=50, select=10, group_col="label")
     return r.select("query_id", "doc_id", r6("score"), "rank")
 
 
@@ -829,8 +842,15 @@ SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
 def q_eval_retrieval(spark, sf_dir):
     v = _vecs(spark, sf_dir)
     run = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=20, exclude_self=True)
-    m = metrics.retrieval_metrics(run, st.vector_qrels(spark, sf_dir), (1, 5, 10, 20),
-                                  queries=v.select(F.col("id").alias("query_id")), metrics=("ndcg", "mrr"))
+    # relevance = same label, judged row by row; relevant counts from label sizes
+    lab = v.select("id", "label")
+    judged = (run.join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
+                 .join(lab.select(F.col("id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
+                 .withColumn("rel", (F.col("ql") == F.col("dl")).cast("int")))
+    sizes = lab.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
+    n_rel = lab.join(sizes, "label").select(F.col("id").alias("query_id"), "n_rel")
+    m = metrics.retrieval_metrics(judged, None, (1, 5, 10, 20), queries=v.select(F.col("id").alias("query_id")),
+                                  metrics=("ndcg", "mrr"), n_rel=n_rel)
     return m.select("metric", "k", r6("value"))
 
 

@@ -7,6 +7,7 @@
 * queries B   user turns of ``conversations``; positive = the assistant turn
               right after it (corpus B = assistant turns)
 * vectors     ``embeddings(vec_id, embedding, label)``; same label = relevant
+              (applied as a rule, never as a pair table)
 * labels      ``labels(doc_id, quality, toxic)``
 * requests    ``events``: client = user_id, latency = value,
               error = event_type 'error'
@@ -141,13 +142,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def vector_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant = same label, self excluded (equi-join on label)."""
-    v = table(spark, sf_dir, "embeddings")
-    a = v.select(F.col("vec_id").alias("query_id"), "label")
-    b = v.select(F.col("vec_id").alias("doc_id"), "label")
-    return a.join(b, "label").filter(F.col("query_id") != F.col("doc_id")).select(
-        "query_id", "doc_id", F.lit(1).alias("rel"))
+def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by rule: two vectors are relevant to each other when they
+    share a label. Operators take the label column (group masks, judged
+    runs) instead of a (query, doc) pair table, which would hold every pair
+    inside a label."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,24 @@ def test_ivf_full_probe_equals_exact_and_pq_paths_agree(spark):
     b = {(r["query_id"], r["doc_id"]) for r in
          ann.pq_search(q, pq, k=5, exclude_self=True, max_table_bytes=1, block_rows=64).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("force_blocks", [False, True])
+def test_group_masked_search(spark, force_blocks):
+    rng = np.random.default_rng(9)
+    V = rng.normal(size=(120, 6)).astype(np.float32)
+    lab = rng.integers(0, 4, size=120)
+    df = spark.createDataFrame([(i, [float(x) for x in V[i]], int(lab[i])) for i in range(120)],
+                               "id long, embedding array<float>, label int")
+    kw = dict(max_query_rows=0, block_rows=40) if force_blocks else {}
+    q = df.withColumnRenamed("id", "query_id")
+    S = V.astype(np.float64) @ V.astype(np.float64).T
+    for mode in ("same", "other"):
+        res = dense.flat_search(q, df, k=3, exclude_self=True, group_col="label", group_mode=mode, **kw).collect()
+        got = {}
+        for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append(r["doc_id"])
+        for i in range(120):
+            ok = [j for j in range(120) if j != i and ((lab[j] == lab[i]) == (mode == "same"))]
+            want = sorted(ok, key=lambda j: (-round(S[i, j], 9), j))[:3]
+            assert got.get(i, []) == want
