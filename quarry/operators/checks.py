@@ -157,3 +157,16 @@ def split_valid(requests: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 def binarize(qrels: DataFrame, threshold: int = 1, rel_col: str = "rel") -> DataFrame:
     """Graded relevance -> 0/1 at a threshold."""
     return qrels.withColumn(rel_col, (F.col(rel_col) >= threshold).cast("int"))
+
+
+# fixed values: encode request bounds (texts per request)
+ENCODE_MIN_TEXTS, ENCODE_MAX_TEXTS = 1, 100
+
+
+def validate_encode_requests(requests: DataFrame, texts_col: str = "texts") -> DataFrame:
+    """D1 request bounds: 1..100 texts per encode request; adds ``reason``
+    and ``valid`` (batch encoding of a whole corpus has no such bound)."""
+    n = F.size(F.col(texts_col))
+    reason = (F.when(F.col(texts_col).isNull() | (n < ENCODE_MIN_TEXTS), "too few texts")
+               .when(n > ENCODE_MAX_TEXTS, "too many texts"))
+    return requests.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

@@ -252,3 +252,14 @@ def fit_linear_student(examples: DataFrame, features: list[str], epochs: int = 3
     finally:
         ex.unpersist()
     return w, history
+
+
+def alpha_at(progress, start: float = 0.8, end: float = 0.5, kind: str = "linear") -> Column:
+    """K7 (config): weight of the distillation loss against the task loss,
+    scheduled like the temperature (linear, cosine or constant)."""
+    return temperature_at(start, end, progress, kind)
+
+
+def blended_loss(kd: Column, task: Column, alpha: Column) -> Column:
+    """``alpha * kd + (1 - alpha) * task``."""
+    return alpha * kd + (F.lit(1.0) - alpha) * task

@@ -417,7 +417,7 @@ def q_search(spark, sf_dir):
     req = v.select(F.col("id").alias("query_id"), "embedding", (F.col("label") + 5).alias("k"))
     docs = st.corpus(spark, sf_dir)
     r = dense.search(req, v, corpus=docs)
-    return r.select("query_id", "doc_id", r6("score"), "rank", F.length("text").alias("text_len"))
+    return r.select("query_id", "doc_id", r6("score"), "rank", F.length("text").cast("bigint").alias("text_len"))
 
 
 def _bm25_ctes_a(prefix="", k1=1.5, b=0.75):
@@ -601,7 +601,7 @@ def q_n3(spark, sf_dir):
     return a.select("query_id", "doc_id", r6("student_score"), "ance_rank")
 
 
-@register("N4_curriculum_stage1", f"""WITH {N1_SQL} SELECT query_id, doc_id, 0.0 AS teacher_score FROM n1""")
+@register("N4_curriculum_stage1", f"""WITH {N1_SQL} SELECT query_id, doc_id, 0.0::DOUBLE AS teacher_score FROM n1""")
 def q_n4_1(spark, sf_dir):
     idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
     return mining.mine_curriculum(1, idx, st.queries_a(spark, sf_dir), st.qrels_a(spark, sf_dir),
@@ -809,7 +809,8 @@ SELECT ex.query_id, ex.pos, ex.doc_id, round(ex.teacher_score, 6) AS teacher_sco
        length(coalesce(d.text, '')) AS text_len FROM ex LEFT JOIN documents d ON d.doc_id = ex.doc_id""")
 def q_examples(spark, sf_dir):
     e = _examples(spark, sf_dir)
-    return e.select("query_id", "pos", "doc_id", r6("teacher_score"), "is_positive", F.length("text").alias("text_len"))
+    return e.select("query_id", "pos", "doc_id", r6("teacher_score"), "is_positive",
+                    F.length("text").cast("bigint").alias("text_len"))
 
 
 @register("K10_confident_queries", f"""WITH {K1_SQL},
@@ -988,12 +989,14 @@ def q_compare_runs(spark, sf_dir):
 
 
 @register("M16_latest_runs", """SELECT event_type AS model_name, 'production' AS stage,
-  arg_max(event_id, ts) AS latest_version, max(ts) AS latest_at FROM events GROUP BY event_type""")
+  arg_max(event_id, ts) AS latest_version, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest_at
+  FROM events GROUP BY event_type""")
 def q_latest(spark, sf_dir):
     e = st.table(spark, sf_dir, "events")
     hist = e.select(F.col("event_type").alias("model_name"), F.lit("production").alias("stage"),
                     F.col("event_id").alias("version"), F.col("ts").alias("registered_at"))
-    return metrics.latest_runs(hist)
+    r = metrics.latest_runs(hist)
+    return r.withColumn("latest_at", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @register("M11_ranking_agreement", f"""WITH {SCORES_SQL},

@@ -118,3 +118,9 @@ def test_chunk_default_ids(spark):
 def test_combine_title(spark):
     df = spark.createDataFrame([("T", "body"), ("", "body"), (None, "body")], "title string, text string")
     assert [r["text"] for r in prepare.combine_title(df).collect()] == ["T\nbody", "body", "body"]
+
+
+def test_validate_encode_requests(spark):
+    df = spark.createDataFrame([(["a"],), ([],), (["x"] * 101,), (None,)], "texts array<string>")
+    assert [r["reason"] for r in checks.validate_encode_requests(df).collect()] == [
+        None, "too few texts", "too many texts", "too few texts"]

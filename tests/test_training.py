@@ -116,3 +116,12 @@ def test_linear_student_loss_decreases(spark):
     w, hist = training.fit_linear_student(ex, ["f0", "f1"], epochs=2, steps=4, lr=0.02, tau=1.0)
     l0, _ = training._loss_and_grad(ex, ["f0", "f1"], [0.0, 0.0], hist[-1]["temperature"], 1.0)
     assert hist[-1]["loss"] < l0
+
+
+def test_alpha_schedule_and_blend(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "p double")
+    got = [r["a"] for r in df.select(training.alpha_at(F.col("p")).alias("a")).collect()]
+    assert got == pytest.approx([0.8, 0.65, 0.5])
+    b = df.select(training.blended_loss(F.lit(2.0), F.lit(1.0), training.alpha_at(F.col("p"))).alias("b")).collect()
+    assert [r["b"] for r in b] == pytest.approx([1.8, 1.65, 1.5])
