@@ -87,11 +87,11 @@ def main():
     pq_build_s = time.perf_counter() - t0
 
     def ivf():
-        return ann.ivf_search(vec.withColumnRenamed("id", "query_id"), approx["ivf"], k=10, nprobe=8,
+        return ann.ivf_search(vec.withColumnRenamed("id", "query_id"), approx["ivf"], k=10, nprobe=12,
                               exclude_self=True)
 
     def pq():
-        cand = ann.pq_search(vec.withColumnRenamed("id", "query_id"), approx["pq"], k=50, exclude_self=True)
+        cand = ann.pq_search(vec.withColumnRenamed("id", "query_id"), approx["pq"], k=100, exclude_self=True)
         return dense.rescore(cand, vec, vec, 10)
 
     def mine():

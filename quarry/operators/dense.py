@@ -260,10 +260,12 @@ def _flat_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self:
     nv = v.count()
     nb = max(1, math.ceil(nq / block_rows))
     ns = max(1, math.ceil(nv / block_rows))
-    qb = (q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
-           .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(ns - 1)))))
-    vb = (v.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(ns)))
-           .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
+    # cogroup keys must have identical types on both sides (int), or equal
+    # values hash to different partitions and blocks never meet
+    qb = (q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(nb)).cast("int"))
+           .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(int(ns - 1))))))
+    vb = (v.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(ns)).cast("int"))
+           .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(int(nb - 1))))))
     id_type = v.schema["doc_id"].dataType.simpleString()
     qtype = q.schema["query_id"].dataType.simpleString()
 

@@ -106,3 +106,34 @@ def test_group_masked_search(spark, force_blocks):
             ok = [j for j in range(120) if j != i and ((lab[j] == lab[i]) == (mode == "same"))]
             want = sorted(ok, key=lambda j: (-round(S[i, j], 9), j))[:3]
             assert got.get(i, []) == want
+
+
+def test_block_paths_with_many_shuffle_partitions(spark):
+    """Regression: cogroup keys of different types (int vs bigint) hash to
+    different partitions; with several partitions blocks never met."""
+    from quarry.operators import ann
+    prev = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    prevp = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rng = np.random.default_rng(11)
+        V = rng.normal(size=(600, 8)).astype(np.float32)
+        df = vecs(spark, V)
+        q = df.withColumnRenamed("id", "query_id")
+        exact = {(r["query_id"], r["doc_id"]) for r in dense.flat_search(q, df, k=5, exclude_self=True).collect()}
+        blocks = {(r["query_id"], r["doc_id"]) for r in
+                  dense.flat_search(q, df, k=5, exclude_self=True, max_query_rows=0, block_rows=100).collect()}
+        assert blocks == exact
+        ivf = ann.build_ivf(df, nlist=6, seed=2)
+        full = {(r["query_id"], r["doc_id"]) for r in
+                ann.ivf_search(q, ivf, k=5, nprobe=6, exclude_self=True, shard_rows=50).collect()}
+        assert full == exact
+        pq = ann.build_pq(df, m=4, nbits=3, seed=1)
+        a = {(r["query_id"], r["doc_id"]) for r in ann.pq_search(q, pq, k=5, exclude_self=True).collect()}
+        b = {(r["query_id"], r["doc_id"]) for r in
+             ann.pq_search(q, pq, k=5, exclude_self=True, max_table_bytes=1, block_rows=100).collect()}
+        assert a == b
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
+        spark.conf.set("spark.sql.shuffle.partitions", prevp)
