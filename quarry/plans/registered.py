@@ -1276,3 +1276,55 @@ def q_eval_lists(spark, sf_dir):
               .select("query_id", "doc_id", "rel", dense.pair_similarity("qv", "dv", "ip").alias("score")))
     m = metrics.evaluate_lists(lists, (1, 5, 10))
     return m.select("metric", "k", r6("value"))
+
+
+# ------------------------------------------- more checks and text functions
+
+@register("C2_check_counts", """WITH m AS (SELECT lang AS split, count(*) AS num_samples FROM documents GROUP BY 1),
+a AS (SELECT lang AS split, count(*) AS actual FROM documents WHERE length(text) > 100 GROUP BY 1)
+SELECT coalesce(m.split, a.split) AS split, coalesce(m.num_samples, 0) AS expected, coalesce(a.actual, 0) AS actual,
+       coalesce(a.actual, 0) = coalesce(m.num_samples, 0) AS count_match
+FROM m FULL OUTER JOIN a ON m.split = a.split""")
+def q_counts(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents")
+    manifest = d.groupBy(F.col("lang").alias("split")).agg(F.count("*").alias("num_samples"))
+    rows = d.filter(F.length("text") > 100).withColumnRenamed("lang", "split")
+    return checks.check_counts(rows, manifest).select("split", "expected", "actual", "count_match")
+
+
+@register("C5_integrity_report", """WITH h AS (SELECT doc_id, sha256(text) AS th, text, lang FROM documents),
+per AS (SELECT th, count(*) AS c FROM h WHERE th IS NOT NULL AND th <> '' GROUP BY th),
+dup AS (SELECT coalesce(sum(c - 1), 0) AS nd FROM per),
+req AS (SELECT count(*) FILTER (WHERE text IS NULL) AS mt, count(*) FILTER (WHERE lang IS NULL) AS ml FROM h)
+SELECT 'documents' AS dataset, 'all' AS split, 'duplicates' AS "check", (SELECT nd FROM dup) = 0 AS ok,
+       'num_duplicates=' || (SELECT nd FROM dup) AS detail
+UNION ALL
+SELECT 'documents', 'all', 'schema', (SELECT mt = 0 AND ml = 0 FROM req),
+       concat_ws(',', CASE WHEN (SELECT mt FROM req) > 0 THEN 'text=' || (SELECT mt FROM req) END,
+                      CASE WHEN (SELECT ml FROM req) > 0 THEN 'lang=' || (SELECT ml FROM req) END)
+UNION ALL
+SELECT 'documents', 'all', 'count', (SELECT count(*) FROM h) = 1000, 'actual=' || (SELECT count(*) FROM h)""")
+def q_report(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents").withColumn("th", F.sha2("text", 256))
+    return checks.integrity_report(d, "documents", "all", "th", "doc_id", ["text", "lang"], expected_count=1000)
+
+
+@register("P4_combine_title", """SELECT doc_id, sha256(CASE WHEN source IS NOT NULL AND length(source) > 0
+  THEN source || chr(10) || coalesce(text, '') ELSE text END) AS th FROM documents""")
+def q_title(spark, sf_dir):
+    d = st.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    return prepare.combine_title(d).select("doc_id", F.sha2("text", 256).alias("th"))
+
+
+@register("T3_doc_id_from_chunk", f"""WITH c AS ({_chunk_sql()})
+SELECT chunk_id, regexp_replace(chunk_id, '_[^_]*$', '') AS doc_key FROM c""")
+def q_chunk_doc(spark, sf_dir):
+    c = prepare.chunk_documents(st.corpus(spark, sf_dir), 512, 80)
+    return c.select("chunk_id", doc_id_from_chunk("chunk_id").alias("doc_key"))
+
+
+@register("T5_doc_text", f"""SELECT doc_id, sha256(array_to_string({toks('text')}, ' ')) AS th FROM documents""")
+def q_doc_text(spark, sf_dir):
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
+    t = lexical.doc_text(idx, st.corpus(spark, sf_dir).select("doc_id"))
+    return t.select("doc_id", F.sha2("text", 256).alias("th"))
