@@ -27,6 +27,8 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            # the test tables hold UTC wall-clock times (TIMESTAMP_NTZ)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
