@@ -209,7 +209,9 @@ def save_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite")
     """
     index.docs.write.mode(mode).parquet(os.path.join(path, "docs"))
     index.terms.write.mode(mode).parquet(os.path.join(path, "terms"))
-    (index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    # range on (term, doc_id), not term alone: a stop word's postings spread
+    # over several files instead of one hot partition; files stay term-sorted
+    (index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
          .write.mode(mode).parquet(os.path.join(path, "postings")))
     if index.tokens is not None:
         index.tokens.write.mode(mode).parquet(os.path.join(path, "tokens"))
