@@ -291,13 +291,18 @@ def latency_quantiles(log: DataFrame, window: str = "5 minutes", by: Sequence[st
 
 
 def latency_histogram(log: DataFrame, by: Sequence[str] = (), window: str | None = None,
-                      bounds: Sequence[float] = LATENCY_BOUNDS, unit: float = 1000.0) -> DataFrame:
+                      bounds: Sequence[float] = LATENCY_BOUNDS, unit: float = 1000.0,
+                      watermark: str | None = None) -> DataFrame:
     """Cumulative ``le`` bucket counts (plus +Inf) of latency in seconds.
 
     One aggregation with a conditional count per bound (no explode of the
     log), then unpivoted into ``(…, le, count)``.
     """
     lat = F.col("latency_ms") / F.lit(unit)
+    if window:
+        log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+        if watermark:
+            log = log.withWatermark("ts", watermark)
     keys = list(by) + ([F.window("ts", window).alias("w")] if window else [])
     aggs = [F.count_if(lat <= b).alias(f"b{i}") for i, b in enumerate(bounds)] + [F.count("*").alias("binf")]
     g = log.groupBy(*keys).agg(*aggs)
@@ -362,3 +367,45 @@ def enrich_log(log: DataFrame, query_col: str | None = "query") -> DataFrame:
 def rerank_triggers(gated: DataFrame) -> DataFrame:
     """Rerank-trigger counts by reason (one row per query's decision)."""
     return gated.select("query_id", "reason").distinct().groupBy("reason").agg(F.count("*").alias("queries"))
+
+
+def alerts_stream(metric: DataFrame, threshold: float, hold: int, time_col: str = "window_start",
+                  value_col: str = "value", key_col: str = "series", above: bool = True,
+                  watermark: str = "1 hour") -> DataFrame:
+    """R8 streaming form: keyed state per series holds the open run (start,
+    length); an alert row is emitted once, when the run reaches ``hold``
+    consecutive evaluation windows. Rows of a micro-batch are processed in
+    time order; the watermark bounds how late a window may arrive."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    m = (metric.withColumn(time_col, F.col(time_col).cast("timestamp"))
+               .withWatermark(time_col, watermark)
+               .select(F.col(key_col).cast("string").alias("series"), F.col(time_col).alias("t"),
+                       F.col(value_col).cast("double").alias("v")))
+    out_schema = T.StructType.fromDDL("series string, start timestamp, fired_at timestamp")
+    state_schema = T.StructType.fromDDL("start timestamp, length long, fired boolean")
+
+    def fn(key, pdfs, state):
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values("t", kind="stable")
+        start, length, fired = state.get if state.exists else (None, 0, False)
+        rows = []
+        for t, v in zip(pdf["t"], pdf["v"]):
+            cond = (v > threshold) if above else (v < threshold)
+            if cond:
+                if length == 0:
+                    start, fired = t, False
+                length += 1
+                if length >= hold and not fired:
+                    rows.append((key[0], start, t))
+                    fired = True
+            else:
+                start, length, fired = None, 0, False
+        state.update((start, length, fired))
+        if rows:
+            yield pd.DataFrame(rows, columns=["series", "start", "fired_at"])
+
+    return m.groupBy("series").applyInPandasWithState(fn, out_schema, state_schema, "append",
+                                                      GroupStateTimeout.NoTimeout)
