@@ -410,8 +410,9 @@ def fuse_linear(runs: dict[str, DataFrame], weights: dict[str, float], k: int =
     return top_k_per_group(fused, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
 
 
-def search(requests: DataFrame, vectors: DataFrame, corpus: DataFrame | None = None,
-           encoder: Encoder | None = None, metric: str = "ip", scorer=None) -> DataFrame:
+def search(requests: DataFrame, vectors: DataFrame | None, corpus: DataFrame | None = None,
+           encoder: Encoder | None = None, metric: str = "ip", scorer=None,
+           ivf: dict | None = None, nprobe: int = 8) -> DataFrame:
     """Batch search. Requests ``(query_id, query | embedding, k[, rerank,
     rerank_top_k])``.
 
@@ -419,7 +420,8 @@ def search(requests: DataFrame, vectors: DataFrame, corpus: DataFrame | None = N
     when ``rerank`` is true - keep only ids present in the index, attach text
     ("" when unknown), rerank the flagged requests with ``scorer``, then cut
     to ``k`` (so ``rerank_top_k < k`` returns fewer rows, as the reference).
-    One exact search at the largest requested depth serves every request.
+    One search at the largest requested depth serves every request: exact
+    (D3) by default, or IVF (D4) when an ``ivf`` index is given.
     """
     req = requests
     if encoder is not None:
@@ -430,7 +432,11 @@ def search(requests: DataFrame, vectors: DataFrame, corpus: DataFrame | None = N
             if has_rr else F.col("k"))
     req = req.withColumn("__want", want).withColumn("__rr", F.col("rerank") if has_rr else F.lit(False))
     kmax = req.agg(F.max("__want").alias("m")).first()["m"] or 0
-    cand = flat_search(req, vectors, k=int(kmax), metric=metric)
+    if ivf is not None:
+        from quarry.operators.ann import ivf_search
+        cand = ivf_search(req, ivf, k=int(kmax), nprobe=nprobe, metric=metric)
+    else:
+        cand = flat_search(req, vectors, k=int(kmax), metric=metric)
     r = cand.join(req.select("query_id", "__want", "__rr", F.col("k").alias("__k")), "query_id")
     r = r.filter(F.col("rank") <= F.col("__want"))
     if corpus is not None:

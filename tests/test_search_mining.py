@@ -69,3 +69,16 @@ def test_assign_batches_and_global_row_number(spark):
     assert all(v == 32 for k, v in sizes.items() if k < 31) and sizes[31] == 1000 - 31 * 32
     g = relational.global_row_number(df, ["qid"], "rn").collect()
     assert sorted(r["rn"] for r in g) == list(range(1, 1001)) and all(r["rn"] == r["qid"] + 1 for r in g)
+
+
+def test_search_through_ivf_full_probe_equals_exact(spark):
+    from quarry.operators import ann
+    rng = np.random.default_rng(4)
+    V = rng.normal(size=(120, 4))
+    vecs = spark.createDataFrame([(i, [float(x) for x in V[i]]) for i in range(120)], "id long, embedding array<float>")
+    req = spark.createDataFrame([(f"r{i}", [float(x) for x in V[i]], 3) for i in range(10)],
+                                "query_id string, embedding array<float>, k int")
+    ivf = ann.build_ivf(vecs, nlist=4, seed=1)
+    a = {(r["query_id"], r["doc_id"], r["rank"]) for r in dense.search(req, vecs).collect()}
+    b = {(r["query_id"], r["doc_id"], r["rank"]) for r in dense.search(req, None, ivf=ivf, nprobe=4).collect()}
+    assert a == b and len(a) == 30
