@@ -1330,3 +1330,20 @@ def q_doc_text(spark, sf_dir):
     idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text")
     t = lexical.doc_text(idx, st.corpus(spark, sf_dir).select("doc_id"))
     return t.select("doc_id", F.sha2("text", 256).alias("th"))
+
+
+@register("D5_ivfpq_search")
+def q_ivfpq(spark, sf_dir):
+    """IVF-PQ (8 cells, residuals in 16 sub-spaces x 6 bits) top-10 of every vector."""
+    v = _vecs(spark, sf_dir)
+    idx = ann.build_ivfpq(v, nlist=8, m=16, nbits=6, seed=7)
+    return ann.ivfpq_search(v.withColumnRenamed("id", "query_id"), idx, k=10, nprobe=6, exclude_self=True)
+
+
+@register("D5_ivfpq_recall")
+def q_ivfpq_recall(spark, sf_dir):
+    """D7 gate for IVF-PQ with exact re-scoring of the top-50 candidates."""
+    v = _vecs(spark, sf_dir)
+    idx = ann.build_ivfpq(v, nlist=8, m=16, nbits=6, seed=7)
+    cand = ann.ivfpq_search(v.withColumnRenamed("id", "query_id"), idx, k=50, nprobe=6, exclude_self=True)
+    return dense.validate_recall(dense.rescore(cand, v, v, 10), _exact_knn(spark, sf_dir), 10, 0.97)

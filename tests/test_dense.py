@@ -137,3 +137,19 @@ def test_block_paths_with_many_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", prev)
         spark.conf.set("spark.sql.shuffle.partitions", prevp)
+
+
+def test_ivfpq_recall_and_full_probe(spark):
+    from quarry.operators import ann
+    rng = np.random.default_rng(12)
+    # clustered data: IVF-PQ should find most neighbours
+    centers = rng.normal(size=(5, 8)) * 4
+    V = np.concatenate([c + rng.normal(size=(60, 8)) for c in centers]).astype(np.float32)
+    df = vecs(spark, V)
+    q = df.withColumnRenamed("id", "query_id")
+    idx = ann.build_ivfpq(df, nlist=5, m=4, nbits=4, seed=3)
+    exact = dense.flat_search(q, df, k=10, exclude_self=True)
+    cand = ann.ivfpq_search(q, idx, k=40, nprobe=5, exclude_self=True, shard_rows=30)
+    approx = dense.rescore(cand, df, df, 10)
+    rec = dense.validate_recall(approx, exact, 10).first()["recall"]
+    assert rec > 0.9
