@@ -187,40 +187,53 @@ def doc_text(index: LexicalIndex, ids: DataFrame, id_col: str = "doc_id") -> Dat
 
 # ---------------------------------------------------------------- S7 / S8
 
+def _fingerprint_exprs(cols: list[str]):
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    h2 = F.xxhash64(F.lit("quarry"), *[F.col(c) for c in cols])
+    return [F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h2).alias("x")]
+
+
+def _fp_dict(row) -> dict:
+    return {"n": int(row["n"]), "s": str(row["s"]), "x": int(row["x"] or 0)}
+
+
 def fingerprint(df: DataFrame, cols: list[str] | None = None) -> dict:
     """Order- and partition-independent fingerprint of a table.
 
     count, sum of 64-bit row hashes (as exact decimal) and xor of salted row
     hashes; computed in one distributed aggregate.
     """
-    cols = cols or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols])
-    h2 = F.xxhash64(F.lit("quarry"), *[F.col(c) for c in cols])
-    row = df.agg(F.count("*").alias("n"),
-                 F.sum(h.cast("decimal(38,0)")).alias("s"),
-                 F.bit_xor(h2).alias("x")).first()
-    return {"n": int(row["n"]), "s": str(row["s"]), "x": int(row["x"] or 0)}
+    return _fp_dict(df.agg(*_fingerprint_exprs(cols or df.columns)).first())
+
+
+def _write_observed(df: DataFrame, path: str, mode: str) -> dict:
+    """Write ``df`` and compute its fingerprint in the same job
+    (``DataFrame.observe``), so the written table is not scanned again."""
+    from pyspark.sql import Observation
+
+    obs = Observation(f"fp_{os.path.basename(path)}")
+    df.observe(obs, *_fingerprint_exprs(df.columns)).write.mode(mode).parquet(path)
+    return _fp_dict(obs.get)
 
 
 def save_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite") -> None:
     """Write the index tables as Parquet plus a JSON with parameters
-    and per-table fingerprints. Postings are clustered by term (range
-    partitioned, sorted) so row-group statistics let a term filter skip files.
-    """
-    index.docs.write.mode(mode).parquet(os.path.join(path, "docs"))
-    index.terms.write.mode(mode).parquet(os.path.join(path, "terms"))
-    # range on (term, doc_id), not term alone: a stop word's postings spread
-    # over several files instead of one hot partition; files stay term-sorted
-    (index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-         .write.mode(mode).parquet(os.path.join(path, "postings")))
+    and per-table fingerprints (computed while writing). Postings are
+    clustered by term (range partitioned on (term, doc_id), sorted) so
+    row-group statistics let a term filter skip files, and a stop word
+    spans several files instead of one hot partition."""
+    checks = {
+        "docs": _write_observed(index.docs, os.path.join(path, "docs"), mode),
+        "terms": _write_observed(index.terms, os.path.join(path, "terms"), mode),
+        "postings": _write_observed(
+            index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"),
+            os.path.join(path, "postings"), mode),
+    }
     if index.tokens is not None:
         index.tokens.write.mode(mode).parquet(os.path.join(path, "tokens"))
     sp = index.docs.sparkSession
     meta = dict(index.stats)
-    meta["checksums"] = {
-        name: fingerprint(sp.read.parquet(os.path.join(path, name)))
-        for name in ("docs", "terms", "postings")
-    }
+    meta["checksums"] = checks
     # the metadata file is tiny; write it through Spark so any shared
     # filesystem the cluster uses works
     sp.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
