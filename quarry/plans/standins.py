@@ -48,7 +48,8 @@ def _shingles(tokens, w: int):
 
 def containment_pairs(items: DataFrame, docs: DataFrame, item_id: str = "query_id",
                       item_text: str = "query", doc_id: str = "doc_id",
-                      doc_text: str = "text", max_short_items: int = 10_000) -> DataFrame:
+                      doc_text: str = "text", max_short_items: int = 10_000,
+                      max_item_shingles: int = 2_000_000) -> DataFrame:
     """Pairs (item, doc) where ``doc_text`` contains ``item_text`` verbatim.
 
     No cross join: an item of n >= 3 whitespace tokens that occurs inside a
@@ -74,11 +75,16 @@ def containment_pairs(items: DataFrame, docs: DataFrame, item_id: str = "query_i
         doc_sh = part if doc_sh is None else doc_sh.unionByName(part)
     pairs = None
     if doc_sh is not None:
-        sh_df = doc_sh.groupBy("__w", "__sh").agg(F.count("*").alias("__df"))
         interior = long_items.select(
             "__iid", "__w",
             F.explode(F.transform(F.sequence(F.lit(2), F.col("__n") - F.col("__w")),
                                   lambda i: F.concat_ws(" ", F.slice("__tok", i, F.col("__w"))))).alias("__sh"))
+        # only document shingles that some item uses matter: a semi join with
+        # the (size-checked) item shingle set before aggregating, so the
+        # corpus-wide shingle table is never shuffled
+        item_sh = broadcast_if_small(interior.select("__w", "__sh").distinct(), max_item_shingles)
+        doc_sh = doc_sh.join(item_sh, ["__w", "__sh"], "left_semi")
+        sh_df = doc_sh.groupBy("__w", "__sh").agg(F.count("*").alias("__df"))
         ranked = interior.join(sh_df, ["__w", "__sh"], "left").fillna(0, ["__df"])
         best = ranked.groupBy("__iid", "__w").agg(
             F.min("__df").alias("__mindf"), F.min_by("__sh", F.struct("__df", "__sh")).alias("__sh"))
