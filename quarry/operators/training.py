@@ -29,7 +29,10 @@ def build_examples(positives: DataFrame, negatives: DataFrame, corpus: DataFrame
     Positives come first with teacher score 1.0, then the negatives with
     their mined teacher scores (best first); texts are attached ("" when
     missing). Output ``(query_id, pos, doc_id, text, teacher_score,
-    is_positive)``; lists per query are bounded by the negative cap.
+    is_positive)``; lists per query are bounded by the negative cap. The
+    position is a ``row_number`` window: a sort per query that streams (no
+    list is gathered), so even a query with very many positives only costs
+    its sort.
     """
     p = positives.select("query_id", "doc_id", F.lit(1.0).alias("teacher_score"), F.lit(0).alias("__grp"))
     n = negatives.select("query_id", "doc_id", F.col("teacher_score").cast("double"), F.lit(1).alias("__grp"))

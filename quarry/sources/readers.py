@@ -78,6 +78,9 @@ def load_eval_set(chunks: DataFrame, max_queries: int | None = None,
     The query text is the one of the first row, docs and labels are lists in
     passage order. Truncation (Q21) is by *queries* after grouping, using a
     dense rank of the query id - never by rows.
+
+    Group size: a query's passages come from one QA record (one input row),
+    so each list is no larger than the record it was exploded from.
     """
     g = chunks.groupBy("query_id").agg(
         F.min_by("query", F.col(order_col)).alias("query"),
