@@ -1347,3 +1347,25 @@ def q_ivfpq_recall(spark, sf_dir):
     idx = ann.build_ivfpq(v, nlist=8, m=16, nbits=6, seed=7)
     cand = ann.ivfpq_search(v.withColumnRenamed("id", "query_id"), idx, k=50, nprobe=6, exclude_self=True)
     return dense.validate_recall(dense.rescore(cand, v, v, 10), _exact_knn(spark, sf_dir), 10, 0.97)
+
+
+@register("D11_hybrid_rrf", f"""WITH {_bm25_ctes_a()}, {topk_cte('lex', 'scored', 50)}, {LETTER_DOCS},
+qraw AS (SELECT item_id AS query_id, {_letters_sql('text')} AS v FROM benchmark),
+lq AS (SELECT query_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+       FROM (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM qraw)),
+ds AS (SELECT lq.query_id, ldoc.doc_id, list_inner_product(lq.v::DOUBLE[], ldoc.v::DOUBLE[]) AS score FROM lq, ldoc),
+{topk_cte('den', 'ds', 50)},
+u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM lex UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM den),
+f AS (SELECT query_id, doc_id, sum(s) AS score FROM u GROUP BY 1, 2),
+{topk_cte('top', 'f', 10)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""")
+def q_hybrid(spark, sf_dir):
+    """Hybrid search: BM25 run and dense run (letter-histogram encoder) fused by RRF."""
+    c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
+    lex = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=50)
+    enc = dense.LetterEncoder()
+    qv = enc.encode(q, id_col="query_id", text_col="query").withColumnRenamed("id", "query_id")
+    dv = enc.encode(c, id_col="doc_id", text_col="text")
+    den = dense.flat_search(qv, dv, k=50)
+    r = dense.fuse_rrf({"lexical": lex, "dense": den}, k0=60, k=10)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
