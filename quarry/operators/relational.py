@@ -144,3 +144,39 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str,
     return (parted.join(offs, "__pid")
                   .withColumn(out, (F.col("__off") + F.col("__mid") - F.col("__m0") + 1).cast("bigint"))
                   .drop("__pid", "__off", "__mid", "__m0"))
+
+
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], qs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy / ``quantile_cont``
+    semantics) without an aggregation buffer holding every value.
+
+    Each group's size comes from one aggregation; rows are ranked by a
+    sort-based window (spills, never gathered in memory) and only the rows at
+    positions ``floor(p (n-1))`` and ``ceil(p (n-1))`` are kept and
+    interpolated. NULL values are ignored.
+    """
+    names = list(names or [f"p{int(round(q * 100))}" for q in qs])
+    by = list(by)
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    if by:
+        n = d.groupBy(*by).agg(F.count("*").alias("__n"))
+        ranked = d.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")) - 1).join(n, by)
+    else:  # one global group: a scalar count and the distributed global row number
+        total = d.count()
+        ranked = (global_row_number(d, ["__v"], "__r1").withColumn("__r", F.col("__r1") - 1)
+                  .drop("__r1").withColumn("__n", F.lit(total)))
+    aggs = []
+    for q, name in zip(qs, names):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        frac = pos - lo
+        v_lo = F.max(F.when(F.col("__r") == lo, F.col("__v")))
+        v_hi = F.max(F.when(F.col("__r") == hi, F.col("__v")))
+        aggs.append((v_lo + (v_hi - v_lo) * F.first(frac)).alias(name))
+    keep = None
+    for q in qs:
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        c = (F.col("__r") == F.floor(pos)) | (F.col("__r") == F.ceil(pos))
+        keep = c if keep is None else keep | c
+    return ranked.filter(keep).groupBy(*by).agg(*aggs)

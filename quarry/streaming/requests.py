@@ -279,10 +279,19 @@ def latency_quantiles(log: DataFrame, window: str = "5 minutes", by: Sequence[st
     interpolation) in batch, ``percentile_approx`` when ``exact=False``
     (streams, where exact percentiles keep every value in state)."""
     log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    if exact and not watermark:
+        # batch: exact quantiles by rank positions (sort-based, spills), not
+        # an aggregation buffer holding every latency of a window
+        from quarry.operators.relational import exact_quantiles
+        keyed = log.withColumn("w", F.window("ts", window))
+        qv = exact_quantiles(keyed, "latency_ms", ["w", *by], qs, names)
+        cnt = keyed.groupBy("w", *by).agg(F.count("*").alias("requests"))
+        g = cnt.join(qv, ["w", *by], "left")
+        return g.select(F.col("w.start").alias("window_start"), *by, *names, "requests")
     src = log.withWatermark("ts", watermark) if watermark else log
     agg = []
-    for q in qs:
-        name = f"p{int(round(q * 100))}"
+    for q, name in zip(qs, names):
         f = F.percentile("latency_ms", q) if exact else F.percentile_approx("latency_ms", q, 10000)
         agg.append(f.alias(name))
     g = src.groupBy(F.window("ts", window).alias("w"), *by).agg(*agg, F.count("*").alias("requests"))

@@ -93,3 +93,16 @@ def test_risk_coverage(spark):
     idx = np.linspace(0, 256, 100, dtype=int)
     assert [r["coverage"] for r in got] == pytest.approx(list(cov[idx]))
     assert [r["accuracy"] for r in got] == pytest.approx(list(acc[idx]))
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from quarry.operators.relational import exact_quantiles
+    rng = np.random.default_rng(7)
+    vals = {g: rng.normal(size=int(rng.integers(1, 40))) for g in "abcd"}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in vals.items() for v in vs], "g string, x double")
+    got = {r["g"]: (r["p50"], r["p95"]) for r in exact_quantiles(df, "x", ["g"], (0.5, 0.95)).collect()}
+    for g, vs in vals.items():
+        assert got[g] == pytest.approx((np.percentile(vs, 50), np.percentile(vs, 95)))
+    allv = np.concatenate(list(vals.values()))
+    r = exact_quantiles(df, "x", [], (0.5, 0.99)).first()
+    assert (r["p50"], r["p99"]) == pytest.approx((np.percentile(allv, 50), np.percentile(allv, 99)))
