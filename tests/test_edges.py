@@ -134,3 +134,16 @@ def test_stream_late_row_dropped(spark, tmp_path):
     q.stop()
     rows = {r["window_start"]: r["requests"] for r in spark.sql(f"select * from {name}").collect()}
     assert rows[base] == 1  # the late row was dropped
+
+
+def test_containment_pairs_brute_force(spark):
+    from quarry.plans.standins import containment_pairs
+    docs = ["alpha beta gamma delta epsilon", "x alpha beta gamma", "gamma delta epsilon zeta",
+            "beta gamma", "prefixalpha beta gamma deltasuffix", "a b c d e f a b c d e f", ""]
+    items = ["alpha beta gamma", "beta gamma", "gamma delta epsilon zeta", "a b c d", "c d e f a",
+             "nothing here at all", "alpha beta gamma delta", "pha beta gamma del"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "query_id long, query string")
+    got = {(r["query_id"], r["doc_id"]) for r in containment_pairs(i, d).collect()}
+    want = {(qi, di) for qi, q in enumerate(items) for di, t in enumerate(docs) if q in t}
+    assert got == want
