@@ -118,3 +118,10 @@ def with_prefix(text, kind: str = "query") -> Column:
     """Encoder prefix for queries or passages."""
     prefix = QUERY_PREFIX if kind == "query" else PASSAGE_PREFIX
     return F.concat(F.lit(prefix), _col(text))
+
+
+def version_stamp(ts=None) -> Column:
+    """Index/version stamp ``%Y%m%d-%H%M`` (session time zone) of ``ts``,
+    by default the query's current timestamp."""
+    t = F.current_timestamp() if ts is None else _col(ts)
+    return F.date_format(t, "yyyyMMdd-HHmm")

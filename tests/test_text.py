@@ -64,3 +64,10 @@ def test_prefixes(spark):
     k1 = one(spark, tx.cache_key(F.col("t"), F.lit(10)), " Hello ")
     k2 = one(spark, tx.cache_key(F.col("t"), F.lit(10)), "hello")
     assert k1 == k2
+
+
+def test_version_stamp(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 5, 7, 9, 59),)], "t timestamp")
+    assert df.select(tx.version_stamp("t").alias("v")).first()["v"] == "20240305-0709"
+    assert len(df.select(tx.version_stamp().alias("v")).first()["v"]) == 13
