@@ -72,3 +72,13 @@ def test_write_metrics_markdown(spark):
     m = spark.createDataFrame([("ndcg", 10, 0.5)], "metric string, k long, value double")
     md = writers.write_metrics(m, os.path.join(scratch(), "m"))
     assert "| ndcg | 10 | 0.5000 |" in md
+
+
+def test_load_embedding_table(spark):
+    from quarry.sources import readers
+    d = scratch()
+    spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.4])], "id long, embedding array<float>") \
+         .write.parquet(os.path.join(d, "vec"))
+    spark.createDataFrame([(1, "one")], "id long, text string").write.parquet(os.path.join(d, "txt"))
+    vec, n = readers.load_embedding_table(spark, os.path.join(d, "vec"), os.path.join(d, "txt"))
+    assert n == 2 and {r["id"]: r["text"] for r in vec.collect()} == {1: "one", 2: None}
