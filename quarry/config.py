@@ -54,3 +54,7 @@ class EngineConfig:
             raise ValueError(f"loss weights must sum to 1 (got {total})")
         if self.chunk_stride >= self.chunk_max_tokens:
             raise ValueError("chunk stride (overlap) must be smaller than max tokens")
+
+
+# the engine-wide defaults used by operator signatures
+DEFAULTS = EngineConfig()

@@ -29,6 +29,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULTS
 from quarry.functions.text import detokenize, tokenize
 from quarry.operators.relational import bounded_rows, broadcast_if_small, top_k_per_group
 
@@ -56,8 +57,8 @@ def _tokenized(corpus: DataFrame, id_col: str, text_col: str, pos_col: str | Non
 
 
 def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-                        pos_col: str | None = None, k1: float = 1.5, b: float = 0.75,
-                        epsilon: float = 0.25, keep_tokens: bool = True) -> LexicalIndex:
+                        pos_col: str | None = None, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b,
+                        epsilon: float = DEFAULTS.bm25_epsilon, keep_tokens: bool = True) -> LexicalIndex:
     """L1 + L2: build the BM25 tables from a corpus DataFrame.
 
     ``pos_col`` is the corpus order used to break score ties (the reference

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULTS
 from quarry.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, trigram_jaccard
 from quarry.operators import dense
 from quarry.operators.lexical import LexicalIndex, bm25_search
@@ -41,7 +42,8 @@ def mine_bm25(index: LexicalIndex, queries: DataFrame, qrels: DataFrame, k: int
 
 
 def mine_teacher(cands: DataFrame, queries: DataFrame, corpus: DataFrame, scorer=None,
-                 k: int = 10, threshold: float = 0.6, band: tuple | None = None,
+                 k: int = DEFAULTS.teacher_top_k, threshold: float = DEFAULTS.teacher_confidence,
+                 band: tuple | None = None,
                  order_col: str = "bm25_rank") -> DataFrame:
     """N2 (+N9): score candidates with the teacher, keep the top-k, then
     those with confidence >= threshold (``band=(lo, hi)`` keeps the
@@ -83,7 +85,7 @@ def encode_for_mining(encoder, queries: DataFrame, corpus: DataFrame, doc_ids: D
 
 
 def mine_ance(cands: DataFrame, qrels: DataFrame | None, query_vectors: DataFrame, doc_vectors: DataFrame,
-              margin: float = 0.1, k: int = 5, metric: str = "ip",
+              margin: float = DEFAULTS.ance_margin, k: int = DEFAULTS.ance_top_k, metric: str = "ip",
               order_col: str | None = "teacher_rank", version: int | None = None,
               max_pos: DataFrame | None = None) -> DataFrame:
     """N3 (+N10): candidates whose student score is within ``margin`` of the
@@ -151,7 +153,8 @@ def combine_stages(teacher: DataFrame, ance: DataFrame, n_teacher: int = 5) -> D
 
 
 def denoise(cands: DataFrame, qrels: DataFrame, corpus: DataFrame, scorer=None,
-            teacher_max: float = 0.7, overlap_max: float = 0.8) -> DataFrame:
+            teacher_max: float = DEFAULTS.denoise_teacher_max,
+            overlap_max: float = DEFAULTS.denoise_overlap_max) -> DataFrame:
     """Drop candidates the teacher rates as likely positive (confidence
     >= teacher_max) or whose text overlaps a positive's text by more than
     overlap_max (T2). Candidates per query are a capped list, so the
@@ -169,7 +172,7 @@ def denoise(cands: DataFrame, qrels: DataFrame, corpus: DataFrame, scorer=None,
     return out.filter(keep)
 
 
-def cap_negatives(cands: DataFrame, n: int = 7, score_col: str = "teacher_score") -> DataFrame:
+def cap_negatives(cands: DataFrame, n: int = DEFAULTS.negatives_per_query, score_col: str = "teacher_score") -> DataFrame:
     """At most n negatives per query, best teacher score first."""
     return top_k_per_group(cands, ["query_id"], [F.desc(F.round(score_col, 9)), F.asc("doc_id")], n,
                            rank_col="neg_rank")

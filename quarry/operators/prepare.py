@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.config import DEFAULTS
 from quarry.functions.text import split_ws
 
 QA_SCHEMA = T.StructType([
@@ -87,7 +88,7 @@ def _check_chunk_args(max_tokens: int, stride: int):
         raise ValueError("stride (overlap) must be in [0, max_tokens)")
 
 
-def chunk_documents(df: DataFrame, max_tokens: int = 512, stride: int = 80,
+def chunk_documents(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens, stride: int = DEFAULTS.chunk_stride,
                     id_col: str | None = "doc_id", text_col: str = "text",
                     keep: tuple = (), order_col: str | None = None) -> DataFrame:
     """Token-window chunking in pure Spark SQL (no Python per row).
@@ -132,7 +133,7 @@ def chunk_documents(df: DataFrame, max_tokens: int = 512, stride: int = 80,
 _TOKEN = re.compile(r"\S+")  # Python's str.split() whitespace definition
 
 
-def chunk_offsets(df: DataFrame, max_tokens: int = 512, stride: int = 80,
+def chunk_offsets(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens, stride: int = DEFAULTS.chunk_stride,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """P5 with character offsets: the chunk text is the exact substring
     ``text[start_char:end_char]`` of the window (code-point offsets).

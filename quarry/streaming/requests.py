@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.config import DEFAULTS
 from quarry.functions.text import query_hash
 
 # fixed values: latency histogram bucket bounds in seconds
@@ -125,8 +126,8 @@ def _mark_sessions(e: DataFrame, refill: float, idle: float | None) -> DataFrame
                   .drop("__pid", "__open"))
 
 
-def token_bucket(events: DataFrame, rpm: float = 100.0, burst: int = 20,
-                 idle_seconds: float | None = 600.0, client_col: str = "client",
+def token_bucket(events: DataFrame, rpm: float = DEFAULTS.requests_per_minute, burst: int = DEFAULTS.burst,
+                 idle_seconds: float | None = DEFAULTS.bucket_idle_seconds, client_col: str = "client",
                  ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
     """R1 (+R2) batch form: per request, whether the client's token bucket
     allows it, the tokens left and the retry delay when refused.
