@@ -13,7 +13,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from quarry.operators import ann, dense, lexical, metrics  # noqa: E402
+from quarry.operators import ann, dense, lexical, metrics, mining  # noqa: E402
 from quarry.plans import standins as st  # noqa: E402
 from quarry.session import get_session  # noqa: E402
 from quarry.streaming import requests as rq  # noqa: E402
@@ -52,7 +52,12 @@ def main():
                                                                          max_query_rows=0, block_rows=500)),
         ("D4 IVF search (sharded cells)", ann.ivf_search(q, ivf, k=10, nprobe=12, exclude_self=True)),
         ("M8 retrieval metrics", metrics.retrieval_metrics(run, st.qrels_a(spark, sf), (10, 50, 100))),
+        ("N1 -> N2 mining (BM25 candidates minus positives, teacher top-10)",
+         mining.mine_teacher(mining.mine_bm25(idx, queries, st.qrels_a(spark, sf), k=100), queries, corpus,
+                             k=10, threshold=0.25)),
         ("R1 token bucket", rq.token_bucket(st.requests(spark, sf), rpm=60 / 21600, burst=2, idle_seconds=28800.0)),
+        ("R4 exact latency quantiles per window (rank positions)",
+         rq.latency_quantiles(st.requests(spark, sf), "1 hour", by=["event_type"])),
     ]
     out = ["# Physical plans of the headline operators", "",
            f"Generated by `scripts/explain_plans.py` on `{sf}` (tree of `explain('formatted')` plus the "
