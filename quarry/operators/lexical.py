@@ -85,23 +85,34 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
     docs = (corpus.select(F.col(id_col).alias("doc_id"), F.col(pos_col or id_col).alias("pos"))
                   .join(dls, "doc_id", "left").select("doc_id", "pos", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
     avgdl = float(total) / n_docs
-    raw_idf = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms_raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw_idf", raw_idf)
-    avg_row = terms_raw.agg(F.avg("raw_idf").alias("a"), F.count("*").alias("v")).first()
-    avg_idf = float(avg_row["a"]) if avg_row["a"] is not None else 0.0
-    floor = epsilon * avg_idf
-    terms = terms_raw.select(
-        "term", "df", F.when(F.col("raw_idf") < 0, F.lit(floor)).otherwise(F.col("raw_idf")).alias("idf"))
+    terms, avg_idf, vocabulary = term_stats(postings, n_docs, epsilon)
     denom_norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     weighted = (postings.join(terms.select("term", "idf"), "term")
                 .withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + denom_norm))
                 .drop("idf"))
     stats = {"N": n_docs, "avgdl": avgdl, "avg_idf": avg_idf, "k1": k1, "b": b,
-             "epsilon": epsilon, "vocabulary": int(avg_row["v"])}
+             "epsilon": epsilon, "vocabulary": vocabulary}
     return LexicalIndex(docs=docs, terms=terms, postings=weighted, stats=stats,
                         tokens=tok.select("doc_id", "tokens") if keep_tokens else None)
 
 
+def term_stats(postings: DataFrame, n_docs: int, epsilon: float = DEFAULTS.bm25_epsilon):
+    """L2: document frequency and epsilon-floored idf per term.
+
+    ``idf = ln(N - df + 0.5) - ln(df + 0.5)``; ``avg_idf`` is the mean raw idf
+    over the vocabulary (one scalar aggregate); every negative idf becomes
+    ``epsilon * avg_idf``. Returns ``(terms(term, df, idf), avg_idf, vocabulary)``.
+    """
+    raw_idf = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms_raw = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw_idf", raw_idf)
+    avg_row = terms_raw.agg(F.avg("raw_idf").alias("a"), F.count("*").alias("v")).first()
+    avg_idf = float(avg_row["a"]) if avg_row["a"] is not None else 0.0
+    floor = epsilon * avg_idf
+    terms = terms_raw.select(
+        "term", "df", F.when(F.col("raw_idf") < 0, F.lit(floor)).otherwise(F.col("raw_idf")).alias("idf"))
+    return terms, avg_idf, int(avg_row["v"])
+
+
 def query_terms(queries: DataFrame, query_id_col: str = "query_id", query_col: str = "query") -> DataFrame:
     """Query tokens with their multiplicity ``qtf`` (repetition counts)."""
     return (queries.select(F.col(query_id_col).alias("query_id"),

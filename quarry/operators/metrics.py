@@ -304,3 +304,27 @@ def evaluate_lists(lists: DataFrame, ks: Sequence[int] = (1, 5, 10), score_col:
     qrels = lists.select("query_id", "doc_id", "rel")
     return retrieval_metrics(run.select("query_id", "doc_id", F.col(score_col).alias("score"), "rank"),
                              qrels, ks, queries=lists.select("query_id").distinct(), metrics=("ndcg", "mrr"))
+
+
+def evaluate_retrieval(query_vectors: DataFrame, doc_vectors: DataFrame, qrels: DataFrame | None,
+                       ks: Sequence[int] = (1, 5, 10, 20), exclude_self: bool = False,
+                       group_col: str | None = None, metrics: Sequence[str] = ("ndcg", "mrr")) -> DataFrame:
+    """M9: exact retrieval over a shared corpus (D3, once at max k), labels
+    joined by id (J7), nDCG/MRR at every k from the one ranked table.
+
+    Relevance comes from ``qrels``, or - with ``group_col`` on both vector
+    tables - from "same group" (judged row by row, no pair table).
+    """
+    from quarry.operators.dense import flat_search
+    q = query_vectors.withColumnRenamed("id", "query_id")
+    run = flat_search(q, doc_vectors, k=max(ks), exclude_self=exclude_self)
+    queries = q.select("query_id")
+    if group_col is None:
+        return retrieval_metrics(run, qrels, ks, queries=queries, metrics=metrics)
+    ql = query_vectors.select(F.col("id").alias("query_id"), F.col(group_col).alias("__qg"))
+    dl = doc_vectors.select(F.col("id").alias("doc_id"), F.col(group_col).alias("__dg"))
+    judged = run.join(ql, "query_id").join(dl, "doc_id").withColumn("rel", (F.col("__qg") == F.col("__dg")).cast("int"))
+    sizes = doc_vectors.groupBy(F.col(group_col).alias("__qg")).agg(F.count("*").alias("__size"))
+    n_rel = ql.join(sizes, "__qg", "left").select(
+        "query_id", (F.coalesce("__size", F.lit(0)) - (1 if exclude_self else 0)).alias("n_rel"))
+    return retrieval_metrics(judged, None, ks, queries=queries, metrics=metrics, n_rel=n_rel)

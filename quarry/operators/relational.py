@@ -180,3 +180,11 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], qs: Sequence[f
         c = (F.col("__r") == F.floor(pos)) | (F.col("__r") == F.ceil(pos))
         keep = c if keep is None else keep | c
     return ranked.filter(keep).groupBy(*by).agg(*aggs)
+
+
+def maxsim(run: DataFrame, chunk_col: str = "doc_id", score_col: str = "score") -> DataFrame:
+    """A2 (+T3): document score = maximum of its chunks' scores, per query.
+    The document id is the chunk id without its last ``_`` part."""
+    from quarry.functions.text import doc_id_from_chunk
+    return (run.groupBy("query_id", doc_id_from_chunk(chunk_col).alias("doc_id"))
+               .agg(F.max(score_col).alias("score")))

@@ -844,16 +844,8 @@ SELECT metric, k::BIGINT AS k, round(value, 6) AS value FROM (
   UNPIVOT (SELECT k, ndcg, mrr FROM mq_out) ON ndcg, mrr INTO NAME metric VALUE value)""")
 def q_eval_retrieval(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    run = dense.flat_search(v.withColumnRenamed("id", "query_id"), v, k=20, exclude_self=True)
     # relevance = same label, judged row by row; relevant counts from label sizes
-    lab = v.select("id", "label")
-    judged = (run.join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-                 .join(lab.select(F.col("id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
-                 .withColumn("rel", (F.col("ql") == F.col("dl")).cast("int")))
-    sizes = lab.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
-    n_rel = lab.join(sizes, "label").select(F.col("id").alias("query_id"), "n_rel")
-    m = metrics.retrieval_metrics(judged, None, (1, 5, 10, 20), queries=v.select(F.col("id").alias("query_id")),
-                                  metrics=("ndcg", "mrr"), n_rel=n_rel)
+    m = metrics.evaluate_retrieval(v, v, None, (1, 5, 10, 20), exclude_self=True, group_col="label")
     return m.select("metric", "k", r6("value"))
 
 
@@ -1197,8 +1189,7 @@ def q_maxsim(spark, sf_dir):
     chunks = prepare.chunk_documents(st.corpus(spark, sf_dir), 512, 80)
     idx = lexical.build_lexical_index(chunks, "chunk_id", "text")
     run = lexical.bm25_search(idx, st.queries_a(spark, sf_dir), k=100)
-    ms = run.groupBy("query_id", doc_id_from_chunk("doc_id").alias("doc_id")).agg(F.max("score").alias("score"))
-    return ms.select("query_id", "doc_id", r6("score"))
+    return relational.maxsim(run).select("query_id", "doc_id", r6("score"))
 
 
 @register("J10_intersection", f"""WITH {_bm25_ctes_a()}, {topk_cte('run', 'scored', 100)}
