@@ -138,6 +138,19 @@ class LetterEncoder(Encoder):
         return df.select(F.col(id_col).alias("id"), v.alias("embedding"))
 
 
+def encode(df: DataFrame, encoder: Encoder, kind: str | None = "passage", normalize: bool = True,
+           id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """D1 (+T8): encode texts with a plug-in encoder -> ``(id, embedding)``.
+
+    ``kind`` adds the encoder's input prefix ("query: " / "passage: ");
+    ``None`` encodes the raw text. Only the id and text columns reach the
+    Python stage."""
+    from quarry.functions.text import with_prefix
+    t = F.col(text_col) if kind is None else with_prefix(F.coalesce(F.col(text_col), F.lit("")), kind)
+    src = df.select(F.col(id_col).alias("id"), t.alias("text"))
+    return encoder.encode(src, "id", "text", normalize=normalize)
+
+
 # --------------------------------------------------------------- exact top-k
 
 def _topk_rows(S: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int):

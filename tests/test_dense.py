@@ -153,3 +153,11 @@ def test_ivfpq_recall_and_full_probe(spark):
     approx = dense.rescore(cand, df, df, 10)
     rec = dense.validate_recall(approx, exact, 10).first()["recall"]
     assert rec > 0.9
+
+
+def test_encode_with_prefix(spark):
+    df = spark.createDataFrame([(1, "hello"), (2, None)], "id long, text string")
+    enc = dense.HashingEncoder(16)
+    a = {r["id"]: r["embedding"] for r in dense.encode(df, enc, kind="query").collect()}
+    b = {r["id"]: r["embedding"] for r in enc.encode(spark.createDataFrame([(1, "query: hello")], "id long, text string")).collect()}
+    assert a[1] == b[1] and len(a) == 2
