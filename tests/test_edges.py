@@ -147,3 +147,19 @@ def test_containment_pairs_brute_force(spark):
     got = {(r["query_id"], r["doc_id"]) for r in containment_pairs(i, d).collect()}
     want = {(qi, di) for qi, q in enumerate(items) for di, t in enumerate(docs) if q in t}
     assert got == want
+
+
+def test_term_stats_and_maxsim(spark):
+    postings = spark.createDataFrame([("a", "d0"), ("a", "d1"), ("a", "d2"), ("b", "d0"), ("c", "d1")],
+                                     "term string, doc_id string")
+    terms, avg_idf, vocab = lexical.term_stats(postings, 4, 0.25)
+    raw = {"a": math.log(4 - 3 + 0.5) - math.log(3.5), "b": math.log(3.5) - math.log(1.5)}
+    raw["c"] = raw["b"]
+    avg = sum(raw.values()) / 3
+    got = {r["term"]: (r["df"], r["idf"]) for r in terms.collect()}
+    assert vocab == 3 and avg_idf == pytest.approx(avg)
+    assert got["a"] == (3, pytest.approx(0.25 * avg)) and got["b"] == (1, pytest.approx(raw["b"]))
+    run = spark.createDataFrame([("q", "doc1_0", 0.5), ("q", "doc1_1", 0.9), ("q", "doc_2_0", 0.3)],
+                                "query_id string, doc_id string, score double")
+    ms = {r["doc_id"]: r["score"] for r in relational.maxsim(run).collect()}
+    assert ms == {"doc1": 0.9, "doc_2": 0.3}
