@@ -230,12 +230,21 @@ def _apply_mask(S: np.ndarray, qg: np.ndarray, vg: np.ndarray, mask: str | None)
 def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
                     mask: str | None = None):
     spark = q.sparkSession
-    rows = q.collect()  # bounded by the caller's row and byte checks
-    qids = np.array([r["query_id"] for r in rows], dtype=object)
-    qgroups = np.array([r["g"] for r in rows], dtype=object)
-    Q = np.array([np.asarray(r["qv"], dtype=np.float64) for r in rows]).reshape(len(rows), -1) \
-        if rows else np.zeros((0, dim))
-    if len(rows):
+    # bounded by the caller's row and byte checks; Arrow moves the matrix in
+    # one columnar batch instead of Python Row objects
+    try:
+        tbl = q.toArrow()
+        qids = np.array(tbl.column("query_id").to_pylist(), dtype=object)
+        qgroups = np.array(tbl.column("g").to_pylist(), dtype=object)
+        vecs = tbl.column("qv").to_pylist()
+    except AttributeError:  # older Spark without toArrow
+        rows = q.collect()
+        qids = np.array([r["query_id"] for r in rows], dtype=object)
+        qgroups = np.array([r["g"] for r in rows], dtype=object)
+        vecs = [r["qv"] for r in rows]
+    Q = np.array([np.asarray(v, dtype=np.float64) for v in vecs]).reshape(len(vecs), -1) \
+        if vecs else np.zeros((0, dim))
+    if len(vecs):
         _check_dims(Q, dim, "query vectors")
     bq = spark.sparkContext.broadcast((qids, Q, qgroups))
     id_type = v.schema["doc_id"].dataType.simpleString()
