@@ -17,12 +17,12 @@ Lists make pairs in two steps, so that a group of n near copies doesn't make n²
    classes into components;
 2. members outside the component of the list's leader are paired with all
    members of other components: nothing is left out that could still link.
-A pair must pass two bounds first. The first is exact: ``alone`` counts the
-shingles that no other listed class has; of two sets with c and c' others,
-the intersection is at most min(c, c') and the union at least
-max(c, c') + alone + alone'. The second estimates the Jaccard similarity from
-the sketch of the union, with a margin as wide as above. What passes is
-confirmed on the full sets: 100 * intersection >= 85 * union.
+A pair must pass two bounds first. The first is exact: a set's shingles that some
+other listed class has too are counted by ranges of their hashes; the
+intersection of two sets is at most the sum, over the ranges, of the smaller
+counts. The second estimates the Jaccard similarity from the sketch of the
+union, with a margin as wide as above. What passes is confirmed on the full
+sets: 100 * intersection >= 85 * union.
 
 Components are made with alternating large and small stars; tables are written
 to the shared folder between the rounds.
@@ -50,10 +50,13 @@ SHINGLE = 5
 K = 32
 #: Links: 100 * intersection >= SIMILAR * union.
 SIMILAR = 85
+#: Ranges of hashes for the exact bound of a pair.
+RANGES = 64
 #: The chance that sketches of similar sets share fewer values than asked for.
 LOSS = 1e-10
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_SHIFT = np.uint64(63 - (RANGES - 1).bit_length())
 _S29, _S32, _ONE = np.uint64(29), np.uint64(32), np.uint64(1)
 
 
@@ -105,13 +108,15 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """rep and shingles (the full set) of every row."""
+    """rep and shingles (the full set) of every row, and how many of them stand in each range."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t) for t in b.column(1).to_pylist()])], ["rep", "shingles"])
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            ranges = [np.bincount(s >> _SHIFT, minlength=RANGES) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets), pa.array(ranges, pa.list_(pa.int32()))], ["rep", "shingles", "ranges"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return docs.mapInArrow(run, "rep long, shingles array<long>, ranges array<int>")
 
 
 def inverted_lists(reps: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
@@ -128,9 +133,24 @@ def inverted_lists(reps: DataFrame, k: int = K, similar: int = SIMILAR) -> DataF
             .select("rep", "weight", F.transform("h", lambda x: x["v"]).alias("under")).select("rep", "weight", "under", F.explode("under").alias("v")))
 
 
-def within(c1, a1, c2, a2, similar: int = SIMILAR):
-    """The exact bound for a pair: c shingles shared with any listed class, a with none."""
-    return F.least(c1, c2) * 100 >= (F.greatest(c1, c2) + a1 + a2) * similar
+def within(n1, c1, r1, n2, c2, r2, similar: int = SIMILAR):
+    """The exact bound for a pair: sizes n, and numbers of shingles that others have too, in all (c) and by range (r)."""
+    def may(common):  # common * 100 >= (n1 + n2 - common) * similar
+        return common * (100 + similar) >= (n1 + n2) * similar
+
+    return may(F.least(c1, c2)) & may(F.aggregate(F.zip_with(r1, r2, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x))
+
+
+def shared_counts(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """rep, n, c and r of the sets that can have a partner: a shingle that no other listed class has is in no intersection."""
+    width = int(_SHIFT)
+    alone = (sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+             .groupBy("rep", F.shiftright("x", width).cast("int").alias("j")).agg(F.count("*").cast("int").alias("k"))
+             .groupBy("rep").agg(F.sum("k").alias("alone"), F.map_from_entries(F.collect_list(F.struct("j", "k"))).alias("by")))  # RANGES entries at most
+    n = F.size("shingles").cast("long")
+    rest = F.when(F.col("by").isNull(), F.col("ranges")).otherwise(F.transform("ranges", lambda h, j: h - F.coalesce(F.try_element_at(F.col("by"), j), F.lit(0))))
+    out = sets.join(alone, "rep", "left").select("rep", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("c"), rest.alias("r"))
+    return out.where(F.col("n") * similar <= F.col("c") * 100).dropDuplicates(["rep"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
@@ -173,15 +193,10 @@ def links(reps: DataFrame, docs: DataFrame, s: Scratch, k: int = K, similar: int
     lists = s.table(inverted_lists(reps, k, similar), "lists")
     listed = lists.select("rep").distinct()
     sets = s.table(full_sets(docs.join(listed, docs.doc_id == listed.rep, "left_semi")), "sets")
-    alone = (sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-             .where("rep = other").groupBy("rep").agg(F.count("*").alias("alone")))
-    sizes = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(alone, "rep", "left").select(
-        "rep", F.coalesce("alone", F.lit(0)).cast("long").alias("a"), (F.col("n") - F.coalesce("alone", F.lit(0))).cast("long").alias("c"))
-    # a set of which too much stands nowhere else has no partner
-    lists = s.table(lists.join(sizes.where((F.col("c") + F.col("a")) * similar <= F.col("c") * 100).dropDuplicates(["rep"]), "rep"), "lists2")
-
-    leaders = lists.groupBy("v").agg(F.max(F.struct("weight", "rep", "c", "a")).alias("l"), F.count("*").alias("members")).where("members > 1")
-    to_leader = (lists.join(leaders, "v").where(F.col("rep") != F.col("l.rep")).where(within(F.col("c"), F.col("a"), F.col("l.c"), F.col("l.a"), similar))
+    lists = s.table(lists.join(shared_counts(sets, similar), "rep"), "lists2")
+
+    leaders = lists.groupBy("v").agg(F.max(F.struct("weight", "rep", "n", "c", "r")).alias("l"), F.count("*").alias("members")).where("members > 1")
+    to_leader = (lists.join(leaders, "v").where(F.col("rep") != F.col("l.rep")).where(within(*map(F.col, ("n", "c", "r", "l.n", "l.c", "l.r")), similar))
                  .select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct())
     stars = s.table(to_leader, "stars")
     first = s.table(confirmed(stars, sets, k, similar), "first")
@@ -194,8 +209,8 @@ def links(reps: DataFrame, docs: DataFrame, s: Scratch, k: int = K, similar: int
     # every pair once: under the first value that both are listed under, and by the smaller rep if both are outside the leader's component
     rest = left.join(right, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component"))
                      & ((F.col("y.component") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep")))
-                     & within(F.col("x.c"), F.col("x.a"), F.col("y.c"), F.col("y.a"), similar)
-                     & (F.array_min(F.array_intersect("x.under", "y.under")) == F.col("x.v")))
+                     & (F.array_min(F.array_intersect("x.under", "y.under")) == F.col("x.v"))
+                     & within(*map(F.col, ("x.n", "x.c", "x.r", "y.n", "y.c", "y.r")), similar))
     rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = s.table(confirmed(s.table(rest, "rest"), sets, k, similar), "second")
     out = s.table(components(first.union(second), s, "all"), "components")
