@@ -1,10 +1,9 @@
 """Quality rules: line-first cleaning, with DataFrame functions only.
 
 Every line of a document is judged by itself: a line fails as symbols (many of
-``#*$%&|<>`` for its words), as shouting (many ``!!`` or few lower-case
-letters), as navigation (items between bars, or many words without any
-sentence), or as boilerplate (a known short notice, or the repeat of an
-earlier line). The lines that pass are the cleaned text. A document is rejected
+``#*$%&|<>`` for its words), as shouting (many ``!!``, or few lower-case
+letters), as navigation (items between bars without any sentence), or as
+boilerplate (a known short notice, or the repeat of an earlier line). The lines that pass are the cleaned text. A document is rejected
 if its whole text fails a base rule or cleaning takes too much of its text.
 
 Everything happens within a row: no shuffle, no Python. The heavy part of the
@@ -29,7 +28,8 @@ MOST_REPEATED = 20  # per cent of the words
 #: A line fails at so many symbols, bars or ``!!`` per hundred words.
 SYMBOLS_PER_100 = 30
 SHOUTS_PER_100 = 30
-#: A line of at least so many letters fails if fewer than this share of them, in per cent, are lower-case.
+#: A line with such a run and at least so many letters fails if fewer than this share of them, in per cent, are lower-case.
+CAPITALS = r"\p{Lu}{3}"
 LEAST_LETTERS = 20
 LEAST_LOWER = 30
 #: A document is rejected if its cleaned lines hold less than so many per cent of its word characters.
@@ -45,8 +45,8 @@ def words(text: Column) -> Column:
 
 
 def n_of(text: Column, chars: str) -> Column:
-    """How many characters of the class stand in the text."""
-    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+    """How many of the characters stand in the text."""
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0))
 
 
 def word_hashes(w: Column) -> Column:
@@ -55,9 +55,7 @@ def word_hashes(w: Column) -> Column:
 
 def windows(h: Column) -> Column:
     """A hash for each window of words. 64 bits: within one text two differing windows practically never meet."""
-    at = lambda i, k: F.get(h, i + k)
-    return F.when(F.size(h) < WINDOW, F.array().cast("array<long>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)])))
+    return F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)])), 1, F.greatest(F.size(h) - WINDOW + 1, F.lit(0)))
 
 
 def repeated_words(v: Column) -> Column:
@@ -78,29 +76,24 @@ def repeated_words(v: Column) -> Column:
     return F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0).cast("long")).otherwise(heavy)
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line that has a word passes every line rule by itself."""
+def line_fails(line: Column, symbols: Column, shouts: Column, capitals: Column, notices: Column) -> Column:
+    """Whether a line that has a word fails by itself. The other arguments say what its document has at
+    all: a rule that can't apply to any line isn't worked out for each."""
     n_words = F.size(F.split(F.trim(F.regexp_replace(line, SPACE + "+", " ")), " "))
-    symbols = n_of(line, SYMBOLS)
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     lower = F.length(F.regexp_replace(line, r"[^\p{Ll}\p{Lo}]+", ""))
-    sentence = line.rlike(r"[.!?:;,。]")
-    low = F.lower(line)
-    notice = F.lit(False)
-    for b in BOILERPLATE:
-        notice = notice | low.contains(b)
-    return ~((100 * symbols >= SYMBOLS_PER_100 * n_words)
-             | (100 * shouts >= SHOUTS_PER_100 * n_words)
-             | ((letters >= LEAST_LETTERS) & (100 * lower < LEAST_LOWER * letters))
-             | ((bars >= 2) & ~sentence)
-             | ((n_words <= BOILERPLATE_WORDS) & notice))
+    return ((symbols & (100 * n_of(line, SYMBOLS) >= SYMBOLS_PER_100 * n_words))
+            | (symbols & (n_of(line, "|") >= 2) & ~line.rlike(r"[.!?:;,。]"))
+            | (shouts & line.contains("!!") & (100 * (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2 >= SHOUTS_PER_100 * n_words))
+            | (capitals & line.rlike(CAPITALS) & (letters >= LEAST_LETTERS) & (100 * lower < LEAST_LOWER * letters))
+            | (notices & has_notice(line) & (n_words <= BOILERPLATE_WORDS)))
 
 
-def cleaned_lines(lines: Column) -> Column:
-    """The passing lines, each text once."""
-    return F.filter(F.array_distinct(lines), line_passes)
+def has_notice(text: Column) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for b in BOILERPLATE:
+        out = out | low.contains(b)
+    return out
 
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "share_left", "cleaned", "kept")
@@ -121,16 +114,20 @@ def judged(own: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         n_of(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.col("t").contains("!!").alias("shouts"), F.col("t").rlike(CAPITALS).alias("capitals"), has_notice(F.col("t")).alias("notices"),
         F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         windows_of(F.col("w")).alias("v"),
-    )
+    ).withColumn("once", F.array_distinct("lines"))
+    symbols = F.col("n_symbols") > 0
+    suspect = symbols | F.col("shouts") | F.col("capitals") | F.col("notices")
     b = a.select(
         "own", "n_words", "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("lines") - F.size("once")).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("v")).alias("n_repeat_words"),
-        F.array_join(cleaned_lines(F.col("lines")), "\n").alias("cleaned"),
-    )
-    left = F.length(F.regexp_replace("cleaned", SPACE + "+", ""))
+        F.size("lines").alias("n_lines"),
+        F.when(suspect, F.filter("once", lambda x: ~line_fails(x, symbols, F.col("shouts"), F.col("capitals"), F.col("notices")))).otherwise(F.col("once")).alias("left"),
+    ).withColumn("cleaned", F.array_join("left", "\n"))
+    left = F.when(F.size("left") == F.col("n_lines"), F.col("word_chars")).otherwise(F.length(F.regexp_replace("cleaned", SPACE + "+", "")))
     c = b.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     c = c.withColumn("share_left", F.when(F.col("word_chars") > 0, left / F.col("word_chars")).otherwise(F.lit(0.0)))
     return c.withColumn("kept", ~F.col("base_failed") & (F.col("share_left") * 100 >= LEAST_LEFT))
@@ -163,7 +160,7 @@ f AS (SELECT r, line, k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
              length(regexp_replace(line, '[^\pL]+', '', 'g')) AS letters,
              length(regexp_replace(line, '[^\p{Ll}\p{Lo}]+', '', 'g')) AS low FROM l),
 g AS (SELECT r, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM f
-      WHERE k = 1 AND NOT (100 * sym >= 30 * nw OR 100 * shout >= 30 * nw OR (letters >= 20 AND 100 * low < 30 * letters)
+      WHERE k = 1 AND NOT (100 * sym >= 30 * nw OR 100 * shout >= 30 * nw OR (regexp_matches(line, '\p{Lu}{3}') AND letters >= 20 AND 100 * low < 30 * letters)
             OR (bars >= 2 AND NOT regexp_matches(line, '[.!?:;,\x{3002}]'))
             OR (nw <= 12 AND regexp_matches(lower(line), 'cookie policy|privacy policy|terms of use|terms of service|skip to content|click here to|sign up for our|subscribe to our|javascript is disabled|enable javascript|share this|read more|lorem ipsum')))
       GROUP BY r),
