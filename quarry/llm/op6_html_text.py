@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import own_columns
+from quarry.llm.common import Scratch, own_columns
 
 #: A subtree recurs if it stands on so many pages of its host, and on such a share of them.
 LEAST_PAGES = 5
@@ -197,41 +198,58 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
-def template_subtrees(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """key (of the page), template (its subtrees that recur on its host). ``pages``: key, host, html."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """host, key and subtrees (distinct countable hashes) of each page. ``pages``: host, key, html."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [sorted(countable(parse(h or ""))) for h in b.column(2).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
             flat = pa.array([x for s in sets for x in s], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], ["key", "host", "subtrees"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], ["host", "key", "subtrees"])
 
-    subs = pages.select("key", "host", "html").mapInArrow(run, "key binary, host string, subtrees array<long>")
-    each = subs.select("key", "host", F.explode("subtrees").alias("subtree")).distinct()
-    size = subs.select("key", "host").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    return pages.select("host", "key", "html").mapInArrow(run, "host string, key long, subtrees array<long>")
+
+
+def template_subtrees(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """host, key (of a page) and template: its subtrees that recur on its host."""
+    pages = subtrees.dropDuplicates(["host", "key"])  # a page that stands in several rows counts once
+    each = pages.select("host", "key", F.explode("subtrees").alias("subtree"))
+    size = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     often = (each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
              .join(size, "host").where(F.col("n") >= F.col("n_pages") * least_share).select("host", "subtree"))
-    return each.join(often, ["host", "subtree"]).groupBy("key").agg(F.collect_list("subtree").alias("template"))
+    return each.join(often, ["host", "subtree"]).groupBy("host", "key").agg(F.collect_list("subtree").alias("template"))
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """The html compressed, for the one shuffle that moves it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            html = [zlib.compress((h or "").encode("utf-8", "surrogatepass"), 3) for h in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(html, pa.binary())], ["page_id", "url", "host", "key", "html"])
+
+    return pages.select("page_id", "url", "host", "key", "html").mapInArrow(run, "page_id long, url string, host string, key long, html binary")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``. The html is shuffled once, by the page's key."""
+    """page_id, url, text, n_chars of every row of ``pages``. The html is shuffled once, compressed, by host and the hash of the page."""
+    spark = pages.sparkSession
     own = own_columns(pages, "page_id", "url", "html")
     own = own.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    keyed = own.withColumn("host", host(F.col("url"))).withColumn(
-        "key", F.unhex(F.sha1(F.concat(F.coalesce("url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))))))
+    keyed = own.withColumn("host", host(F.col("url"))).withColumn("key", F.xxhash64("url", "html"))
+    subtrees = Scratch(spark, "op6").table(page_subtrees(keyed), "subtrees")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = []
             for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                root = parse(h or "")
+                root = parse(zlib.decompress(h).decode("utf-8", "surrogatepass"))
                 if t:
                     hash_subtrees(root)
                 texts.append(text_of(root, set(t or ())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
-    known = keyed.join(template_subtrees(keyed, least_pages, least_share), "key", "left")
+    known = packed(keyed).join(template_subtrees(subtrees, least_pages, least_share), ["host", "key"], "left")
     return known.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
