@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens that a worker remembers before it starts afresh: bounds its memory, not the result.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Longer pre-tokens aren't remembered.
 LONGEST_KEY = 64
 
@@ -88,17 +88,18 @@ class Encoder:
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of one pre-token."""
-        if piece in self.packed:
-            return self.packed[piece]
+        packed = self.packed
+        if piece in packed:
+            return packed[piece]
         n = len(piece)
         get, queue = self.ranks.get, self.queue
         push, pop = queue.push, queue.pop
         end = list(range(1, n + 1))  # the token at i is piece[i:end[i]]; its neighbour begins at end[i]
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that begins at i
-        for i in range(n - 1):
-            if (r := get(piece[i:i + 2], -1)) >= 0:
-                pair[i] = r
+        pair = [get(piece[i:i + 2], -1) for i in range(n)]  # rank of the pair that begins at i
+        pair[-1] = -1
+        for i, r in enumerate(pair):
+            if r >= 0:
                 push(r, i)
         while queue.top:
             r, i = pop()
@@ -116,7 +117,7 @@ class Encoder:
                 pair[p] = q = get(piece[p:e], -1)
                 if q >= 0:
                     push(q, p)
-        out, i, packed = [], 0, self.packed
+        out, i = [], 0
         while i < n:
             out.append(packed[piece[i:end[i]]])
             i = end[i]
@@ -133,7 +134,11 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.lookup, self.find(text))), "<i4")
+        tokens = self.find(text)
+        ids = list(map(self.known.get, tokens))
+        if None in ids:
+            ids = [self.lookup(t) if x is None else x for t, x in zip(tokens, ids, strict=True)]
+        return np.frombuffer(b"".join(ids), "<i4")
 
 
 @cache
