@@ -313,7 +313,7 @@ def convert(index: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Da
     flat = revisits(index, least_bytes).select(
         "archive", "position", F.col("first.archive").alias("first_archive"), F.col("first.position").cast("double").alias("first_position"),
         F.col("first.page_id").cast("string").alias("first_page"))
-    return flat.groupBy("archive").applyInPandas(run, "archive string")
+    return spread(flat, "archive").groupBy("archive").applyInPandas(run, "archive string")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
