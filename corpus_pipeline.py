@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import op1_minhash_dedup, op4_decontaminate, op8_byte_bpe, op9_quality_rules, op10_pii
-from quarry.llm.common import Scratch, small_batches
+from quarry.llm.common import Scratch, free, small_batches
 from quarry.session import ship_package
 
 
@@ -25,24 +25,29 @@ def _ready(spark: SparkSession) -> None:
 
 def _with_text(docs: DataFrame, changed: DataFrame, text) -> DataFrame:
     """The columns of docs with another text, and n_chars counted anew where it changes."""
-    new = changed.withColumn("__new", text)
-    n = {"n_chars": F.when(F.col("__new") == F.col("text"), F.col("n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return new.withColumns(n).withColumn("text", F.col("__new")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = free("__new", changed.columns)
+    new = changed.withColumn(own, text)
+    n = {"n_chars": F.when(F.col(own) == F.col("text"), F.col("n_chars")).otherwise(F.length(own)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return new.withColumns(n).withColumn("text", F.col(own)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others the lines that fail go."""
     _ready(spark)
-    judged = op9_quality_rules.quality(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), keep=docs.columns, prefix="__").where("__kept")
-    return _with_text(docs, judged, F.when(F.col("__share_left") == 1, F.col("text")).otherwise(F.col("__cleaned")))
+    p = "__"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    judged = op9_quality_rules.quality(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), keep=docs.columns, prefix=p).where(F.col(p + "kept"))
+    return _with_text(docs, judged, F.when(F.col(p + "share_left") == 1, F.col("text")).otherwise(F.col(p + "cleaned")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
     _ready(spark)
     ids = op1_minhash_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    nth = free("__nth", docs.columns)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.join(ids, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    one = docs.join(ids, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return one.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
 
@@ -51,19 +56,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a benchmark item go."""
     _ready(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return op4_decontaminate.mark(docs, items, "__leaks").where(F.size("__leaks") == 0).drop("__leaks")
+    found = free("__leaks", docs.columns)
+    return op4_decontaminate.mark(docs, items, found).where(F.size(found) == 0).drop(found)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are replaced by the name of their kind."""
     _ready(spark)
     found = op10_pii.find(docs, op10_pii.train(docs), keep=docs.columns)
-    return _with_text(docs, found, F.col("__redacted"))
+    return _with_text(docs, found, F.col(free("__redacted", docs.columns)))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the ids, their number and digest, and the digest of the decoded bytes."""
+    """The columns of documents, the ids, their number and digest, and the digest of the decoded bytes;
+    these take the place of columns of documents that have their names."""
     _ready(spark)
+    docs = docs.drop("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
     return op8_byte_bpe.with_digests(op8_byte_bpe.decode(op8_byte_bpe.encode(docs)))
 
 

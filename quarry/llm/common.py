@@ -53,6 +53,14 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free(name: str, columns) -> str:
+    """The name, with as many underscores in front as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text):
     """A-Z to a-z. ``lower`` maps one character outside ASCII, the Kelvin sign, to an ASCII letter; it goes to another letter first."""
     return F.lower(F.replace(text, F.lit("K"), F.lit("ĸ")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import own_columns
+from quarry.llm.common import free, own_columns
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban")
@@ -330,8 +330,10 @@ def redact(text: str, spans) -> str:
 
 
 def find(docs: DataFrame, model: Boosted, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns of ``keep`` (doc_id by default), base (spans joined), spans, and redacted (the text). No shuffle."""
+    """The columns of ``keep`` (doc_id by default), then __base (spans joined), __spans and __redacted
+    (the text); names that are taken get further underscores. No shuffle."""
     keep = ["doc_id"] if keep is None else keep
+    added = [free(c, docs.columns) for c in ("__base", "__spans", "__redacted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred nodes
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,11 +346,11 @@ def find(docs: DataFrame, model: Boosted, keep: list[str] | None = None, text_co
                 base.append(joined(own))
                 spans.append(joined(every))
                 texts.append(t if not every else redact(t, every))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in (base, spans, texts))], [*keep, "__base", "__spans", "__redacted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in (base, spans, texts))], [*keep, *added])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return own.mapInArrow(run, f"{types}, __base string, __spans string, __redacted string")
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free("__text", keep)))
+    return own.mapInArrow(run, f"{types}, " + ", ".join(f"{c} string" for c in added))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

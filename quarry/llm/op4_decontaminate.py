@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import own_columns
+from quarry.llm.common import free, own_columns
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -248,7 +248,7 @@ def mark(docs: DataFrame, items: DataFrame, out: str = "leaks", block_words: int
     marked, extra = docs, []
     for k, block in enumerate(item_blocks(items, block_words)):
         sent = sc.broadcast(block)
-        extra.append(f"__{out}{k}")
+        extra.append(free(f"__{out}{k}", docs.columns))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent, name=extra[-1]) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import free
+
 #: Pre-tokens that a worker remembers before it starts afresh: bounds its memory, not the result.
 REMEMBERED = 900_000
 #: Longer pre-tokens aren't remembered.
@@ -166,7 +168,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", keep: list[s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], [*keep, out])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(f"__{text_col}"))
+    own = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free("__text", keep)))
     return own.mapInArrow(batches, f"{fields}, `{out}` array<int>")
 
 
