@@ -475,15 +475,12 @@ def search(requests: DataFrame, vectors: DataFrame | None, corpus: DataFrame | N
 
 def search_distinct(requests: DataFrame, search_fn, key: Column) -> DataFrame:
     """Evaluate each distinct request once (batch meaning of the result
-    cache): ``dropDuplicates`` on the cache key, search, join back."""
+    cache). A key's representative is its smallest ``query_id``, so that every
+    evaluation of the plan picks the same; search, join back."""
     keyed = requests.withColumn("__key", key)
-    uniq = keyed.dropDuplicates(["__key"])
+    uniq = (keyed.groupBy("__key").agg(F.min_by(F.struct(*requests.columns), "query_id").alias("__r"))
+                 .select("__r.*", "__key"))
     res = search_fn(uniq)
     m = keyed.select("query_id", "__key").join(uniq.select(F.col("query_id").alias("__rep"), "__key"), "__key")
     return (m.join(res.withColumnRenamed("query_id", "__rep"), "__rep")
              .drop("__rep", "__key"))
-
-
-def dims_of(vectors: DataFrame, vec_col: str = "embedding") -> list[int]:
-    """Distinct dimensions present (bounded: a handful of values)."""
-    return [r["d"] for r in bounded_rows(vectors.select(F.size(vec_col).alias("d")).distinct(), 16, "dims")]

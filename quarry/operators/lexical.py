@@ -26,6 +26,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,7 +243,7 @@ def save_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite")
             os.path.join(path, "postings"), mode),
     }
     if index.tokens is not None:
-        index.tokens.write.mode(mode).parquet(os.path.join(path, "tokens"))
+        checks["tokens"] = _write_observed(index.tokens, os.path.join(path, "tokens"), mode)
     sp = index.docs.sparkSession
     meta = dict(index.stats)
     meta["checksums"] = checks
@@ -258,22 +259,19 @@ def load_lexical_index(spark: SparkSession, path: str, verify: bool = True) -> L
     meta_path = os.path.join(path, "meta")
     try:
         meta = json.loads(spark.read.text(meta_path).first()["value"])
-    except Exception as exc:  # noqa: BLE001
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no lexical index at {path}") from exc
-    tables = {n: spark.read.parquet(os.path.join(path, n)) for n in ("docs", "terms", "postings")}
+    # the tables that were written are those that have a fingerprint
+    tables = {n: spark.read.parquet(os.path.join(path, n)) for n in meta["checksums"]}
     if verify:
         for name, df in tables.items():
             if fingerprint(df) != meta["checksums"][name]:
                 raise ValueError(f"checksum mismatch for index table {name}")
-    tokens = None
-    if os.path.exists(os.path.join(path, "tokens")) or not path.startswith("/"):
-        try:
-            tokens = spark.read.parquet(os.path.join(path, "tokens"))
-        except Exception:  # noqa: BLE001
-            tokens = None
     stats = {k: v for k, v in meta.items() if k != "checksums"}
     return LexicalIndex(docs=tables["docs"], terms=tables["terms"], postings=tables["postings"],
-                        stats=stats, tokens=tokens)
+                        stats=stats, tokens=tables.get("tokens"))
 
 
 def idf_value(n_docs: int, df: int) -> float:

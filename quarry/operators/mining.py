@@ -125,7 +125,7 @@ def mine_curriculum(stage: int, index: LexicalIndex, queries: DataFrame, qrels:
     ``teacher[:5]`` union ANCE keyed by doc id.
     """
     if stage not in (1, 2, 3):
-        raise ValueError(f"Invalid stage: {stage}. Must be 1, 2, or 3.")
+        raise ValueError(f"the curriculum has stages 1 to 3, not {stage}")
     n1 = mine_bm25(index, queries, qrels, k=bm25_k)
     if stage == 1:
         return n1.select("query_id", "doc_id", F.lit(0.0).alias("teacher_score"))

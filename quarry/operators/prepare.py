@@ -14,15 +14,12 @@ Deviations from the reference, on purpose:
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import DEFAULTS
-from quarry.functions.text import split_ws
+from quarry.functions.text import WS_CLASS, WS_RUN, split_ws
 
 QA_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -130,54 +127,47 @@ def chunk_documents(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens,
         start.cast("bigint").alias("start_token"), end.cast("bigint").alias("end_token"))
 
 
-_TOKEN = re.compile(r"\S+")  # Python's str.split() whitespace definition
-
-
 def chunk_offsets(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens, stride: int = DEFAULTS.chunk_stride,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """P5 with character offsets: the chunk text is the exact substring
     ``text[start_char:end_char]`` of the window (code-point offsets).
 
-    Token offsets need a regex scan per document; this is the one place a
-    Python stage is used, Arrow-batched through ``mapInPandas`` (the filter
-    and projection happen before it, so the scan reads two columns only).
+    The windows are those of ``chunk_documents``. The text is cut before every
+    token; a window starts after the pieces in front of it, by their summed
+    lengths, and ends where its last piece has its trailing white space. A
+    text of one window is kept whole.
     """
     _check_chunk_args(max_tokens, stride)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # a first piece of white space alone, and an empty last one, hold no token
+    pieces = F.split(text, f"(?<={WS_CLASS})(?!{WS_CLASS})")
+    src = df.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("__text"), pieces.alias("__all"))
+    src = src.select("doc_id", "__text", F.transform("__all", lambda x: F.length(x)).alias("__len"),
+                     F.transform("__all", lambda x: F.length(F.regexp_replace(x, f"{WS_RUN}$", ""))).alias("__bare"))
+    tok = src.withColumn("__n", F.size(F.filter("__bare", lambda x: x > 0))).withColumn("__lead", (F.get("__bare", F.lit(0)) == 0).cast("int"))
+    n = F.col("__n")
     step = max_tokens - stride
-    schema = ("chunk_id string, doc_id string, chunk_index bigint, text string, tokens bigint, "
-              "start_char bigint, end_char bigint")
-
-    def run(batches):
-        for pdf in batches:
-            out = {k: [] for k in ("chunk_id", "doc_id", "chunk_index", "text", "tokens", "start_char", "end_char")}
-            for did, text in zip(pdf["doc_id"], pdf["text"]):
-                text = "" if text is None else text
-                did_s = None if did is None else str(did)
-                spans = [m.span() for m in _TOKEN.finditer(text)]
-                n = len(spans)
-                if n <= max_tokens:
-                    wins = [(0, n, 0, len(text), text)]
-                else:
-                    wins, s = [], 0
-                    while s < n:
-                        e = min(s + max_tokens, n)
-                        a, b = spans[s][0], spans[e - 1][1]
-                        wins.append((s, e, a, b, text[a:b]))
-                        if e >= n:
-                            break
-                        s += step
-                for i, (s, e, a, b, t) in enumerate(wins):
-                    out["chunk_id"].append(f"{did_s}_{i}" if did_s else str(i))
-                    out["doc_id"].append(did_s)
-                    out["chunk_index"].append(i)
-                    out["text"].append(t)
-                    out["tokens"].append(e - s)
-                    out["start_char"].append(a)
-                    out["end_char"].append(b)
-            yield pd.DataFrame(out)
-
-    src = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, schema)
+    n_windows = F.when(n <= max_tokens, F.lit(1)).otherwise(F.ceil((n - max_tokens) / F.lit(float(step))).cast("int") + 1)
+
+    def before(piece):
+        return F.aggregate(F.slice("__len", 1, piece), F.lit(0), lambda at, x: at + x)
+
+    def window(i):
+        whole = n <= max_tokens
+        end = F.least(i * step + max_tokens, n)
+        last = F.col("__lead") + end - 1
+        return F.struct(i.alias("chunk_index"),
+                        F.when(whole, n).otherwise(end - i * step).alias("tokens"),
+                        F.when(whole, F.lit(0)).otherwise(before(F.col("__lead") + i * step)).alias("start_char"),
+                        F.when(whole, F.length("__text")).otherwise(before(last) + F.get("__bare", last)).alias("end_char"))
+
+    rows = tok.select("doc_id", "__text", F.transform(F.sequence(F.lit(0), n_windows - 1), window).alias("__w"))
+    rows = rows.select("doc_id", F.explode(F.transform("__w", lambda x: F.struct(
+        x.alias("w"), F.substring("__text", x["start_char"] + 1, x["end_char"] - x["start_char"]).alias("text")))).alias("c"))
+    index = F.col("c.w.chunk_index")
+    chunk_id = F.when(F.coalesce("doc_id", F.lit("")) == "", index.cast("string")).otherwise(F.concat_ws("_", "doc_id", index))
+    return rows.select(chunk_id.alias("chunk_id"), "doc_id", index.cast("bigint").alias("chunk_index"), "c.text",
+                       *[F.col(f"c.w.{x}").cast("bigint").alias(x) for x in ("tokens", "start_char", "end_char")])
 
 
 def prep_summary(chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
@@ -126,7 +128,9 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str,
 
     Rows are range-partitioned and sorted on the order key; each partition
     counts its rows (one tiny aggregate, one number per partition), and the
-    prefix sums of those counts become per-partition offsets.
+    prefix sums of those counts become per-partition offsets. The sorted rows
+    are written to the checkpoint folder first: a range exchange samples its
+    bounds each time it runs, so counts and rows must come from one run.
     """
     order = [F.desc(c) if descending else F.asc(c) for c in order_cols]
     spark = df.sparkSession
@@ -135,12 +139,13 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str,
                 .sortWithinPartitions(*order)
                 .withColumn("__pid", F.spark_partition_id()))
     # local row number via a per-partition monotonically increasing id
-    parted = parted.withColumn("__mid", F.monotonically_increasing_id())
+    parted = cut_lineage(parted.withColumn("__mid", F.monotonically_increasing_id()))
     counts = parted.groupBy("__pid").agg(F.count("*").alias("__n"), F.min("__mid").alias("__m0"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the window over it is tiny by construction
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    offs = F.broadcast(offs.select("__pid", "__off", "__m0"))
+    offs = F.broadcast(  # one row per range partition
+        offs.select("__pid", "__off", "__m0"))
     return (parted.join(offs, "__pid")
                   .withColumn(out, (F.col("__off") + F.col("__mid") - F.col("__m0") + 1).cast("bigint"))
                   .drop("__pid", "__off", "__mid", "__m0"))

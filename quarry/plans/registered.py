@@ -783,8 +783,6 @@ SELECT 'kd' AS run, arg_min(epoch, v) AS best_epoch, round(min(v), 6) AS best_va
        min(CASE WHEN stale >= 1 THEN epoch END) AS stop_epoch, max(epoch) AS last_epoch,
        min(CASE WHEN stale >= 1 THEN epoch END) IS NOT NULL AS stopped_early FROM s""")
 def q_early_stop(spark, sf_dir):
-    ep = q_epoch_losses(spark, sf_dir).select(F.lit("kd").alias("run"), "epoch", F.col("loss").alias("value"))
-    # values were rounded for display; stop on the unrounded losses
     sc = _scores(spark, sf_dir)
     parts = [training.kd_loss(sc, temperature=T).select(F.lit("kd").alias("run"), F.lit(e).alias("epoch"),
                                                           F.col("loss").alias("value"))
@@ -1290,16 +1288,19 @@ per AS (SELECT th, count(*) AS c FROM h WHERE th IS NOT NULL AND th <> '' GROUP
 dup AS (SELECT coalesce(sum(c - 1), 0) AS nd FROM per),
 req AS (SELECT count(*) FILTER (WHERE text IS NULL) AS mt, count(*) FILTER (WHERE lang IS NULL) AS ml FROM h)
 SELECT 'documents' AS dataset, 'all' AS split, 'duplicates' AS "check", (SELECT nd FROM dup) = 0 AS ok,
-       'num_duplicates=' || (SELECT nd FROM dup) AS detail
+       'num_duplicates=' || (SELECT nd FROM dup) AS detail, ok AND (SELECT mt = 0 AND ml = 0 FROM req) AS passed
 UNION ALL
 SELECT 'documents', 'all', 'schema', (SELECT mt = 0 AND ml = 0 FROM req),
        concat_ws(',', CASE WHEN (SELECT mt FROM req) > 0 THEN 'text=' || (SELECT mt FROM req) END,
-                      CASE WHEN (SELECT ml FROM req) > 0 THEN 'lang=' || (SELECT ml FROM req) END)
+                      CASE WHEN (SELECT ml FROM req) > 0 THEN 'lang=' || (SELECT ml FROM req) END),
+       (SELECT nd FROM dup) = 0 AND (SELECT mt = 0 AND ml = 0 FROM req)
 UNION ALL
-SELECT 'documents', 'all', 'count', (SELECT count(*) FROM h) = 1000, 'actual=' || (SELECT count(*) FROM h)""")
+SELECT 'documents', 'all', 'count', (SELECT count(*) FROM h) = (SELECT count(*) FROM documents), 'actual=' || (SELECT count(*) FROM h),
+       (SELECT nd FROM dup) = 0 AND (SELECT mt = 0 AND ml = 0 FROM req)""")
 def q_report(spark, sf_dir):
     d = st.table(spark, sf_dir, "documents").withColumn("th", F.sha2("text", 256))
-    return checks.integrity_report(d, "documents", "all", "th", "doc_id", ["text", "lang"], expected_count=1000)
+    expected = st.table(spark, sf_dir, "documents").count()  # what the table's files say
+    return checks.integrity_report(d, "documents", "all", "th", "doc_id", ["text", "lang"], expected_count=expected)
 
 
 @register("P4_combine_title", """SELECT doc_id, sha256(CASE WHEN source IS NOT NULL AND length(source) > 0

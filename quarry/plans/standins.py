@@ -46,60 +46,60 @@ def _shingles(tokens, w: int):
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _interior(w: int):
+    """Shingles of an item's tokens without its first and last, which may be parts of a document's tokens."""
+    return F.transform(F.sequence(F.lit(2), F.col("__n") - w), lambda i: F.concat_ws(" ", F.slice("__tok", i, w)))
+
+
+def _char_grams(text, w: int):
+    """Distinct runs of w characters (code points)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(\P{Cs}.{%d}))" % (w - 1)), F.lit(1)))
+
+
 def containment_pairs(items: DataFrame, docs: DataFrame, item_id: str = "query_id",
                       item_text: str = "query", doc_id: str = "doc_id",
-                      doc_text: str = "text", max_short_items: int = 10_000,
-                      max_item_shingles: int = 2_000_000) -> DataFrame:
+                      doc_text: str = "text", max_item_shingles: int = 2_000_000) -> DataFrame:
     """Pairs (item, doc) where ``doc_text`` contains ``item_text`` verbatim.
 
-    No cross join: an item of n >= 3 whitespace tokens that occurs inside a
-    document makes its interior tokens (positions 1..n-2) whole tokens of
-    that document, in order. So each item is keyed by its *rarest* interior
-    shingle of w = min(3, n-2) tokens, equi-joined with the shingles of the
-    documents, and every candidate is verified with a substring test. The
-    result is exact. Items of at most two tokens have no interior token; they
-    are few by nature and are matched by a size-checked broadcast.
+    No cross join: every item is keyed by its *rarest* part that a document
+    must have, equi-joined with the documents' parts, and every candidate is
+    verified with a substring test, so the result is exact. An item of n >= 3
+    whitespace tokens makes its interior tokens (positions 1..n-2) whole tokens
+    of a document that contains it; its parts are the interior shingles of
+    min(3, n-2) tokens. A shorter item's parts are its runs of min(3, length)
+    characters. Parts that no item has are left out before anything is shuffled.
     """
     it = items.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext"))
     it = it.filter(F.length("__itext") > 0).withColumn("__tok", split_ws("__itext"))
     it = it.withColumn("__n", F.size("__tok"))
-    long_items = it.filter(F.col("__n") >= 3).withColumn("__w", F.least(F.lit(3), F.col("__n") - 2))
-    ws = sorted({r["__w"] for r in bounded_rows(long_items.select("__w").distinct(), 3, "shingle widths")})
+    # kind: token shingles of width 1 to 3, or character grams of width 1 to 3 (negative)
+    it = it.withColumn("__w", F.when(F.col("__n") >= 3, F.least(F.lit(3), F.col("__n") - 2)).otherwise(-F.least(F.lit(3), F.length("__itext"))))
+    ws = sorted({r["__w"] for r in bounded_rows(it.select("__w").distinct(), 6, "kinds of parts")})
+    if not ws:
+        return items.sparkSession.createDataFrame([], f"{item_id} bigint, {doc_id} bigint")
     dk = docs.select(F.col(doc_id).alias("__did"), F.col(doc_text).alias("__dtext"))
-    dtok = dk.select("__did", split_ws("__dtext").alias("__tok"))
-    doc_sh = None
+    dtok = dk.withColumn("__tok", split_ws("__dtext"))
+    own, there = None, None
     for w in ws:
-        # distinct shingles per document inside the row: no global distinct shuffle
-        part = dtok.select("__did", F.lit(w).alias("__w"),
-                           F.explode(F.array_distinct(_shingles("__tok", w))).alias("__sh"))
-        doc_sh = part if doc_sh is None else doc_sh.unionByName(part)
-    pairs = None
-    if doc_sh is not None:
-        interior = long_items.select(
-            "__iid", "__w",
-            F.explode(F.transform(F.sequence(F.lit(2), F.col("__n") - F.col("__w")),
-                                  lambda i: F.concat_ws(" ", F.slice("__tok", i, F.col("__w"))))).alias("__sh"))
-        # only document shingles that some item uses matter: a semi join with
-        # the (size-checked) item shingle set before aggregating, so the
-        # corpus-wide shingle table is never shuffled
-        item_sh = broadcast_if_small(interior.select("__w", "__sh").distinct(), max_item_shingles)
-        doc_sh = doc_sh.join(item_sh, ["__w", "__sh"], "left_semi")
-        sh_df = doc_sh.groupBy("__w", "__sh").agg(F.count("*").alias("__df"))
-        ranked = interior.join(sh_df, ["__w", "__sh"], "left").fillna(0, ["__df"])
-        best = ranked.groupBy("__iid", "__w").agg(
-            F.min("__df").alias("__mindf"), F.min_by("__sh", F.struct("__df", "__sh")).alias("__sh"))
-        best = best.filter(F.col("__mindf") > 0).select("__iid", "__w", "__sh")
-        cand = best.join(doc_sh, ["__w", "__sh"]).select("__iid", "__did").distinct()
-        pairs = cand
-    short = it.filter(F.col("__n") < 3).select("__iid", "__itext")
-    if short.limit(1).count() > 0:
-        short_b = broadcast_if_small(short, max_short_items)
-        sp = dk.join(short_b, dk["__dtext"].contains(short_b["__itext"])).select("__iid", "__did")
-        if short_b is short:
-            raise ValueError("too many items of fewer than three tokens for an exact containment join")
-        pairs = sp if pairs is None else pairs.unionByName(sp)
-    if pairs is None:
-        return items.sparkSession.createDataFrame([], f"{item_id} bigint, {doc_id} bigint")
+        mine = it.filter(F.col("__w") == w)
+        if w > 0:
+            parts = _interior(w)
+            doc_parts = F.array_distinct(_shingles(F.col("__tok"), w))
+        else:
+            parts, doc_parts = _char_grams(F.col("__itext"), -w), _char_grams(F.col("__dtext"), -w)
+        a = mine.select("__iid", "__w", F.explode(parts).alias("__sh"))
+        # distinct parts per document inside the row: no global distinct shuffle
+        d = dtok.select("__did", F.lit(w).alias("__w"), F.explode(doc_parts).alias("__sh"))
+        own = a if own is None else own.unionByName(a)
+        there = d if there is None else there.unionByName(d)
+    item_sh = broadcast_if_small(own.select("__w", "__sh").distinct(), max_item_shingles)
+    there = there.join(item_sh, ["__w", "__sh"], "left_semi")
+    df = there.groupBy("__w", "__sh").agg(F.count("*").alias("__df"))
+    ranked = own.join(df, ["__w", "__sh"], "left").fillna(0, ["__df"])
+    best = ranked.groupBy("__iid", "__w").agg(
+        F.min("__df").alias("__mindf"), F.min_by("__sh", F.struct("__df", "__sh")).alias("__sh"))
+    best = best.filter(F.col("__mindf") > 0).select("__iid", "__w", "__sh")
+    pairs = best.join(there, ["__w", "__sh"]).select("__iid", "__did").distinct()
     verified = (pairs.join(it.select("__iid", "__itext"), "__iid")
                      .join(dk, "__did")
                      .filter(F.col("__dtext").contains(F.col("__itext"))))

@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import prepare
-from quarry.operators.relational import take_first
+from quarry.operators.relational import bounded_rows, take_first
+
+#: Rows of a report that may be rendered on the driver.
+MAX_REPORT_ROWS = 10_000
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Chunk table as snappy Parquet, one directory per split (readers
-    that filter on ``split`` prune the others)."""
-    (chunks.write.mode(mode).option("compression", "snappy")
+    that filter on ``split`` prune the others). Overwriting replaces the
+    splits that are written and leaves the others."""
+    (chunks.write.mode(mode).option("compression", "snappy").option("partitionOverwriteMode", "dynamic")
            .partitionBy("split").parquet(path))
 
 
@@ -27,21 +31,22 @@ def write_splits(df: DataFrame, out_dir: str, dataset: str, version: str = "1",
                  split_col: str = "split", mode: str = "overwrite") -> DataFrame:
     """JSON lines per split plus a manifest table
     ``(dataset, version, split, path, num_samples)``; counts come from one
-    aggregation, not from re-reading the files."""
-    df.write.mode(mode).partitionBy(split_col).json(os.path.join(out_dir, "data"))
+    aggregation, not from re-reading the files. Splits that aren't written
+    keep their files and their rows of the manifest."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(split_col).json(os.path.join(out_dir, "data"))
     counts = df.groupBy(split_col).agg(F.count("*").alias("num_samples"))
     manifest = counts.select(
         F.lit(dataset).alias("dataset"), F.lit(version).alias("version"),
         F.col(split_col).alias("split"),
         F.concat(F.lit(os.path.join(out_dir, "data", f"{split_col}=")), F.col(split_col)).alias("path"),
         "num_samples")
-    manifest.coalesce(1).write.mode(mode).json(os.path.join(out_dir, "manifest"))
+    manifest.coalesce(1).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("split").json(os.path.join(out_dir, "manifest"))
     return manifest
 
 
 def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.schema("dataset string, version string, split string, path string, num_samples long") \
-                .json(os.path.join(out_dir, "manifest"))
+                .json(os.path.join(out_dir, "manifest")).select("dataset", "version", "split", "path", "num_samples")
 
 
 def build_embedding_table(corpus: DataFrame, encoder, path: str | None = None, id_col: str = "doc_id",
@@ -71,10 +76,11 @@ def build_embedding_table(corpus: DataFrame, encoder, path: str | None = None, i
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Metric table as JSON, and a Markdown rendering of it (the table
-    is a handful of rows, so rendering it on the driver is fine)."""
-    metrics.coalesce(1).write.mode(mode).json(path)
-    rows = metrics.limit(10_000).collect()
+    """Metric table as JSON, and a Markdown rendering of it. The table
+    is written whole; one of more than MAX_REPORT_ROWS rows is refused as
+    Markdown instead of being cut."""
+    metrics.write.mode(mode).json(path)
+    rows = bounded_rows(metrics.sparkSession.read.schema(metrics.schema).json(path), MAX_REPORT_ROWS, "metric report")
     cols = metrics.columns
     lines = ["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
     for r in rows:
@@ -103,8 +109,9 @@ def prepare_dataset(spark: SparkSession, qa_path: str, out_dir: str, split: str,
 
 
 def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                   max_tokens: int = 512, stride: int = 80, available_now: bool = True):
-    """The stateless preparation over newly arriving QA JSON files
+                   max_tokens: int = 512, stride: int = 80, available_now: bool = True, split: str = "train"):
+    """The stateless preparation over newly arriving QA JSON files, with
+    the columns of ``prepare_dataset``
     (file source -> passages -> chunks -> Parquet sink). The checkpoint must
     be on the shared filesystem (the cluster's ``spark.checkpoint.dir``)."""
     from quarry.sources.readers import _with_corrupt
@@ -115,8 +122,9 @@ def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
     qa = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record") \
             .withColumn("query_id", F.coalesce(F.col("query_id"), F.col("query"), F.lit("")))
     chunks = prepare.chunk_documents(prepare.explode_passages(qa), max_tokens, stride,
-                                     keep=("query_id", "is_relevant"))
-    w = (chunks.writeStream.format("parquet").option("path", out_dir)
+                                     keep=("query_id", "query", "is_relevant"))
+    chunks = prepare.stamp(chunks.withColumnRenamed("query", "query_text"), split)
+    w = (chunks.writeStream.format("parquet").option("path", out_dir).partitionBy("split")
                .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

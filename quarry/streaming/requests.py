@@ -36,34 +36,6 @@ TOKEN_SCHEMA = ("client bigint, event_id bigint, ts timestamp, allowed boolean,
                 "tokens double, retry_after double")
 
 
-def _fold_buckets(pdf: pd.DataFrame, capacity: float, rate: float, idle: float | None) -> pd.DataFrame:
-    """Sequential token-bucket fold over one client's (sorted) session."""
-    pdf = pdf.sort_values(["__us", "event_id"], kind="stable")
-    t = pdf["__us"].to_numpy(dtype=np.int64)
-    n = len(t)
-    allowed = np.zeros(n, dtype=bool)
-    tokens = np.zeros(n)
-    retry = np.full(n, np.nan)
-    x, last = float(capacity), None
-    for i in range(n):
-        gap = None if last is None else (int(t[i]) - int(last)) / 1e6
-        if gap is None or (idle is not None and gap > idle):
-            y = float(capacity)
-        else:
-            y = min(capacity, x + gap * rate)
-        last = t[i]
-        if y >= 1.0:
-            x = y - 1.0
-            allowed[i] = True
-        else:
-            x = y
-            retry[i] = (1.0 - y) / rate
-        tokens[i] = x
-    return pd.DataFrame({"client": pdf["client"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                         "ts": pdf["ts"].to_numpy(), "allowed": allowed, "tokens": tokens,
-                         "retry_after": retry})
-
-
 def _mark_sessions(e: DataFrame, refill: float, idle: float | None) -> DataFrame:
     """Session ids for the token-bucket fold without a per-client window.
 

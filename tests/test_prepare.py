@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import tempfile
 
 import pytest
@@ -51,6 +52,21 @@ def test_chunk_offsets_substrings(spark):
     assert rows[-1]["end_char"] == len(text)
 
 
+@pytest.mark.parametrize("text", ["", "   ", " lead and trail  ", "a b c d e f g h i j k", "\u00a0a\u2003b  c\n\nd\te f ", "\U0001F600 " * 23, "x"])
+@pytest.mark.parametrize("mx,stride", [(4, 1), (5, 0), (100, 10)])
+def test_chunk_offsets_equal_slices_of_the_text(spark, text, mx, stride):
+    df = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    got = [tuple(r) for r in prepare.chunk_offsets(df, mx, stride).orderBy("chunk_index").collect()]
+    places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    if len(places) <= mx:
+        want = [("d_0", "d", 0, text, len(places), 0, len(text))]
+    else:
+        firsts = range(0, len(places) - stride, mx - stride)
+        want = [(f"d_{i}", "d", i, text[places[f][0]:places[min(f + mx, len(places)) - 1][1]], min(mx, len(places) - f),
+                 places[f][0], places[min(f + mx, len(places)) - 1][1]) for i, f in enumerate(firsts)]
+    assert got == want
+
+
 def test_explode_both_layouts(spark):
     qa = spark.createDataFrame(
         [("1", "q one", (["p a", "", "p c"], [0, 1])), (None, "q two", (["x"], [1])), ("3", "q3", None)],
@@ -97,6 +113,7 @@ def test_validate_requests(spark):
 def test_integrity_report_and_summary(spark):
     df = spark.createDataFrame([(1, "a", "t"), (2, "a", None)], "pos long, id string, text string")
     rep = checks.integrity_report(df, "ds", "train", "id", "pos", ["id", "text"], expected_count=2)
+    assert [r["passed"] for r in rep.collect()] == [False] * 3
     s = checks.integrity_summary(rep).first()
     assert s["splits_failed"] == 1 and not s["passed"] and "duplicates" in s["errors"]
 
