@@ -67,8 +67,10 @@ def main():
         idx = lexical.build_lexical_index(corpus, "doc_id", "text", keep_tokens=False)
         path = os.path.join(scratch, f"index-{len(idx_holder)}")
         lexical.save_lexical_index(idx, path)
-        idx.postings.unpersist()
-        idx_holder["idx"] = lexical.load_lexical_index(spark, path, verify=False)
+        idx.close()
+        if "idx" in idx_holder:
+            idx_holder["idx"].close()
+        idx_holder["idx"] = lexical.load_lexical_index(spark, path, verify=False).shard()
         return idx_holder["idx"].postings.limit(0)
 
     def search():

@@ -64,6 +64,21 @@ def char_ngrams(text, n: int = 3) -> Column:
     return _bind(_col(text), grams)
 
 
+def packed_trigrams(text) -> Column:
+    """Distinct character trigrams of the lower-cased, stripped text, each
+    packed into one long (21 bits a code point, so no two share a value)."""
+    grams = char_ngrams(F.lower(strip_ws(_col(text))))
+    code = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("bigint")
+    return F.transform(grams, lambda g: F.shiftleft(code(g, 1), 42) + F.shiftleft(code(g, 2), 21) + code(g, 3))
+
+
+def set_jaccard(a, b) -> Column:
+    """Jaccard of two arrays without repeats; 0.0 if either is empty or NULL."""
+    def jac(i):
+        return i / (F.size(a) + F.size(b) - i)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), _bind(F.size(F.array_intersect(a, b)), jac)).otherwise(F.lit(0.0))
+
+
 def trigram_jaccard(a, b) -> Column:
     """Jaccard of character trigrams of lower-cased, stripped texts.
 

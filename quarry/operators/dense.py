@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import _bind, trigram_jaccard
+from quarry.functions.text import _bind, packed_trigrams, set_jaccard, trigram_jaccard
 from quarry.operators.relational import bounded_rows, top_k_per_group
 
 METRICS = ("ip", "cosine", "l2")
@@ -339,7 +339,18 @@ def validate_recall(approx: DataFrame, exact: DataFrame, k: int = 10, threshold:
 
 class OverlapScorer:
     """Scorer stand-in: character-trigram Jaccard of query and passage text
-    (T2), pure SQL; its value is already on the [0, 1] confidence scale."""
+    (T2), pure SQL; its value is already on the [0, 1] confidence scale.
+
+    A text's trigrams don't depend on the other text, so ``features`` are made
+    once for each query and document and only compared for each pair."""
+
+    @staticmethod
+    def features(text_col: str) -> Column:
+        return packed_trigrams(text_col)
+
+    @staticmethod
+    def compare(a: Column, b: Column) -> Column:
+        return set_jaccard(a, b)
 
     def score(self, pairs: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
         return pairs.withColumn("teacher_score", trigram_jaccard(query_col, text_col))
@@ -364,6 +375,21 @@ def attach_text(run: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_
     return run.join(t, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, scorer=None) -> DataFrame:
+    """``teacher_score`` of (query_id, doc_id) pairs; unknown documents have
+    the text "". A scorer with ``features`` and ``compare`` is given each
+    candidate document and each query once; any other is given the texts."""
+    scorer = scorer or OverlapScorer()
+    q = queries.select("query_id", "query")
+    if not hasattr(scorer, "features"):
+        return scorer.score(attach_text(pairs, corpus).join(q, "query_id")).drop("text", "query")
+    docs = corpus.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = docs.select("doc_id", scorer.features("text").alias("__df"))
+    q = q.select("query_id", scorer.features("query").alias("__qf"))
+    both = pairs.join(q, "query_id").join(docs, "doc_id", "left")
+    return both.withColumn("teacher_score", scorer.compare(F.col("__qf"), F.coalesce("__df", F.array().cast("array<bigint>")))).drop("__qf", "__df")
+
+
 def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, scorer=None, k: int = 10,
            min_confidence: float | None = None) -> DataFrame:
     """Replace scores with the scorer's, re-sort and re-rank, cut to k.
@@ -371,10 +397,8 @@ def rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, scorer=None, k
     ``min_confidence`` (Q28, second meaning) drops results whose confidence
     is below it. Repartitioning by query keeps the scorer's input local.
     """
+    scored = score_pairs(run.select("query_id", "doc_id"), queries, corpus, scorer).withColumn("score", F.col("teacher_score"))
     scorer = scorer or OverlapScorer()
-    pairs = attach_text(run.select("query_id", "doc_id"), corpus).join(
-        queries.select("query_id", "query"), "query_id")
-    scored = scorer.score(pairs).withColumn("score", F.col("teacher_score"))
     if min_confidence is not None:
         scored = scored.filter(scorer.confidence(F.col("teacher_score")) >= min_confidence)
     out = top_k_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)

@@ -23,7 +23,7 @@ from __future__ import annotations
 import json
 import math
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -42,12 +42,30 @@ class LexicalIndex:
     postings: DataFrame
     stats: dict
     tokens: DataFrame | None = None  # (doc_id, tokens) kept for T5
+    sharded: bool = False  # postings are partitioned by doc_id
+
+    def close(self) -> None:
+        """Release what the index keeps in memory."""
+        self.postings.unpersist()
+
+    def shard(self) -> LexicalIndex:
+        """The index with its postings dealt by document and kept, for many searches; ``close`` releases them."""
+        if not self.sharded:
+            kept = self.postings.repartition(_shards(self.postings), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+            return replace(self, postings=kept, sharded=True)
+        return self
 
     @property
     def k1(self) -> float:
         return self.stats["k1"]
 
 
+def _shards(df: DataFrame) -> int:
+    """Shards of the postings: as many as shuffle partitions, an explicit
+    number, so that adaptive execution keeps the partitioning by document."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _tokenized(corpus: DataFrame, id_col: str, text_col: str, pos_col: str | None) -> DataFrame:
     pos = F.col(pos_col or id_col)
     return corpus.select(
@@ -72,9 +90,9 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
     n_docs = corpus.count()
     if n_docs == 0:
         raise ValueError("cannot build a lexical index over an empty corpus")
-    # (term, doc) counts: partial aggregation collapses repeats inside each
-    # map task, so the shuffle carries postings, not raw tokens.
-    postings = (tok.select("doc_id", "pos", F.size("tokens").cast("bigint").alias("dl"),
+    # Postings are dealt by document: one narrow shuffle of token arrays, after
+    # which counting terms, scoring and each shard's top-k need no exchange.
+    postings = (tok.repartition(_shards(corpus), "doc_id").select("doc_id", "pos", F.size("tokens").cast("bigint").alias("dl"),
                            F.explode("tokens").alias("term"))
                    .groupBy("term", "doc_id", "pos", "dl")
                    .agg(F.count("*").alias("tf"))
@@ -87,14 +105,10 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
                   .join(dls, "doc_id", "left").select("doc_id", "pos", F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl")))
     avgdl = float(total) / n_docs
     terms, avg_idf, vocabulary = term_stats(postings, n_docs, epsilon)
-    denom_norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    weighted = (postings.join(terms.select("term", "idf"), "term")
-                .withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + denom_norm))
-                .drop("idf"))
     stats = {"N": n_docs, "avgdl": avgdl, "avg_idf": avg_idf, "k1": k1, "b": b,
              "epsilon": epsilon, "vocabulary": vocabulary}
-    return LexicalIndex(docs=docs, terms=terms, postings=weighted, stats=stats,
-                        tokens=tok.select("doc_id", "tokens") if keep_tokens else None)
+    return LexicalIndex(docs=docs, terms=terms, postings=postings, stats=stats,
+                        tokens=tok.select("doc_id", "tokens") if keep_tokens else None, sharded=True)
 
 
 def term_stats(postings: DataFrame, n_docs: int, epsilon: float = DEFAULTS.bm25_epsilon):
@@ -126,20 +140,30 @@ def bm25_match(index: LexicalIndex, queries: DataFrame, query_id_col: str = "que
                max_pushdown_terms: int = 5_000) -> DataFrame:
     """All (query, doc) pairs that share a term of non-zero idf, with scores.
 
-    The query-term side is broadcast only behind a row-count check; a stop
-    word then streams through the join without a shuffle of the postings.
+    Postings are dealt by document, so a (query, document) sum is complete
+    within its shard: pairs are never shuffled, and of a search only each
+    shard's top-k is. The query-term side, with its idf, is broadcast only
+    behind a row-count check; a stop word then streams through the join.
     When the batch has few distinct terms (checked), they are also pushed
     into the postings scan as ``term IN (...)``: saved postings are sorted by
     term, so Parquet row-group statistics skip everything else.
     """
     qt = query_terms(queries, query_id_col, query_col)
-    postings = index.postings.filter(F.col("w") != 0)
+    postings = index.postings
     terms = qt.select("term").distinct().limit(max_pushdown_terms + 1).collect()
     if len(terms) <= max_pushdown_terms:
         postings = postings.filter(F.col("term").isin([r["term"] for r in terms]))
+    if not index.sharded:
+        postings = postings.repartition(_shards(postings), "doc_id")
+    st = index.stats
+    avgdl = st["avgdl"] if st["avgdl"] > 0 else 1.0
+    norm = st["k1"] * (1 - st["b"] + st["b"] * F.col("dl") / F.lit(avgdl))
+    weight = F.col("idf") * F.col("tf") * (st["k1"] + 1) / (F.col("tf") + norm)
+    qt = qt.join(index.terms.select("term", "idf").filter(F.col("idf") != 0), "term")
     qt = broadcast_if_small(qt, max_broadcast_rows)
     hits = (postings.join(qt, "term")
-            .select("query_id", "doc_id", "pos", (F.col("qtf") * F.col("w")).alias("s")))
+            .select("query_id", "doc_id", "pos", (F.col("qtf") * weight).alias("s")))
+    # dealt by document: this aggregate needs no exchange
     return hits.groupBy("query_id", "doc_id", "pos").agg(F.sum("s").alias("score"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
-from quarry.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, trigram_jaccard
+from quarry.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, packed_trigrams, set_jaccard
 from quarry.operators import dense
 from quarry.operators.lexical import LexicalIndex, bm25_search
 from quarry.operators.relational import top_k_per_group
@@ -49,8 +49,7 @@ def mine_teacher(cands: DataFrame, queries: DataFrame, corpus: DataFrame, scorer
     those with confidence >= threshold (``band=(lo, hi)`` keeps the
     "confusing middle" instead). Ties keep candidate order."""
     scorer = scorer or dense.OverlapScorer()
-    pairs = dense.attach_text(cands, corpus).join(queries.select("query_id", "query"), "query_id")
-    scored = scorer.score(pairs)
+    scored = dense.score_pairs(cands, queries, corpus, scorer)
     top = top_k_per_group(scored, ["query_id"],
                           [F.desc(F.round("teacher_score", 9)), F.asc(order_col), F.asc("doc_id")],
                           k, rank_col="teacher_rank")
@@ -59,7 +58,7 @@ def mine_teacher(cands: DataFrame, queries: DataFrame, corpus: DataFrame, scorer
         top = top.filter((conf >= band[0]) & (conf <= band[1]))
     else:
         top = top.filter(conf >= threshold)
-    return top.drop("text", "query")
+    return top
 
 
 def _student_scores(pairs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame,
@@ -160,11 +159,13 @@ def denoise(cands: DataFrame, qrels: DataFrame, corpus: DataFrame, scorer=None,
     overlap_max (T2). Candidates per query are a capped list, so the
     candidate x positive join per query stays linear in the positives."""
     scorer = scorer or dense.OverlapScorer()
-    pos_t = dense.attach_text(_positives(qrels), corpus).select(
-        "query_id", F.col("text").alias("__pt"))
-    c = dense.attach_text(cands, corpus)
-    ov = (c.select("query_id", "doc_id", "text").join(pos_t, "query_id")
-           .groupBy("query_id", "doc_id").agg(F.max(trigram_jaccard("text", "__pt")).alias("max_overlap")))
+    # trigrams once for each document that is a candidate or a positive
+    positives = _positives(qrels)
+    needed = cands.select("doc_id").unionByName(positives.select("doc_id")).distinct()
+    grams = (dense.attach_text(needed, corpus).select("doc_id", packed_trigrams("text").alias("__g")))
+    pos_t = positives.join(grams, "doc_id").select("query_id", F.col("__g").alias("__p"))
+    ov = (cands.select("query_id", "doc_id").join(grams, "doc_id").join(pos_t, "query_id")
+           .groupBy("query_id", "doc_id").agg(F.max(set_jaccard(F.col("__g"), F.col("__p"))).alias("max_overlap")))
     out = cands.join(ov, ["query_id", "doc_id"], "left").fillna(0.0, ["max_overlap"])
     keep = F.col("max_overlap") <= overlap_max
     if "teacher_score" in cands.columns:

@@ -156,21 +156,26 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], qs: Sequence[f
     """Exact quantiles with linear interpolation (numpy / ``quantile_cont``
     semantics) without an aggregation buffer holding every value.
 
-    Each group's size comes from one aggregation; rows are ranked by a
-    sort-based window (spills, never gathered in memory) and only the rows at
-    positions ``floor(p (n-1))`` and ``ceil(p (n-1))`` are kept and
+    Rows get one global number in the order of (group, value), by range
+    partitions, so a group of any size is spread over as many tasks as its rows
+    need; a row's rank is its number less the first of its group. Only the
+    rows at positions ``floor(p (n-1))`` and ``ceil(p (n-1))`` are kept and
     interpolated. NULL values are ignored.
     """
     names = list(names or [f"p{int(round(q * 100))}" for q in qs])
     by = list(by)
     d = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    numbered = global_row_number(d, [*by, "__v"], "__r1")
     if by:
-        n = d.groupBy(*by).agg(F.count("*").alias("__n"))
-        ranked = d.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__v")) - 1).join(n, by)
-    else:  # one global group: a scalar count and the distributed global row number
-        total = d.count()
-        ranked = (global_row_number(d, ["__v"], "__r1").withColumn("__r", F.col("__r1") - 1)
-                  .drop("__r1").withColumn("__n", F.lit(total)))
+        n = numbered.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__r1").alias("__first"))
+        same = None
+        for c in by:  # groups may be NULL
+            eq = F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
+            same = eq if same is None else same & eq
+        ranked = numbered.alias("r").join(n.alias("g"), same).select("r.*", "__n", (F.col("__r1") - F.col("__first")).alias("__r"))
+    else:
+        total = numbered.count()
+        ranked = numbered.withColumn("__r", F.col("__r1") - 1).withColumn("__n", F.lit(total))
     aggs = []
     for q, name in zip(qs, names):
         pos = F.lit(float(q)) * (F.col("__n") - 1)
