@@ -192,7 +192,7 @@ def in_batch_negatives(queries: DataFrame, qrels: DataFrame, batch_size: int = 3
     owners = b.join(pos, "query_id").select("batch_id", F.col("query_id").alias("owner"), "doc_id")
     pairs = b.join(owners, "batch_id").filter(F.col("query_id") != F.col("owner"))
     pairs = pairs.join(pos, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id").distinct()
-    pairs = pairs.withColumn("__h", F.xxhash64("query_id", "doc_id", F.lit(seed)))
+    pairs = pairs.withColumn("__h", F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id").cast("string"), F.lit(str(seed)))))
     return top_k_per_group(pairs, ["query_id"], [F.asc("__h"), F.asc("doc_id")], n,
                            rank_col="neg_rank").drop("__h")
 

@@ -104,8 +104,8 @@ def take_first(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 
 def seeded_order_key(id_col: str, seed: int) -> Column:
-    """Deterministic pseudo-random order key."""
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    """Deterministic pseudo-random order key, one that any engine can make."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
 def assign_batches(df: DataFrame, id_col: str, batch_size: int, seed: int = 42,

@@ -682,7 +682,15 @@ def q_n11(spark, sf_dir):
     return s.select("queries", F.col("negatives").cast("bigint"), r6("avg_negatives"))
 
 
-@register("N7_in_batch_negatives")
+@register("N7_in_batch_negatives", """WITH q AS (SELECT conv_id, turn, 'c' || conv_id || '_t' || turn AS query_id FROM conversations WHERE role = 'user'),
+b AS (SELECT *, floor((row_number() OVER (ORDER BY md5(query_id || ':42'), query_id) - 1) / 32) AS batch_id FROM q),
+pos AS (SELECT q.query_id, 'c' || a.conv_id || '_t' || a.turn AS doc_id FROM q JOIN conversations a
+        ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'),
+pairs AS (SELECT DISTINCT x.query_id, p.doc_id FROM b x JOIN b y ON x.batch_id = y.batch_id AND x.query_id <> y.query_id
+          JOIN pos p ON p.query_id = y.query_id
+          WHERE NOT EXISTS (SELECT 1 FROM pos o WHERE o.query_id = x.query_id AND o.doc_id = p.doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || ':' || doc_id || ':42'), doc_id) AS neg_rank FROM pairs)
+SELECT query_id, doc_id, neg_rank FROM r WHERE neg_rank <= 4""")
 def q_n7(spark, sf_dir):
     return mining.in_batch_negatives(st.queries_b(spark, sf_dir), st.qrels_b(spark, sf_dir), batch_size=32, n=4)
 
@@ -820,7 +828,8 @@ def q_confident(spark, sf_dir):
     return training.confident_queries(_examples(spark, sf_dir), 0.3).select("query_id", "pos", "doc_id")
 
 
-@register("K2_assign_batches")
+@register("K2_assign_batches", """SELECT query_id, query, CAST(floor((row_number() OVER (ORDER BY md5(query_id || ':42'), query_id) - 1) / 32) AS BIGINT) AS batch_id
+FROM (SELECT 'c' || conv_id || '_t' || turn AS query_id, text AS query FROM conversations WHERE role = 'user')""")
 def q_batches(spark, sf_dir):
     from quarry.operators.relational import assign_batches
     return assign_batches(st.queries_b(spark, sf_dir), "query_id", batch_size=32, seed=42)
@@ -1362,3 +1371,6 @@ def q_hybrid(spark, sf_dir):
     den = dense.flat_search(qv, dv, k=50)
     r = dense.fuse_rrf({"lexical": lex, "dense": den}, k0=60, k=10)
     return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
+import quarry.plans.files  # noqa: E402, F401  (registers further queries)
