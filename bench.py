@@ -89,7 +89,7 @@ def main():
     pq_build_s = time.perf_counter() - t0
 
     def ivf():
-        return ann.ivf_search(vec.withColumnRenamed("id", "query_id"), approx["ivf"], k=10, nprobe=12,
+        return ann.ivf_search(vec.withColumnRenamed("id", "query_id"), approx["ivf"], k=10, nprobe=14,
                               exclude_self=True)
 
     def pq():
@@ -146,9 +146,9 @@ def main():
     }
     print(json.dumps({
         "metric": "headline_total_seconds",
-        "value": round(sum(times.values()), 3),
+        "value": round(sum(times.values()) + qrels_s + ivf_build_s + pq_build_s, 3),
         "unit": "sec",
-        "queries": times,
+        "queries": times | {"setup_qrels": round(qrels_s, 3), "setup_ivf_build": round(ivf_build_s, 3), "setup_pq_build": round(pq_build_s, 3)},
         "sf": os.path.basename(SF_DIR.rstrip("/")).replace("sf", ""),
         "cpus": int(CPUS),
         "throughput": {k: round(v, 3) for k, v in thr.items()},

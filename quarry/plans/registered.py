@@ -1150,7 +1150,7 @@ def q_ivf(spark, sf_dir):
     """IVF top-10 of every vector (KMeans cells; no SQL oracle: see D4_ivf_recall)."""
     v = _vecs(spark, sf_dir)
     ivf = ann.build_ivf(v, nlist=8, seed=7)
-    return ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=6, exclude_self=True)
+    return ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=7, exclude_self=True)
 
 
 @register("D4_ivf_recall")
@@ -1158,7 +1158,7 @@ def q_ivf_recall(spark, sf_dir):
     """D7 gate for IVF: recall@10 against the exact search (threshold 0.97)."""
     v = _vecs(spark, sf_dir)
     ivf = ann.build_ivf(v, nlist=8, seed=7)
-    approx = ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=6, exclude_self=True)
+    approx = ann.ivf_search(v.withColumnRenamed("id", "query_id"), ivf, k=10, nprobe=7, exclude_self=True)
     return dense.validate_recall(approx, _exact_knn(spark, sf_dir), 10, 0.97)
 
 
@@ -1344,10 +1344,10 @@ def q_ivfpq(spark, sf_dir):
 
 @register("D5_ivfpq_recall")
 def q_ivfpq_recall(spark, sf_dir):
-    """D7 gate for IVF-PQ with exact re-scoring of the top-50 candidates."""
+    """D7 gate for IVF-PQ with exact re-scoring of the top-100 candidates."""
     v = _vecs(spark, sf_dir)
     idx = ann.build_ivfpq(v, nlist=8, m=16, nbits=6, seed=7)
-    cand = ann.ivfpq_search(v.withColumnRenamed("id", "query_id"), idx, k=50, nprobe=6, exclude_self=True)
+    cand = ann.ivfpq_search(v.withColumnRenamed("id", "query_id"), idx, k=100, nprobe=7, exclude_self=True)
     return dense.validate_recall(dense.rescore(cand, v, v, 10), _exact_knn(spark, sf_dir), 10, 0.97)
 
 
