@@ -43,13 +43,16 @@ FURNITURE = frozenset("head script style nav header footer aside form noscript t
                       "dialog menu audio video figure math noembed noframes title input option label fieldset".split())
 #: Words of class, id or role that name furniture.
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
-                            "breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices popup modal overlay "
+                            "breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices alert announcement disclaimer popup modal overlay "
                             "newsletter subscribe subscription signup login share sharing social related recommended comment comments "
                             "disqus respond reply replies widget toolbar pagination pager skip complementary contentinfo search".split())
 #: Text of other elements stays in its block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr img".split())
 MAIN = frozenset(("article", "main"))
+WHOLE_PAGE = frozenset(("html", "body", "main"))
+#: A name that begins so says something about the element's surroundings.
+NEGATIONS = frozenset(("has", "with", "no", "without", "not", "is"))
 #: Subtrees that may be counted inside the article.
 CONTAINERS = frozenset("div section aside ul ol dl table figure details center".split())
 #: An open element that ends where another of the named begins.
@@ -70,15 +73,28 @@ class Node:
 
     @property
     def furniture(self) -> bool:
-        return self.tag in FURNITURE or bool(self.names & FURNITURE_NAMES)
+        """By its tag or a word of its names. Of an article only a whole name counts ("comment", not
+        "comments-open"), and names say nothing about what holds the page."""
+        if self.tag in WHOLE_PAGE:
+            return False
+        return self.tag in FURNITURE or (self.named if self.tag == "article" else bool(self.names & FURNITURE_NAMES))
+
+    @property
+    def named(self) -> bool:
+        return any("=" + n in self.names for n in FURNITURE_NAMES)
 
 
 def names_of(attrs: str) -> frozenset[str]:
+    """The names in class, id and role, whole (after "=") and in words."""
     out: set[str] = set()
     for k, a, b, c in ATTR.findall(attrs):
         k = k.lower()
         if k in ("class", "id", "role"):
-            out.update(x for x in re.split(r"[^a-z0-9]+", (a or b or c).lower()) if x)
+            for name in (a or b or c).lower().split():
+                words = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+                out.add("=" + name)
+                if words and words[0] not in NEGATIONS:
+                    out.update(words)
         elif k in ("hidden", "aria-hidden") and (a or b or c).lower() in ("", "true", "hidden"):
             out.add("modal")
     return frozenset(out)
@@ -167,7 +183,7 @@ def articles(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.furniture:
+        if x.tag not in WHOLE_PAGE and (x.tag in FURNITURE or x.named):
             continue
         if x.tag in MAIN:
             out.append(x)

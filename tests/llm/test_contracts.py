@@ -193,6 +193,8 @@ def test_op6_markup():
     assert t("a<br>b <p>c &nbsp;d&amp;<i>x</i>y<li>q<script>z<p></script><div id=cookie-notice>n</div>") == "a b c d&xy q"
     assert t("<article>A<article class=comment>no</article><form>f</form><p>b<p>c</article><article class='comment'>no</article>") == "A b c"
     assert t("<main>x<!-- <p>no</p> --><style>p{}</style></main>y") == "x"
+    assert t("<body class=sidebar-left><div class=content-sidebar><article class='post comments-open'>a<p class='has-ads'>b</p><p class=share-buttons>no</p></article></div></body>") == "a b"
+    assert t("<body class='no-sidebar notice'>a<div class='x ad'>no</div></body>") == "a"
     assert t("") == "" and t("<p") == "" and t("</div>a</p>") == "a" and t("a < b") == "a < b"
     assert t("<div>" * 5000 + "deep") == "deep"
 
