@@ -37,7 +37,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = "__"
     while any(c.lower().startswith(p) for c in docs.columns):
         p += "_"
-    judged = op9_quality_rules.quality(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), keep=docs.columns, prefix=p).where(F.col(p + "kept"))
+    judged = op9_quality_rules.quality(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), keep=docs.columns, prefix=p)
+    # a filter that were pushed below the columns it reads would work all rules out a second time; it isn't
+    # pushed past a column that isn't deterministic
+    judged = judged.withColumn(p + "row", F.monotonically_increasing_id()).where(F.col(p + "kept") & (F.col(p + "row") >= 0))
     return _with_text(docs, judged, F.when(F.col(p + "share_left") == 1, F.col("text")).otherwise(F.col(p + "cleaned")))
 
 
