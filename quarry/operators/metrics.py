@@ -50,13 +50,16 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame | None, ks: Sequence[int]
     defined by a rule such as "same label", without a pair table).
     """
     j = judged_run(run, qrels) if qrels is not None else run
+    # a document counts once, at its first rank; the window keeps the judging join's partitioning
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank")) == 1
+    j = j.withColumn("__first", first)
     aggs = [F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first_rel")]
     for k in ks:
         in_k = F.col("rank") <= k
         aggs += [
             F.sum(F.when(in_k, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg_{k}"),
             F.sum(F.when(in_k, F.col("rel")).otherwise(0)).alias(f"hpos_{k}"),
-            F.count_distinct(F.when(in_k & (F.col("rel") > 0), F.col("doc_id"))).alias(f"hits_{k}"),
+            F.count_if(in_k & (F.col("rel") > 0) & F.col("__first")).alias(f"hits_{k}"),
         ]
     per_q = j.groupBy("query_id").agg(*aggs)
     if n_rel is None:
@@ -150,26 +153,30 @@ def kendall_tau(run_a: DataFrame, run_b: DataFrame, key: Sequence[str] = ("query
     """M6: tau per group over ids common to both rankings (tau-a = tau-b,
     ranks are distinct); fewer than two common ids -> 0.0.
 
-    A repeated id keeps its last position (``max(rank)``). No pair rows are
-    emitted: the common ids of a group (a top-k list, so bounded by k) are
-    gathered into one array sorted by the first ranking, and the sign sum
-    over ordered pairs is an inversion count computed inside one expression.
+    A repeated id keeps its last position (``max(rank)``). Discordant pairs are
+    counted bit by bit: two second ranks differ first in one bit, so a pair is
+    discordant if, in the order of the first ranking, the rank with that bit set
+    comes before the one without, among ranks that agree in all higher bits.
+    Every id makes one row per bit of its group's largest rank and one running
+    sum per (group, bit, higher bits) counts them: n log n rows that spill, no
+    pairs and no array of a group, however long its lists are.
     """
     key = list(key)
     a = run_a.groupBy(*key, "doc_id").agg(F.max("rank").alias("ra"))
-    b = run_b.groupBy(*key, "doc_id").agg(F.max("rank").alias("rb"))
+    b = run_b.groupBy(*key, "doc_id").agg(F.max("rank").cast("bigint").alias("rb"))
     common = a.join(b, key + ["doc_id"])
-    lists = common.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ra", "rb"))).alias("l"))
-    n = F.size("l")
-
-    def row_sum(acc, i):
-        rest = F.slice(F.col("l"), i + 1, n)
-        inner = F.aggregate(rest, F.lit(0.0),
-                            lambda s2, y: s2 + F.signum(y["rb"] - F.element_at(F.col("l"), i)["rb"]))
-        return acc + inner
-
-    s = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), row_sum)
-    tau = lists.select(*key, F.when(n >= 2, s / (n * (n - 1) / 2.0)).otherwise(0.0).alias("tau"))
+    sizes = common.groupBy(*key).agg(F.count("*").alias("n"), F.length(F.bin(F.max("rb"))).alias("bits"))
+    levels = (common.join(sizes, key).select(*key, "ra", "rb", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("level"))
+              .withColumn("high", F.expr("shiftright(rb, level)")))
+    one = F.col("high").bitwiseAND(F.lit(1))
+    seen = (Window.partitionBy(*key, "level", "above").orderBy("ra", "rb")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = (levels.select(*key, "level", "ra", "rb", one.alias("one"), F.expr("shiftright(high, 1)").alias("above"))
+            .withColumn("before", F.sum("one").over(seen)))
+    discordant = runs.groupBy(*key).agg(F.sum(F.when(F.col("one") == 0, F.col("before")).otherwise(0)).alias("d"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2.0
+    tau = sizes.join(discordant, key).select(
+        *key, F.when(F.col("n") >= 2, (pairs - 2 * F.col("d")) / pairs).otherwise(0.0).alias("tau"))
     allg = run_a.select(*key).unionByName(run_b.select(*key)).distinct()
     return allg.join(tau, key, "left").fillna(0.0, ["tau"])
 
@@ -266,8 +273,7 @@ def compare_models(runs: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5,
     for k in ks:
         in_k = F.col("rank") <= k
         aggs += [F.sum(F.when(in_k, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg_{k}"),
-                 F.sum(F.when(in_k, F.col("rel")).otherwise(0)).alias(f"hpos_{k}"),
-                 F.count_distinct(F.when(in_k & (F.col("rel") > 0), F.col("doc_id"))).alias(f"hits_{k}")]
+                 F.sum(F.when(in_k, F.col("rel")).otherwise(0)).alias(f"hpos_{k}")]
     per = j.groupBy(model_col, "query_id").agg(*aggs).join(n_rel, "query_id", "left").fillna(0, ["n_rel"])
     out = [F.col(model_col)]
     for k in ks:

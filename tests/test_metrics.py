@@ -106,3 +106,31 @@ def test_exact_quantiles_match_numpy(spark):
     allv = np.concatenate(list(vals.values()))
     r = exact_quantiles(df, "x", [], (0.5, 0.99)).first()
     assert (r["p50"], r["p99"]) == pytest.approx((np.percentile(allv, 50), np.percentile(allv, 99)))
+
+
+def test_kendall_tau_of_long_lists_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    rows_a, rows_b, want = [], [], {}
+    for q, n in (("long", 700), ("two", 2), ("eight", 8)):
+        x, y = list(range(n)), list(range(n))
+        r.shuffle(x)
+        r.shuffle(y)
+        rows_a += [(q, d, x[d] + 1) for d in range(n)]
+        rows_b += [(q, d, y[d] + 1) for d in range(n)]
+        s = sum((1 if (x[i] - x[j]) * (y[i] - y[j]) > 0 else -1) for i in range(n) for j in range(i))
+        want[q] = s / (n * (n - 1) / 2)
+    rows_a.append(("alone", 1, 1))
+    want["alone"] = 0.0
+    schema = "query_id string, doc_id long, rank int"
+    got = metrics.kendall_tau(spark.createDataFrame(rows_a, schema), spark.createDataFrame(rows_b, schema)).collect()
+    assert {g["query_id"]: pytest.approx(g["tau"], abs=1e-12) for g in got} == want
+
+
+def test_a_repeated_document_counts_once(spark):
+    run = spark.createDataFrame([("q", "a", 1.0, 1), ("q", "a", 0.9, 2), ("q", "b", 0.8, 3)], "query_id string, doc_id string, score double, rank int")
+    qrels = spark.createDataFrame([("q", "a", 1), ("q", "b", 1)], "query_id string, doc_id string, rel int")
+    row = metrics.per_query_metrics(run, qrels, (2, 3)).first()
+    assert (row["recall_2"], row["recall_3"]) == (0.5, 1.0)
+    assert (row["precision_2"], row["precision_3"]) == pytest.approx((0.5, 2 / 3))
