@@ -22,8 +22,9 @@ those of all items.
 
 Defined cases: null texts and texts without words match nothing; items under
 five words are one shingle; items without words match nothing; items that repeat
-an id, or that share a text, are each reported; repeated rows of documents give
-one row for each id and item; empty tables give empty results.
+an id, or that share a text, are each searched; repeated rows and ids give one
+row for each pair of ids, that with the highest score (then the next columns);
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -269,4 +270,6 @@ def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) ->
     """doc_id, item_id, score, similarity, question_overlap, answer_overlap and start (word) of every item that a document holds."""
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = mark(own, items, "leaks", block_words)
-    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*").dropDuplicates(["doc_id", "item_id"])
+    each = found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
+    rest = [n for n in FOUND_NAMES if n != "item_id"]
+    return each.groupBy("doc_id", "item_id").agg(F.max(F.struct(*rest)).alias("l")).select("doc_id", "item_id", "l.*")

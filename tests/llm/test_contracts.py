@@ -145,6 +145,16 @@ def test_op4_blocks_of_items_change_nothing(spark, sf):
     assert rows(300) == rows(op4.BLOCK_WORDS)
 
 
+def test_op4_repeated_ids_give_the_best_row_in_any_order(spark, docs_of):
+    item = "where do the grey herons of the lower valley nest in spring? they nest in the tall poplars beside the old mill."
+    items = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    texts = [item, "some words stand before it here " * 9 + item, item + " and a tail"]
+    rows = lambda order: sorted(tuple(r) for r in op4.leaks(docs_of([(7, texts[k]) for k in order]).repartition(3), items).collect())
+    got = rows((0, 1, 2))
+    assert [r[:2] for r in got] == [(7, 1)]
+    assert rows((2, 1, 0)) == rows((1, 2, 0)) == got
+
+
 def test_op5_versions_and_archives(spark, pages_of, tmp_path):
     body = "x" * 1500
     rows = [(1, "http://a.example/p q", body), (2, "http://a.example/é", body), (3, None, "short"), (4, "u", "short"), (None, "u", body), (5, "u", None)]
