@@ -5,9 +5,12 @@ and a half-window apart, so every run of words as long as an item lies whole in
 A passage is a query of its distinct words; all items whose score reaches their
 threshold are retrieved. An item's threshold is its score for itself less the
 largest weights that it may lose and still share 80 % of its five-word shingles,
-so nothing that the verification would confirm is missed. Verified are those with
-80 % of the item's shingles in the document and half the words of both the
-question (all but the last sentence) and the answer (the last sentence).
+so no passage that holds 80 % of an item's shingles is missed. Items whose shingles
+are scattered over passages are found by looking every shingle of a longer document up
+among those of the items. Verified are those with 80 % of the item's shingles in the
+document; that alone decides. The shares of the words of the question (all but the last
+sentence) and of the answer (the last sentence) that stand in the best passage are
+reported only: the items mark neither part.
 
 Scores are divided by thresholds, so that 1 is the threshold of every item.
 A passage goes through three bounds, each above the true score:
@@ -44,7 +47,6 @@ from quarry.llm.common import free, own_columns
 K1, B = 1.2, 0.75
 SHINGLE = 5
 LEAST_SIMILAR = 0.8
-LEAST_PART = 0.5
 #: Words of a block of items: bounds what is broadcast.
 BLOCK_WORDS = 400_000
 #: Items of a block of postings, for its maxima.
@@ -126,11 +128,46 @@ class Index:
             np.maximum.at(self.block_most[k], ids // POSTINGS_BLOCK, ws)
         self.most = self.block_most.max(axis=1)
         self.lists = [(ids.tolist(), ws.tolist()) for ids, ws in self.postings]
+        # the distinct shingles of each item as hashes of word numbers, for documents of several passages
+        pairs = {(x, i) for i, (_, w, _) in enumerate(self.items) for x in self.hashes(self.numbers(w)).tolist()}
+        self.shingle, self.holder = (np.array([p[k] for p in sorted(pairs)], np.int64) for k in (0, 1))
+        self.distinct = np.bincount(self.holder, minlength=n_i)
 
     def numbers(self, w: list[bytes]) -> np.ndarray:
         get, none = self.vocabulary.get, len(self.vocabulary)
         return np.fromiter((get(x, none) for x in w), np.int32, len(w))
 
+    @staticmethod
+    def hashes(ids: np.ndarray) -> np.ndarray:
+        """Hashes of the runs of SHINGLE words. Equal runs have equal hashes; verification uses the words themselves."""
+        n = len(ids) - SHINGLE + 1
+        out = np.zeros(max(n, 0), np.int64)
+        for k in range(SHINGLE if n > 0 else 0):
+            out = (out ^ ids[k:k + n]) * np.int64(0x5851F42D4C957F2D)
+            out ^= out >> 29
+        return out
+
+    def scattered(self, ids: np.ndarray) -> list[int]:
+        """Items of which the document holds LEAST_SIMILAR of the shingles, wherever they stand."""
+        here = self.hashes(ids)
+        at = np.searchsorted(self.shingle, here)
+        if not len(self.shingle):
+            return []
+        here = np.unique(here[self.shingle[np.minimum(at, len(self.shingle) - 1)] == here])
+        a, b = np.searchsorted(self.shingle, here), np.searchsorted(self.shingle, here, "right")
+        n = np.zeros(len(self.items), np.int64)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            n[self.holder[x:y]] += 1
+        return np.flatnonzero((n > 0) & (n >= LEAST_SIMILAR * self.distinct - SLACK)).tolist()
+
+    def best_passage(self, i: int, ids: np.ndarray) -> tuple[float, int]:
+        """The highest score of an item in a passage, and the passage's begin."""
+        own = {k: v for k in set(self.numbers(self.items[i][1]).tolist()) for j, v in zip(*self.lists[k], strict=True) if j == i}
+        n, step = len(ids), self.longest
+        scores = ((sum(own.get(k, 0.0) for k in set(ids[b:b + 2 * step].tolist())), -b) for b in range(0, max(1, n - step), step))
+        s, b = max(scores)
+        return s, -b
+
     def passages(self, ids: np.ndarray) -> list[int]:
         """Begins of the windows whose rare words could reach a threshold."""
         n, size, step = len(ids), 2 * self.longest, self.longest
@@ -200,6 +237,10 @@ class Index:
             for i, s in self.wand(q[q != none]):
                 if i not in best or s > best[i][0]:
                     best[i] = (s, b)
+        if len(ids) > 2 * self.longest:
+            for i in self.scattered(ids):
+                if i not in best:
+                    best[i] = self.best_passage(i, ids)
         return [(i, s, b) for i, (s, b) in best.items()]
 
     def verify(self, w: list[bytes], found: list[tuple[int, float, int]]) -> Iterator[tuple[int, float, float, float, float, int]]:
@@ -213,8 +254,7 @@ class Index:
                 continue
             near = set(w[b:b + 2 * self.longest])
             q, a = ((sum(x in near for x in p) / len(p) if p else 1.0) for p in self.parts[i])
-            if q >= LEAST_PART and a >= LEAST_PART:
-                yield self.items[i][0], s, similar, q, a, b
+            yield self.items[i][0], s, similar, q, a, b
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[list[tuple[int, str]], int, float, dict[bytes, int]]]:

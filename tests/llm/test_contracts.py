@@ -155,6 +155,18 @@ def test_op4_repeated_ids_give_the_best_row_in_any_order(spark, docs_of):
     assert rows((2, 1, 0)) == rows((1, 2, 0)) == got
 
 
+def test_op4_items_without_their_end_or_scattered_over_a_document(spark, docs_of):
+    head = " ".join(f"word{k}" for k in range(40)) + "."
+    whole = head + "\nÑ."
+    items = spark.createDataFrame([(1, whole), (2, "another item of seven words. stands here")], "item_id long, text string")
+    w = head.split()
+    far = " ".join(f"far{k}" for k in range(400))
+    docs = [(1, whole), (2, head), (3, f"{far} {head} {far}"), (4, f"{far} {' '.join(w[:20])} {far} {' '.join(w[20:])} {far}"), (5, " ".join(w[:20])), (6, far)]
+    got = {r.doc_id: r for r in op4.leaks(docs_of(docs), items).collect()}
+    assert set(got) == {1, 2, 3, 4} and {r.item_id for r in got.values()} == {1}
+    assert got[1].answer_overlap == 1 and got[2].answer_overlap == 0 and got[4].similarity == 32 / 37 and got[4].score < got[3].score
+
+
 def test_op5_versions_and_archives(spark, pages_of, tmp_path):
     body = "x" * 1500
     rows = [(1, "http://a.example/p q", body), (2, "http://a.example/é", body), (3, None, "short"), (4, "u", "short"), (None, "u", body), (5, "u", None)]
