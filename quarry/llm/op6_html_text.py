@@ -1,15 +1,20 @@
 """HTML extraction: site template removal.
 
 Each page is parsed to a tree. Outside the article, every element subtree gets a
-hash of its tags, classes and text; Spark counts on how many pages of a host each
-hash stands, and the subtrees that recur on many pages of their host are deleted.
+hash of its tags, classes and text; Spark counts with how many differing contents of
+a host each hash stands, and the subtrees that recur with many of them are deleted.
 Elements that name themselves as furniture (nav, footer, forms, adverts,
 comments, ...) go as well. What is left of the article, or of the body where a
 page names no article, is the text.
 
 Within the article only furniture-like containers (aside, div, section, lists,
-tables, figures) are counted and never its paragraphs and headings, so that
-articles that stand on many pages of a host stay whole.
+tables, figures) are counted and never its paragraphs and headings by themselves.
+
+Copies of an article count as one content, so that an article under many urls of a
+host stays whole. A page's content is known by its longest run of text outside the
+subtrees that recur on the host's pages; where little stands outside them, the page
+is a copy and its largest recurring subtree stands for it. Copies may thus differ in
+a date or some paragraphs. A subtree that holds most of a page's text stays there.
 
 Defined cases: null or empty html gives an empty text; a null url has an empty
 host, whose pages count together; repeated rows are one page in the counts and
@@ -32,9 +37,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, own_columns
 
-#: A subtree recurs if it stands on so many pages of its host, and on such a share of them.
+#: A subtree recurs if it stands with so many differing contents of its host, however large the host is.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.02
+#: A page whose recurring subtrees leave a smaller share of its text is a copy.
+LEAST_OWN = 0.1
+#: A subtree with such a share of a page's text isn't its template.
+MOST_TEXT = 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -171,11 +179,14 @@ def hash_subtrees(root: Node) -> list[tuple[Node, bool]]:
     return nodes
 
 
+def may_recur(x: Node, inside: bool) -> bool:
+    """Elements outside the article that don't hold it, and containers within it. Inline elements alone aren't counted."""
+    return bool(x.tag and not x.inner and x.tag not in INLINE and x.tag not in VOID and (x.tag in CONTAINERS if inside else x.tag not in MAIN and x.tag not in ("html", "body", "head")))
+
+
 def countable(root: Node) -> set[int]:
-    """Hashes of the subtrees of a page that may be template: elements outside the article that
-    don't hold it, and containers within it. Inline elements alone aren't counted."""
-    return {x.hash for x, inside in hash_subtrees(root)
-            if x.tag and not x.inner and x.tag not in INLINE and x.tag not in VOID and (x.tag in CONTAINERS if inside else x.tag not in MAIN and x.tag not in ("html", "body", "head"))}
+    """Hashes of the subtrees of a page that may be template."""
+    return {x.hash for x, inside in hash_subtrees(root) if may_recur(x, inside)}
 
 
 def articles(root: Node) -> list[Node]:
@@ -210,33 +221,114 @@ def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
     return " ".join("".join(out).split())
 
 
+def outline(root: Node) -> list[list[int]]:
+    """The countable subtrees of a page's text, after 0 for the page: hash, place of the one around it, characters of its
+    text outside those within it, length and hash of its longest run of such text. Wants hash_subtrees first."""
+    out, run, at = [[0, -1, 0, 0, 0]], [], 0
+
+    def end_run() -> None:
+        if t := " ".join("".join(run).split()):
+            o = out[at]
+            o[2] += len(t)
+            if len(t) > o[3]:
+                o[3:] = len(t), int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        run.clear()
+
+    for m in articles(root) or [root]:
+        todo: list = [m]
+        while todo:
+            x = todo.pop()
+            if type(x) is str:
+                run.append(x)
+            elif type(x) is int:  # an element's end: the subtree around it goes on
+                end_run()
+                at = x
+            elif x is m or not x.furniture:
+                if x.tag not in INLINE:
+                    end_run()
+                    todo.append(at)
+                    if x is not m and may_recur(x, m is not root):
+                        out.append([x.hash, at, 0, 0, 0])
+                        at = len(out) - 1
+                todo.extend(reversed(x.kids))
+        end_run()
+    return out
+
+
+def content_of(nodes: list[list[int]], often: set[int]) -> tuple[int, set[int]]:
+    """What the content of a page is known by, and the subtrees with most of its text. ``often``: the page's subtrees that recur on its host."""
+    sizes = [n[2] for n in nodes]
+    for k in range(len(nodes) - 1, 0, -1):  # children come after their parents
+        sizes[nodes[k][1]] += sizes[k]
+    under = [False] * len(nodes)
+    own, longest, copied = 0, (0, 0), (0, 0)
+    for k, (h, up, n, size, run) in enumerate(nodes):
+        above = k > 0 and under[up]
+        under[k] = above or h in often
+        if not under[k]:
+            own += n
+            longest = max(longest, (size, run))
+        elif not above:
+            copied = max(copied, (sizes[k], h))
+    most = {n[0] for n, size in zip(nodes[1:], sizes[1:], strict=True) if size and size >= MOST_TEXT * sizes[0]}
+    return (longest if own >= LEAST_OWN * sizes[0] else copied)[1], most
+
+
 def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
+NODES = "array<array<long>>"
+
+
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """host, key and subtrees (distinct countable hashes) of each page. ``pages``: host, key, html."""
+    """host, key, subtrees (distinct countable hashes) and nodes (outline) of each page. ``pages``: host, key, html."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [sorted(countable(parse(h or ""))) for h in b.column(2).to_pylist()]
+            sets, nodes = [], []
+            for h in b.column(2).to_pylist():
+                root = parse(h or "")
+                sets.append(sorted(countable(root)))
+                nodes.append(outline(root))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
             flat = pa.array([x for s in sets for x in s], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat)], ["host", "key", "subtrees"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(nodes, pa.list_(pa.list_(pa.int64())))],
+                                             ["host", "key", "subtrees", "nodes"])
 
-    return pages.select("host", "key", "html").mapInArrow(run, "host string, key long, subtrees array<long>")
+    return pages.select("host", "key", "html").mapInArrow(run, f"host string, key long, subtrees array<long>, nodes {NODES}")
 
 
-def template_subtrees(subtrees: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, key (of a page) and template: its subtrees that recur on its host."""
-    pages = subtrees.dropDuplicates(["host", "key"])  # a page that stands in several rows counts once
-    each = pages.select("host", "key", F.explode("subtrees").alias("subtree"))
-    size = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    often = (each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-             .join(size, "host").where(F.col("n") >= F.col("n_pages") * least_share).select("host", "subtree"))
+def recurring(each: DataFrame, number, least: int) -> DataFrame:
+    """The rows of ``each`` (host, key, subtree) whose subtree reaches ``number`` on its host, as one array for each page."""
+    often = each.groupBy("host", "subtree").agg(number.alias("n")).where(F.col("n") >= least).select("host", "subtree")
     return each.join(often, ["host", "subtree"]).groupBy("host", "key").agg(F.collect_list("subtree").alias("template"))
 
 
+def page_contents(subtrees: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, key, content and subtrees (on many pages of the host, without those that hold most of the text) of each page with such subtrees."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            contents, left = [], []
+            for nodes, often in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                content, most = content_of(nodes, set(often))
+                contents.append(content)
+                left.append([x for x in often if x not in most])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(contents, pa.int64()), pa.array(left, pa.list_(pa.int64()))], ["host", "key", "content", "subtrees"])
+
+    pages = subtrees.dropDuplicates(["host", "key"])  # a page that stands in several rows counts once
+    often = recurring(pages.select("host", "key", F.explode("subtrees").alias("subtree")), F.count("*"), least_pages)
+    known = pages.select("host", "key", "nodes").join(often, ["host", "key"])
+    return known.mapInArrow(run, "host string, key long, content long, subtrees array<long>")
+
+
+def template_subtrees(contents: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, key (of a page) and template: its subtrees that recur on its host with differing contents."""
+    each = contents.select("host", "key", "content", F.explode("subtrees").alias("subtree"))
+    return recurring(each, F.count_distinct("content"), least_pages)
+
+
 def packed(pages: DataFrame) -> DataFrame:
     """The html compressed, for the one shuffle that moves it."""
 
@@ -248,13 +340,15 @@ def packed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "host", "key", "html").mapInArrow(run, "page_id long, url string, host string, key long, html binary")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``. The html is shuffled once, compressed, by host and the hash of the page."""
     spark = pages.sparkSession
     own = own_columns(pages, "page_id", "url", "html")
     own = own.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     keyed = own.withColumn("host", host(F.col("url"))).withColumn("key", F.xxhash64("url", "html"))
-    subtrees = Scratch(spark, "op6").table(page_subtrees(keyed), "subtrees")
+    scratch = Scratch(spark, "op6")
+    contents = scratch.table(page_contents(scratch.table(page_subtrees(keyed), "subtrees"), least_pages), "contents")
+    scratch.drop("subtrees")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -267,5 +361,5 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
-    known = packed(keyed).join(template_subtrees(subtrees, least_pages, least_share), ["host", "key"], "left")
+    known = packed(keyed).join(template_subtrees(contents, least_pages), ["host", "key"], "left")
     return known.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

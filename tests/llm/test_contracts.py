@@ -210,6 +210,24 @@ def test_op6_recurring_subtrees_go(pages_of):
     assert got[200] == "Shop of b opening hours Text 200 of b one two"  # on two
 
 
+def test_op6_copied_articles_stay_and_large_hosts_lose_their_blocks(pages_of):
+    body = "".join(f"<p>Paragraph {k} of an article that stands under several addresses of its host.</p>" for k in range(6))
+    text = " ".join(re.sub("<[^>]*>", " ", body).split())
+    half = body.index("<p>Paragraph 3")
+    copies = {"a": "<article><div class=content>{body}</div></article>", "b": "<article><div class=content>{body}</div><p>Posted as number {k}</p></article>",
+              "c": "<body><div>Number {k}</div><h1>Title</h1>{body}</body>", "d": "<article><h1>No {k}</h1><section>{one}</section><section>{two}</section></article>",
+              "e": "<article><div>{one}</div>{two}<ul><li>a list<li>of it</ul><p>Seen {k} times</p></article>"}
+    rows = [(100 * n + k, f"http://{h}.example/{k}", page.format(body=body, one=body[:half], two=body[half:], k=k)) for n, (h, page) in enumerate(copies.items()) for k in range(8)]
+    block = "<div><span>Our shop is open from nine to five.</span></div>"
+    rows += [(1000 + k, f"http://large.example/{k}", f"<article><p>Text of the page with number {k}, by itself.</p>{block if k < 6 else ''}</article>") for k in range(600)]
+    rows += [(2000 + k, f"http://large.example/copy{k}", f"<article><div>{body}</div></article>") for k in range(20)]
+    got = {r.page_id: r.text for r in op6.extract(pages_of(rows)).collect()}
+    for k in range(8):
+        assert [got[100 * n + k] for n in range(5)] == [text, f"{text} Posted as number {k}", f"Number {k} Title {text}", f"No {k} {text}", f"{text} a list of it Seen {k} times"]
+    assert all(got[1000 + k] == f"Text of the page with number {k}, by itself." for k in range(600))  # on 1 % of the host's pages
+    assert all(got[2000 + k] == text for k in range(20))
+
+
 def test_op6_markup():
     t = lambda h: op6.text_of(op6.parse(h), set())
     assert t("a<br>b <p>c &nbsp;d&amp;<i>x</i>y<li>q<script>z<p></script><div id=cookie-notice>n</div>") == "a b c d&xy q"
