@@ -9,6 +9,8 @@ page names no article, is the text.
 
 Within the article only furniture-like containers (aside, div, section, lists,
 tables, figures) are counted and never its paragraphs and headings by themselves.
+Names count there whole ("share") or as known compounds ("share-buttons"), and ids
+of headings, sections and other text never.
 
 Copies of an article count as one content, so that an article under many urls of a
 host stays whole. A page's content is known by its longest run of text outside the
@@ -48,17 +50,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never text.
 FURNITURE = frozenset("head script style nav header footer aside form noscript template iframe object svg canvas button select textarea "
-                      "dialog menu audio video figure math noembed noframes title input option label fieldset".split())
+                      "dialog menu audio video noembed noframes title input option label fieldset".split())
 #: Words of class, id or role that name furniture.
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
                             "breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices alert announcement disclaimer popup modal overlay "
                             "newsletter subscribe subscription signup login share sharing social related recommended comment comments "
                             "disqus respond reply replies widget toolbar pagination pager skip complementary contentinfo search".split())
+#: Inside an article a name of several words names furniture if it has one of the heads (words that an article's own parts seldom
+#: bear) and no words but furniture's and the parts below: "share-buttons", not "share-prices" or "article-header".
+COMPOUND_HEADS = FURNITURE_NAMES - frozenset("header notice notices alert announcement disclaimer complementary respond skip".split())
+COMPOUND_PARTS = FURNITURE_NAMES | frozenset("box block container wrapper wrap area list link links button buttons bar icon icons form top bottom left right "
+                                             "inner site page post posts article articles section items unit slot".split())
 #: Text of other elements stays in its block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr img".split())
 MAIN = frozenset(("article", "main"))
 WHOLE_PAGE = frozenset(("html", "body", "main"))
+#: Their ids are anchors, made from the text's own words, and say nothing about what they hold; as little do those of elements of the class "section".
+ANCHORED = INLINE | frozenset("h1 h2 h3 h4 h5 h6 hgroup section p pre blockquote dt dd li caption tr td th figcaption".split())
 #: A name that begins so says something about the element's surroundings.
 NEGATIONS = frozenset(("has", "with", "no", "without", "not", "is"))
 #: Subtrees that may be counted inside the article.
@@ -79,32 +88,41 @@ class Node:
     def __init__(self, tag: str, names: frozenset[str] = frozenset()):
         self.tag, self.names, self.kids, self.hash, self.inner = tag, names, [], 0, False
 
-    @property
-    def furniture(self) -> bool:
-        """By its tag or a word of its names. Of an article only a whole name counts ("comment", not
-        "comments-open"), and names say nothing about what holds the page."""
+    def says(self, *marks: str) -> bool:
+        """Whether class or role, or an id that isn't an anchor, say one of the marks of names_of."""
+        anchor = self.tag in ANCHORED or "=section" in self.names
+        return any(m in self.names or (not anchor and "#" + m in self.names) for m in marks)
+
+    def furniture(self, inside: bool) -> bool:
+        """By its tag or its names: in an article whole names and known compounds count, outside any word of a name.
+        Of an article only a whole name counts ("comment", not "comments-open"), and names say nothing about what holds the page."""
         if self.tag in WHOLE_PAGE:
             return False
-        return self.tag in FURNITURE or (self.named if self.tag == "article" else bool(self.names & FURNITURE_NAMES))
+        return self.tag in FURNITURE or (self.named if self.tag == "article" else self.says("whole", "compound") if inside else self.says("whole", "word"))
 
     @property
     def named(self) -> bool:
-        return any("=" + n in self.names for n in FURNITURE_NAMES)
+        return self.says("whole")
 
 
 def names_of(attrs: str) -> frozenset[str]:
-    """The names in class, id and role, whole (after "=") and in words."""
+    """The names in class and role (after "=") and id (after "#="), and what they say of furniture: whole, compound or word (for id after "#")."""
     out: set[str] = set()
     for k, a, b, c in ATTR.findall(attrs):
         k = k.lower()
         if k in ("class", "id", "role"):
+            mark = "#" if k == "id" else ""
             for name in (a or b or c).lower().split():
                 words = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-                out.add("=" + name)
-                if words and words[0] not in NEGATIONS:
-                    out.update(words)
+                out.add(f"{mark}={name}")
+                if name in FURNITURE_NAMES:
+                    out.add(mark + "whole")
+                if words and words[0] not in NEGATIONS and not FURNITURE_NAMES.isdisjoint(words):
+                    out.add(mark + "word")
+                    if COMPOUND_PARTS.issuperset(words) and not COMPOUND_HEADS.isdisjoint(words):
+                        out.add(mark + "compound")
         elif k in ("hidden", "aria-hidden") and (a or b or c).lower() in ("", "true", "hidden"):
-            out.add("modal")
+            out.update(("compound", "word"))
     return frozenset(out)
 
 
@@ -213,7 +231,7 @@ def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
             x = todo.pop()
             if type(x) is str:
                 out.append(x)
-            elif x is m or not (x.furniture or x.hash in template):
+            elif x is m or not (x.furniture(m is not root) or x.hash in template):
                 if x.tag not in INLINE:
                     out.append(" ")
                     todo.append(" ")
@@ -243,7 +261,7 @@ def outline(root: Node) -> list[list[int]]:
             elif type(x) is int:  # an element's end: the subtree around it goes on
                 end_run()
                 at = x
-            elif x is m or not x.furniture:
+            elif x is m or not x.furniture(m is not root):
                 if x.tag not in INLINE:
                     end_run()
                     todo.append(at)

@@ -239,6 +239,19 @@ def test_op6_markup():
     assert t("<div>" * 5000 + "deep") == "deep"
 
 
+def test_op6_names_in_articles():
+    t = lambda h: op6.text_of(op6.parse(f"<article>a {h} z</article>"), set())
+    for x in ("<section id=related-work>b</section>", "<h2 id=share-prices>b</h2>", "<section id=header-format>b</section>", "<div id=notice-period>b</div>", "<h2 id=search>b</h2>",
+              "<section id=comments>b</section>", "<div class=section id=search>b</div>", "<figure><img><figcaption>b</figcaption></figure>", "<math><mi>b</mi></math>",
+              "<div class=article-header>b</div>", "<section class=search-methods>b</section>", "<a id=share>b</a>"):
+        assert t(x) == "a b z", x
+    for x in ("<div class=share>b</div>", "<section class='x comments'>b</section>", "<div id=comments>b</div>", "<ul class=share-buttons>b</ul>", "<div class=related-posts>b</div>",
+              "<div id=social_share>b</div>", "<div role=navigation>b</div>", "<div class=post__ad-slot>b</div>", "<p aria-hidden=true>b</p>"):
+        assert t(x) == "a z", x
+    assert op6.text_of(op6.parse("<section id=search><article>a</article></section>"), set()) == "a"
+    assert op6.text_of(op6.parse("<h2 id=share-prices>a</h2><div class=footer-widgets>b</div><div id=top-nav>c</div>"), set()) == "a"
+
+
 def test_op7_rules_and_globs():
     rules = [*op7.host_rules(), *op7.method_rules()]
     j = lambda *u: [(h, p, r, v) for h, p, r, v in op7.judge(rules, u)]
