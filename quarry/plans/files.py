@@ -54,9 +54,10 @@ FROM ({_chunk_sql()}) c JOIN documents d USING (doc_id)""")
 def q_write_chunks(spark, sf_dir):
     path = fresh(spark, "chunks")
     docs = st.table(spark, sf_dir, "documents")
-    for lang in ("de", "en", "es", "fr"):  # a split a write: each leaves the others
-        d = docs.filter(F.col("lang") == lang)
-        writers.write_chunks(prepare.chunk_documents(d, 512, 80).withColumn("split", F.lit(lang)), path)
+    for r in docs.select("lang").distinct().collect():  # a split a write: each leaves the others
+        lang = F.lit(r["lang"]).cast("string")
+        d = docs.filter(F.col("lang").eqNullSafe(lang))
+        writers.write_chunks(prepare.chunk_documents(d, 512, 80).withColumn("split", lang), path)
     return spark.read.parquet(path).select("chunk_id", F.sha2("text", 256).alias("th"), "tokens", "split")
 
 

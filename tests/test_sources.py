@@ -82,3 +82,11 @@ def test_load_embedding_table(spark):
     spark.createDataFrame([(1, "one")], "id long, text string").write.parquet(os.path.join(d, "txt"))
     vec, n = readers.load_embedding_table(spark, os.path.join(d, "vec"), os.path.join(d, "txt"))
     assert n == 2 and {r["id"]: r["text"] for r in vec.collect()} == {1: "one", 2: None}
+
+
+def test_write_chunks_query_writes_every_language(spark, tmp_path):
+    from quarry.plans.files import q_write_chunks
+    rows = [(1, "some words here", "en", None, 15), (2, "altre parole qui", "it", None, 16), (3, "words of no language", None, None, 20), (4, "more words", "en", None, 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.split for r in q_write_chunks(spark, str(tmp_path)).collect()), key=str)
+    assert got == [None, "en", "en", "it"]
