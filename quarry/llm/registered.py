@@ -17,6 +17,7 @@ from quarry.llm import (
     op8_byte_bpe,
     op9_quality_rules,
     op10_pii,
+    op12_source_divergence,
     op13_periodic_runs,
 )
 from quarry.llm.common import small_batches
@@ -69,12 +70,16 @@ def op10_personal(spark, sf_dir):
     return op10_pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark, sf_dir):
+    return op12_source_divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark, sf_dir):
     return op13_periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_tokens, op3_licenses, op4_leaks, op5_warc, op6_text, op7_urls, op8_bpe, op9_quality, op10_personal, op13_runs)
+    f.__name__: f for f in (op1_minhash, op2_tokens, op3_licenses, op4_leaks, op5_warc, op6_text, op7_urls, op8_bpe, op9_quality, op10_personal, op12_divergence, op13_runs)
 }
 
 ORACLE: dict[str, str] = {
@@ -82,4 +87,5 @@ ORACLE: dict[str, str] = {
     "op5_warc": op5_arc_to_warc.ORACLE,
     "op7_urls": op7_url_filters.ORACLE,
     "op9_quality": op9_quality_rules.ORACLE,
+    "op12_divergence": op12_source_divergence.ORACLE,
 }
