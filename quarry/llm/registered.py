@@ -17,6 +17,7 @@ from quarry.llm import (
     op8_byte_bpe,
     op9_quality_rules,
     op10_pii,
+    op11_language_id,
     op12_source_divergence,
     op13_periodic_runs,
 )
@@ -70,6 +71,10 @@ def op10_personal(spark, sf_dir):
     return op10_pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark, sf_dir):
+    return op11_language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark, sf_dir):
     return op12_source_divergence.divergences(_table(spark, sf_dir, "documents"))
 
@@ -79,7 +84,7 @@ def op13_runs(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_tokens, op3_licenses, op4_leaks, op5_warc, op6_text, op7_urls, op8_bpe, op9_quality, op10_personal, op12_divergence, op13_runs)
+    f.__name__: f for f in (op1_minhash, op2_tokens, op3_licenses, op4_leaks, op5_warc, op6_text, op7_urls, op8_bpe, op9_quality, op10_personal, op11_language, op12_divergence, op13_runs)
 }
 
 ORACLE: dict[str, str] = {
