@@ -11,10 +11,12 @@ period aren't primitive and go. What is left of a tile are intervals; those of
 one document and period that overlap by a period are parts of one run. They
 are shuffled by (document, period) and stitched there.
 
-Tiles that can't hold a run are left out before they are made: in a run, P words
-at the centre, or P words before it, stand again q words later. Grams of P words
-are compared by hashes, built by doubling, so nothing is lost, and nothing is
-decided by a hash: tiles hold exact word numbers.
+Tiles that can't hold a run are left out before they are made. A run of 4q words
+holds a multiple of P whose 2P words stand again q words later; a document without
+any has no tiles in that octave. In the others, a centre in a run has P words at it, or
+P words before it, that stand again q words later. Grams are compared by hashes,
+built by doubling, so nothing is lost, and nothing is decided by a hash: tiles hold
+exact word numbers.
 
 Documents without any tile are finished where they are read. The text of the
 others is written once, and meets its runs by a join.
@@ -76,25 +78,40 @@ class Numbers(dict):
         return n
 
 
-def candidates(x: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each octave P, the centres (multiples of 2P) of x whose tile may hold a run. The numbers that
-    stand between documents differ from all others."""
+def longer(grams: np.ndarray, P: int) -> np.ndarray:
+    """Hashes of 2P words from those of P words."""
+    if len(grams) <= P:
+        return grams[:0]
+    mixed = grams[:-P] * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed + grams[P:]) * np.uint64(0x94D049BB133111EB)
+
+
+def again(grams: np.ndarray, P: int) -> np.ndarray:
+    """The multiples c of P whose gram stands again at c + P to c + 2P - 1."""
+    g = np.zeros((-(-len(grams) // P) + 1, P), np.uint64)
+    g.reshape(-1)[:len(grams)] = grams
+    return np.flatnonzero((g[1:] == g[:-1, :1]).any(axis=1)) * P
+
+
+def candidates(x: np.ndarray, longest: int, starts: np.ndarray = np.zeros(1, np.int64)) -> Iterator[tuple[int, np.ndarray]]:
+    """For each octave P, the centres (multiples of 2P) of x whose tile may hold part of a run. The texts of x begin
+    at ``starts``; the numbers that stand between them differ from all others."""
     grams = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     P = 1
-    while LEAST_PERIODS * P <= longest:
-        rows = -(-len(grams) // (2 * P))
-        g = np.zeros((rows, 2 * P), np.uint64)
-        g.reshape(-1)[:len(grams)] = grams
-        # P words at the centre stand again P to 2P - 1 later; P words before it do
-        hit = (g[:, P:] == g[:, :1]).any(axis=1)
-        hit[1:] |= (g[1:, :P] == g[:-1, P:P + 1]).any(axis=1)
-        if hit.any():
-            yield P, np.flatnonzero(hit) * (2 * P)
-        if len(grams) <= P:
-            return
-        mixed = grams[:-P] * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        grams = (mixed + grams[P:]) * np.uint64(0x94D049BB133111EB)
+    while LEAST_PERIODS * P <= longest and len(grams):
+        double = longer(grams, P)
+        # a run holds a multiple of P whose 2P words (4 words, where a run of period 1 has 6) stand again a period later
+        texts = np.unique(np.searchsorted(starts, again(longer(double, 2) if P == 1 else double, P), "right"))
+        if len(texts):
+            g = np.zeros((-(-len(grams) // (2 * P)), 2 * P), np.uint64)
+            g.reshape(-1)[:len(grams)] = grams
+            # P words at the centre stand again a period later, or P words before it do
+            hit = (g[:, P:] == g[:, :1]).any(axis=1)
+            hit[1:] |= (g[1:, :P] == g[:-1, P:P + 1]).any(axis=1)
+            centres = np.flatnonzero(hit) * (2 * P)
+            yield P, centres[np.isin(np.searchsorted(starts, centres, "right"), texts)]
+        grams = double
         P *= 2
 
 
@@ -175,7 +192,7 @@ def explode_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         own = x.astype(np.int32)
         starts = np.array(at)
         with_tiles, rows, n = set(), [], 0
-        for P, centres in candidates(x, max(len(w) for *_, w in docs)):
+        for P, centres in candidates(x, max(len(w) for *_, w in docs), starts):
             of = np.searchsorted(starts, centres, "right") - 1
             for c, k in zip(centres.tolist(), of.tolist()):
                 begin, size = at[k], len(docs[k][3])
