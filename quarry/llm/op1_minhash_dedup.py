@@ -1,8 +1,8 @@
 """MinHash near-duplicates: bottom-k sketches of one hash function.
 
 A document's set are the hashes of its distinct five-word shingles; its sketch
-are the K smallest of them. Documents with equal sets are one class, which its
-smallest doc_id represents, so copies cost one row each and make no pairs.
+are the K smallest of them. Documents with equal sets are one class, which has a
+number of its own, so copies cost one row each and make no pairs.
 
 Overlaps come from inverted lists of the retained values. Two sets that are
 similar enough share at least ``least_shared`` values of their sketches (but for
@@ -29,8 +29,11 @@ to the shared folder between the rounds.
 
 Defined cases: documents without words (or text) have an empty set and link with
 nothing; rows without doc_id link with nothing, have no component_id and are
-kept; rows that share a doc_id count as one document and have one component_id;
-ties are decided by the smallest doc_id; empty tables give empty results.
+kept; rows that share a doc_id count as one document: their classes are joined
+like linked ones, so that they have one component_id, also a row without words;
+``one_of_each`` tells texts apart instead, so that no text is lost because its id has
+another text with a copy; ties are decided by the smallest doc_id; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ K = 32
 SIMILAR = 85
 #: Ranges of hashes for the exact bound of a pair.
 RANGES = 64
+#: Members of a list that a task compares with those outside the component of the list's leader.
+PART = 1024
 #: The chance that sketches of similar sets share fewer values than asked for.
 LOSS = 1e-10
 
@@ -95,26 +100,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n (set size), class (128-bit hash of the whole set, null if empty) and sketch (the k smallest) of every row."""
+    """doc_id, key, n (set size), class (128-bit hash of the whole set, null if empty) and sketch (the k smallest) of every row (doc_id, key, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), _lists([s[:k] for s in sets])],
-                ["doc_id", "n", "class", "sketch"])
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), _lists([s[:k] for s in sets])],
+                ["doc_id", "key", "n", "class", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, class binary, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, class binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """rep and shingles (the full set) of every row, and how many of them stand in each range."""
+    """rep and shingles (the full set) of every row (rep, class, text) whose text is of that class, and how many of them stand in each range."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            ranges = [np.bincount(s >> _SHIFT, minlength=RANGES) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets), pa.array(ranges, pa.list_(pa.int32()))], ["rep", "shingles", "ranges"])
+            # an id may have other texts
+            own = [(rep, s) for rep, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(shingle_set, b.column(2).to_pylist())) if xxhash.xxh128_digest(s.tobytes()) == c]
+            ranges = [np.bincount(s >> _SHIFT, minlength=RANGES) for _, s in own]
+            yield pa.RecordBatch.from_arrays([pa.array([rep for rep, _ in own], pa.int64()), _lists([s for _, s in own]), pa.array(ranges, pa.list_(pa.int32()))], ["rep", "shingles", "ranges"])
 
     return docs.mapInArrow(run, "rep long, shingles array<long>, ranges array<int>")
 
@@ -188,11 +194,11 @@ def components(edges: DataFrame, s: Scratch, name: str) -> DataFrame:
     return now.select(F.col("a").alias("rep"), F.col("b").alias("component")).union(now.select(F.col("b").alias("rep"), F.col("b").alias("component")).distinct())
 
 
-def links(reps: DataFrame, docs: DataFrame, s: Scratch, k: int = K, similar: int = SIMILAR) -> DataFrame:
-    """rep, component of the classes that are linked with another."""
+def links(reps: DataFrame, docs: DataFrame, s: Scratch, k: int = K, similar: int = SIMILAR, known: DataFrame | None = None) -> DataFrame:
+    """rep, component of the classes that are linked with another. ``known``: further links (a, b)."""
     lists = s.table(inverted_lists(reps, k, similar), "lists")
-    listed = lists.select("rep").distinct()
-    sets = s.table(full_sets(docs.join(listed, docs.doc_id == listed.rep, "left_semi")), "sets")
+    listed = reps.select("rep", "class", "doc").join(lists.select("rep").distinct(), "rep", "left_semi")
+    sets = s.table(full_sets(docs.join(listed, docs.doc_id == listed.doc).select("rep", "class", "text")), "sets")
     lists = s.table(lists.join(shared_counts(sets, similar), "rep"), "lists2")
 
     leaders = lists.groupBy("v").agg(F.max(F.struct("weight", "rep", "n", "c", "r")).alias("l"), F.count("*").alias("members")).where("members > 1")
@@ -203,32 +209,76 @@ def links(reps: DataFrame, docs: DataFrame, s: Scratch, k: int = K, similar: int
     merged = components(first, s, "merged")
 
     member = s.table(lists.join(merged, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
-    heads = member.groupBy("v").agg(F.max(F.struct("weight", "rep", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    mixed = member.join(heads.select("v", F.col("l.component").alias("head")), "v")
-    left, right = mixed.where("component <> head").alias("x"), mixed.alias("y")
+    heads = (member.groupBy("v").agg(F.max(F.struct("weight", "rep", "component")).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+             .where("lo <> hi"))
+    # a list's members are dealt to tasks by parts, and each member outside its leader's component meets all parts
+    mixed = member.join(heads.select("v", F.col("l.component").alias("head"), F.ceil(F.col("members") / PART).cast("int").alias("parts")), "v")
+    left = mixed.where("component <> head").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    right = mixed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("y")
     # every pair once: under the first value that both are listed under, and by the smaller rep if both are outside the leader's component
-    rest = left.join(right, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component"))
+    rest = left.join(right, (F.col("x.v") == F.col("y.v")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
                      & ((F.col("y.component") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep")))
                      & (F.array_min(F.array_intersect("x.under", "y.under")) == F.col("x.v"))
                      & within(*map(F.col, ("x.n", "x.c", "x.r", "y.n", "y.c", "y.r")), similar))
     rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     second = s.table(confirmed(s.table(rest, "rest"), sets, k, similar), "second")
-    out = s.table(components(first.union(second), s, "all"), "components")
+    edges = first.union(second) if known is None else first.union(second).union(known)
+    out = s.table(components(edges, s, "all"), "components")
     s.drop("lists", "lists2", "sets", "stars", "members", "rest", "first", "second")
     return out
 
 
+def classes(docs: DataFrame, s: Scratch, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, text, key: a hash of the text), their rows (doc_id, key, n, class, sketch), and the
+    classes: class, rep (their number), doc (their smallest doc_id), n and sketch."""
+    text = F.col("text").cast("string")
+    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = s.table(sketches(own, k), "sketches")
+    one = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return own, rows, s.table(one.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+
+def same_id(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the classes of rows that share a doc_id; and doc_id, rep (one of its classes) of
+    those that also have a row without words."""
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("class").alias("with"), F.count("*").alias("all"))
+    several = rows.join(ids.where("lo <> hi").select("doc_id", "lo"), "doc_id").where("class IS NOT NULL AND class <> lo").select("class", "lo").distinct()
+    of = reps.select("class", "rep")
+    edges = several.join(of.withColumnRenamed("rep", "a"), "class").join(of.select(F.col("class").alias("lo"), F.col("rep").alias("b")), "lo").select("a", "b")
+    part = ids.where("lo IS NOT NULL AND with < all").select("doc_id", F.col("lo").alias("class")).join(of, "class").select("doc_id", "rep")
+    return edges, part
+
+
 def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     s = Scratch(spark, "op1")
-    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = s.table(sketches(own, k), "sketches")
-    one = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = s.table(one, "classes")
+    own, rows, reps = classes(docs, s, k)
+    edges, with_empty = same_id(rows, reps)
+    edges, with_empty = s.table(edges, "same_id"), s.table(with_empty, "with_empty")
+    linked = links(reps, own.where("doc_id IS NOT NULL"), s, k, similar, edges)
+    smallest = linked.join(reps.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("id"))
+    linked = linked.join(smallest, "component").select("rep", "id")
+    found = reps.select("class", "rep", "doc").join(linked, "rep", "left").select("class", "rep", F.coalesce("id", "doc").alias("id"))
+    rows = rows.select("doc_id", "n", "class")
+    words = rows.where("class IS NOT NULL OR doc_id IS NULL").join(found.select("class", "id"), "class", "left").select("doc_id", "n", "id")
+    none = (rows.where("class IS NULL AND doc_id IS NOT NULL").join(with_empty.join(found, "rep").select("doc_id", "id"), "doc_id", "left")
+            .select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("id"))
+    return (words.union(none).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def one_of_each(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
+    """doc_id and key (xxhash64 of the text) of one text of each group of linked texts: the smallest doc_id, of its
+    texts the smallest key. Texts without words are each a group, rows without doc_id are in none."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    s = Scratch(spark, "op1")
+    own, rows, reps = classes(docs, s, k)
     linked = links(reps, own.where("doc_id IS NOT NULL"), s, k, similar)
-    found = reps.select("class", "rep").join(linked, "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "class").join(found, "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    group = reps.select("class", "rep").join(linked, "rep", "left").select("class", F.coalesce("component", "rep").alias("group"))
+    known = rows.where("doc_id IS NOT NULL").select("doc_id", "key", "class")
+    words = known.where("class IS NOT NULL").join(group, "class").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("one.*")
+    return words.union(known.where("class IS NULL").select("doc_id", "key").distinct())

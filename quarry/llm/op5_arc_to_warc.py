@@ -3,9 +3,13 @@
 ``write_arc`` packs pages as ARC archives (version 1 or 2), ``index_arc`` reads
 such archives by their version's header lines and declared lengths, and
 ``convert`` writes WARC 1.1 archives with identifiers, timestamps, types and
-digests made from the ARC records; ``read_warc`` reads them back. Archives are
-files of gzip members, one a record, in the shared folder. The records that
-share a payload are found on the narrow index alone: payloads never shuffle.
+digests made from the ARC records; ``read_warc`` reads them back. Archives that
+are written here are files of gzip members, one a record, in the shared folder;
+those that are read may be plain or gzip, of one member or many, with any number
+of records in each: an archive is one stream of header lines, blocks of the
+declared length and line ends between them, and anything else is an error. A
+record's position is its place in that stream. The records that share a payload
+are found on the narrow index alone: payloads never shuffle.
 
 Each archive holds at most ``records`` records and is rolled at ``roll_bytes``,
 so one task's memory is bounded by its largest record. A task that is run again
@@ -15,7 +19,9 @@ Defined cases: null html is an empty payload. A null page_id has no header and
 is read back as null; it ranks below all others. Rows that repeat a page_id
 with an equal payload: the one that stands first in the archives is the
 response. A null or blank url is written as ``-``; white space and control
-characters in urls are percent-encoded. Empty tables give empty results.
+characters in urls are percent-encoded. A record whose date is no number takes the
+date of its archive's opening record, and its own goes into X-Archive-Date; where
+that one is no number either, conversion fails. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -143,6 +149,72 @@ def members(f) -> Iterator[tuple[int, int, bytes]]:
         raise ValueError("an archive ends within a record")
 
 
+def inflated(f) -> Iterator[bytes]:
+    """The bytes of an archive, plain or of gzip members."""
+    data = f.read(1 << 18)
+    if data[:2] != b"\x1f\x8b":
+        while data:
+            yield data
+            data = f.read(1 << 18)
+        return
+    z = zlib.decompressobj(31)
+    while data:
+        yield z.decompress(data)
+        data = z.unused_data or f.read(1 << 18)
+        if z.eof and data:
+            z = zlib.decompressobj(31)
+    if not z.eof:
+        raise ValueError("an archive ends within a record")
+
+
+class Stream:
+    """Lines and counted bytes of an archive; holds one record at a time."""
+
+    def __init__(self, f):
+        self.more, self.buf, self.at, self.passed = inflated(f), b"", 0, 0
+
+    def position(self) -> int:
+        return self.passed + self.at
+
+    def fill(self, n: int) -> bool:
+        """Holds n bytes from here on, if there are so many."""
+        parts, size = [self.buf[self.at:]], len(self.buf) - self.at
+        if size >= n:
+            return True
+        for data in self.more:
+            parts.append(data)
+            size += len(data)
+            if size >= n:
+                break
+        self.passed, self.at, self.buf = self.passed + self.at, 0, b"".join(parts)
+        return size >= n
+
+    def line(self) -> bytes:
+        n = 1 << 10
+        while (end := self.buf.find(b"\n", self.at)) < 0:
+            if not self.fill(n):
+                if (end := self.buf.find(b"\n", self.at)) < 0:
+                    raise ValueError(f"an archive ends within a header line: {self.buf[self.at:][:80]!r}")
+                break
+            n *= 2
+        line, self.at = self.buf[self.at:end + 1], end + 1
+        return line
+
+    def exactly(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise ValueError(f"a record of {n} bytes holds {len(self.buf) - self.at}")
+        out, self.at = self.buf[self.at:self.at + n], self.at + n
+        return out
+
+    def ended(self) -> bool:
+        """Whether nothing but line ends is left; passes those."""
+        while self.fill(1):
+            if self.buf[self.at] not in b"\r\n":
+                return False
+            self.at += 1
+        return True
+
+
 class Roller:
     """Writes records to archives of bounded size in a folder of any file system."""
 
@@ -207,13 +279,20 @@ def arc_records(path: str) -> Iterator[tuple[int, int, dict[str, str], bytes, by
     """position, length, fields, head and payload of each record of an ARC archive."""
     fs, p = _fs(path)
     with fs.open_input_stream(p, compression=None) as f:
-        version = None
-        for position, length, member in members(f):
-            if version is None:
-                version = read_arc_version(member)
-                continue
-            fields, block = split_arc(member, version)
-            yield position, length, fields, *split_http(block)
+        s = Stream(f)
+        line = s.line()
+        size = line.split()[-1]
+        if not line.startswith(b"filedesc://") or not size.isdigit():
+            raise ValueError("an ARC archive opens with a filedesc record")
+        version = read_arc_version(line + s.exactly(int(size)))
+        opened = parse_arc_line(line, version)["Archive-date"]
+        while not s.ended():
+            position = s.position()
+            fields = parse_arc_line(s.line(), version)
+            block = s.exactly(int(fields["Archive-length"]))
+            if not fields["Archive-date"].isdigit():
+                fields |= {"Own-date": fields["Archive-date"], "Archive-date": opened}
+            yield position, s.position() - position, fields, *split_http(block)
 
 
 def index_arc(archives: DataFrame) -> DataFrame:
@@ -237,7 +316,9 @@ def index_arc(archives: DataFrame) -> DataFrame:
 
 
 def warc_date(arc_date: str) -> str:
-    d = (arc_date + "00000000000000")[:14] if arc_date.isdigit() else ARC_DATE
+    if not arc_date.isdigit():
+        raise ValueError(f"no date: {arc_date!r}")
+    d = (arc_date + "00000101000000"[len(arc_date):])[:14]  # a year or month alone begins it
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -268,6 +349,7 @@ def convert_record(archive: str, position: int, fields: dict[str, str], head: by
         ("WARC-Block-Digest", base32_sha1(block)),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if first else None),
         ("WARC-Refers-To", record_id(first[0], first[1]) if first else None),
+        ("X-Archive-Date", fields.get("Own-date")),
         ("X-Refers-To-Page", None if not first or first[2] is None else str(first[2])),
         ("Content-Type", "application/http; msgtype=response"),
     ], block)
@@ -296,7 +378,7 @@ def convert(index: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Da
         archive = key[0]
         first = {p: (a, int(q), None if pd.isna(g) else int(g)) for p, a, q, g in
                  zip(part.position, part.first_archive, part.first_position, part.first_page, strict=True) if a is not None}
-        stem = archive.rsplit("/", 1)[-1].removesuffix(".arc.gz")
+        stem = archive.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".arc")
 
         def info(name: str, _: int) -> bytes:
             return warc_record("warcinfo", [("WARC-Record-ID", record_id(archive, 0)), ("WARC-Date", warc_date(ARC_DATE)), ("WARC-Filename", name),
