@@ -4,8 +4,8 @@ decontamination, personal data, byte-level BPE.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each as Parquet in the shared folder and rereads it as the next one's docs.
 
-Rows that share a doc_id are one document: the near-duplicate stage keeps one of
-them (the smallest hash of its text). Rows without doc_id are kept there.
+Rows that share a doc_id and a text are one document to the near-duplicate stage; where they
+share only the doc_id, each text stays or goes by itself. Rows without doc_id are kept there.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
     _ready(spark)
-    ids = op1_minhash_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    nth = free("__nth", docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.join(ids, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    key, nth = free("__key", docs.columns), free("__nth", docs.columns)
+    ids = op1_minhash_dedup.one_of_each(docs).withColumnRenamed("key", key)
+    keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    equal = Window.partitionBy("doc_id", key).orderBy(F.xxhash64("text"))
+    one = keyed.join(ids, ["doc_id", key], "left_semi").withColumn(nth, F.row_number().over(equal)).where(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return one.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
 
