@@ -10,7 +10,11 @@ page names no article, is the text.
 Within the article only furniture-like containers (aside, div, section, lists,
 tables, figures) are counted and never its paragraphs and headings by themselves.
 Names count there whole ("share") or as known compounds ("share-buttons"), and ids
-of headings, sections and other text never.
+of headings, sections and other text never. Reader comments are also known by their
+shape: a container behind the article's last paragraph whose children are of one kind,
+bear no headings, and each have two of an author, a date and a way to reply. A header
+in an article goes as any header does, with its headings; a button or label amid the
+words of a sentence stays.
 
 Copies of an article count as one content, so that an article under many urls of a
 host stays whole. A page's content is known by its longest run of text outside the
@@ -48,6 +52,8 @@ MOST_TEXT = 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements whose words are sentences.
+SENTENCES = frozenset("p li dd td blockquote span b i em strong a q cite".split())
 #: Never text.
 FURNITURE = frozenset("head script style nav header footer aside form noscript template iframe object svg canvas button select textarea "
                       "dialog menu audio video noembed noframes title input option label fieldset".split())
@@ -58,9 +64,19 @@ FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement advertising ban
                             "disqus respond reply replies widget toolbar pagination pager skip complementary contentinfo search".split())
 #: Inside an article a name of several words names furniture if it has one of the heads (words that an article's own parts seldom
 #: bear) and no words but furniture's and the parts below: "share-buttons", not "share-prices" or "article-header".
-COMPOUND_HEADS = FURNITURE_NAMES - frozenset("header notice notices alert announcement disclaimer complementary respond skip".split())
+COMPOUND_HEADS = FURNITURE_NAMES - frozenset("header announcement disclaimer complementary respond skip".split())
 COMPOUND_PARTS = FURNITURE_NAMES | frozenset("box block container wrapper wrap area list link links button buttons bar icon icons form top bottom left right "
-                                             "inner site page post posts article articles section items unit slot".split())
+                                             "inner site page post posts article articles section items unit slot "
+                                             "thread threads user users reader readers visitor visitors guest guests count counter latest recent all more load show view "
+                                             "panel holder global system web website blog js wp facebook fb twitter".split())
+#: Words of class or id, tags, and words of links that show parts of a comment.
+COMMENT_PARTS = {"author": frozenset("author authors byline user username nickname nick avatar commenter poster vcard fn".split()),
+                 "date": frozenset("date time datetime timestamp posted published ago".split()),
+                 "reply": frozenset("reply replies respond answer vote votes upvote downvote like likes flag report permalink quote".split())}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MAY_COMMENT = re.compile(r"(?i)<time|author|user|nick|avatar|commenter|poster|byline|vcard")
+#: Characters of a paragraph that belongs to the article's run of text.
+PARAGRAPH = 40
 #: Text of other elements stays in its block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr img".split())
@@ -83,10 +99,11 @@ END_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "hash", "inner")
+    __slots__ = ("tag", "names", "kids", "hash", "inner", "comments", "amid")
 
     def __init__(self, tag: str, names: frozenset[str] = frozenset()):
         self.tag, self.names, self.kids, self.hash, self.inner = tag, names, [], 0, False
+        self.comments = self.amid = False  # holds reader comments; stands amid the words of a sentence
 
     def says(self, *marks: str) -> bool:
         """Whether class or role, or an id that isn't an anchor, say one of the marks of names_of."""
@@ -98,6 +115,10 @@ class Node:
         Of an article only a whole name counts ("comment", not "comments-open"), and names say nothing about what holds the page."""
         if self.tag in WHOLE_PAGE:
             return False
+        if self.comments:
+            return True
+        if self.amid and inside:
+            return self.says("whole", "compound")
         return self.tag in FURNITURE or (self.named if self.tag == "article" else self.says("whole", "compound") if inside else self.says("whole", "word"))
 
     @property
@@ -159,6 +180,8 @@ def parse(html: str) -> Node:
                 if stack[k].tag not in INLINE:
                     break
         node = Node(tag, names_of(m[3]) if m[3] else frozenset())
+        if tag in ("button", "label"):
+            node.amid = stack[-1].tag in SENTENCES and any(type(k) is str and not k.isspace() for k in stack[-1].kids)
         stack[-1].kids.append(node)
         if tag in RAW:
             e = END_RAW[tag].search(html, i)
@@ -169,9 +192,57 @@ def parse(html: str) -> Node:
             stack.append(node)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    if MAY_COMMENT.search(html):
+        for a in [x for x, _ in walk(root) if x.tag in MAIN]:
+            mark_comments(a)
     return root
 
 
+def comment_parts(x: Node) -> tuple[set[str], bool]:
+    """The parts of a comment that an element has, by tags and by words of names; and whether it has headings."""
+    parts, headed = set(), False
+    for k, _ in walk(x):
+        headed |= k.tag in HEADINGS
+        if k.tag == "time":
+            parts.add("date")
+        words = {w for n in k.names if "=" in n for w in re.split(r"[^a-z0-9]+", n.partition("=")[2])}
+        if k.tag in ("a", "button"):
+            words |= {w for t in k.kids if type(t) is str for w in t.lower().split()[:2]}
+        parts.update(part for part, of in COMMENT_PARTS.items() if not of.isdisjoint(words))
+    return parts, headed
+
+
+def mark_comments(article: Node) -> None:
+    """Marks the containers behind the last paragraph of an article whose children are comments."""
+    def length(x: Node) -> int:
+        return sum(len(t.strip()) for k, _ in walk(x) for t in k.kids if type(t) is str)
+
+    def shape(x: Node) -> tuple[str, frozenset[str]]:
+        # names with a number in them are a comment's own
+        return x.tag, frozenset(n for n in x.names if n.startswith("=") and not any(c.isdigit() for c in n))
+
+    spine = [article]
+    while spine:
+        x = spine.pop()
+        kids = [k for k in x.kids if type(k) is Node]
+        for n in range(len(kids) - 1, -1, -1):
+            k = kids[n]
+            if k.tag == "p" and length(k) >= PARAGRAPH:
+                break  # the article's text goes on to here
+            if k.tag not in CONTAINERS:
+                continue
+            items = [i for i in k.kids if type(i) is Node and i.tag not in INLINE and i.tag not in HEADINGS and i.tag not in VOID]
+            if len(items) >= 2 and len({shape(i) for i in items}) == 1 and all(len(p) >= 2 and not headed for p, headed in map(comment_parts, items)):
+                # something of the article stands before
+                k.comments = any(type(t) is Node and t.tag == "p" and length(t) >= PARAGRAPH for t, _ in walk(article, True) if t is not k and not _under(k, t))
+            elif not k.comments:
+                spine.append(k)
+
+
+def _under(top: Node, x: Node) -> bool:
+    return any(k is x for k, _ in walk(top))
+
+
 def walk(node: Node, inside: bool = False) -> Iterator[tuple[Node, bool]]:
     """Each element and whether it is in an article; iterative, as pages may nest deeply."""
     todo = [(node, inside)]

@@ -99,3 +99,40 @@ def test_large_lists_in_parts(docs_of, monkeypatch):
 def test_no_text_is_lost_with_its_id(spark, docs_of, sf):
     kept = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs_of(SHARED), sf).collect()), key=repr)
     assert kept == sorted([(2, A), (5, B), (7, C), (7, ""), (3, ""), (3, None), (None, A)], key=repr)
+
+
+def test_comments_and_notices_under_compound_names():
+    from quarry.llm import op6_html_text as op6
+
+    t = lambda h: op6.text_of(op6.parse(f"<article>a {h} z</article>"), set())
+    for name in ("comment-thread", "user-comments", "reader-comments", "site-notice", "notice-bar", "comments-count", "visitor_comments_list", "page-notices"):
+        assert t(f"<div class={name}>b</div>") == "a z" and t(f"<div id={name}>b</div>") == "a z", name
+        assert t(f"<section id={name}>b</section>") == "a b z" and t(f"<h2 id={name}>b</h2>") == "a b z", name
+    for name in ("notice-period", "comment-culture", "thread-safety", "user-guide", "reader-response"):
+        assert t(f"<div class={name}>b</div>") == "a b z" and t(f"<div id={name}>b</div>") == "a b z", name
+
+
+def test_comments_by_their_shape():
+    from quarry.llm import op6_html_text as op6
+
+    text = "This paragraph belongs to the article and is long enough to show it."
+    t = lambda h: op6.text_of(op6.parse(f"<article><h1>T</h1><p>{text}</p>{h}</article>"), set())
+    one = "<div class='entry n{k}'><span class=user-name>Ann</span><time>1 May</time><p>I read it with much interest, thank you for writing all of it down.</p></div>"
+    two = "<li id=c{k}><b class=author>Ann</b><p>I see.</p><a href=#>Reply</a></li>"
+    many = lambda x: "".join(x.format(k=k) for k in range(3))
+    for h in (f"<div class=below>{many(one)}</div>", f"<ol>{many(two)}</ol>", f"<div><div><h3>Three thoughts</h3>{many(one)}</div></div>"):
+        assert t(h).removesuffix(" Three thoughts") == f"T {text}", h
+    # events and a live report with headings aren't comments, nor is what stands before the article's text ends
+    for h in ("<ul>" + many("<li><time>18{k}4</time> a war</li>") + "</ul>", "<div>" + many("<div><h2>Goal {k}</h2><span class=author>Ann</span><time>1 May</time><p>It is in.</p></div>") + "</div>",
+              f"<div>{many(one)}</div><p>{text}</p>", f"<div>{one.format(k=1)}</div>"):
+        assert t(h) != f"T {text}" and ("Ann" in t(h) or "war" in t(h)), h
+    assert op6.text_of(op6.parse(f"<article><div>{many(one)}</div></article>"), set()).count("Ann") == 3
+
+
+def test_buttons_and_labels_amid_sentences():
+    from quarry.llm import op6_html_text as op6
+
+    t = lambda h: op6.text_of(op6.parse(f"<article>{h}</article>"), set())
+    assert t("<p>Press <button>Start</button> and hold <label>Shift</label> down.</p>") == "Press Start and hold Shift down."
+    assert t("<p>a</p><button>Buy</button><label>Name</label><form><p>x <label>Mail</label></p></form><p>b <button class=share>s</button></p>") == "a b"
+    assert t("<header><h1>Title</h1></header><h2>Under</h2><p>b</p>") == "Under b"
