@@ -24,6 +24,7 @@ from quarry.functions.text import PASSAGE_PREFIX, QUERY_PREFIX, packed_trigrams,
 from quarry.operators import dense
 from quarry.operators.lexical import LexicalIndex, bm25_search
 from quarry.operators.relational import top_k_per_group
+from quarry.session import cut_lineage
 
 
 def _positives(qrels: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def mine_curriculum(stage: int, index: LexicalIndex, queries: DataFrame, qrels:
     if stage == 2:
         t = mine_teacher(n1, queries, corpus, scorer, k=10, threshold=threshold)
         return t.select("query_id", "doc_id", "teacher_score")
-    t = mine_teacher(n1, queries, corpus, scorer, k=20, threshold=threshold)
+    t = cut_lineage(mine_teacher(n1, queries, corpus, scorer, k=20, threshold=threshold))  # used three times
     if query_vectors is None or doc_vectors is None:
         if encoder is None:
             raise ValueError("stage 3 needs an encoder or precomputed vectors")

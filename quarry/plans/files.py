@@ -94,6 +94,17 @@ def q_padding(spark, sf_dir):
     return lexical.bm25_search(idx, q, k=50, pad_zero=True).select("query_id", "doc_id", r6("score"), "rank")
 
 
+@register("L5_padding_whole_items", f"""WITH {bm25_ctes(CORPUS_SQL, QUERIES_A_SQL)},
+every AS (SELECT q.item_id AS query_id, d.doc_id, coalesce(s.score, 0.0) AS score FROM benchmark q CROSS JOIN documents d
+          LEFT JOIN scored s ON s.query_id = q.item_id AND s.doc_id = d.doc_id),
+{topk_cte('top', 'every', 900)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top""")
+def q_padding_whole(spark, sf_dir):
+    """Whole items; 900 documents each are more than the items of a language match at sf0.01."""
+    idx = lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text", keep_tokens=False)
+    return lexical.bm25_search(idx, st.queries_a(spark, sf_dir), k=900, pad_zero=True).select("query_id", "doc_id", r6("score"), "rank")
+
+
 @register("S10_load_embedding_table", "SELECT e.vec_id AS id, len(e.embedding) AS dim, sha256(d.text) AS th FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
 def q_load_vectors(spark, sf_dir):
     vec, text = fresh(spark, "vectors"), fresh(spark, "texts")

@@ -909,8 +909,9 @@ q AS (SELECT DISTINCT query_id FROM (SELECT query_id FROM ra UNION ALL SELECT qu
 SELECT q.query_id, round(coalesce(p.s / p.n, 0.0), 6) AS tau FROM q LEFT JOIN p ON p.query_id = q.query_id""")
 def q_kendall(spark, sf_dir):
     c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
-    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=10)
-    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=10)
+    idx = lexical.build_lexical_index(c, "doc_id", "text", keep_tokens=False)
+    ra = lexical.bm25_search(idx, q, k=10)
+    rb = lexical.bm25_search(idx.reweighted(0.9, 0.4), q, k=10)
     return metrics.kendall_tau(ra, rb).select("query_id", r6("tau"))
 
 
@@ -928,8 +929,9 @@ def q_risk(spark, sf_dir):
 
 def _two_models(spark, sf_dir):
     c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
-    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=20)
-    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=20)
+    idx = lexical.build_lexical_index(c, "doc_id", "text", keep_tokens=False)
+    ra = lexical.bm25_search(idx, q, k=20)
+    rb = lexical.bm25_search(idx.reweighted(0.9, 0.4), q, k=20)
     return ra.withColumn("model", F.lit("teacher")).unionByName(rb.withColumn("model", F.lit("student")))
 
 
@@ -1220,8 +1222,9 @@ SELECT coalesce(ra.query_id, rb.query_id) AS query_id, coalesce(ra.doc_id, rb.do
 FROM ra FULL OUTER JOIN rb ON ra.query_id = rb.query_id AND ra.doc_id = rb.doc_id""")
 def q_full_outer(spark, sf_dir):
     c, q = st.corpus(spark, sf_dir), st.queries_a(spark, sf_dir)
-    ra = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text"), q, k=10)
-    rb = lexical.bm25_search(lexical.build_lexical_index(c, "doc_id", "text", k1=0.9, b=0.4), q, k=10)
+    idx = lexical.build_lexical_index(c, "doc_id", "text", keep_tokens=False)
+    ra = lexical.bm25_search(idx, q, k=10)
+    rb = lexical.bm25_search(idx.reweighted(0.9, 0.4), q, k=10)
     j = ra.select("query_id", "doc_id", F.col("rank").alias("rank_a")).join(
         rb.select("query_id", "doc_id", F.col("rank").alias("rank_b")), ["query_id", "doc_id"], "full")
     return j.select("query_id", "doc_id", "rank_a", "rank_b")
