@@ -16,6 +16,10 @@ from quarry.plans.registered import (
     ORACLE,
     QA_PASSAGES_SQL,
     QUERIES_A_SQL,
+    R1_BURST,
+    R1_IDLE,
+    R1_RPM,
+    R1_SQL,
     _chunk_sql,
     _vecs,
     r6,
@@ -24,6 +28,7 @@ from quarry.plans.registered import (
 from quarry.plans.sqlparts import bm25_ctes, topk_cte
 from quarry.session import checkpoint_dir
 from quarry.sources import readers, writers
+from quarry.streaming import requests as rq
 
 
 def fresh(spark, name: str) -> str:
@@ -198,3 +203,90 @@ def q_remine(spark, sf_dir):
     best = dense.flat_search(q, v, k=1, exclude_self=True, group_col="label", group_mode="same")
     a = mining.mine_ance(cands, None, both, both, margin=0.1, k=5, version=2, max_pos=best.select("query_id", F.col("score").alias("max_pos")))
     return a.select("query_id", "doc_id", r6("student_score"), "ance_rank")
+
+
+# ---------------------------------------------------------------- streams of files
+
+R10_FILES, R10_DELAY = 8, 43200
+
+
+def arrivals(spark, log, files: int) -> str:
+    """The log as files that a stream takes one by one, in the order in which requests arrive: each comes
+    ten minutes late for every unit of its latency. ``log`` has ``arrival``, in microseconds."""
+    lo, hi = log.agg(F.min("arrival"), F.max("arrival")).first()
+    path = fresh(spark, "arrivals")
+    nth = F.least(F.floor((F.col("arrival") - F.lit(lo)) * files / F.lit(hi - lo)), F.lit(files - 1)).cast("int")
+    log.withColumn("file", nth).drop("arrival").repartition(files, "file").write.partitionBy("file").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/file=*/*.parquet")):
+        n = int(f.getPath().getParent().getName().split("=")[1])
+        fs.setTimes(f.getPath(), 1_700_000_000_000 + n * 60_000, -1)  # the file source takes the oldest first
+    return path
+
+
+def run_stream(spark, stream, name: str):
+    """Runs a stream over all that is there; the query, and its rows as a table."""
+    out = fresh(spark, name)
+    q = (stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", fresh(spark, f"{name}-state"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q, spark.read.schema(stream.schema).parquet(out)
+
+
+_ARRIVAL_SQL = f"""a AS (SELECT event_id, user_id AS client, epoch_us(ts) AS us, epoch_us(ts) + value * 600000000.0 AS arrival FROM events),
+f AS (SELECT a.*, least(floor((arrival - lo) * {R10_FILES} / (hi - lo)), {R10_FILES - 1})::INTEGER AS file
+      FROM a, (SELECT min(arrival) AS lo, max(arrival) AS hi FROM a))"""
+
+
+def _arriving(spark, sf_dir):
+    log = st.requests(spark, sf_dir).withColumn("arrival", F.unix_micros("ts") + F.col("latency_ms") * 600000000.0)
+    path = arrivals(spark, log, R10_FILES)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("R10_late_data", f"""WITH {_ARRIVAL_SQL},
+m AS (SELECT file, max(us) // 1000 * 1000 - {R10_DELAY}000000 AS after FROM f GROUP BY file),
+w AS (SELECT b.file, max(m.after) AS mark FROM m b LEFT JOIN m ON m.file < b.file - 1 GROUP BY b.file),
+k AS (SELECT f.us // 86400000000 * 86400000000 AS d, coalesce(us <= mark, false) AS late FROM f JOIN w USING (file))
+SELECT strftime(make_timestamp(d), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (WHERE NOT late) AS kept, count(*) FILTER (WHERE late) AS dropped FROM k GROUP BY d""")
+def q_late_data(spark, sf_dir):
+    """A stream takes the log file by file. The watermark after the files before the last one decides what of a
+    file is late. What the progress counts as dropped must be what is missing from the rows."""
+    q, kept = run_stream(spark, rq.on_time(_arriving(spark, sf_dir), f"{R10_DELAY} seconds"), "late")
+    day = lambda df: df.groupBy(F.date_trunc("day", "ts").alias("window_start"))
+    log = st.requests(spark, sf_dir)
+    dropped = sum(rq.dropped_by_watermark(q).values())
+    if dropped != log.count() - kept.count():
+        raise ValueError(f"the progress names {dropped} dropped rows")
+    out = day(log).agg(F.count("*").alias("n")).join(day(kept).agg(F.count("*").alias("kept")), "window_start", "left").fillna(0, ["kept"])
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "kept", (F.col("n") - F.col("kept")).alias("dropped"))
+
+
+R2_DELAY = 86400
+
+
+def _bucket_stream(spark, sf_dir, evictions: bool):
+    log = st.requests(spark, sf_dir).withColumn("arrival", F.unix_micros("ts").cast("double"))
+    path = arrivals(spark, log, 5)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return run_stream(spark, rq.token_bucket_stream(stream, rpm=R1_RPM, burst=R1_BURST, idle_seconds=R1_IDLE, watermark=f"{R2_DELAY} seconds", evictions=evictions), "bucket")[1]
+
+
+@register("R1_token_bucket_stream", R1_SQL + """
+SELECT client, event_id, allowed, round(tokens, 6) AS tokens, round(retry_after, 6) AS retry_after FROM tb""")
+def q_bucket_stream(spark, sf_dir):
+    return _bucket_stream(spark, sf_dir, False).select("client", "event_id", "allowed", r6("tokens"), r6("retry_after"))
+
+
+@register("R2_idle_eviction", f"""WITH e AS (SELECT user_id AS client, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS next,
+  max(epoch_us(ts)) OVER () AS latest FROM events)
+SELECT client, count(*) AS evictions, min((us + {R1_IDLE * 1e6:.0f}) // 1000000) AS first_at, max((us + {R1_IDLE * 1e6:.0f}) // 1000000) AS last_at FROM e
+WHERE CASE WHEN next IS NULL THEN (us + {R1_IDLE * 1e6:.0f}) // 1000 + 1 <= latest // 1000 - {R2_DELAY}000 ELSE next - us > {R1_IDLE * 1e6:.0f} END GROUP BY client""")
+def q_idle_eviction(spark, sf_dir):
+    """Buckets that the stream drops: after a pause that the next request ends, or by the timer."""
+    gone = _bucket_stream(spark, sf_dir, True).where("event_id IS NULL")
+    at = F.unix_seconds("ts")
+    return gone.groupBy("client").agg(F.count("*").alias("evictions"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))

@@ -8,17 +8,20 @@ rows on the same input (watermark + windowed aggregation, or keyed state).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.config import DEFAULTS
 from quarry.functions.text import query_hash
+from quarry.session import cut_lineage
+from quarry.streaming import bucket
 
 # fixed values: latency histogram bucket bounds in seconds
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -36,68 +39,6 @@ TOKEN_SCHEMA = ("client bigint, event_id bigint, ts timestamp, allowed boolean,
                 "tokens double, retry_after double")
 
 
-def _mark_sessions(e: DataFrame, refill: float, idle: float | None) -> DataFrame:
-    """Session ids for the token-bucket fold without a per-client window.
-
-    Rows are range-partitioned and sorted on (client, time, id), so a busy
-    client spreads over many tasks. Each partition marks resets (first
-    event of a client, a gap >= the full-refill time, or a gap > the idle
-    TTL) in one pass; a session id is the time of its resetting event. Only
-    the leading run of each partition can continue a session of the previous
-    partition: it is resolved from one summary row per partition (a driver
-    loop over partitions, not over data) and attached by a broadcast join.
-    """
-    spark = e.sparkSession
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = (e.repartitionByRange(nparts, "client", "__us", "event_id")
-                .sortWithinPartitions("client", "__us", "event_id"))
-
-    def reset(gap):
-        return gap >= refill or (idle is not None and gap > idle)
-
-    def mark(batches):
-        import pyspark
-        pid = pyspark.TaskContext.get().partitionId()
-        prev_c, prev_s, cur = None, None, None
-        for pdf in batches:
-            cl = pdf["client"].to_numpy()
-            t = pdf["__us"].to_numpy(dtype=np.int64)
-            sess = np.full(len(t), np.nan)
-            for i in range(len(t)):
-                if prev_c is None:
-                    cur = None  # first row of the partition: resolved later
-                elif cl[i] != prev_c or reset((int(t[i]) - int(prev_s)) / 1e6):
-                    cur = float(t[i])
-                sess[i] = np.nan if cur is None else cur
-                prev_c, prev_s = cl[i], t[i]
-            yield pdf.assign(session=sess, __pid=pid)
-
-    schema = T.StructType(ordered.schema.fields + [T.StructField("session", T.DoubleType()),
-                                                   T.StructField("__pid", T.IntegerType())])
-    marked = ordered.mapInPandas(mark, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    summ = (marked.groupBy("__pid").agg(
-        F.min_by(F.struct("client", "__us"), F.struct("client", "__us", "event_id")).alias("first"),
-        F.max_by(F.struct("client", "__us", "session"), F.struct("client", "__us", "event_id")).alias("last"))
-        .orderBy("__pid").collect())  # one row per partition
-    open_session, prev = {}, None
-    for r in summ:
-        fc, fs = r["first"]["client"], r["first"]["__us"]
-        if prev is not None and prev[0] == fc and not reset((fs - prev[1]) / 1e6):
-            start = prev[2]
-        else:
-            start = float(fs)
-        open_session[r["__pid"]] = start
-        last_sess = r["last"]["session"]
-        if last_sess is None or (isinstance(last_sess, float) and np.isnan(last_sess)):
-            last_sess = start
-        prev = (r["last"]["client"], r["last"]["__us"], last_sess)
-    fix = spark.createDataFrame([(k, float(v)) for k, v in open_session.items()], "__pid int, __open double")
-    return (marked.join(F.broadcast(fix), "__pid", "left")
-                  .withColumn("session", F.when(F.isnan("session") | F.col("session").isNull(), F.col("__open"))
-                                          .otherwise(F.col("session")))
-                  .drop("__pid", "__open"))
-
-
 def token_bucket(events: DataFrame, rpm: float = DEFAULTS.requests_per_minute, burst: int = DEFAULTS.burst,
                  idle_seconds: float | None = DEFAULTS.bucket_idle_seconds, client_col: str = "client",
                  ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
@@ -107,114 +48,158 @@ def token_bucket(events: DataFrame, rpm: float = DEFAULTS.requests_per_minute, b
     A bucket starts full (``burst``), refills ``rpm/60`` tokens per second up
     to ``burst`` and each request takes one. An idle bucket (no request for
     more than ``idle_seconds``) is dropped, so the next request starts full
-    (state TTL replaces the reference's bucket-count cap).
-
-    Parallelism: the fold is sequential per client, but it *resets* exactly:
-    after any gap of at least ``burst / rate`` seconds (or the idle TTL) the
-    bucket is full whatever happened before. Each client's log is cut into
-    independent sessions at such gaps, and each (client, session) is folded
-    in its own group, so a busy client does not become one unbounded group
-    unless it never pauses for a full refill.
+    (state TTL replaces the reference's bucket-count cap). Requests without a client
+    share a bucket; those without a time come first, at time 0.
+
+    The log is range-partitioned and sorted on (client, time, id) and written
+    once, so a client, however busy, spans many tasks. Each partition first
+    sums up what it does to the tokens that its first request finds (see
+    ``bucket``); the driver composes one such row per partition, and each
+    partition then decides its requests from the tokens it starts with. Nothing
+    is sequential but that prefix, and all arithmetic is exact.
     """
-    rate = rpm / 60.0
-    refill = burst / rate
-    e = events.select(F.col(client_col).cast("bigint").alias("client"), F.col(id_col).cast("bigint").alias("event_id"),
-                      F.col(ts_col).cast("timestamp").alias("ts"))
-    e = e.withColumn("__us", _micros(F.col("ts")))
-    e = _mark_sessions(e, refill, idle_seconds)
-    cap, idle = float(burst), idle_seconds
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by (client, session, time) within the partition;
-        # the bucket state is carried across Arrow batches
-        key, x, last = None, cap, None
-        for pdf in batches:
-            cl = pdf["client"].to_numpy()
-            se = pdf["session"].to_numpy()
-            t = pdf["__us"].to_numpy(dtype=np.int64)
-            n = len(t)
-            allowed = np.zeros(n, dtype=bool)
-            tokens = np.zeros(n)
-            retry = np.full(n, np.nan)
-            for i in range(n):
-                k = (cl[i], se[i])
-                gap = None if last is None else (int(t[i]) - int(last)) / 1e6
-                if k != key or gap is None or (idle is not None and gap > idle):
-                    y = cap
-                else:
-                    y = min(cap, x + gap * rate)
-                key, last = k, t[i]
-                if y >= 1.0:
-                    x = y - 1.0
-                    allowed[i] = True
-                else:
-                    x = y
-                    retry[i] = (1.0 - y) / rate
-                tokens[i] = x
-            yield pd.DataFrame({"client": cl, "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"],
-                                "allowed": allowed, "tokens": tokens, "retry_after": retry})
-
-    return (e.select("client", "event_id", "ts", "__us", "session")
-             .repartition("client", "session")
-             .sortWithinPartitions("client", "session", "__us", "event_id")
-             .mapInPandas(fold, TOKEN_SCHEMA))
+    spark = events.sparkSession
+    r = bucket.rules(rpm, burst, idle_seconds)
+    us = F.coalesce(_micros(F.col(ts_col)), F.lit(0).cast("long"))
+    e = events.select(F.col(client_col).cast("bigint").alias("client"), us.alias("us"), F.col(id_col).cast("bigint").alias("event_id"))
+    # null clients and ids are set apart by a column of their own, so that the arrays hold whole numbers
+    e = e.select((F.coalesce("client", F.lit(0)) * 1).alias("client"), F.col("client").isNull().alias("no_client"), "us", "event_id")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["no_client", "client", "us", "event_id"]
+    log = e.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    log = cut_lineage(log.withColumn("part", F.spark_partition_id()))
+
+    def columns(block):
+        no_client, client, us = block[:3]
+        # one number a client: changes of no_client are changes of client
+        return np.where(no_client, np.iinfo(np.int64).min, client), us
+
+    def sum_up(batches):
+        first = last = f = part = None
+        for block in bucket.blocks(batches, ["no_client", "client", "us", "part"]):
+            client, us = columns(block)
+            f = bucket.through(client, us, last, f, r)
+            first = (int(client[0]), int(us[0])) if first is None else first
+            last, part = (int(client[-1]), int(us[-1])), int(block[3][0])
+        if f is not None:
+            lo, left, same = zip(*f)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([x], pa.int64()) for x in (*first, *last)],
+                                              pa.array([list(lo)], pa.list_(pa.int64())), pa.array([list(left)], pa.list_(pa.int64())), pa.array([list(same)], pa.list_(pa.bool_()))],
+                                             names=["part", "client", "us", "last_client", "last_us", "lo", "left", "same"])
+
+    sums = log.mapInArrow(sum_up, "part int, client long, us long, last_client long, last_us long, lo array<long>, left array<long>, same array<boolean>").collect()
+    start, before, x = {}, None, r.cap
+    for s in sorted(sums, key=lambda s: s["part"]):  # one row a partition
+        start[s["part"]] = (before, x)
+        at_hand = r.cap
+        if before is not None and before[0] == s["client"] and not r.resets(s["us"] - before[1]):
+            at_hand = min(r.cap, x + (s["us"] - before[1]) * r.step)
+        x = bucket.value(list(zip(s["lo"], s["left"], s["same"])), at_hand)
+        before = (s["last_client"], s["last_us"])
+    shared = spark.sparkContext.broadcast(start)
+
+    def decide(batches):
+        state = None
+        for block in bucket.blocks(batches, ["no_client", "client", "us", "part", "event_id", "no_id"]):
+            client, us = columns(block)
+            before, x = shared.value[int(block[3][0])] if state is None else state
+            passed, left = bucket.decide(client, us, before, x, r)
+            state = (int(client[-1]), int(us[-1])), int(left[-1])
+            retry = np.where(passed, np.nan, (r.unit - left) / r.step / 1e6)
+            yield pa.RecordBatch.from_arrays([pa.array(block[1], pa.int64(), mask=block[0]), pa.array(block[4], pa.int64(), mask=block[5]), pa.array(us, pa.timestamp("us", "UTC")),
+                                              pa.array(passed), pa.array(left / r.unit), pa.array(retry, mask=passed)],
+                                             names=["client", "event_id", "ts", "allowed", "tokens", "retry_after"])
+
+    return (log.select("no_client", "client", "us", "part", F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNull().alias("no_id"))
+            .mapInArrow(decide, TOKEN_SCHEMA))
+
+
+class _BucketOfClient(StatefulProcessor):
+    """One client's bucket: units left, time of its last request, and the timer that drops it."""
+
+    def __init__(self, r: bucket.Rules, evictions: bool):
+        self.r, self.evictions = r, evictions
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bucket", T.StructType([T.StructField(c, T.LongType()) for c in ("units", "last", "timer")]))
+
+    def dropped(self, client, last: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"client": pd.array([client] * len(last), "Int64"), "event_id": pd.array([None] * len(last), "Int64"),
+                             "ts": pd.to_datetime([x + self.r.idle for x in last], unit="us"), "allowed": pd.array([None] * len(last), "boolean"),
+                             "tokens": np.nan, "retry_after": np.nan})
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [p for p in rows if len(p)]  # a client's rows of one micro-batch
+        if not held:
+            return
+        p = pd.concat(held).sort_values(["us", "event_id"], kind="stable")
+        us, client = p["us"].to_numpy(np.int64), np.zeros(len(p), np.int64)
+        units, last, timer = self.state.get() if self.state.exists() else (self.r.cap, None, None)
+        before = None if last is None else (0, last)
+        if last is not None:
+            us = np.maximum(us, last)  # a late one is decided when it comes
+        passed, left = bucket.decide(client, us, before, units, self.r)
+        yield pd.DataFrame({"client": key[0], "event_id": p["event_id"], "ts": p["ts"], "allowed": passed, "tokens": left / self.r.unit,
+                            "retry_after": np.where(passed, np.nan, (self.r.unit - left) / self.r.step / 1e6)})
+        if self.r.idle is not None:
+            times = us if last is None else np.append(last, us)
+            gone = times[:-1][np.diff(times) > self.r.idle]
+            if self.evictions and len(gone):
+                yield self.dropped(key[0], gone.tolist())
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = int(us[-1] + self.r.idle) // 1000 + 1
+            self.handle.registerTimer(timer)
+        self.state.update((int(left[-1]), int(us[-1]), timer or 0))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, last, _ = self.state.get()
+        self.state.clear()
+        if self.evictions:
+            yield self.dropped(key[0], [last])
+
+    def close(self) -> None:
+        pass
 
 
 def token_bucket_stream(events: DataFrame, rpm: float = 100.0, burst: int = 20,
-                        idle_seconds: float = 600.0, watermark: str = "10 minutes",
-                        client_col: str = "client", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """R1/R2 streaming form: ``applyInPandasWithState`` keyed by client.
-
-    State is (tokens, last event time); rows of a micro-batch are folded in
-    event-time order; an event-time timeout drops buckets idle for longer
-    than ``idle_seconds`` (R2).
+                        idle_seconds: float | None = 600.0, watermark: str = "10 minutes",
+                        client_col: str = "client", ts_col: str = "ts", id_col: str = "event_id",
+                        evictions: bool = False) -> DataFrame:
+    """R1/R2 streaming form: ``transformWithStateInPandas`` keyed by client.
+
+    State is the bucket (whole units, as in ``bucket``), the last event time and a
+    timer. Rows of a micro-batch are decided in event-time order, all at once. The
+    timer fires when the watermark passes the last request by more than ``idle_seconds``
+    and drops the bucket (R2); a request that comes after such a pause, but before
+    the watermark has passed it, finds the bucket full as well. With ``evictions``, each
+    bucket that goes, either way, gives a row without event_id, at the time it was due.
+    A client's rows of one micro-batch are held at once: bound it with ``maxFilesPerTrigger``.
+
+    Needs the RocksDB state store, which is set for the session.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    rate = rpm / 60.0
-    cap = float(burst)
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = events.select(F.col(client_col).cast("bigint").alias("client"), F.col(id_col).cast("bigint").alias("event_id"),
                       F.col(ts_col).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    e = e.withColumn("__us", _micros(F.col("ts")))
-    out_schema = T.StructType.fromDDL(TOKEN_SCHEMA)
-    state_schema = T.StructType.fromDDL("tokens double, last bigint")
+    e = e.withColumn("us", _micros(F.col("ts")))
+    return e.groupBy("client").transformWithStateInPandas(
+        _BucketOfClient(bucket.rules(rpm, burst, idle_seconds), evictions), T.StructType.fromDDL(TOKEN_SCHEMA), "Append", "eventTime")
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["__us", "event_id"], kind="stable")
-        x, last = (state.get if state.exists else (cap, None))
-        last = None if last is None else int(last)
-        t = pdf["__us"].to_numpy(dtype=np.int64)
-        allowed, tokens, retry = [], [], []
-        for ti in t:
-            gap = None if last is None else (int(ti) - last) / 1e6
-            if gap is None or gap > idle_seconds:
-                y = cap
-            else:
-                y = min(cap, x + gap * rate)
-            last = int(ti)
-            if y >= 1.0:
-                x = y - 1.0
-                allowed.append(True)
-                retry.append(np.nan)
-            else:
-                x = y
-                allowed.append(False)
-                retry.append((1.0 - y) / rate)
-            tokens.append(x)
-        state.update((x, last))
-        state.setTimeoutTimestamp(int(last // 1000 + idle_seconds * 1000))
-        yield pd.DataFrame({"client": pdf["client"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "allowed": allowed, "tokens": tokens,
-                            "retry_after": retry})
-
-    return e.groupBy("client").applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+def on_time(log: DataFrame, watermark: str, keys: Sequence[str] = ("event_id",), ts_col: str = "ts") -> DataFrame:
+    """The rows of a stream that aren't later than its watermark, one for each of ``keys``
+    and time. What is later is dropped by Spark and counted in the query's progress."""
+    return log.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark).dropDuplicates([*keys, ts_col])
+
+
+def dropped_by_watermark(query) -> dict[int, int]:
+    """Rows that each micro-batch of a query dropped as late, from its progress."""
+    progress = {p["batchId"]: p for p in query.recentProgress}
+    if progress and (min(progress) > 0 or len(progress) <= max(progress)):
+        raise ValueError("the session keeps too few progress updates (spark.sql.streaming.numRecentProgressUpdates)")
+    return {k: sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]) for k, p in progress.items()}
 
 
 def limit_hits(decisions: DataFrame, window: str = "1 hour") -> DataFrame:
