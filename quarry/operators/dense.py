@@ -4,26 +4,29 @@ Vectors are ``ARRAY<FLOAT>`` columns. Exact top-k (D3) never materialises
 the query x corpus product as rows:
 
 * small query sets (size-checked: rows and bytes) are broadcast as one NumPy
-  matrix; every vector partition runs an Arrow-batched block product and
-  keeps, per query, only its top-k candidates; a WindowGroupLimit merge
-  picks the final k;
-* larger query sets are split into query blocks and vector shards; each
-  (block, shard) pair is one cogroup of bounded size, so no single task
-  ever holds more than one block and one shard.
+  matrix, larger ones in blocks of that size, one after another;
+* every vector partition multiplies tiles of bounded bytes and keeps, over
+  all its Arrow batches, each query's k best so far; a WindowGroupLimit
+  merge picks the final k. Vectors are neither shuffled nor copied.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import _bind, packed_trigrams, set_jaccard, trigram_jaccard
-from quarry.operators.relational import bounded_rows, top_k_per_group
+from quarry.operators.relational import top_k_per_group
+from quarry.session import checkpoint_dir, drop_path
 
 METRICS = ("ip", "cosine", "l2")
 
@@ -183,9 +186,10 @@ def _scores(Q: np.ndarray, V: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _check_dims(m: np.ndarray, dim: int, what: str):
-    if m.ndim != 2 or (m.shape[0] and m.shape[1] != dim):
-        raise ValueError(f"{what}: dimension mismatch (expected {dim})")
+#: Bytes of the largest matrix of scores that exists at once in a task.
+TILE_BYTES = 32 << 20
+#: Pairs of a query and an id left out that a block of queries brings along.
+EXCLUDED = 2_000_000
 
 
 def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "ip",
@@ -193,31 +197,183 @@ def flat_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
                 id_col: str = "id", vec_col: str = "embedding",
                 max_query_rows: int = 200_000, max_query_bytes: int = 64 << 20,
                 block_rows: int = 20_000, group_col: str | None = None,
-                group_mode: str = "same") -> DataFrame:
+                group_mode: str = "same", exclude: DataFrame | None = None) -> DataFrame:
     """D3: exact top-k per query -> ``(query_id, doc_id, score, rank)``.
 
     Ties: score desc (rounded to 9 decimals), then doc id asc.
     ``group_col`` (present on both sides) restricts candidates to vectors of
-    the ``same`` group or to ``other`` groups; the mask is applied inside the
-    block product, so relevance-by-group never materialises group pairs.
+    the ``same`` group or to ``other`` groups; ``exclude`` (query_id, doc_id) names
+    pairs that are left out. Both are masks inside the block product, so
+    they never make rows and don't change how many candidates are kept.
+
+    The queries, with what they keep, go to the tasks as one matrix if they
+    have at most ``max_query_rows`` rows and ``max_query_bytes`` bytes; else in
+    blocks of that size (``block_rows`` at most), one after another, whose
+    results are written. Vectors are never shuffled or copied: a task multiplies
+    tiles of queries and vectors, no larger than TILE_BYTES, and keeps each
+    query's k best so far. Null vectors take no part; a NaN in one is an error.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     if group_mode not in ("same", "other"):
         raise ValueError("group_mode must be 'same' or 'other'")
+    spark = queries.sparkSession
     gq = [F.col(group_col).alias("g")] if group_col else [F.lit(0).alias("g")]
-    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).alias("qv"), *gq)
-    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("v"), *gq)
+    q = queries.select(F.col(query_id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("qv"), *gq).where("qv IS NOT NULL")
+    v = vectors.select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v"), *gq).where("v IS NOT NULL")
     mask = group_mode if group_col else None
-    qrows = q.limit(max_query_rows + 1).count()
-    dim_row = v.select(F.size("v").alias("d")).filter(F.col("d") > 0).limit(1).collect()
-    dim = dim_row[0]["d"] if dim_row else 0
-    if qrows <= max_query_rows and qrows * max(dim, 1) * 8 <= max_query_bytes:
-        cand = _flat_broadcast(q, v, k, metric, exclude_self, dim, mask)
-    else:
-        cand = _flat_blocks(q, v, k, metric, exclude_self, dim, block_rows, mask)
+    first = v.select(F.size("v").alias("d")).limit(1).collect()
+    dim = first[0]["d"] if first else 0
+    fits = max(1, max_query_bytes // (8 * max(dim, 1) + 24 * k))
+    if exclude is not None:
+        exclude = exclude.select("query_id", "doc_id").distinct()
     order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
-    return top_k_per_group(cand, ["query_id"], order, k).select("query_id", "doc_id", "score", "rank")
+    if q.limit(min(max_query_rows, fits) + 1).count() <= min(max_query_rows, fits) and (exclude is None or exclude.limit(EXCLUDED + 1).count() <= EXCLUDED):
+        found = _search_block(q, v, k, metric, exclude_self, dim, mask, exclude)
+        return top_k_per_group(found, ["query_id"], order, k).select("query_id", "doc_id", "score", "rank")
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/quarry-search-{uuid.uuid4().hex}"
+    blocks = math.ceil(max(q.count(), 1) / max(1, min(block_rows, fits)))
+    if exclude is not None:
+        blocks = max(blocks, math.ceil(2 * exclude.count() / EXCLUDED))
+    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {v.schema['doc_id'].dataType.simpleString()}, score double, rank bigint"
+    used = sorted(r["block"] for r in q.select(at).distinct().collect())
+    if not used:
+        return spark.createDataFrame([], kinds)
+    q.select("*", at).write.partitionBy("block").parquet(f"{root}/queries")
+    held = spark.read.schema(q.schema).option("basePath", f"{root}/queries")
+    if exclude is not None:
+        exclude_kinds = ", ".join(f"{c} {t}" for c, t in exclude.dtypes)
+        exclude.select("*", at).write.partitionBy("block").parquet(f"{root}/exclude")
+    for n in used:
+        some = held.parquet(f"{root}/queries/block={n}").select(*q.columns)
+        out = None if exclude is None else spark.read.schema(f"{exclude_kinds}, block int").parquet(f"{root}/exclude").where(F.col("block") == n).select("query_id", "doc_id")
+        found = _search_block(some, v, k, metric, exclude_self, dim, mask, out)
+        top_k_per_group(found, ["query_id"], order, k).select("query_id", "doc_id", "score", "rank").write.mode("append").parquet(f"{root}/found")
+    drop_path(spark, f"{root}/queries")
+    return spark.read.schema(kinds).parquet(f"{root}/found")
+
+
+def _matrix(col: pa.Array, dim: int, what: str) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    if len(col) and pc.unique(col.value_lengths()).to_pylist() != [dim]:
+        raise ValueError(f"{what}: dimension mismatch (expected {dim})")
+    m = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), dim)
+    if np.isnan(m).any():
+        raise ValueError(f"{what}: NaN")
+    return m
+
+
+def _ids(col: pa.Array) -> np.ndarray:
+    """Ids as an array that NumPy can sort."""
+    return col.to_numpy(zero_copy_only=False) if pa.types.is_integer(col.type) else np.array(col.to_pylist(), dtype=str)
+
+
+class _Best:
+    """The k best of each query among the vectors seen so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.ids = k, np.full((queries, 0), -np.inf), None
+
+    def add(self, rows: slice, S: np.ndarray, ids: np.ndarray, n: int) -> None:
+        """S: scores of some queries for vectors whose ids ascend; -inf where they are left out."""
+        R, c, k = np.round(S, 9), S.shape[1], self.k
+        if c > k:  # above the k-th, and of its equals the smallest ids
+            kth = np.partition(R, c - k, axis=1)[:, c - k][:, None]
+            above, equal = R > kth, R == kth
+            take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            cols = np.nonzero(take)[1].reshape(len(S), k)
+        else:
+            cols = np.broadcast_to(np.arange(c), S.shape)
+        score, own = np.take_along_axis(S, cols, axis=1), ids[cols]
+        if self.ids is None:
+            self.score, self.ids = np.full((n, k), -np.inf), np.zeros((n, k), ids.dtype)
+        if self.ids.dtype != own.dtype:
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, own.dtype))
+        score, own = np.concatenate([self.score[rows], score], axis=1), np.concatenate([self.ids[rows], own], axis=1)
+        order = np.lexsort((own, -np.round(score, 9)), axis=1)[:, :k]
+        self.score[rows], self.ids[rows] = np.take_along_axis(score, order, axis=1), np.take_along_axis(own, order, axis=1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of queries, ids and scores."""
+        q, j = np.nonzero(self.score > -np.inf)
+        return q, self.ids[q, j] if self.ids is not None else np.zeros(0, np.int64), self.score[q, j]
+
+
+def _left_out(qids: np.ndarray, ids: np.ndarray, exclude_self: bool, pairs: tuple[np.ndarray, np.ndarray] | None, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of a batch that are left out. pairs: query numbers and ids; rows: numbers of the queries."""
+    who, what = [], []
+    if exclude_self and qids.dtype.kind == ids.dtype.kind:
+        who.append(rows)
+        what.append(qids)
+    if pairs is not None:
+        who.append(pairs[0])
+        what.append(pairs[1])
+    at_q, at_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w, x in zip(who, what):
+        lo, hi = np.searchsorted(ids, x, "left"), np.searchsorted(ids, x, "right")
+        n = hi - lo  # an id may have several vectors
+        at_q.append(np.repeat(w, n))
+        at_v.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    at_q, at_v = np.concatenate(at_q), np.concatenate(at_v)
+    order = np.argsort(at_q, kind="stable")
+    return at_q[order], at_v[order]
+
+
+def _search_block(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
+                  mask: str | None, exclude: DataFrame | None) -> DataFrame:
+    """Each partition's k best for a block of queries, whose size was checked."""
+    spark = q.sparkSession
+    kinds = {"query_id": q.schema["query_id"].dataType, "doc_id": v.schema["doc_id"].dataType}
+    ddl = f"query_id {kinds['query_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, score double"
+    t = q.toArrow().combine_chunks()
+    if not t.num_rows or not dim:
+        return spark.createDataFrame([], ddl)
+    qid_col = t["query_id"].combine_chunks()
+    Q, qids, groups = _matrix(t["qv"].combine_chunks(), dim, "query vectors"), _ids(qid_col), np.array(t["g"].to_pylist(), dtype=object)
+    pairs = None
+    if exclude is not None:
+        x = exclude.toArrow().combine_chunks()
+        order = np.argsort(qids, kind="stable")
+        who = _ids(x["query_id"].combine_chunks()) if x.num_rows else np.zeros(0, qids.dtype)
+        lo, hi = np.searchsorted(qids[order], who, "left"), np.searchsorted(qids[order], who, "right")
+        n = hi - lo
+        at = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(who) else np.zeros(0, np.int64)
+        pairs = (at, np.repeat(_ids(x["doc_id"].combine_chunks()), n) if len(who) else np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast((qid_col, Q, qids, groups, pairs))
+    types = {c: to_arrow_type(x) for c, x in kinds.items()}
+
+    def run(batches):
+        qid_col, Q, qids, groups, pairs = shared.value
+        best, rows = _Best(len(Q), k), np.arange(len(Q))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            V, ids, vg = _matrix(b.column("v"), dim, "corpus vectors"), _ids(b.column("doc_id")), np.array(b.column("g").to_pylist(), dtype=object)
+            order = np.argsort(ids, kind="stable")
+            V, ids, vg = V[order], ids[order], vg[order]
+            wide = min(len(V), max(1, TILE_BYTES // 8))
+            high = max(1, TILE_BYTES // (8 * wide))
+            if len(V) > 8192 and high < len(Q):  # squarer tiles
+                wide = 4096
+                high = max(1, TILE_BYTES // (8 * wide))
+            for c in range(0, len(V), wide):
+                part, own = V[c:c + wide], ids[c:c + wide]
+                at_q, at_v = _left_out(qids, own, exclude_self, pairs, rows)
+                for r in range(0, len(Q), high):
+                    S = _scores(Q[r:r + high], part, metric)
+                    lo, hi = np.searchsorted(at_q, [r, r + len(S)])
+                    S[at_q[lo:hi] - r, at_v[lo:hi]] = -np.inf
+                    _apply_mask(S, groups[r:r + high], vg[c:c + wide], mask)
+                    best.add(slice(r, r + len(S)), S, own, len(Q))
+        n, ids, score = best.rows()
+        for k0 in range(0, len(n), 1 << 16):
+            at = slice(k0, k0 + (1 << 16))
+            yield pa.RecordBatch.from_arrays([qid_col.take(pa.array(n[at])).cast(types["query_id"]), pa.array(ids[at].tolist() if ids.dtype.kind == "U" else ids[at], types["doc_id"]),
+                                              pa.array(score[at])], names=["query_id", "doc_id", "score"])
+
+    return v.select("doc_id", "v", "g").mapInArrow(run, ddl)
 
 
 def _apply_mask(S: np.ndarray, qg: np.ndarray, vg: np.ndarray, mask: str | None):
@@ -227,92 +383,6 @@ def _apply_mask(S: np.ndarray, qg: np.ndarray, vg: np.ndarray, mask: str | None)
     S[~same if mask == "same" else same] = -np.inf
 
 
-def _flat_broadcast(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
-                    mask: str | None = None):
-    spark = q.sparkSession
-    # bounded by the caller's row and byte checks; Arrow moves the matrix in
-    # one columnar batch instead of Python Row objects
-    try:
-        tbl = q.toArrow()
-        qids = np.array(tbl.column("query_id").to_pylist(), dtype=object)
-        qgroups = np.array(tbl.column("g").to_pylist(), dtype=object)
-        vecs = tbl.column("qv").to_pylist()
-    except AttributeError:  # older Spark without toArrow
-        rows = q.collect()
-        qids = np.array([r["query_id"] for r in rows], dtype=object)
-        qgroups = np.array([r["g"] for r in rows], dtype=object)
-        vecs = [r["qv"] for r in rows]
-    Q = np.array([np.asarray(v, dtype=np.float64) for v in vecs]).reshape(len(vecs), -1) \
-        if vecs else np.zeros((0, dim))
-    if len(vecs):
-        _check_dims(Q, dim, "query vectors")
-    bq = spark.sparkContext.broadcast((qids, Q, qgroups))
-    id_type = v.schema["doc_id"].dataType.simpleString()
-    qtype = q.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        qids_l, Qm, qg = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qids_l) == 0:
-                continue
-            V = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["v"]])
-            _check_dims(V, Qm.shape[1], "corpus vectors")
-            S = _scores(Qm, V, metric)
-            ids = pdf["doc_id"].to_numpy()
-            if exclude_self:
-                S[np.equal.outer(qids_l, ids)] = -np.inf
-            _apply_mask(S, qg, pdf["g"].to_numpy(), mask)
-            out = _topk_rows(S, qids_l, ids, k)
-            if out is not None and len(out):
-                yield out
-
-    return v.mapInPandas(run, f"query_id {qtype}, doc_id {id_type}, score double")
-
-
-def _flat_blocks(q: DataFrame, v: DataFrame, k: int, metric: str, exclude_self: bool, dim: int,
-                 block_rows: int, mask: str | None = None):
-    """Block nested-loop product for large query sets, fully distributed.
-
-    Queries are hashed into ``nb`` blocks and vectors into ``ns`` shards of
-    about ``block_rows`` rows; each query row is replicated to every shard
-    and each vector to every block (an explode over a short range, not a
-    join), and one cogroup per (block, shard) computes the block product.
-    """
-    nq = q.count()
-    nv = v.count()
-    nb = max(1, math.ceil(nq / block_rows))
-    ns = max(1, math.ceil(nv / block_rows))
-    # cogroup keys must have identical types on both sides (int), or equal
-    # values hash to different partitions and blocks never meet
-    qb = (q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(nb)).cast("int"))
-           .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(int(ns - 1))))))
-    vb = (v.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(ns)).cast("int"))
-           .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(int(nb - 1))))))
-    id_type = v.schema["doc_id"].dataType.simpleString()
-    qtype = q.schema["query_id"].dataType.simpleString()
-
-    def run(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype=float)})
-        if len(qpdf) == 0 or len(vpdf) == 0:
-            return empty
-        Q = np.stack([np.asarray(x, dtype=np.float64) for x in qpdf["qv"]])
-        V = np.stack([np.asarray(x, dtype=np.float64) for x in vpdf["v"]])
-        _check_dims(Q, dim, "query vectors")
-        _check_dims(V, dim, "corpus vectors")
-        S = _scores(Q, V, metric)
-        qids = qpdf["query_id"].to_numpy()
-        ids = vpdf["doc_id"].to_numpy()
-        if exclude_self:
-            S[np.equal.outer(qids, ids)] = -np.inf
-        _apply_mask(S, qpdf["g"].to_numpy(), vpdf["g"].to_numpy(), mask)
-        out = _topk_rows(S, qids, ids, k)
-        return empty if out is None else out
-
-    return (qb.groupBy("b", "s").cogroup(vb.groupBy("b", "s"))
-              .applyInPandas(run, f"query_id {qtype}, doc_id {id_type}, score double"))
-
-
 def rescore(run: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int,
             metric: str = "ip", id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """Exact re-scoring of fixed candidates (equi-joins on ids), top-k."""

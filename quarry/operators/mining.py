@@ -203,21 +203,19 @@ def mine_ance_corpus(query_vectors: DataFrame, doc_vectors: DataFrame, qrels: Da
                      exclude_self: bool = True, teacher: DataFrame | None = None,
                      teacher_max: float | None = None, group_col: str | None = None) -> DataFrame:
     """The student's nearest non-relevant neighbours over the whole
-    corpus: exact top-(top + m) where m is the largest positive count of a
-    query (a scalar), remove positives, keep ``top``, then ``select`` the
-    best; optionally only those the teacher rates low."""
+    corpus: exact ``top`` without each query's own positives, which are masked
+    inside the search, so one query with many positives changes nothing for
+    the others; then the ``select`` best, optionally only those the teacher
+    rates low."""
     if group_col is not None:
         # relevance = same group: search the other groups directly
         q = query_vectors.select(F.col("id").alias("query_id"), "embedding", group_col)
         run = dense.flat_search(q, doc_vectors, k=top, metric=metric, exclude_self=exclude_self,
                                 group_col=group_col, group_mode="other")
     else:
-        pos = _positives(qrels)
-        m = pos.groupBy("query_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
         q = query_vectors.select(F.col("id").alias("query_id"), "embedding")
-        run = dense.flat_search(q, doc_vectors, k=top + int(m) + (1 if exclude_self else 0), metric=metric,
-                                exclude_self=exclude_self)
-        run = run.join(pos, ["query_id", "doc_id"], "left_anti")
+        run = dense.flat_search(q, doc_vectors, k=top, metric=metric, exclude_self=exclude_self,
+                                exclude=_positives(qrels))
     run = top_k_per_group(run.drop("rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")],
                           top, rank_col="rank")
     if teacher is not None and teacher_max is not None:

@@ -1153,6 +1153,7 @@ def q_triggers(spark, sf_dir):
 # ------------------------------------------------- approximate search
 
 from quarry.operators import ann  # noqa: E402
+from quarry.session import cut_lineage  # noqa: E402
 
 
 def _exact_knn(spark, sf_dir, k=10):
@@ -1177,6 +1178,104 @@ def q_ivf_recall(spark, sf_dir):
     return dense.validate_recall(approx, _exact_knn(spark, sf_dir), 10, 0.97)
 
 
+# The gates: settings chosen on a sample of the queries must hold for all of them. SQL names how many queries
+# there are and that the recall of each index is at least the gate.
+RECALL_GATE = 0.97
+
+
+def _gate(spark, sf_dir, build) -> DataFrame:
+    """build(vectors, sampled queries, their exact neighbours) -> search(queries)."""
+    v = _vecs(spark, sf_dir)
+    q = v.withColumnRenamed("id", "query_id")
+    exact = cut_lineage(_exact_knn(spark, sf_dir))
+    some = cut_lineage(ann.sample_queries(q))
+    run = build(v, some, exact)(q)
+    return dense.validate_recall(run, exact, 10, RECALL_GATE).select("queries", "passed")
+
+
+def _gate_ivf(v, some, exact):
+    ivf = ann.build_ivf(v, nlist=8, seed=7)
+    n = ann.choose(ann.probe_curve(some, ivf, exact), RECALL_GATE)
+    return lambda q: ann.ivf_search(q, ivf, k=10, nprobe=n, exclude_self=True)
+
+
+def _deep(search, v, some, exact):
+    """The search with the smallest re-scoring depth whose sample reaches the gate."""
+    k, top = 200, v.count()
+    while (curve := ann.depth_curve(search(some, k), exact))[-1] < RECALL_GATE + ann.MARGIN and k < top:
+        k *= 2
+    depth = ann.choose(curve, RECALL_GATE)
+    return lambda q: dense.rescore(search(q, depth), v, v, 10)
+
+
+def _gate_pq(v, some, exact):
+    pq = ann.build_pq(v, m=16, nbits=6, seed=7)
+    return _deep(lambda q, k: ann.pq_search(q, pq, k=k, exclude_self=True), v, some, exact)
+
+
+def _gate_ivfpq(v, some, exact):
+    idx = ann.build_ivfpq(v, nlist=8, m=16, nbits=6, seed=7)
+    n = ann.choose(ann.probe_curve(some, idx, exact), 0.985)
+    return _deep(lambda q, k: ann.ivfpq_search(q, idx, k=k, nprobe=n, exclude_self=True), v, some, exact)
+
+
+_GATE_SQL = "SELECT count(*) AS queries, true AS passed FROM embeddings"
+
+
+@register("D4_ivf_gate", _GATE_SQL)
+def q_ivf_gate(spark, sf_dir):
+    return _gate(spark, sf_dir, _gate_ivf)
+
+
+@register("D5_pq_gate", _GATE_SQL)
+def q_pq_gate(spark, sf_dir):
+    return _gate(spark, sf_dir, _gate_pq)
+
+
+@register("D5_ivfpq_gate", _GATE_SQL)
+def q_ivfpq_gate(spark, sf_dir):
+    return _gate(spark, sf_dir, _gate_ivfpq)
+
+
+def ivf_letters(spark, sf_dir):
+    """Letter histograms of the documents, spilled to two cells; the documents with ids divisible by 20 are the
+    queries: (curve, cells, search)."""
+    v = dense.LetterEncoder().encode(st.corpus(spark, sf_dir), id_col="doc_id", text_col="text")
+    n = v.count()
+    q = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact = cut_lineage(dense.flat_search(q, v, k=10, exclude_self=True, metric="l2"))
+    ivf = ann.build_ivf(v, nlist=max(8, 4 * round(n ** 0.5 / 4)), seed=7, spill=True)
+    curve = ann.probe_curve(ann.sample_queries(q), ivf, exact, metric="l2")
+    return ivf, curve, exact, q
+
+
+@register("D4_ivf_letters_gate", "SELECT count(*) AS queries, true AS passed, true AS quarter FROM documents WHERE doc_id % 20 = 0")
+def q_ivf_letters(spark, sf_dir):
+    """Clustered vectors: the gate with a quarter of the cells at most."""
+    ivf, curve, exact, q = ivf_letters(spark, sf_dir)
+    n = ann.choose(curve, RECALL_GATE)
+    run = ann.ivf_search(q, ivf, k=10, nprobe=n, metric="l2", exclude_self=True)
+    return dense.validate_recall(run, exact, 10, RECALL_GATE).select("queries", "passed", F.lit(4 * n <= len(curve)).alias("quarter"))
+
+
+@register("N8_ance_corpus_qrels", f"""WITH {LETTER_DOCS},
+qraw AS (SELECT item_id AS query_id, {_letters_sql('text')} AS v FROM benchmark),
+lq AS (SELECT query_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN (x / n)::FLOAT ELSE 0.0::FLOAT END) AS v
+       FROM (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM qraw)),
+qa AS ({QRELS_A}),
+c AS (SELECT lq.query_id, ldoc.doc_id, list_inner_product(lq.v::DOUBLE[], ldoc.v::DOUBLE[]) AS score FROM lq, ldoc
+      WHERE NOT EXISTS (SELECT 1 FROM qa WHERE qa.query_id = lq.query_id AND qa.doc_id = ldoc.doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def q_n8_qrels(spark, sf_dir):
+    """N8 with judged positives: letter histograms of items and documents, the documents that hold an item left out."""
+    enc = dense.LetterEncoder()
+    qv = enc.encode(st.queries_a(spark, sf_dir), id_col="query_id", text_col="query")
+    dv = enc.encode(st.corpus(spark, sf_dir), id_col="doc_id", text_col="text")
+    r = mining.mine_ance_corpus(qv, dv, st.qrels_a(spark, sf_dir), top=50, select=10, exclude_self=False)
+    return r.select("query_id", "doc_id", r6("score"), "rank")
+
+
 @register("D5_pq_search")
 def q_pq(spark, sf_dir):
     """PQ (m = 16 sub-spaces, 6 bits) top-10 of every vector."""
