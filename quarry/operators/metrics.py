@@ -232,6 +232,17 @@ def improvement(metrics: DataFrame, baseline: str, candidate: str,
                      .otherwise(0.0).alias("improvement_pct"))
 
 
+def improvement_summary(improvements: DataFrame, metric: str = "ndcg", ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """The mean improvement of ``metric`` over ``ks`` and the best one of all metrics
+    with its name (of equal ones the first by name and k) -> one row."""
+    x = F.col("improvement_pct")
+    best = F.max_by(F.struct(F.concat_ws("@", "metric", "k").alias("name"), x.alias("pct")), F.struct(x, F.lit(-1) * F.col("k"))).alias("best")
+    first = improvements.groupBy("metric").agg(F.avg(F.when((F.col("metric") == metric) & F.col("k").isin(list(ks)), x)).alias("mean"), best)
+    best = F.min_by("best", F.struct(-F.col("best.pct"), F.col("metric")))
+    return first.agg(F.max("mean").alias("avg_improvement_pct"), best.alias("b")).select(
+        "avg_improvement_pct", F.col("b.pct").alias("best_improvement_pct"), F.col("b.name").alias("best_metric"))
+
+
 def acceptance_gate(metrics: DataFrame, student: str, teacher: str, metric: str = "ndcg",
                     k: int = 10, ratio: float = 0.95, model_col: str = "model") -> DataFrame:
     """Student value >= ratio * teacher value."""

@@ -21,11 +21,12 @@ from quarry.plans.registered import (
     R1_RPM,
     R1_SQL,
     _chunk_sql,
+    _two_models,
     _vecs,
     r6,
     register,
 )
-from quarry.plans.sqlparts import bm25_ctes, topk_cte
+from quarry.plans.sqlparts import bm25_ctes, topk_cte, toks
 from quarry.session import checkpoint_dir
 from quarry.sources import readers, writers
 from quarry.streaming import requests as rq
@@ -205,6 +206,98 @@ def q_remine(spark, sf_dir):
     return a.select("query_id", "doc_id", r6("student_score"), "ance_rank")
 
 
+_QA_CHUNKS = _chunk_sql(1000, 160).replace("FROM documents)", "FROM p)")
+_CORPUS_CHUNKS = _chunk_sql(1000, 160).replace(
+    "FROM documents)", "FROM (SELECT doc_id, CASE WHEN length(source) > 0 THEN source || chr(10) || coalesce(text, '') ELSE text END AS text FROM documents) WHERE length(text) > 0)")
+PREPARE_ALL_SQL = f"""WITH p AS ({QA_PASSAGES_SQL}), c AS ({_QA_CHUNKS}),
+q AS (SELECT CASE WHEN split_part(p.query_id, '_', 1)::BIGINT % 5 = 0 THEN 'dev' ELSE 'train' END AS split, c.chunk_id, p.query_id, c.doc_id FROM c JOIN p USING (doc_id)),
+k AS ({_CORPUS_CHUNKS})
+SELECT 'talks' AS dataset, split, 'qa' AS kind, count(*) AS num_chunks, count(DISTINCT query_id) AS num_queries, count(DISTINCT doc_id) AS num_docs, 1000 AS max_tokens, 160 AS stride, true AS ok FROM q GROUP BY split
+UNION ALL SELECT 'texts', 'corpus', 'corpus', count(*), NULL, count(DISTINCT doc_id), 1000, 160, true FROM k
+UNION ALL SELECT 'texts', 'absent', 'corpus', NULL, NULL, NULL, 1000, 160, false"""
+
+
+def _prepare_all(spark, sf_dir):
+    talks, texts, out = fresh(spark, "talks"), fresh(spark, "texts"), fresh(spark, "all")
+    qa = prepare.qa_from_conversations(st.table(spark, sf_dir, "conversations"))
+    conv = F.substring_index("query_id", "_", 1).cast("long")
+    qa.withColumn("part", F.when(conv % 5 == 0, "dev").otherwise("train")).write.partitionBy("part").json(talks)
+    st.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), F.col("source").alias("title"), "text").write.json(texts)
+    catalog = {"talks": {"kind": "qa", "splits": {"dev": f"{talks}/part=dev", "train": f"{talks}/part=train"}},
+               "texts": {"kind": "corpus", "splits": {"absent": f"{texts}-absent", "corpus": texts}}}
+    return writers.prepare_all(spark, catalog, out)
+
+
+@register("P8_prepare_all", PREPARE_ALL_SQL)
+def q_prepare_all(spark, sf_dir):
+    """Two datasets, one of them with a split whose files don't exist."""
+    m = _prepare_all(spark, sf_dir)
+    return m.select("dataset", "split", "kind", "num_chunks", "num_queries", "num_docs", "max_tokens", "stride", F.col("error").isNull().alias("ok"))
+
+
+@register("P8_prepared_summary", """SELECT 'talks' AS dataset, 2::BIGINT AS splits_passed, 0::BIGINT AS splits_failed, true AS passed, '' AS errors
+UNION ALL SELECT 'texts', 1::BIGINT, 1::BIGINT, count(*) < 0, 'absent:chunks;prepare' FROM documents""")
+def q_prepared_summary(spark, sf_dir):
+    return checks.integrity_summary(writers.prepared_reports(_prepare_all(spark, sf_dir)))
+
+
+def _hashed_sql(rows: str, dim: int) -> str:
+    """(id, i, value) of the non-zero places of the hashed unit vectors of rows (id, text)."""
+    return f"""t AS (SELECT id, unnest({toks('text')}) AS token FROM ({rows})),
+h AS (SELECT id, ('0x' || md5('0:' || token)[1:15])::BIGINT AS h FROM t),
+s AS (SELECT id, (h // 2) % {dim} AS i, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM s GROUP BY id)
+SELECT id, i::INTEGER AS i, round((x / n.n)::FLOAT::DOUBLE, 6) AS value FROM s JOIN n USING (id) WHERE x <> 0"""
+
+
+def _places(vectors):
+    return vectors.select("id", F.posexplode("embedding").alias("i", "value")).where("value <> 0").select("id", "i", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("D1_hashing_encoder", "WITH " + _hashed_sql("SELECT item_id AS id, 'query: ' || text AS text FROM benchmark", 384))
+def q_hashing(spark, sf_dir):
+    from quarry.operators import dense
+
+    q = st.queries_a(spark, sf_dir)
+    return _places(dense.encode(q, dense.HashingEncoder(384), kind="query", id_col="query_id", text_col="query"))
+
+
+@register("S9_embedding_places", "WITH " + _hashed_sql("SELECT doc_id AS id, text FROM documents", 64))
+def q_embedded(spark, sf_dir):
+    """The embedding table, written and read back, as its non-zero places."""
+    from quarry.operators import dense
+
+    return _places(writers.build_embedding_table(st.corpus(spark, sf_dir), dense.HashingEncoder(64), fresh(spark, "embedded")))
+
+
+@register("C1_file_integrity", """WITH f AS (SELECT source, string_agg(doc_id::VARCHAR || chr(10), '' ORDER BY doc_id) AS body, count(*) AS num_lines FROM documents GROUP BY source),
+l AS (SELECT source, i, sha256(substr(body, i * 100 + 1, 100)) AS h FROM f, LATERAL (SELECT unnest(range(0, (length(body) + 99) // 100)) AS i)),
+n AS (SELECT source, i // 3 AS node, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS leaves FROM l GROUP BY 1, 2),
+r AS (SELECT source, sha256(string_agg(h, '' ORDER BY node)) AS tree_sha256, sum(leaves)::BIGINT AS leaves FROM n GROUP BY source)
+SELECT source, length(body) AS size_bytes, num_lines, sha256(body) AS sha256, tree_sha256, leaves FROM f JOIN r USING (source)""")
+def q_integrity(spark, sf_dir):
+    """A file of ids for each source: its hash, and the hash by ranges of 100 bytes, three to a node."""
+    path = fresh(spark, "ids")
+    d = st.table(spark, sf_dir, "documents").select("source", "doc_id")
+    d.repartition(20, "source").sortWithinPartitions("source", "doc_id").select("source", F.col("doc_id").cast("string")).write.partitionBy("source").text(path)
+    files = f"{path}/source=*/*.txt"
+    whole, tree = checks.file_integrity(spark, files), checks.tree_hash(spark, files, 100, 3)
+    source = F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")
+    return whole.join(tree.drop("size_bytes"), "path").select(source, "size_bytes", "num_lines", "sha256", "tree_sha256", "leaves")
+
+
+@register("M13_improvement_summary", ORACLE["M13_improvement"].replace("SELECT metric, k, round(base, 6)", ", i AS (SELECT metric, k, round(base, 6)", 1) + """)
+SELECT (SELECT round(avg(improvement_pct), 4) FROM i WHERE metric = 'ndcg' AND k IN (1, 5, 10)) AS avg_improvement_pct,
+  round(improvement_pct, 4) AS best_improvement_pct, metric || '@' || k AS best_metric FROM i ORDER BY improvement_pct DESC, metric, k LIMIT 1""")
+def q_improvement_summary(spark, sf_dir):
+    from quarry.operators import metrics
+
+    m = metrics.compare_models(_two_models(spark, sf_dir), st.qrels_a(spark, sf_dir), (1, 5, 10, 20))
+    i = metrics.improvement(m, "teacher", "student").withColumn("improvement_pct", F.round("improvement_pct", 6))
+    r4 = lambda c: F.round(c, 4).alias(c)
+    return metrics.improvement_summary(i).select(r4("avg_improvement_pct"), r4("best_improvement_pct"), "best_metric")
+
+
 # ---------------------------------------------------------------- streams of files
 
 R10_FILES, R10_DELAY = 8, 43200

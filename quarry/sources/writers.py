@@ -108,6 +108,68 @@ def prepare_dataset(spark: SparkSession, qa_path: str, out_dir: str, split: str,
     return summary
 
 
+#: Chunks of the preparation of whole datasets.
+PREPARE_TOKENS, PREPARE_STRIDE = 1000, 160
+
+PREPARED = ("dataset string, split string, kind string, file string, num_chunks long, num_queries long, num_docs long, "
+            "max_tokens int, stride int, error string")
+
+
+def prepare_corpus(spark: SparkSession, corpus_path: str, out_dir: str, split: str = "corpus",
+                   max_tokens: int = PREPARE_TOKENS, stride: int = PREPARE_STRIDE) -> DataFrame:
+    """P8, corpus form: corpus JSON lines -> title and text as one -> chunks (empty documents
+    left out) -> Parquet; returns the counters of what was written."""
+    from quarry.sources.readers import read_corpus_jsonl
+
+    docs = read_corpus_jsonl(spark, corpus_path)
+    # a title is kept beside the text that it begins
+    whole = prepare.combine_title(docs.withColumn("own_title", F.coalesce("title", F.lit("")))).where("text IS NOT NULL AND length(text) > 0")
+    chunks = prepare.chunk_documents(whole.withColumn("doc_id", F.coalesce("doc_id", F.lit(""))), max_tokens, stride, keep=("own_title",))
+    chunks = prepare.stamp(chunks.withColumnRenamed("own_title", "title"), split)
+    write_chunks(chunks, os.path.join(out_dir, "chunks"))
+    return prepare.prep_summary(spark.read.parquet(os.path.join(out_dir, "chunks")).filter(F.col("split") == split).drop("query_id"))
+
+
+def prepare_all(spark: SparkSession, catalog: dict[str, dict], out_dir: str,
+                max_tokens: int = PREPARE_TOKENS, stride: int = PREPARE_STRIDE) -> DataFrame:
+    """P8 for all datasets of a catalog: ``{name: {"kind": "qa" | "corpus", "layout": ..., "splits": {split: path}}}``.
+
+    Each split is written below ``out_dir/name`` and gives one row of the manifest, with its
+    counters or the error that stopped it; an error leaves the other splits alone. A split
+    that is prepared again replaces its files and its row, those that aren't stay."""
+    for name, d in catalog.items():
+        for split, path in d["splits"].items():
+            out, row = os.path.join(out_dir, name), {"num_chunks": None, "num_queries": None, "num_docs": None, "error": None}
+            try:
+                if d["kind"] == "qa":
+                    done = prepare_dataset(spark, path, out, split, max_tokens, stride, d.get("layout", "arrays"))
+                elif d["kind"] == "corpus":
+                    done = prepare_corpus(spark, path, out, split, max_tokens, stride)
+                else:
+                    raise ValueError(f"unknown kind of dataset: {d['kind']}")
+                row |= done.first().asDict()
+            except Exception as e:  # noqa: BLE001  whatever stops a split is its row's error
+                row["error"] = f"{type(e).__name__}: {e}".splitlines()[0][:500]
+            values = (name, split, d["kind"], os.path.join(out, "chunks", f"split={split}"), row["num_chunks"], row["num_queries"], row["num_docs"], max_tokens, stride, row["error"])
+            (spark.createDataFrame([values], PREPARED).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("dataset", "split").json(os.path.join(out_dir, "prepared")))
+    return read_prepared(spark, out_dir)
+
+
+def read_prepared(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The manifest of ``prepare_all``, one row a split."""
+    columns = [c.split(" ")[0] for c in PREPARED.split(", ")]
+    return spark.read.schema(PREPARED).json(os.path.join(out_dir, "prepared")).select(*columns)
+
+
+def prepared_reports(manifest: DataFrame) -> DataFrame:
+    """The manifest as reports for C6: a split passes if it was prepared and has chunks."""
+    return manifest.select("dataset", "split", F.explode(F.array(
+        F.struct(F.lit("prepare").alias("check"), F.col("error").isNull().alias("ok"), F.coalesce("error", F.lit("")).alias("detail")),
+        F.struct(F.lit("chunks").alias("check"), (F.coalesce("num_chunks", F.lit(0)) > 0).alias("ok"), F.concat(F.lit("num_chunks="), F.coalesce("num_chunks", F.lit(0))).alias("detail")),
+    )).alias("r")).select("dataset", "split", "r.*")
+
+
 def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                    max_tokens: int = 512, stride: int = 80, available_now: bool = True, split: str = "train"):
     """The stateless preparation over newly arriving QA JSON files, with
