@@ -96,6 +96,9 @@ def ips(text: str):
 
 # --- Candidates of the method, with high recall.
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}")
+#: Letters alone: a long run of both cases that changes between them again and again.
+LETTERS = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z_+/-]{20,}+(?![0-9])={0,2}")
+LEAST_CASES = 4
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z.+])(?:\(0?[0-9]{2,4}\)[ -]?|0?[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
@@ -103,11 +106,21 @@ EMAIL_SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9
 LOOSE = (("secret", SECRET), ("ssn", SSN), ("iban", IBAN), ("phone", LOCAL_PHONE), ("email", EMAIL_SPELT))
 
 
+AT = re.compile(r"[(\[]at[)\]]", re.I)
+
+
+def cases(s: str) -> int:
+    """Changes between upper and lower case."""
+    return sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:], strict=False))
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Loose spans; they may overlap each other and the base spans."""
-    if not DIGIT.search(text) and "at" not in text:
-        return []
-    return [(kind, m.start(), m.end()) for kind, p in LOOSE if kind != "email" or "(at)" in text or "[at]" in text or "(AT)" in text for m in p.finditer(text)]
+    out = [("secret", m.start(), m.end()) for m in LETTERS.finditer(text) if cases(m[0]) >= LEAST_CASES]
+    spelt = AT.search(text) is not None
+    if spelt or DIGIT.search(text):
+        out += [(kind, m.start(), m.end()) for kind, p in LOOSE if kind != "email" or spelt for m in p.finditer(text)]
+    return out
 
 
 def iban_ok(s: str) -> bool:
@@ -145,7 +158,7 @@ def features(text: str, kind: str, s: int, e: int) -> list[float]:
         float(any(q in right[:1] for q in "\"'`")) if right else 0.0,
         float(kind == "iban" and iban_ok(span)), float(digits), float(len(set(span)) / n),
         float(span[:3] in ("000", "666") or span[:1] == "9") if kind == "ssn" else 0.0,
-        float(sum(c in " .-()/" for c in span)),
+        float(sum(c in " .-()/" for c in span)), cases(span) / n, sum(c in "aeiouAEIOU" for c in span) / n,
     ]
 
 
@@ -240,6 +253,8 @@ def made_personal(r: random.Random) -> tuple[str, str]:
         n = r.choice((24, 32, 40, 40, 48, 64))
         letters = r.choice(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
         v = r.choice(("", "", "sk-", "ghp_", "AKIA")) + "1" + "".join(r.choice(letters) for _ in range(n - 1))
+        if r.random() < 0.25:
+            v = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
         lead = r.choice(('token = "', "api_key: ", 'secret="', "password: ", "Authorization: Bearer ", "access_token=", "key = '", ""))
         return kind, f"{lead}\x01{v}\x02{lead[-1] if lead[-1:] in ('"', "'") else ''}"
     if kind == "ssn":
@@ -249,17 +264,28 @@ def made_personal(r: random.Random) -> tuple[str, str]:
     if kind == "phone":
         v = r.choice(("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "0{} {} {}")).format(_digits(r, 3), _digits(r, 3), _digits(r, 4))
         return kind, r.choice(("tel ", "phone: ", "call ", "mobile ", "fax ")) + f"\x01{v}\x02"
-    return kind, r.choice(("mail ", "contact ", "write to ", "")) + f"\x01user{_digits(r, 2)} (at) example{_digits(r, 1)} (dot) com\x02"
+    at, dot = r.choice(((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" [AT] ", " [DOT] "), (" (At) ", " (Dot) ")))
+    name, host = (f"user{_digits(r, 2)}", f"example{_digits(r, 1)}") if r.random() < 0.5 else (r.choice(("john", "mary.jones", "info", "office")), r.choice(("example", "mail-host", "company")))
+    v = f"{name}{at}{host}{dot}{r.choice(('com', 'org', 'de'))}"
+    return kind, r.choice(("mail ", "contact ", "write to ", "")) + f"\x01{v.upper() if at.strip() == '[AT]' else v}\x02"
+
+
+def made_name(r: random.Random) -> str:
+    """A long name in mixed case, as programs have them."""
+    parts = ("get", "User", "Account", "Settings", "Controller", "Abstract", "Proxy", "Factory", "Manager", "Request", "Handler", "Default", "Value", "Window", "Title", "Number", "Index")
+    return r.choice(("", "", "src/main/", "com/")) + r.choice(("", "/", "_")).join(r.choice(parts) for _ in range(r.randint(4, 7)))
 
 
 def made_look_alike(r: random.Random) -> str:
+    if r.random() < 0.15:
+        return r.choice(("", "class ", "see ", "call ", "key ")) + made_name(r)
     h = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64))))
     return r.choice((
         f"sha1 {h}", f"commit {h}", f"md5 checksum {h}", f"https://example.com/articles/{_digits(r, 4)}/some-long-title-of-a-page-{_digits(r, 2)}",
         f"order no. {_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}", f"part {_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 4)}",
         f"isbn 978-{_digits(r, 3)}-{_digits(r, 4)}", f"invoice id {_digits(r, 4)}-{_digits(r, 3)}-{_digits(r, 4)}", f"serial 9{_digits(r, 2)}-{_digits(r, 2)}-{_digits(r, 4)}",
         f"page {_digits(r, 3)} {_digits(r, 3)} {_digits(r, 3)}", f"price $ {_digits(r, 2)} {_digits(r, 3)} {_digits(r, 3)}",
-        f"a_very_long_identifier_name_{_digits(r, 3)}", f"NO{_digits(r, 2)} ABCD 1234 EFGH {_digits(r, 4)}", f"looked (at) house (dot) number {_digits(r, 2)}",
+        f"a_very_long_identifier_name_{_digits(r, 3)}", f"NO{_digits(r, 2)} ABCD 1234 EFGH {_digits(r, 4)}", f"looked (at) house (dot) number {_digits(r, 2)}", "pointed [at] the", "stood (at) home, waiting",
         f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(100, 255)}.{r.randint(100, 255)}", f"version 2.0.{_digits(r, 3)} 20{_digits(r, 2)}-0{_digits(r, 1)}-1{_digits(r, 1)}"))
 
 
@@ -293,7 +319,7 @@ def train(docs: DataFrame, texts: int = TRAIN_TEXTS, seed: int = 7) -> Boosted:
     share = min(1.0, 8 * texts / max(1, docs.count()))
     some = own.withColumn("h", F.xxhash64("i")).where(F.abs(F.col("h") % 1_000_000) < math.ceil(share * 1_000_000))
     rows = some.where("t IS NOT NULL").orderBy("h", "t").limit(texts).collect()
-    contexts = [re.sub(r"[0-9@+]|\(at\)|\x01|\x02", "", r["t"]) for r in rows] or ["a plain text without any personal data"]
+    contexts = [re.sub(r"(?i)[0-9@+]|[(\[]at[)\]]|\x01|\x02", "", r["t"]) for r in rows] or ["a plain text without any personal data"]
     x, y = examples(contexts, seed, 4 * texts)
     held = np.arange(len(y)) % 3 == 0
     return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])

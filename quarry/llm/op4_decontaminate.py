@@ -20,8 +20,9 @@ block maxima, and then WAND's pivots with block maxima for those that are left.
 Words: runs of letters, digits and characters from U+0080, lower-cased.
 
 The index is dealt in blocks of items with a bounded number of words; every
-block is broadcast by itself and asked with all passages. IDF and lengths are
-those of all items.
+block is broadcast by itself and asked with all passages. A worker makes a block's
+index once, in a time that grows with the block's words. IDF and lengths are those
+of all items.
 
 Defined cases: null texts and texts without words match nothing; items under
 five words are one shingle; items without words match nothing; items that repeat
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free, own_columns
+from quarry.llm.common import Scratch, free, own_columns
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -89,13 +91,15 @@ class Index:
         self.items = [(i, w, t) for i, t in items if (w := words(t))]
         self.vocabulary: dict[bytes, int] = {}
         rows: list[dict[int, float]] = []
+        names: list[bytes] = []
         self.sets, self.parts = [], []
         for _, w, t in self.items:
             tf: dict[int, int] = {}
             for x in w:
                 k = self.vocabulary.setdefault(x, len(self.vocabulary))
+                if k == len(names):
+                    names.append(x)
                 tf[k] = tf.get(k, 0) + 1
-            names = list(self.vocabulary)
             long = K1 * (1 - B + B * len(w) / max(mean_words, 1e-9))
             rows.append({k: math.log(1 + (n_items - df[names[k]] + 0.5) / (df[names[k]] + 0.5)) * n * (K1 + 1) / (n + long) for k, n in tf.items()})
             self.sets.append(shingles(w))
@@ -103,7 +107,6 @@ class Index:
         self.longest = max((len(w) for _, w, _ in self.items), default=0)
         self.postings: list[tuple[np.ndarray, np.ndarray]] = []
         n_v, n_i = len(self.vocabulary), len(self.items)
-        names = list(self.vocabulary)
         rare = [df[x] <= max(1, RARE_SHARE * n_items) for x in names]
         by_word: list[list[tuple[int, float]]] = [[] for _ in range(n_v)]
         self.rare_most = np.zeros(n_v + 1)
@@ -119,14 +122,18 @@ class Index:
                     self.rare_most[k] = max(self.rare_most[k], v / need if need > 1e-12 else 2.0)
             if need <= 1e-12:
                 self.rare_most[n_v] = 2.0  # an item that common words alone may match: every passage goes on
-        self.blocks = -(-n_i // POSTINGS_BLOCK)
-        self.block_most = np.zeros((n_v + 1, max(self.blocks, 1)))  # the last row is of words in no item
+        self.blocks = max(-(-n_i // POSTINGS_BLOCK), 1)
+        self.most = np.zeros(n_v)
+        maxima: list[tuple[np.ndarray, np.ndarray]] = []  # of each word the blocks that it stands in, and its largest weight there
         for k, p in enumerate(by_word):
             ids = np.array([i for i, _ in p])
             ws = np.array([v for _, v in p])
             self.postings.append((ids, ws))
-            np.maximum.at(self.block_most[k], ids // POSTINGS_BLOCK, ws)
-        self.most = self.block_most.max(axis=1)
+            first = np.flatnonzero(np.diff(ids // POSTINGS_BLOCK, prepend=-1))
+            maxima.append((ids[first] // POSTINGS_BLOCK, np.maximum.reduceat(ws, first)))
+            self.most[k] = ws.max()
+        self.begin = np.cumsum([0, *[len(b) for b, _ in maxima]])
+        self.block_of, self.block_most = (np.concatenate([np.zeros(0, kind), *[m[j] for m in maxima]]).astype(kind) for j, kind in ((0, np.int64), (1, np.float64)))
         self.lists = [(ids.tolist(), ws.tolist()) for ids, ws in self.postings]
         # the distinct shingles of each item as hashes of word numbers, for documents of several passages
         pairs = {(x, i) for i, (_, w, _) in enumerate(self.items) for x in self.hashes(self.numbers(w)).tolist()}
@@ -180,7 +187,9 @@ class Index:
 
     def wand(self, query: np.ndarray) -> list[tuple[int, float]]:
         """All items with a score of 1 or more for the distinct words of a passage."""
-        bounds = self.block_most[query].sum(axis=0)
+        size = self.begin[query + 1] - self.begin[query]
+        at = np.repeat(self.begin[query] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        bounds = np.bincount(self.block_of[at], self.block_most[at], self.blocks)
         if bounds.max() < 1 - SLACK:
             return []
         live = bounds >= 1 - SLACK
@@ -279,6 +288,21 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tu
         yield texts, total["n"], total["words"] / total["n"], {r["w"].encode("utf-8", "surrogatepass"): r["df"] for r in counts}
 
 
+#: Blocks that one job asks one after another; tables are written between such jobs.
+CHAIN = 4
+#: Indexes that a worker keeps.
+_MADE: dict[str, Index] = {}
+
+
+def made(key: str, block: tuple) -> Index:
+    """The index of a block, made once in a worker."""
+    if key not in _MADE:
+        while len(_MADE) >= 2:
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = Index(*block)
+    return _MADE[key]
+
+
 def mark(docs: DataFrame, items: DataFrame, out: str = "leaks", block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` and ``out``, an array of what was found in each row. No shuffle: a row's verdict needs the row alone."""
     sc = docs.sparkSession.sparkContext
@@ -286,14 +310,19 @@ def mark(docs: DataFrame, items: DataFrame, out: str = "leaks", block_words: int
     types = pa.list_(pa.struct([(n, pa.int64() if t == "bigint" else pa.float64()) for n, t in FOUND]))
     names, at = docs.columns, docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    scratch = Scratch(docs.sparkSession, "leaks")
     marked, extra = docs, []
     for k, block in enumerate(item_blocks(items, block_words)):
-        sent = sc.broadcast(block)
+        if k and k % CHAIN == 0:  # so that a task has few workers, each with an index
+            marked = scratch.table(marked, str(k))
+            scratch.drop(str(k - CHAIN))
+        sent, key = sc.broadcast(block), uuid.uuid4().hex
         extra.append(free(f"__{out}{k}", docs.columns))
 
-        def run(it: Iterator[pa.RecordBatch], sent=sent, name=extra[-1]) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value)
+        def run(it: Iterator[pa.RecordBatch], sent=sent, key=key, name=extra[-1]) -> Iterator[pa.RecordBatch]:
+            index = None
             for b in it:
+                index = index or made(key, sent.value)
                 rows = []
                 for t in b.column(at).to_pylist():
                     w = words(t)

@@ -1,11 +1,17 @@
 """URL filters: a bit-parallel wildcard automaton.
 
-Glob rules over ``host + path`` are packed one after another into the bits of
-several 64-bit words (Shift-And). One step per byte moves every pattern of
-every url of a batch at once, as numpy operations over the batch.
+Globs are packed one after another into the bits of several 64-bit words
+(Shift-And). One step per byte moves every pattern of every url of a batch at
+once, as numpy operations over the batch.
 
 In a glob ``*`` stands for any bytes without ``/`` and ``**`` for any bytes.
 
+The given rules see ``host + path`` as they stand. The method's globs see a canonical
+form: escapes decoded (twice, as some are escaped again), lower case, without
+user, port and trailing dots; a path without empty and dot segments; the host's
+words between ``-`` (``-www-free-bets-net-``), the path's segments between ``/``. So a
+glob names a whole word of a host or a whole segment of a path, not letters within.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule, and the verdict of the default. Empty tables give empty results.
 Repeated rows are each judged. Bytes outside ASCII are matched as UTF-8.
@@ -16,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +40,18 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: The method's own globs, asked only where no rule fits.
-BLOCK_GLOBS = (
-    "**cheap-pills**", "**spam-farm**", "**ads-track**", "**casino**", "**viagra**", "**porn**", "**xxx**",
-    "**/wp-login.php**", "**/cgi-bin/**", "**.exe", "**.zip", "**.iso", "**/print/**", "**/search/**",
-)
+#: Words of hosts that name a kind of site, asked for only where no rule fits.
+HOST_WORDS = {
+    "gambling": ("casino", "casinos", "poker", "slots", "roulette", "jackpot", "betting", "bets"),
+    "pharmacy": ("pills", "viagra", "cialis", "pharmacy"),
+    "adult": ("porn", "porno", "xxx", "adult", "sex", "escort"),
+    "advertising": ("ads", "adserver", "adtrack", "popunder"),
+    "spam": ("spam", "malware", "phishing", "warez"),
+}
+#: Segments of paths that hold no text of their own, and ends of files.
+PATH_SEGMENTS = ("wp-login.php", "cgi-bin", "print", "search", "casino", "viagra", "porn", "xxx")
+FILE_ENDS = ("exe", "zip", "iso")
+BLOCK_GLOBS = (*(f"*-{w}-*/**" for words in HOST_WORDS.values() for w in words), *(f"**/{s}/**" for s in PATH_SEGMENTS), *(f"**.{e}/" for e in FILE_ENDS))
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
@@ -132,12 +146,35 @@ def split_url(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]+", lambda x: x[0].lower(), m[1]), m[2]
 
 
+def unescaped(s: str) -> str:
+    for _ in range(2):
+        s = unquote(s, errors="replace")
+    return s.lower()
+
+
+def canonical(host: str, path: str) -> str:
+    """``-words-of-the-host-/segments/of/the/path/``; empty if both are."""
+    if not host and not path:
+        return ""
+    host = re.sub(r":[0-9]*\Z", "", unescaped(host).rpartition("@")[2])
+    segments: list[str] = []
+    for s in unescaped(path).replace("\\", "/").split("/"):
+        if s == "..":
+            del segments[-1:]
+        elif s not in ("", "."):
+            segments.append(s)
+    return "-" + re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", "-", host).strip("-") + "-/" + "".join(f"{s}/" for s in segments)
+
+
 def judge(rules: Sequence[Rule], urls: Sequence[str | None], default: str = "allow", automaton: ShiftAnd | None = None):
     """(host, path, rule or None, verdict) of each url: the longest fitting rule, of equal ones a
-    block; else a block if a glob of the method fits; else the default."""
+    block; else a block if a glob of the method fits its canonical form; else the default."""
     automaton = automaton or ShiftAnd([r.glob for r in rules])
     parts = [split_url(u) for u in urls]
-    hits = automaton.match([(h + p).encode("utf-8", "surrogatepass") for h, p in parts])
+    raw = np.array([r.name is not None for r in rules], bool)
+    hits = automaton.match([(h + p).encode("utf-8", "surrogatepass") for h, p in parts]) & raw
+    if not raw.all():
+        hits |= automaton.match([canonical(h, p).encode("utf-8", "surrogatepass") for h, p in parts]) & ~raw
     rank = sorted(range(len(rules)), key=lambda k: (-rules[k].length, rules[k].verdict != "block"))
     hits = np.concatenate([hits[:, rank], np.ones((len(urls), 1), bool)], axis=1)
     for (host, path), k in zip(parts, hits.argmax(axis=1).tolist(), strict=True):
@@ -165,16 +202,21 @@ ORACLE = r"""
 WITH u AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS rawhost,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-h AS (SELECT page_id, translate(rawhost, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+h AS (SELECT page_id, translate(rawhost, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
+             regexp_replace(regexp_replace(lower(url_decode(url_decode(rawhost))), '(?s)^.*@', ''), ':[0-9]*$', '') AS plain_host,
+             regexp_replace(replace(lower(url_decode(url_decode(path))), '\', '/') || '/', '/(\./|/)+', '/', 'g') AS p0 FROM u),
+p1 AS (SELECT *, regexp_replace(p0, '/([^/.][^/]*|\.[^/.][^/]*)/\.\./', '/', 'g') AS a FROM h),
+p2 AS (SELECT *, regexp_replace(a, '/([^/.][^/]*|\.[^/.][^/]*)/\.\./', '/', 'g') AS b FROM p1),
+c AS (SELECT page_id, host, path, '-' || trim(regexp_replace(plain_host, '[^a-z0-9\x{80}-\x{10FFFF}]+', '-', 'g'), '-') || '-' AS words, regexp_replace(b, '^(/\.\.)+', '') AS segments FROM p2),
 r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                                     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 m AS (
   SELECT page_id, host, path, rhost || rpath AS rule, verdict,
          row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, verdict DESC) AS k
   FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT h.page_id, h.host, h.path, m.rule,
-       coalesce(m.verdict, CASE WHEN regexp_matches(h.host || h.path,
-         'cheap-pills|spam-farm|ads-track|casino|viagra|porn|xxx|/wp-login\.php|/cgi-bin/|\.exe$|\.zip$|\.iso$|/print/|/search/')
+SELECT c.page_id, c.host, c.path, m.rule,
+       coalesce(m.verdict, CASE WHEN regexp_matches(words, '-(casinos?|poker|slots|roulette|jackpot|betting|bets|pills|viagra|cialis|pharmacy|porno?|xxx|adult|sex|escort|ads|adserver|adtrack|popunder|spam|malware|phishing|warez)-')
+           OR regexp_matches(segments, '/(wp-login\.php|cgi-bin|print|search|casino|viagra|porn|xxx)/') OR regexp_matches(segments, '\.(exe|zip|iso)/$')
          THEN 'block' ELSE 'allow' END) AS verdict
-FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.k = 1
 """

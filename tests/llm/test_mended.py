@@ -136,3 +136,78 @@ def test_buttons_and_labels_amid_sentences():
     assert t("<p>Press <button>Start</button> and hold <label>Shift</label> down.</p>") == "Press Start and hold Shift down."
     assert t("<p>a</p><button>Buy</button><label>Name</label><form><p>x <label>Mail</label></p></form><p>b <button class=share>s</button></p>") == "a b"
     assert t("<header><h1>Title</h1></header><h2>Under</h2><p>b</p>") == "Under b"
+
+
+def test_urls_are_judged_by_their_canonical_form():
+    from quarry.llm import op7_url_filters as op7
+
+    rules = [*op7.host_rules(), *op7.method_rules()]
+    v = lambda u: next(op7.judge(rules, [u]))[3]
+    for u in ("http://a.net/CGI-BIN/x", "http://a.net/%63gi-bin/x", "http://a.net/%2563gi-bin/x", "http://cas%69no.net/", "http://u:p@my.Casino.net:8080/", "http://a.net/x/./y/../../print/", "http://a.net//search",
+              "http://a.net/b.EXE", "http://a.net/%63asino", "http://free-bets.co/x", "http://adult-x.info", "http://ads-track.net/a", "http://cheap-pills.biz./", "http://a.net\\print\\x".replace("net\\", "net/")):
+        assert v(u) == "block", u
+    for u in ("http://a.net/middlesexxx", "http://a.net/casino-royale-film-review", "http://sussex.ac.uk/", "http://a.net/print-history/x", "http://a.net/research/", "http://betsy.net/", "http://a.net/casino/../news",
+              "http://loads.net/", "http://a.net/x.exe.html", "http://a.net/?casino", None, "casino"):
+        assert v(u) == "allow", u
+    assert op7.canonical("", "") == "" and op7.canonical("a.b", "") == "-a-b-/" and op7.canonical("é.de", "/../x//ü") == "-é-de-/x/ü/"
+    h, p, rule, verdict = next(op7.judge(rules, ["http://x.Example.org/%65s/CASINO"]))
+    assert (h, p, rule, verdict) == ("x.example.org", "/%65s/CASINO", "org/", "allow")  # rules see what stands there
+
+
+def test_urls_equal_their_sql(spark, pages_of, same):
+    import pandas as pd
+
+    from quarry.llm import op7_url_filters as op7
+
+    urls = ["http://a.net/CGI-BIN/x", "http://cas%69no.net/", "http://u@b-ads.net:80/q", "http://a.net/x/../print/", "http://a.net/./search", "http://a.net/x/y/../../print", "http://a.net/b.zip", "http://example.org/es/1", "http://h.com/de/",
+            "http://a.net/casino-night", "ftp://a.net", "none", None, "http://a.net/../xxx/"]
+    pages = pd.DataFrame([(k, u, "") for k, u in enumerate(urls)], columns=["page_id", "url", "html"])
+    same(op7.filter_urls(pages_of([(k, u, "") for k, u in enumerate(urls)])), op7.ORACLE, pages=pages)
+
+
+def test_candidates_have_a_high_recall():
+    from quarry.llm import op10_pii as op10
+
+    spans = lambda t: {(k, t[s:e]) for k, s, e in op10.candidates(t)}
+    assert spans("WRITE TO JOHN [AT] EXAMPLE [DOT] COM NOW") >= {("email", "JOHN [AT] EXAMPLE [DOT] COM")} or any("JOHN [AT] EXAMPLE [DOT] COM" in x for _, x in spans("WRITE TO JOHN [AT] EXAMPLE [DOT] COM NOW"))
+    assert any("ann (At) b.org" in x for _, x in spans("mail ann (At) b.org"))
+    key = "AbCdEfGhIjKlMnOpQrStUvWx"
+    assert ("secret", key) in spans(f'token = "{key}"') and ("secret", "0" + key) in spans(f"key: 0{key}")
+    assert not spans("Donaudampfschifffahrtsgesellschaft and antidisestablishmentarianism at home")
+
+
+def test_letter_secrets_and_spelt_addresses_are_found(docs_of):
+    from quarry.llm import op10_pii as op10
+
+    plain = [(k, " ".join(f"word{j % 7} and others" for j in range(k % 40 + 5))) for k in range(60)]
+    rows = [*plain, (100, 'the token = "QwXzAbLmPoKiJuHyGtFrDeSw" is set'), (101, "contact JOHN [AT] EXAMPLE [DOT] COM today"), (102, "see AbstractUserAccountSettingsControllerFactory for it")]
+    got = {r.doc_id: r.spans for r in op10.personal_data(docs_of(rows)).collect()}
+    assert got[100].startswith("secret:") and got[101].startswith("email:") and got[102] == ""
+
+
+def test_leak_index_is_linear_and_made_once(docs_of, spark, monkeypatch):
+    import time
+
+    from quarry.llm import op4_decontaminate as op4
+
+    def build(n):
+        items = [(k, " ".join(f"w{k}x{j}" if j % 3 else f"c{j}" for j in range(60))) for k in range(n)]
+        df = {}
+        for _, t in items:
+            for w in set(op4.words(t)):
+                df[w] = df.get(w, 0) + 1
+        t = time.perf_counter()
+        index = op4.Index(items, n, 60.0, df)
+        return index, time.perf_counter() - t
+
+    _, small = build(300)
+    index, large = build(3000)
+    assert large < 30 * small + 0.5
+    assert [i for i, *_ in index.search(op4.words(index.items[1234][2]))] == [1234]
+    monkeypatch.setattr(op4, "CHAIN", 1)
+    texts = [" ".join(f"item{k}word{j}" for j in range(20)) for k in range(6)]
+    items = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "item_id long, text string, ws string, block string")
+    docs = docs_of([(k, f"before {t} after") for k, t in enumerate(texts)] + [(99, "nothing of it")])
+    want = {(k, k) for k in range(6)}
+    assert {(r.doc_id, r.item_id) for r in op4.leaks(docs, items).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in op4.leaks(docs, items, block_words=25).collect()} == want  # several blocks, a table between each
