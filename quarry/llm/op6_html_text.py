@@ -74,7 +74,7 @@ COMMENT_PARTS = {"author": frozenset("author authors byline user username nickna
                  "date": frozenset("date time datetime timestamp posted published ago".split()),
                  "reply": frozenset("reply replies respond answer vote votes upvote downvote like likes flag report permalink quote".split())}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-MAY_COMMENT = re.compile(r"(?i)<time|author|user|nick|avatar|commenter|poster|byline|vcard")
+MAY_COMMENT = re.compile(r"(?i)author|user|nick|avatar|commenter|poster|byline|vcard")
 #: Characters of a paragraph that belongs to the article's run of text.
 PARAGRAPH = 40
 #: Text of other elements stays in its block.
@@ -151,6 +151,7 @@ def parse(html: str) -> Node:
     """A tree whose leaves are strings (decoded text)."""
     root = Node("")
     stack, i, n = [root], 0, len(html)
+    may_comment = False
     while i < n:
         m = TOKEN.search(html, i)
         j = m.start() if m else n
@@ -180,6 +181,7 @@ def parse(html: str) -> Node:
                 if stack[k].tag not in INLINE:
                     break
         node = Node(tag, names_of(m[3]) if m[3] else frozenset())
+        may_comment = may_comment or tag == "time" or bool(m[3] and MAY_COMMENT.search(m[3]))
         if tag in ("button", "label"):
             node.amid = stack[-1].tag in SENTENCES and any(type(k) is str and not k.isspace() for k in stack[-1].kids)
         stack[-1].kids.append(node)
@@ -192,7 +194,7 @@ def parse(html: str) -> Node:
             stack.append(node)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
-    if MAY_COMMENT.search(html):
+    if may_comment:
         for a in [x for x, _ in walk(root) if x.tag in MAIN]:
             mark_comments(a)
     return root
