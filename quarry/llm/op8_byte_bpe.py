@@ -87,6 +87,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.known: dict[str, bytes] = {}
+        self.most = REMEMBERED
 
     def merge(self, piece: bytes) -> bytes:
         """Ids of one pre-token."""
@@ -130,7 +131,7 @@ class Encoder:
         if ids is None:
             ids = self.merge(token.encode("utf-8", "surrogatepass"))
             if len(token) <= LONGEST_KEY:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= self.most:
                     self.known.clear()
                 self.known[token] = ids
         return ids
@@ -144,11 +145,13 @@ class Encoder:
 
 
 @cache
-def default_encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
+def default_encoder(path: str | None = None, pattern: str | None = None, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker and vocabulary; tasks that follow in the worker find what it remembers."""
     import public_tokenizers as P
 
-    return Encoder(read_ranks(path or P.path("byte_bpe_multi_50k.tiktoken")), pattern or P.PATTERN)
+    encoder = Encoder(read_ranks(path or P.path("byte_bpe_multi_50k.tiktoken")), pattern or P.PATTERN)
+    encoder.most = remembered
+    return encoder
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -157,12 +160,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
-def encode(df: DataFrame, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The columns of ``keep`` (all by default) and ``out``, the ids of the whole text as array<int>. No shuffle."""
+def encode(df: DataFrame, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, path: str | None = None, pattern: str | None = None,
+           remembered: int = REMEMBERED) -> DataFrame:
+    """The columns of ``keep`` (all by default) and ``out``, the ids of the whole text as array<int>. No shuffle.
+    A worker remembers the ids of up to ``remembered`` pre-tokens."""
     keep = df.columns if keep is None else keep
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = default_encoder(path, pattern)
+        encoder = default_encoder(path, pattern, remembered)
         for b in it:
             ids = [encoder.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], [*keep, out])
