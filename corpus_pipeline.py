@@ -76,7 +76,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     these take the place of columns of documents that have their names."""
     _ready(spark)
     docs = docs.drop("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
-    return op8_byte_bpe.with_digests(op8_byte_bpe.decode(op8_byte_bpe.encode(docs)))
+    # workers that the stages before have used hold memory already, so that these remember less than op8's own
+    return op8_byte_bpe.with_digests(op8_byte_bpe.decode(op8_byte_bpe.encode(docs, remembered=300_000)))
 
 
 STAGES = [
