@@ -48,6 +48,8 @@ from quarry.session import checkpoint_dir, drop_path
 BLOCK = 128
 #: Documents of a shard: what a task holds of an index at once, and of texts when it is built.
 SHARD_DOCS = 8192
+#: A small corpus is dealt to up to so many shards of at least so many documents, whatever the session's settings.
+SHARDS, FEW_DOCS = 64, 512
 #: Up to so many shards, each gets a bucket of its own.
 LABELLED = 4096
 #: (query, term) rows that a search sends to its tasks at once; more are searched in parts.
@@ -132,8 +134,7 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
     n_docs = corpus.count()
     if n_docs == 0:
         raise ValueError("cannot build a lexical index over an empty corpus")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, math.ceil(n_docs / SHARD_DOCS), min(partitions, math.ceil(n_docs / BLOCK)))
+    shards = max(1, math.ceil(n_docs / SHARD_DOCS), min(SHARDS, math.ceil(n_docs / FEW_DOCS)))
     scratch = f"{checkpoint_dir(spark).rstrip('/')}/quarry-lexical-{uuid.uuid4().hex}"
     root = path or scratch
 

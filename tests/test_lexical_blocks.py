@@ -63,11 +63,11 @@ def same(got, want):
 @pytest.fixture(scope="module")
 def index(spark, texts):
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    old = lexical.BLOCK
-    lexical.BLOCK = 16  # many blocks a shard
+    old, few = lexical.BLOCK, lexical.FEW_DOCS
+    lexical.BLOCK, lexical.FEW_DOCS = 16, 100  # many blocks a shard, several shards
     idx = lexical.build_lexical_index(corpus, "doc_id", "text")
     yield idx
-    lexical.BLOCK = old
+    lexical.BLOCK, lexical.FEW_DOCS = old, few
     idx.close()
 
 
