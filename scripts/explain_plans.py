@@ -48,7 +48,7 @@ def main():
     sections = [
         ("L4 BM25 search over a saved index (top-100)", run),
         ("D3 exact dense search, broadcast path", dense.flat_search(q, vec, k=10, exclude_self=True)),
-        ("D3 exact dense search, block cogroup path", dense.flat_search(q, vec, k=10, exclude_self=True,
+        ("D3 exact dense search in blocks of queries (the last block reads what was written)", dense.flat_search(q, vec, k=10, exclude_self=True,
                                                                          max_query_rows=0, block_rows=500)),
         ("D4 IVF search (sharded cells)", ann.ivf_search(q, ivf, k=10, nprobe=12, exclude_self=True)),
         ("M8 retrieval metrics", metrics.retrieval_metrics(run, st.qrels_a(spark, sf), (10, 50, 100))),
