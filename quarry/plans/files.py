@@ -89,6 +89,31 @@ def q_reloaded(spark, sf_dir):
     return lexical.bm25_search(back, st.queries_a(spark, sf_dir), k=10).select("query_id", "doc_id", r6("score"), "rank")
 
 
+@register("L6_index_errors", """SELECT 'absent' AS damaged, 'FileNotFoundError' AS error, count(*) AS documents FROM documents
+UNION ALL SELECT t, 'ValueError: checksum mismatch for index table ' || t, count(*) FROM documents, (VALUES ('docs'), ('postings'), ('terms'), ('tokens')) x(t) GROUP BY t
+UNION ALL SELECT 'none', '', count(*) FROM documents""")
+def q_index_errors(spark, sf_dir):
+    """An index of the documents is loaded as it is, then with a part of the rows of one table after another gone."""
+    path, n = fresh(spark, "damaged"), st.corpus(spark, sf_dir).count()
+
+    def load(where):
+        try:
+            return "" if lexical.load_lexical_index(spark, where).stats["N"] == n else "another index"
+        except FileNotFoundError as e:
+            return type(e).__name__
+        except ValueError as e:
+            return f"{type(e).__name__}: {e}"
+
+    lexical.build_lexical_index(st.corpus(spark, sf_dir), "doc_id", "text", path=path)
+    rows = [("absent", load(path + "-none"), n), ("none", load(path), n)]
+    for name in ("tokens", "docs", "terms", "postings"):  # the tables that are checked last go first
+        kept, t = fresh(spark, "kept"), spark.read.parquet(f"{path}/{name}")
+        t.where(F.pmod(F.xxhash64(*t.columns), F.lit(5)) != 0).write.parquet(kept)
+        spark.read.parquet(kept).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.append((name, load(path), n))
+    return spark.createDataFrame(rows, "damaged string, error string, documents long")
+
+
 @register("L5_zero_padding", f"""WITH {bm25_ctes(CORPUS_SQL, "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[2:3], ' ') AS query FROM benchmark")},
 every AS (SELECT q.item_id AS query_id, d.doc_id, coalesce(s.score, 0.0) AS score FROM benchmark q CROSS JOIN documents d
           LEFT JOIN scored s ON s.query_id = q.item_id AND s.doc_id = d.doc_id),
