@@ -84,9 +84,12 @@ class LexicalIndex:
         return self.stats["k1"]
 
 
-def _bucketed(spark: SparkSession, path: str, shards: int) -> DataFrame:
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _bucketed(spark: SparkSession, path: str, shards: int, fields: str) -> DataFrame:
     """The table at ``path``, which was written in buckets. The catalog only needs it until it is resolved."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
     name = f"quarry_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (shard) INTO {shards} BUCKETS LOCATION '{path}'")
     df = spark.table(name)
@@ -144,13 +147,13 @@ def build_lexical_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: s
     in_order = F.row_number().over(Window.partitionBy("shard").orderBy("pos", "doc_id")) - 1
     dealt = dealt.select("shard", in_order.cast("int").alias("num"), "doc_id", "pos", F.size("tokens").cast("bigint").alias("dl"), "tokens")
     _write_bucketed(dealt, f"{scratch}/dealt", shards)
-    dealt = _bucketed(spark, f"{scratch}/dealt", shards)
+    dealt = _bucketed(spark, f"{scratch}/dealt", shards, _fields(dealt))
     avgdl = float(dealt.agg(F.sum("dl").alias("t")).first()["t"] or 0) / n_docs
 
     own = {"k1": k1, "b": b, "avgdl": avgdl}
     checks = {"postings": _write_bucketed(dealt.select("shard", "num", "dl", "tokens").groupBy("shard").applyInArrow(lambda t: _invert(t, own), POSTINGS), f"{root}/postings", shards,
                                           "overwrite" if path else "errorifexists")}
-    postings = _bucketed(spark, f"{root}/postings", shards)
+    postings = _bucketed(spark, f"{root}/postings", shards, POSTINGS)
     terms, avg_idf, vocabulary = term_stats(postings, n_docs, epsilon, F.sum(F.size("docs")).cast("bigint"))
     stats = {"N": n_docs, "avgdl": avgdl, "avg_idf": avg_idf, "k1": k1, "b": b, "epsilon": epsilon, "vocabulary": vocabulary,
              "shards": shards, "tops": [k1, b]}
@@ -436,6 +439,7 @@ def _save(index: LexicalIndex, path: str, mode: str, checks: dict) -> None:
     sp = index.docs.sparkSession
     meta = dict(index.stats)
     meta["checksums"] = checks
+    meta["fields"] = {"docs": _fields(index.docs), "postings": _fields(index.postings)}
     # the metadata file is tiny; write it through Spark so any shared
     # filesystem the cluster uses works
     sp.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -453,13 +457,14 @@ def load_lexical_index(spark: SparkSession, path: str, verify: bool = True) -> L
             raise
         raise FileNotFoundError(f"no lexical index at {path}") from exc
     # the tables that were written are those that have a fingerprint
-    tables = {n: spark.read.parquet(os.path.join(path, n)) for n in meta["checksums"]}
+    kinds = meta["fields"]  # a table without rows has no files to tell
+    tables = {n: (spark.read.schema(kinds[n]) if n in kinds else spark.read).parquet(os.path.join(path, n)) for n in meta["checksums"]}
     if verify:
         for name, df in tables.items():
             if fingerprint(df) != meta["checksums"][name]:
                 raise ValueError(f"checksum mismatch for index table {name}")
-    stats = {k: v for k, v in meta.items() if k != "checksums"}
-    dealt = {n: _bucketed(spark, os.path.join(path, n), stats["shards"]) for n in ("docs", "postings")}
+    stats = {k: v for k, v in meta.items() if k not in ("checksums", "fields")}
+    dealt = {n: _bucketed(spark, os.path.join(path, n), stats["shards"], kinds[n]) for n in ("docs", "postings")}
     return LexicalIndex(docs=dealt["docs"], terms=tables["terms"], postings=dealt["postings"],
                         stats=stats, tokens=tables.get("tokens"))
 

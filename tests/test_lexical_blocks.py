@@ -123,3 +123,12 @@ def test_no_exchange_before_the_top(spark, index, queries):
     plan = lexical.bm25_search(index, qs, k=5)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("FlatMapCoGroupsInArrow"):].split("Initial Plan")[0]
     assert "Exchange hashpartitioning" not in below and "Exchange rangepartitioning" not in below and below.count("Bucketed: true") == 2
+
+
+def test_corpus_without_words(spark, tmp_path):
+    corpus = spark.createDataFrame([(k, t) for k, t in enumerate(["", None, "  "])], "doc_id long, text string")
+    idx = lexical.build_lexical_index(corpus, "doc_id", "text")
+    lexical.save_lexical_index(idx, str(tmp_path / "i"))
+    for index in (idx, lexical.load_lexical_index(spark, str(tmp_path / "i")), lexical.build_lexical_index(corpus, "doc_id", "text", path=str(tmp_path / "j"))):
+        assert run(index, spark, ["a", ""], 2) == {0: [], 1: []}
+        assert run(index, spark, ["a", ""], 2, pad_zero=True) == {0: [(0, 0.0), (1, 0.0)], 1: [(0, 0.0), (1, 0.0)]}
