@@ -1237,6 +1237,22 @@ def q_ivfpq_gate(spark, sf_dir):
     return _gate(spark, sf_dir, _gate_ivfpq)
 
 
+@register("D5_opq_gate", "SELECT count(*) AS queries, true AS passed, true AS better, 8 AS most_code_bytes FROM embeddings")
+def q_opq_gate(spark, sf_dir):
+    """PQ with a learned rotation, 16 codes of 4 bits packed in 8 bytes: the gate with re-scoring at the chosen depth, and
+    recall@10 before re-scoring above that of the same codes without rotation."""
+    v = _vecs(spark, sf_dir)
+    q = v.withColumnRenamed("id", "query_id")
+    exact = cut_lineage(_exact_knn(spark, sf_dir))
+    some = cut_lineage(ann.sample_queries(q))
+    plain = ann.build_pq(v, m=16, nbits=4, seed=7, pack=True)
+    turned = ann.build_pq(v, m=16, nbits=4, trained=ann.learn_rotation(v, m=16, nbits=4, seed=7), pack=True)
+    before, after = (dense.validate_recall(ann.pq_search(q, pq, k=10, exclude_self=True), exact, 10, RECALL_GATE).first()["recall"] for pq in (plain, turned))
+    run = _deep(lambda x, k: ann.pq_search(x, turned, k=k, exclude_self=True), v, some, exact)(q)
+    size = turned["codes"].agg(F.max(F.octet_length("codes")).alias("most_code_bytes"))
+    return dense.validate_recall(run, exact, 10, RECALL_GATE).select("queries", "passed", F.lit(after > before).alias("better")).crossJoin(size)
+
+
 def ivf_letters(spark, sf_dir):
     """Letter histograms of the documents, spilled to two cells; the documents with ids divisible by 20 are the
     queries: (curve, cells, search)."""
