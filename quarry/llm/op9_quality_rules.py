@@ -2,8 +2,13 @@
 
 Every line of a document is judged by itself: a line fails as symbols (many of
 ``#*$%&|<>`` for its words), as shouting (many ``!!``, or few lower-case
-letters), as navigation (items between bars without any sentence), or as
-boilerplate (a known short notice, or the repeat of an earlier line). The lines that pass are the cleaned text. A document is rejected
+letters), as navigation (items between bars without any sentence, or three and
+more link-like lines in a row: few words, no digit, no closing punctuation), by
+its punctuation (a short line that closes with none in a document whose lines
+do close: captions, teasers, cut ends), or as boilerplate (a known short notice,
+or the repeat of an earlier line). The rules on closing punctuation know no
+language; any character of Unicode's class P closes. Long open lines stay: they
+are paragraphs that lack a full stop. The lines that pass are the cleaned text. A document is rejected
 if its whole text fails a base rule or cleaning takes too much of its text.
 
 Everything happens within a row: no shuffle, no Python. The heavy part of the
@@ -16,6 +21,8 @@ length; extra columns are ignored, so their names can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +45,17 @@ LEAST_LEFT = 50
 BOILERPLATE_WORDS = 12
 BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "skip to content", "click here to", "sign up for our",
                "subscribe to our", "javascript is disabled", "enable javascript", "share this", "read more", "lorem ipsum")
+#: A line closes with punctuation, white space aside.
+CLOSED = r"\p{P}[\x20\x09-\x0D]*\z"
+#: Link-like lines: up to so many words and characters; that many in a row fail.
+LINK_WORDS = 3
+LINK_CHARS = 40
+LINKS_IN_A_ROW = 3
+#: An open line of so many words fails if at least CLOSED_LINES lines of OPEN_WORDS[0] words and more close and there are
+#: CLOSED_FOR_OPEN times as many of them as open ones.
+OPEN_WORDS = (5, 20)
+CLOSED_LINES = 5
+CLOSED_FOR_OPEN = 4
 
 
 def words(text: Column) -> Column:
@@ -76,10 +94,46 @@ def repeated_words(v: Column) -> Column:
     return F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0).cast("long")).otherwise(heavy)
 
 
+def n_line_words(line: Column) -> Column:
+    return F.size(F.split(F.trim(F.regexp_replace(line, SPACE + "+", " ")), " "))
+
+
+def open_fails(lines: Column) -> Column:
+    """The lines (each with a word) that fail by what stands around them: link-like lines in a row, and short
+    open lines among closed ones. Null if no line is open, so that most texts pay one search a line."""
+    least, most = OPEN_WORDS
+    long = rf"\A{SPACE}*([^\x20\x09-\x0D]+{SPACE}+){{{least - 1}}}[^\x20\x09-\x0D]"
+    n_open = F.transform(lines, lambda x: F.when(x.rlike(CLOSED), F.lit(0)).otherwise(n_line_words(x)))  # words of an open line
+
+    def failing(n: Column) -> Column:
+        link = F.transform(n, lambda k, i: k.between(1, LINK_WORDS) & (F.length(F.get(lines, i)) <= LINK_CHARS) & ~F.get(lines, i).rlike(r"\p{Nd}"))
+        at = lambda a, i: F.when(i >= 0, F.get(a, F.greatest(i, F.lit(0)))).otherwise(F.lit(False))
+        run = lambda a, i, first: all_of([F.coalesce(at(a, i + k), F.lit(False)) for k in range(first, first + LINKS_IN_A_ROW)])
+        n_long = F.size(F.filter(n, lambda k: k >= least))
+        n_closed = F.size(F.filter(lines, lambda x: x.rlike(CLOSED) & x.rlike(long)))
+        among = F.when(F.exists(n, lambda k: k.between(least, most)), (n_closed >= CLOSED_LINES) & (n_closed >= CLOSED_FOR_OPEN * n_long)).otherwise(F.lit(False))
+
+        def chosen(a: Column) -> Column:  # struct of both, worked out once
+            in_a_row = lambda i: any_of([run(a["link"], i, first) for first in range(1 - LINKS_IN_A_ROW, 1)])
+            return F.filter(lines, lambda x, i: in_a_row(i) | (a["among"] & F.get(n, i).between(least, most)))
+
+        return F.get(F.transform(F.array(F.struct(link.alias("link"), among.alias("among"))), chosen), F.lit(0))
+
+    return F.get(F.transform(F.array(n_open), lambda n: F.when(F.exists(n, lambda k: k > 0), failing(n))), F.lit(0))
+
+
+def all_of(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts)
+
+
+def any_of(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
 def line_fails(line: Column, symbols: Column, shouts: Column, capitals: Column, notices: Column) -> Column:
     """Whether a line that has a word fails by itself. The other arguments say what its document has at
     all: a rule that can't apply to any line isn't worked out for each."""
-    n_words = F.size(F.split(F.trim(F.regexp_replace(line, SPACE + "+", " ")), " "))
+    n_words = n_line_words(line)
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     lower = F.length(F.regexp_replace(line, r"[^\p{Ll}\p{Lo}]+", ""))
     return ((symbols & (100 * n_of(line, SYMBOLS) >= SYMBOLS_PER_100 * n_words))
@@ -117,7 +171,7 @@ def judged(own: DataFrame) -> DataFrame:
         F.col("t").contains("!!").alias("shouts"), F.col("t").rlike(CAPITALS).alias("capitals"), has_notice(F.col("t")).alias("notices"),
         F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         windows_of(F.col("w")).alias("v"),
-    ).withColumn("once", F.array_distinct("lines"))
+    ).withColumn("once", F.array_distinct("lines")).withColumn("open", open_fails(F.col("lines")))
     symbols = F.col("n_symbols") > 0
     suspect = symbols | F.col("shouts") | F.col("capitals") | F.col("notices")
     b = a.select(
@@ -126,7 +180,8 @@ def judged(own: DataFrame) -> DataFrame:
         repeated_words(F.col("v")).alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
         F.when(suspect, F.filter("once", lambda x: ~line_fails(x, symbols, F.col("shouts"), F.col("capitals"), F.col("notices")))).otherwise(F.col("once")).alias("left"),
-    ).withColumn("cleaned", F.array_join("left", "\n"))
+        "open",
+    ).withColumn("left", F.when(F.size("open") > 0, F.array_except("left", "open")).otherwise(F.col("left"))).withColumn("cleaned", F.array_join("left", "\n"))
     left = F.when(F.size("left") == F.col("n_lines"), F.col("word_chars")).otherwise(F.length(F.regexp_replace("cleaned", SPACE + "+", "")))
     c = b.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     c = c.withColumn("share_left", F.when(F.col("word_chars") > 0, left / F.col("word_chars")).otherwise(F.lit(0.0)))
@@ -150,16 +205,22 @@ w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 v AS (SELECT r, i, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS v FROM w, unnest(range(1, len(w) - 3)) AS x(i) WHERE len(w) >= 5),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM v) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM again, unnest(range(0, 5)) AS y(k) GROUP BY r),
-l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k, row_number() OVER (PARTITION BY r ORDER BY i) AS p
       FROM (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT r, string_split(t, chr(10)) AS x FROM d))
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-f AS (SELECT r, line, k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
+f AS (SELECT r, line, k, p, NOT regexp_matches(line, '\pP[\x20\x09-\x0D]*\z') AS open, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
              length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS sym,
              (length(line) - length(replace(line, '!!', ''))) / 2 AS shout,
              length(line) - length(replace(line, '|', '')) AS bars,
              length(regexp_replace(line, '[^\pL]+', '', 'g')) AS letters,
              length(regexp_replace(line, '[^\p{Ll}\p{Lo}]+', '', 'g')) AS low FROM l),
-g AS (SELECT r, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM f
+near AS (SELECT r, line, p, open AND nw BETWEEN 5 AND 20 AS short, open AND nw <= 3 AND length(line) <= 40 AND NOT regexp_matches(line, '\p{Nd}') AS link,
+                count(*) FILTER (NOT open AND nw >= 5) OVER (PARTITION BY r) AS n_closed, count(*) FILTER (open AND nw >= 5) OVER (PARTITION BY r) AS n_long FROM f),
+links AS (SELECT *, min(link) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AND p >= 3 AS ends FROM near),
+bad AS (SELECT DISTINCT r, line FROM (
+          SELECT *, max(ends) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS in_a_row FROM links)
+        WHERE in_a_row OR (short AND n_closed >= 5 AND n_closed >= 4 * n_long)),
+g AS (SELECT r, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM f ANTI JOIN bad USING (r, line)
       WHERE k = 1 AND NOT (100 * sym >= 30 * nw OR 100 * shout >= 30 * nw OR (regexp_matches(line, '\p{Lu}{3}') AND letters >= 20 AND 100 * low < 30 * letters)
             OR (bars >= 2 AND NOT regexp_matches(line, '[.!?:;,\x{3002}]'))
             OR (nw <= 12 AND regexp_matches(lower(line), 'cookie policy|privacy policy|terms of use|terms of service|skip to content|click here to|sign up for our|subscribe to our|javascript is disabled|enable javascript|share this|read more|lorem ipsum')))
