@@ -181,12 +181,14 @@ def _loss_and_grad(ex: DataFrame, features: list[str], w: list[float], T: float,
       margin-MSE  (2/n) [sum r_d x_d - (sum r_d) x_{d*}],  r_d = (s_d - s_{d*}) - (t_d - t_max)/T
       listwise    T [sum p_s(d) x_d - sum p_t(d) x_d]      (softmax at T)
       contrastive (1/tau) [sum p_tau(d) x_d - x_0]
+
+    Of documents with equal s the one at the first position is d*, so that a step gives the same gradient each time.
     """
     s = sum((F.lit(float(wi)) * F.col(f) for wi, f in zip(w, features)), F.lit(0.0))
     e = ex.withColumn("__s", s)
     m = e.groupBy("query_id").agg(
         F.max("__s").alias("smax"), F.max("teacher").alias("tmax"), F.count("*").alias("n"),
-        F.max_by(F.struct(*[F.col(f).alias(f) for f in features]), F.col("__s")).alias("xstar"),
+        F.max_by(F.struct(*[F.col(f).alias(f) for f in features]), F.struct("__s", -F.col("pos"))).alias("xstar"),
         F.min_by(F.struct(*[F.col(f).alias(f) for f in features]), F.col("pos")).alias("x0"),
         F.min_by("__s", F.col("pos")).alias("s0"))
     j = e.join(m, "query_id")
@@ -219,6 +221,14 @@ def _loss_and_grad(ex: DataFrame, features: list[str], w: list[float], T: float,
     return float(row["loss"]), [float(row[f"g{i}"]) for i in range(len(features))]
 
 
+def loss_gradient(examples: DataFrame, features: list[str], w: list[float], temperature: float = 4.0, tau: float = 0.05,
+                  weights=(0.6, 0.2, 0.2)) -> DataFrame:
+    """One step's loss and gradient at ``w`` -> (feature, gradient, loss), a row for each feature."""
+    ex = examples.select("query_id", "pos", F.col("teacher").cast("double"), *[F.col(f).cast("double") for f in features])
+    loss, g = _loss_and_grad(ex, features, w, temperature, tau, weights)
+    return examples.sparkSession.createDataFrame([(f, gi, loss) for f, gi in zip(features, g)], "feature string, gradient double, loss double")
+
+
 def fit_linear_student(examples: DataFrame, features: list[str], epochs: int = 3, steps: int = 10,
                        lr: float = 0.05, t_start: float = 4.0, t_end: float = 2.0,
                        tau: float = 0.05, weights=(0.6, 0.2, 0.2), patience: int = 2,

@@ -1365,6 +1365,33 @@ def q_calib(spark, sf_dir):
     return readers.calibration_sample(st.table(spark, sf_dir, "labels"), 100, "doc_id", seed=42)
 
 
+def _gradient_sql(w: tuple, T: float, tau: float) -> str:
+    f = ("student", "student ^ 2", "1.0 / (pos + 1)")
+    s = " + ".join(f"{wi} * {x}" for wi, x in zip(w, f))
+    each = " UNION ALL ".join(f"""SELECT '{name}' AS feature, round(avg(0.6 * 2 / n * (rx{i} - sr * star[{i + 1}])
+         + 0.2 * {T} * (sx{i} / ss - tx{i} / st) + 0.2 / {tau} * (cx{i} / sc - first[{i + 1}])), 6) AS gradient,
+       round(avg(0.6 * sq / n + 0.2 * {T * T} * kl + 0.2 * (ln(sc) + smax / {tau} - s0 / {tau})), 6) AS loss FROM g""" for i, name in enumerate(("student", "f_sq", "f_pos")))
+    sums = ", ".join(f"sum(r * x[{i + 1}]) AS rx{i}, sum(es * x[{i + 1}]) AS sx{i}, sum(et * x[{i + 1}]) AS tx{i}, sum(ec * x[{i + 1}]) AS cx{i}" for i in range(3))
+    return f"""WITH {SCORES_SQL},
+a AS (SELECT query_id, pos, teacher, [{', '.join(f)}] AS x, {s} AS s FROM sc),
+b AS (SELECT *, max(s) OVER w AS smax, max(teacher) OVER w AS tmax FROM a WINDOW w AS (PARTITION BY query_id)),
+c AS (SELECT *, exp((s - smax) / {T}) AS es, exp((teacher - tmax) / {T}) AS et, exp((s - smax) / {tau}) AS ec, (s - smax) - (teacher - tmax) / {T} AS r FROM b),
+d AS (SELECT *, ln(sum(es) OVER w) + smax / {T} AS lse_s, ln(sum(et) OVER w) + tmax / {T} AS lse_t, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS q
+      FROM c WINDOW w AS (PARTITION BY query_id)),
+g AS (SELECT query_id, count(*) AS n, sum(r) AS sr, sum(r * r) AS sq, sum(es) AS ss, sum(et) AS st, sum(ec) AS sc, max(smax) AS smax,
+             max(CASE WHEN pos = 0 THEN s END) AS s0, max(CASE WHEN q = 1 THEN x END) AS star, max(CASE WHEN pos = 0 THEN x END) AS first,
+             sum(exp(teacher / {T} - lse_t) * ((teacher / {T} - lse_t) - (s / {T} - lse_s))) AS kl, {sums} FROM d GROUP BY query_id)
+{each}"""
+
+
+@register("K9_gradient_step", _gradient_sql((0.5, 0.25, -0.125), 3.0, 0.05))
+def q_gradient(spark, sf_dir):
+    """One step of the trainer: loss and gradient at given weights, over all vectors."""
+    sc = _scores(spark, sf_dir).withColumn("f_sq", F.col("student") ** 2).withColumn("f_pos", 1.0 / (F.col("pos") + 1))
+    g = training.loss_gradient(sc, ["student", "f_sq", "f_pos"], [0.5, 0.25, -0.125], temperature=3.0)
+    return g.select("feature", r6("gradient"), r6("loss"))
+
+
 @register("K9_fit_linear_student")
 def q_fit(spark, sf_dir):
     """Re-aimed trainer: linear student over (score, score^2, 1/(pos+1)) fitted to

@@ -125,3 +125,19 @@ def test_alpha_schedule_and_blend(spark):
     assert got == pytest.approx([0.8, 0.65, 0.5])
     b = df.select(training.blended_loss(F.lit(2.0), F.lit(1.0), training.alpha_at(F.col("p"))).alias("b")).collect()
     assert [r["b"] for r in b] == pytest.approx([1.8, 1.65, 1.5])
+
+
+def test_gradient_of_ties_takes_the_first_position(spark):
+    """At weights of zero all documents tie: d* is position 0, whatever the order of the rows."""
+    rows = [(q, p, float((q * 7 + p * 3) % 5), float((p * 5 + q) % 4), 1.0 / (p + 1)) for q in range(6) for p in range(5)]
+    got = set()
+    for parts, order in ((1, 1), (4, -1), (7, 1)):
+        ex = spark.createDataFrame(rows[::order], "query_id int, pos int, teacher double, a double, b double").repartition(parts)
+        got.add(tuple((r["feature"], round(r["gradient"], 9), round(r["loss"], 9)) for r in training.loss_gradient(ex, ["a", "b"], [0.0, 0.0], weights=(1.0, 0.0, 0.0)).collect()))
+    want = np.zeros(2)
+    for q in range(6):
+        X, t = np.array([r[3:] for r in rows if r[0] == q]), np.array([r[2] for r in rows if r[0] == q])
+        res = -(t - t.max()) / 4.0
+        want += 2 / 5 * ((res[:, None] * X).sum(0) - res.sum() * X[0]) / 6
+    assert len(got) == 1
+    assert np.allclose([g[1] for g in got.pop()], want)
