@@ -111,20 +111,21 @@ def chunk_documents(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens,
     n = F.size("__tok")
     nwin = F.when(n <= max_tokens, F.lit(1)).otherwise(
         F.ceil((n - max_tokens) / F.lit(float(step))).cast("int") + 1)
-    ex = base.select("*", F.explode(F.sequence(F.lit(0), nwin - 1)).alias("chunk_index"))
-    start = F.col("chunk_index") * step
-    end = F.least(start + max_tokens, F.size("__tok"))
-    short = F.size("__tok") <= max_tokens
+
+    def window(i):
+        start = i * step
+        end = F.least(start + max_tokens, n)
+        text = F.when(n <= max_tokens, F.coalesce(F.col("__text"), F.lit(""))).otherwise(
+            F.concat_ws(" ", F.slice("__tok", start + 1, end - start)))
+        return F.struct(i.cast("bigint").alias("chunk_index"), text.alias("text"), (end - start).cast("bigint").alias("tokens"),
+                        start.cast("bigint").alias("start_token"), end.cast("bigint").alias("end_token"))
+
+    # windows are cut before the explode, so that its rows carry neither the whole text nor all tokens
+    ex = base.select(*keep, "doc_id", F.explode(F.transform(F.sequence(F.lit(0), nwin - 1), window)).alias("__w"))
     did = F.col("doc_id").cast("string")
-    cid = F.when(did.isNull() | (did == ""), F.col("chunk_index").cast("string")).otherwise(
-        F.concat(did, F.lit("_"), F.col("chunk_index").cast("string")))
-    return ex.select(
-        *keep,
-        cid.alias("chunk_id"), "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
-        F.when(short, F.coalesce(F.col("__text"), F.lit(""))).otherwise(
-            F.concat_ws(" ", F.slice("__tok", start + 1, end - start))).alias("text"),
-        (end - start).cast("bigint").alias("tokens"),
-        start.cast("bigint").alias("start_token"), end.cast("bigint").alias("end_token"))
+    i = F.col("__w.chunk_index")
+    cid = F.when(did.isNull() | (did == ""), i.cast("string")).otherwise(F.concat(did, F.lit("_"), i.cast("string")))
+    return ex.select(*keep, cid.alias("chunk_id"), "doc_id", "__w.chunk_index", "__w.text", "__w.tokens", "__w.start_token", "__w.end_token")
 
 
 def chunk_offsets(df: DataFrame, max_tokens: int = DEFAULTS.chunk_max_tokens, stride: int = DEFAULTS.chunk_stride,
