@@ -111,3 +111,46 @@ def test_gates_hold_at_two_sizes(spark, sf, sf_dir):
     path = sf.replace("sf0.001", sf_dir)
     for name in ("D4_ivf_gate", "D5_pq_gate"):
         assert E.queries()[name](spark, path).first()["passed"], name
+
+
+def test_searches_hold_one_tile_of_scores(spark, monkeypatch):
+    """No matrix of a whole group's queries and vectors: with small tiles the results stay, and no tile is larger."""
+    rng = np.random.default_rng(21)
+    V = rng.integers(-1, 2, size=(400, 8)).astype(np.float32)  # many equal scores
+    V[100:250] = V[100]
+    df, q = frame(spark, V), frame(spark, V).withColumnRenamed("id", "query_id")
+    ivf, pq = ann.build_ivf(df, nlist=4, seed=1), ann.build_pq(df, m=4, nbits=3, seed=1)
+    ivfpq = ann.build_ivfpq(df, nlist=4, m=4, nbits=3, seed=1)
+    runs = {"ivf": lambda: ann.ivf_search(q, ivf, k=7, nprobe=4, exclude_self=True), "ivfpq": lambda: ann.ivfpq_search(q, ivfpq, k=7, nprobe=4, exclude_self=True),
+            "pq": lambda: ann.pq_search(q, pq, k=7, exclude_self=True), "pq_blocks": lambda: ann.pq_search(q, pq, k=7, exclude_self=True, max_table_bytes=1)}
+    whole = {n: ranked(f()) for n, f in runs.items()}
+    assert whole["ivf"] == brute(V, V, range(400), 7, {(i, i) for i in range(400)}) and whole["pq"] == whole["pq_blocks"]
+    add = dense._Best.add
+
+    def bounded(self, rows, S, ids, n):
+        assert S.nbytes <= 4000
+        add(self, rows, S, ids, n)
+
+    monkeypatch.setattr(dense, "TILE_BYTES", 4000)
+    monkeypatch.setattr(dense._Best, "add", bounded)
+    assert {n: ranked(f()) for n, f in runs.items()} == whole
+    found = dense.best_of_tiles(np.arange(3), np.arange(900), 5, False, lambda rows: lambda cols: np.zeros((3, 900))[rows][:, cols])
+    assert found[1].tolist() == [0, 1, 2, 3, 4] * 3
+
+
+@pytest.mark.parametrize("k, c", [(1, 5), (3, 2), (5, 700), (40, 500)])
+def test_best_of_each_row_by_sorting(k, c):
+    rng = np.random.default_rng(k)
+    best, seen = dense._Best(30, k), [[] for _ in range(30)]
+    for n in range(6):
+        S = np.round(rng.normal(size=(30, c)) * 3 ** (n % 3), 1 if n % 2 else 6)
+        S[rng.random(S.shape) < (0.3 if n else 0.9)] = -np.inf
+        if n == 4:
+            S[:] = 0.5
+        ids = np.sort(rng.choice(10_000, c, replace=False)) + 10_000 * n
+        best.add(slice(0, 30), S, ids, 30)
+        for r in range(30):
+            seen[r] += [(-round(s, 9), i) for s, i in zip(S[r].tolist(), ids.tolist()) if s > -np.inf]
+    q, ids, score = best.rows()
+    for r in range(30):
+        assert sorted(zip((-np.round(score[q == r], 9)).tolist(), ids[q == r].tolist())) == sorted(seen[r])[:k]
