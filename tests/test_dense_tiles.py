@@ -154,3 +154,22 @@ def test_best_of_each_row_by_sorting(k, c):
     q, ids, score = best.rows()
     for r in range(30):
         assert sorted(zip((-np.round(score[q == r], 9)).tolist(), ids[q == r].tolist())) == sorted(seen[r])[:k]
+
+
+def test_jobs_and_groups_of_searches_in_blocks(spark, monkeypatch, clustered):
+    """The exact search takes many small blocks in one job; the PQ search deals all queries into blocks, not a count that is cut
+    at the bound of its tables, and into smaller ones where each query has many results."""
+    q = clustered.withColumnRenamed("id", "query_id")
+    jobs, search = [], dense._search_block
+    monkeypatch.setattr(dense, "_search_block", lambda *a: jobs.append(1) or search(*a))
+    assert ranked(dense.flat_search(q, clustered, k=4, exclude_self=True, max_query_rows=0, block_rows=10)) == ranked(dense.flat_search(q, clustered, k=4, exclude_self=True))
+    assert len(jobs) == 2
+    pq, n = ann.build_pq(clustered, m=4, nbits=3, seed=1), q.count()
+    want = ranked(ann.pq_search(q, pq, k=6, exclude_self=True))
+    sizes = []
+    monkeypatch.setattr(ann.F, "sequence", lambda a, b, s=ann.F.sequence: sizes.append(str(b)) or s(a, b))
+    assert ranked(ann.pq_search(q, pq, k=6, exclude_self=True, max_table_bytes=1, block_rows=100)) == want
+    assert sizes[-1] == f"Column<'{-(-n // 100) - 1}'>"
+    monkeypatch.setattr(ann, "RUN_ROWS", 300)
+    assert ranked(ann.pq_search(q, pq, k=6, exclude_self=True, max_table_bytes=1, block_rows=100)) == want
+    assert sizes[-1] == f"Column<'{-(-n // 50) - 1}'>"
