@@ -86,3 +86,22 @@ def test_groups(spark, mode, groups):
     want = {(i, j) for i in range(60) for j in sorted((j for j in range(300) if j != i and (label[i] == label[j]) == (mode == "same")), key=lambda j: (-S[i, j], j))[:4]}
     got = dense.flat_search(q, df, k=4, exclude_self=True, group_col="label", group_mode=mode)
     assert {(r["query_id"], r["doc_id"]) for r in got.collect()} == want
+
+
+def test_vectors_are_made_once_for_all_jobs(spark, monkeypatch):
+    """However many jobs a search in blocks takes; null vectors take no part in any."""
+    monkeypatch.setattr(dense, "JOB_ROWS", 10)
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    V = np.random.default_rng(9).normal(size=(120, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, None if i == 50 else [float(x) for x in v]) for i, v in enumerate(V)], "id long, embedding array<float>")
+    q = df.withColumnRenamed("id", "query_id")
+    got = dense.flat_search(q, df.mapInPandas(make, df.schema), k=3, max_query_rows=0, block_rows=10).collect()
+    S = np.round(V.astype(float) @ V.astype(float).T, 9)
+    assert {(r["query_id"], r["doc_id"]) for r in got} == {(i, j) for i in range(120) if i != 50 for j in sorted((j for j in range(120) if j != 50), key=lambda j: (-S[i, j], j))[:3]}
+    assert made.value <= 2 * 120
