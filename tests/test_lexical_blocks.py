@@ -132,3 +132,29 @@ def test_corpus_without_words(spark, tmp_path):
     for index in (idx, lexical.load_lexical_index(spark, str(tmp_path / "i")), lexical.build_lexical_index(corpus, "doc_id", "text", path=str(tmp_path / "j"))):
         assert run(index, spark, ["a", ""], 2) == {0: [], 1: []}
         assert run(index, spark, ["a", ""], 2, pad_zero=True) == {0: [(0, 0.0), (1, 0.0)], 1: [(0, 0.0), (1, 0.0)]}
+
+
+def test_a_task_inverts_slices_of_a_shard(spark, monkeypatch, texts, queries, tmp_path):
+    """Texts of a shard don't reach Python at once: the tokens of a group are bounded, whatever the shard holds."""
+    seen, invert = str(tmp_path), lexical._invert
+
+    def counted(docs, own):
+        with open(f"{seen}/{docs['shard'][0].as_py()}-{docs['num'][0].as_py()}", "w") as f:
+            f.write(str(docs.num_rows))
+        return invert(docs, own)
+
+    monkeypatch.setattr(lexical, "SLICE_TOKENS", 1)  # slices of one block
+    monkeypatch.setattr(lexical, "_invert", counted)
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idx = lexical.build_lexical_index(corpus, "doc_id", "text")  # one or two shards
+    held = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(held) == N and max(held) <= lexical.BLOCK
+    rows = idx.postings.collect()
+    assert len(rows) > len({(r["shard"], r["term"]) for r in rows})
+    df = {r["term"]: r["df"] for r in idx.terms.collect()}
+    assert df == {w: sum(w in t.split() for t in texts) for w in {w for t in texts for w in t.split()}}
+    monkeypatch.setattr(lexical, "_invert", invert)
+    for k in (7, 1000):
+        same(run(idx, spark, queries, k), {n: brute(texts, q, k) for n, q in enumerate(queries)})
+    same(run(idx.reweighted(0.9, 0.4), spark, queries, 10), {n: brute(texts, q, 10, 0.9, 0.4) for n, q in enumerate(queries)})
+    idx.close()
