@@ -102,3 +102,41 @@ def test_few_codes_are_scored_exactly(monkeypatch):
     S[np.arange(60), np.arange(60)] = -np.inf
     assert [sorted(r) for r in best.ids.tolist()] == [sorted(np.lexsort((np.arange(30_000), -np.round(s, 9)))[:20].tolist()) for s in S]
     assert 60 * 20 <= sum(pairs) <= 0.02 * 60 * 30_000
+
+
+def test_deep_searches_are_ranked_in_their_groups(spark, monkeypatch, X):
+    """Where one group has all codes a query's results are not sorted again; a query may be asked with several vectors."""
+    df = frame(spark, X)
+    q = df.withColumnRenamed("id", "query_id")
+    q = q.union(q.where("query_id < 9").withColumn("embedding", dense.F.reverse("embedding")))
+    pq, idx = ann.build_pq(df, m=4, nbits=3, seed=1), ann.build_ivfpq(df, nlist=5, m=4, nbits=3, seed=1)
+    for search, more in ((lambda **kw: ann.pq_search(q, pq, k=40, exclude_self=True, max_table_bytes=1, block_rows=90, **kw), {"shard_rows": 100}),
+                         (lambda **kw: ann.ivfpq_search(q, idx, k=40, nprobe=3, exclude_self=True, query_rows=90, **kw), {"shard_rows": 100})):
+        run = search()
+        assert run.columns == ["query_id", "doc_id", "score", "rank"] and dict(run.dtypes)["rank"] == "bigint"
+        assert "Window" not in run._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in run.collect()) == sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search(**more).collect())
+
+
+def test_rescored_pairs_are_dealt_in_parcels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = frame(spark, rng.normal(size=(200, 4)))
+    run = spark.createDataFrame([(q, int(d)) for q in range(200) for d in rng.choice(200, 50, replace=False)], "query_id bigint, doc_id bigint").coalesce(1)
+    want = ranked(dense.rescore(run, df, df, 5))
+    dealt, spread = [], getattr(dense, "spread", None)
+    monkeypatch.setattr(dense, "spread", lambda x, *a: dealt.append(x.count()) or spread(x, *a))
+    monkeypatch.setattr(dense, "GRID_PAIRS", 2500)
+    monkeypatch.setattr(dense, "RUN_ROWS", 1000)  # a group scores its pairs in slices
+    assert ranked(dense.rescore(run, df, df, 5)) == want and sum(dealt) < 40
+
+
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_first_of_groups(k):
+    rng = np.random.default_rng(k)
+    group = np.sort(rng.integers(0, 40, 900)) * 3
+    S, ids = np.round(rng.normal(size=900), 1), rng.permutation(900)
+    S[rng.random(900) < 0.1] = np.nan
+    S[group == 6] = np.nan
+    want = [i for g in np.unique(group) for i in sorted(np.flatnonzero(group == g), key=lambda i: (np.isnan(S[i]), -S[i] if not np.isnan(S[i]) else 0, ids[i]))[:k]]
+    assert dense._first(group, S, ids, k).tolist() == want
+    assert dense._first(group[:0], S[:0], ids[:0], k).tolist() == []
